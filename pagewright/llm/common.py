@@ -6,6 +6,9 @@ import atexit
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,3 +90,23 @@ def ranked(df: DataFrame, keys: list[str], scratch: Scratch, name: str, rank: st
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of the column's decimal text, modulo n: the folds of the held-out rows."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
+
+
+#: Bits of a membership bitmap: 4 MB, whatever the data. A full bitmap lets everything pass, so only shuffles grow.
+BITMAP_BITS = 1 << 25
+
+
+def maybe_in(df: DataFrame, keys: DataFrame, *columns: str) -> DataFrame:
+    """Rows of df whose key may be in keys (no row that is in it is lost), tested before any shuffle by a bitmap of fixed size."""
+    slot = F.pmod(F.xxhash64(*columns), F.lit(BITMAP_BITS)) + 1
+    parts = keys.select(slot.alias("b")).groupBy(F.bitmap_bucket_number("b").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("bits")).collect()
+    bits = np.zeros(BITMAP_BITS // 8, dtype=np.uint8)
+    for r in parts:  # bucket k, from 1, has the 32768 slots up to k * 32768, 4096 bytes
+        bits[(r["part"] - 1) * 4096 : r["part"] * 4096] |= np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
+
+    @F.pandas_udf("boolean")
+    def test(b: pd.Series) -> pd.Series:
+        b = b.to_numpy() - 1
+        return pd.Series((bits[b >> 3] >> (b & 7).astype(np.uint8)) & 1 == 1)
+
+    return df.where(test(slot))

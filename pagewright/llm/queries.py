@@ -11,6 +11,7 @@ from .common import table
 from .exact_dedup import exact_dedup
 from .packing import pack
 from .sharding import shard
+from .suffix_dedup import suffix_dedup
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +22,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents"), 200)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -33,7 +38,7 @@ def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", 20)
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_byte_bpe, op7_exact_dedup, op8_hilbert_sharding, op9_nearest_neighbours)}
+QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_byte_bpe, op4_suffix_dedup, op7_exact_dedup, op8_hilbert_sharding, op9_nearest_neighbours)}
 
 ORACLE_SQL = {
     "op7_exact_dedup": """
