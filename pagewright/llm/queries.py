@@ -9,11 +9,16 @@ from .ann import nearest
 from .bpe import round_trip
 from .common import table
 from .exact_dedup import exact_dedup
+from .jaccard_join import jaccard_join
 from .packing import pack
 from .sharding import shard
 from .suffix_dedup import suffix_dedup
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents"), 5, 0.8)
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, 1024, 2)
 
@@ -38,7 +43,7 @@ def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", 20)
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_byte_bpe, op4_suffix_dedup, op7_exact_dedup, op8_hilbert_sharding, op9_nearest_neighbours)}
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_best_fit_packing, op3_byte_bpe, op4_suffix_dedup, op7_exact_dedup, op8_hilbert_sharding, op9_nearest_neighbours)}
 
 ORACLE_SQL = {
     "op7_exact_dedup": """
