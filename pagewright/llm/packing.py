@@ -132,7 +132,8 @@ def match_runs(counts: dict[int, int], capacity: int) -> list[tuple[int, int, in
 def pack(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = 1024, end_id: int = 2, scratch: Scratch | None = None) -> DataFrame:
     """Returns per piece doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     scratch = scratch or Scratch(docs.sparkSession, "packing")
-    placed, _ = ranked(pieces(docs, ranks_path, pattern, capacity, end_id), ["length", "doc_id", "piece"], scratch, "by_length")
+    cut_up = scratch.save(pieces(docs, ranks_path, pattern, capacity, end_id), "pieces")  # else the range sort's sample encodes all texts again
+    placed, _ = ranked(cut_up, ["length", "doc_id", "piece"], scratch, "by_length")
     counts = {r["length"]: r["n"] for r in placed.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     runs = match_runs(counts, capacity)
     runs.sort(key=lambda r: r[0])  # stable: within a length, ranks go in the order of placing
