@@ -10,9 +10,10 @@ among those it holds; equal windows have equal anchors at equal places. Then, as
 yet unique is compared further:
 
 1. anchors whose name occurs once leave: their windows are unique;
-2. the rest are paired with the name of the whole span of windows they serve; spans that repeat are repeats as a whole;
-3. where spans of one anchor name differ (edges of passages), the windows of one span of each kind are named at full
-   length, and those names that repeat are repeats.
+2. the rest are paired with the name of the whole run of windows they serve: runs that repeat are repeats as a whole;
+3. where runs of one anchor name differ (edges of passages), one run of each kind is cut into parts, and steps 1 and 2
+   follow with the bytes that all windows of a part share (185 of 200) as the name;
+4. and once more with single windows: the full length.
 
 Names are 64-bit, and strings are equal if both an anchor's and a window's name agree: 128 bits. Copies are counted
 map-side and never paired with each other, so the work grows with the text and not with the square of a group. Texts
@@ -37,6 +38,7 @@ from .common import Scratch, maybe_in
 
 POSITIONS = 20  # bits for a position in a block
 BLOCK = 1 << 19
+PART = 16  # places of an anchor in a window that are first compared together
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 _BASE = 0x5851F42D4C957F2D
 _POWERS: list[np.ndarray] = []
@@ -155,30 +157,46 @@ def _anchors(docs: DataFrame, length: int) -> DataFrame:
     return docs.mapInArrow(run, ANCHORS)
 
 
-def _windows(spans: DataFrame, length: int) -> DataFrame:
-    """doc_id, start and two names of each window of the listed runs."""
+def ranges_of(data: np.ndarray, base: np.ndarray, n: np.ndarray, place: np.ndarray, seed: np.ndarray, length: int, width: int) -> tuple[np.ndarray, ...]:
+    """Cuts runs of windows, whose bytes start at `base`, where the anchor's place in the window divides by `width`.
+
+    Gives for each part its run, first window, windows, anchor place, a name of the bytes that all windows of such a part hold
+    (with the run's anchor name), and a name of all its bytes.
+    """
+    names = Names(data)
+    run = np.repeat(np.arange(len(n)), n)
+    step = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
+    part = (place[run] - step) // width
+    start = np.flatnonzero(np.append(True, (run[1:] != run[:-1]) | (part[1:] != part[:-1])))
+    count = np.diff(np.append(start, len(run)))
+    run, step, part = run[start], step[start], part[start]
+    at = place[run] - step
+    core = names.of(base[run] + place[run] - part * width, length - width + 1)
+    core = _mix(core, seed[run] + (part * width).astype(np.uint64) * _M1)
+    full = _mix(names.of(base[run] + step, length + count - 1), (at * 4096 + count).astype(np.uint64))
+    return run, step, count, at, core, full
+
+
+def _refined(runs_with_text: DataFrame, length: int, width: int) -> DataFrame:
+    """The listed runs of each document cut into parts of `width` places, in the form of anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts, runs = batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()
             held: list[tuple[int, dict, np.ndarray]] = []
             size = 0
 
             def flush() -> pa.RecordBatch:
-                n = np.array([r["n"] for _, r, _ in held])
-                data = [p for _, _, p in held]
-                names = Names(np.concatenate(data))
-                base = np.cumsum([len(p) for p in data]) - [len(p) for p in data]
-                number = np.repeat(np.arange(len(held)), n)
-                step = np.arange(len(number)) - np.repeat(np.cumsum(n) - n, n)
-                first, place, seed = (np.array([r[k] for _, r, _ in held], dtype=np.int64) for k in ("first", "place", "seed"))
-                key = _mix(seed[number].view(np.uint64), (place[number] - step).astype(np.uint64))
+                parts = [p for _, _, p in held]
+                base = np.cumsum([len(p) for p in parts]) - [len(p) for p in parts]
+                first, n, place, seed = (np.array([r[k] for _, r, _ in held], dtype=np.int64) for k in ("first", "n", "place", "seed"))
+                number, step, count, at, core, full = ranges_of(np.concatenate(parts), base, n, place, seed.view(np.uint64), length, width)
                 doc = np.array([d for d, _, _ in held], dtype=np.int64)
-                return pa.RecordBatch.from_arrays([pa.array(doc[number]), pa.array((first[number] + step).astype(np.int32)), pa.array(key.view(np.int64)), pa.array(names.of(base[number] + step, length).view(np.int64))], ["doc_id", "start", "key", "name"])
+                ints = (first[number] + step, count, at)
+                return pa.RecordBatch.from_arrays([pa.array(doc[number]), *(pa.array(x.astype(np.int32)) for x in ints), pa.array(core.view(np.int64)), pa.array(full.view(np.int64))], ["doc_id", "first", "n", "place", "seed", "span"])
 
-            for doc_id, text, listed in zip(ids, texts, runs, strict=True):
+            for doc_id, text, listed in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 data = np.frombuffer(text.as_buffer(), dtype=np.uint8)
-                for r in listed:
+                for r in listed.as_py():
                     part = data[r["first"] : r["first"] + r["n"] + length - 1]
                     held.append((doc_id, r, part))
                     size += len(part)
@@ -188,31 +206,36 @@ def _windows(spans: DataFrame, length: int) -> DataFrame:
             if held:
                 yield flush()
 
-    return spans.mapInArrow(run, "doc_id long, start int, key long, name long")
+    return runs_with_text.mapInArrow(run, ANCHORS)
 
 
 def repeated_spans(docs: DataFrame, length: int = 200, scratch: Scratch | None = None) -> DataFrame:
     """doc_id and spans array<struct<begin, stop>> (unmerged) of the bytes of each document that holds repeats."""
     scratch = scratch or Scratch(docs.sparkSession, "suffix")
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-    found = scratch.save(_anchors(texts, length), "anchors")
-    shared = scratch.save(found.groupBy("seed").agg(F.count("*").alias("copies")).where("copies > 1").select("seed"), "shared_seeds")
-    left = scratch.save(maybe_in(found, shared, "seed"), "left")  # what is surely unique is gone; what stays may still be
-    kinds = left.groupBy("seed", "span").agg(F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("doc_id", "first", "n", "place")))
-    kinds = scratch.save(kinds, "kinds")
-    scratch.drop("anchors", "shared_seeds")
-    mixed = kinds.groupBy("seed").agg(F.count("*").alias("kinds")).where("kinds > 1").select("seed")
-    edges = kinds.join(mixed, "seed", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("first", "n", "place", "seed")).alias("runs"))
-    edges = scratch.save(edges, "edges")
-    with_text = maybe_in(texts, edges, "doc_id").join(edges.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "runs")
-    windows = scratch.save(_windows(with_text, length), "windows")
-    again = windows.groupBy("key", "name").agg(F.count("*").alias("copies")).where("copies > 1").select("key", "name")
-    by_window = windows.join(again, ["key", "name"], "left_semi").select("doc_id", F.col("start").alias("begin"), (F.col("start") + length).alias("stop"))
-    whole = kinds.where("copies > 1").select("seed", "span")
-    by_span = maybe_in(left, whole, "seed", "span").join(whole, ["seed", "span"], "left_semi").select("doc_id", F.col("first").alias("begin"), (F.col("first") + F.col("n") + length - 1).alias("stop"))
-    spans = by_span.unionByName(by_window).groupBy("doc_id").agg(F.collect_list(F.struct("begin", "stop")).alias("spans"))
+    rows, found = scratch.save(_anchors(texts, length), "rows0"), []
+    for level, width in enumerate((PART, 1, 0)):
+        shared = scratch.save(rows.groupBy("seed").agg(F.count("*").alias("copies")).where("copies > 1").select("seed"), f"shared{level}")
+        left = scratch.save(maybe_in(rows, shared, "seed"), f"left{level}")  # what is surely unique is gone; what stays may still be
+        scratch.drop(f"rows{level}")
+        span = [F.col("first").alias("begin"), (F.col("first") + F.col("n") + length - 1).alias("stop")]
+        if not width:  # single windows: a name that is shared is a repeat
+            found.append(left.join(shared, "seed", "left_semi").select("doc_id", *span))
+            break
+        kinds = left.groupBy("seed", "span").agg(F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("doc_id", "first", "n", "place")))
+        kinds = scratch.save(kinds, f"kinds{level}")
+        whole = kinds.where("copies > 1").select("seed", "span")
+        found.append(scratch.save(maybe_in(left, whole, "seed", "span").join(whole, ["seed", "span"], "left_semi").select("doc_id", *span), f"whole{level}"))
+        scratch.drop(f"left{level}", f"shared{level}")
+        mixed = kinds.groupBy("seed").agg(F.count("*").alias("kinds")).where("kinds > 1").select("seed")
+        edges = kinds.join(mixed, "seed", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("first", "n", "place", "seed")).alias("runs"))
+        edges = scratch.save(edges, f"edges{level}")
+        with_text = maybe_in(texts, edges, "doc_id").join(edges.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "runs")
+        rows = scratch.save(_refined(with_text, length, width), f"rows{level + 1}")
+        scratch.drop(f"kinds{level}", f"edges{level}")
+    spans = found[0].unionByName(found[1]).unionByName(found[2]).groupBy("doc_id").agg(F.collect_list(F.struct("begin", "stop")).alias("spans"))
     spans = scratch.save(spans, "spans")
-    scratch.drop("left", "kinds", "edges", "windows")
+    scratch.drop("whole0", "whole1", "left2", "shared2")
     return spans
 
 
