@@ -163,10 +163,10 @@ def _search(postings: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     return left.groupBy("list", "v", "q").cogroup(right.groupBy("list", "v", "q")).applyInPandas(compare, "query_id long, vec_id long, score double")
 
 
-def nearest(vectors: DataFrame, is_query: str, k: int = 20, list_size: int = 400, sample: int = 20_000, boundary: float = 1.03, replicas: int = 4, probe: float = 1.15, beam: int = 128, scratch: Scratch | None = None) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: str, k: int = 20, root: float = 0.5, sample: int = 20_000, boundary: float = 1.03, replicas: int = 4, probe: float = 1.15, beam: int = 128, scratch: Scratch | None = None) -> DataFrame:
     """The k nearest rows of each row that meets the SQL condition ``is_query``: query_id, rank, vec_id, score.
 
-    list_size: mean rows of a list before replication, while there are no more than sample / 20 lists. sample: vectors that
+    root: lists for each square root of the rows, while there are no more than sample / 20 lists. sample: vectors that
     the centroids are fitted to, about. boundary, replicas: a vector goes to lists within this ratio of the nearest, so
     many at most. probe, beam: a query reads the lists within this ratio among the beam that its walk found.
     """
@@ -186,7 +186,7 @@ def nearest(vectors: DataFrame, is_query: str, k: int = 20, list_size: int = 400
     drawn = drawn if len(drawn) else usable.limit(sample).select("embedding").toPandas()
     x = _stack(drawn.embedding)
     x = np.concatenate([x, np.sqrt(np.maximum(facts["norm2"] - (x * x).sum(1), 0))[:, None]], axis=1)
-    lists = int(max(1, min(facts["n"] / list_size, sample / 20, len(x) / 4)))
+    lists = int(max(1, min(root * facts["n"] ** 0.5, sample / 20, len(x) / 4)))
     graph = CentroidGraph(fit_centroids(x, lists))
 
     postings = scratch.save(_lists(usable, graph, facts["norm2"], 4 * replicas, boundary, replicas, False), "postings")
