@@ -12,6 +12,7 @@ from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_join
 from .langid import identify
 from .packing import pack
+from .quality import quality
 from .sharding import shard
 from .suffix_dedup import suffix_dedup
 from .toxicity import toxicity
@@ -53,7 +54,11 @@ def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", 20)
 
 
-QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_best_fit_packing, op3_byte_bpe, op4_suffix_dedup, op5_toxicity, op6_language_id, op7_exact_dedup, op8_hilbert_sharding, op9_nearest_neighbours)}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_best_fit_packing, op3_byte_bpe, op4_suffix_dedup, op5_toxicity, op6_language_id, op7_exact_dedup, op8_hilbert_sharding, op9_nearest_neighbours, op10_quality)}
 
 ORACLE_SQL = {
     "op7_exact_dedup": """
