@@ -96,8 +96,8 @@ def crc_mod(column: str, n: int) -> Column:
 BITMAP_BITS = 1 << 25
 
 
-def maybe_in(df: DataFrame, keys: DataFrame, *columns: str) -> DataFrame:
-    """Rows of df whose key may be in keys (no row that is in it is lost), tested before any shuffle by a bitmap of fixed size."""
+def membership(keys: DataFrame, *columns: str) -> Column:
+    """A column that is true for every row whose key is in keys, and for few others: a bitmap of fixed size, tested before any shuffle."""
     slot = F.pmod(F.xxhash64(*columns), F.lit(BITMAP_BITS)) + 1
     parts = keys.select(slot.alias("b")).groupBy(F.bitmap_bucket_number("b").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("bits")).collect()
     bits = np.zeros(BITMAP_BITS // 8, dtype=np.uint8)
@@ -109,4 +109,15 @@ def maybe_in(df: DataFrame, keys: DataFrame, *columns: str) -> DataFrame:
         b = b.to_numpy() - 1
         return pd.Series((bits[b >> 3] >> (b & 7).astype(np.uint8)) & 1 == 1)
 
-    return df.where(test(slot))
+    return test(slot)
+
+
+def maybe_in(df: DataFrame, keys: DataFrame, *columns: str) -> DataFrame:
+    """Rows of df whose key may be in keys; none whose key is in keys is lost."""
+    return df.where(membership(keys, *columns))
+
+
+def without(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """Rows of df whose key is not in keys. Only rows that may be in keys are shuffled."""
+    found = membership(keys, column)
+    return df.where(~found).unionByName(df.where(found).join(keys.select(column), column, "left_anti").select(*df.columns))

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, maybe_in
+from .common import Scratch, maybe_in, membership
 
 POSITIONS = 20  # bits for a position in a block
 BLOCK = 1 << 19
@@ -278,3 +278,18 @@ def suffix_dedup(docs: DataFrame, length: int = 200, scratch: Scratch | None = N
     facts = docs.select(F.col("doc_id").cast("long"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("whole_sha256"))
     zero = F.lit(0).cast("long")
     return facts.join(cut, "doc_id", "left").select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("cut_sha256", "whole_sha256").alias("kept_sha256"))
+
+
+def drop_repeats(docs: DataFrame, length: int = 200, scratch: Scratch | None = None) -> DataFrame:
+    """The rows of docs, all columns, with repeated passages cut out of their texts and n_chars, if there is one, set anew.
+
+    A character that is cut through goes as a whole. Only documents that may hold a repeat are shuffled.
+    """
+    scratch = scratch or Scratch(docs.sparkSession, "suffix")
+    spans = repeated_spans(docs, length, scratch)
+    cut = strip(docs, spans).dropDuplicates(["doc_id"]).select("doc_id", F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "\ufffd", "").alias("_kept"))
+    found = membership(spans, "doc_id")
+    met = docs.where(found).join(cut, "doc_id", "left")
+    text = F.coalesce("_kept", "text")
+    new = [text.alias(c) if c == "text" else F.when(F.col("_kept").isNull(), F.col(c)).otherwise(F.length(text)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    return docs.where(~found).unionByName(met.select(*new))

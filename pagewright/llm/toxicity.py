@@ -192,3 +192,15 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1,
     """Per document doc_id, held_out, score, predicted, n_clauses."""
     scored = score(docs, learn_stems(docs, labels, folds, held, **learning))
     return scored.select("doc_id", (crc_mod("doc_id", folds) == held).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "n_clauses")
+
+
+def drop_toxic(docs: DataFrame, stems: dict[str, float]) -> DataFrame:
+    """The rows of docs, all columns, whose score is below the threshold. Nothing is shuffled."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grammar = Grammar(stems)
+        for batch in batches:
+            yield batch.filter(pa.array([grammar.score(t.as_py() or "")[0] < THRESHOLD for t in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
