@@ -20,6 +20,7 @@ import struct
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -87,27 +88,35 @@ class Codec:
         self.bytes_of = [bytes(back[ord(c)] for c in self.model.id_to_piece(k)) for k in range(len(ranks))]
         mapped = ["".join(map(self.table.__getitem__, p)) for p in self.bytes_of]
         self.direct = {p: k for k, (p, ids) in enumerate(zip(mapped, self.model.encode(mapped, num_threads=1), strict=True)) if ids != [k]}
-        self.seen: dict[str, tuple[list[int], str]] = {}
+        self.seen: dict[str, tuple[bytes, str]] = {}
+        self.before: dict[str, tuple[bytes, str]] = {}
 
     def _learn(self, words: set[str]) -> None:
-        fresh = [w for w in words if w not in self.seen]
+        """Encodes what is new. Old entries live on while they are in use: a full memory becomes the second, and is asked first."""
+        if len(self.seen) > REMEMBERED:
+            self.before, self.seen = self.seen, {}
+        fresh = []
+        for w in words.difference(self.seen):
+            known = self.before.get(w)
+            if known:
+                self.seen[w] = known
+            else:
+                fresh.append(w)
         mapped = [w.encode().decode("latin-1").translate(self.table) for w in fresh]
         for w, m, ids in zip(fresh, mapped, self.model.encode(mapped, num_threads=1), strict=True):
             ids = [self.direct[m]] if m in self.direct else ids
-            self.seen[w] = (ids, " ".join(map(str, ids)))
+            self.seen[w] = (np.array(ids, dtype=np.int32).tobytes(), " ".join(map(str, ids)))  # nothing the garbage collector follows
 
-    def parts(self, text: str) -> list[tuple[list[int], str]]:
-        words = self.pattern.findall(text)
-        try:
-            return [self.seen[w] for w in words]
-        except KeyError:
-            if len(self.seen) > REMEMBERED:
-                self.seen.clear()
-            self._learn(set(words))
-            return [self.seen[w] for w in words]
+    def parts(self, texts: list[str]) -> Iterator[list[tuple[bytes, str]]]:
+        """For each text the ids of its pre-tokens, as bytes and as decimal text."""
+        for s in range(0, len(texts), 32):
+            cut = [self.pattern.findall(t) for t in texts[s : s + 32]]
+            self._learn(set(chain.from_iterable(cut)))
+            for words in cut:
+                yield [self.seen[w] for w in words]
 
-    def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(ids for ids, _ in self.parts(text)))
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.frombuffer(b"".join([p[0] for p in parts]), dtype=np.int32) for parts in self.parts(texts)]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -126,7 +135,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks_path, pattern)
         for batch in batches:
-            ids = [own.encode(t.as_py() or "") for t in batch.column(1)]
+            ids = own.encode([t or "" for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>")
@@ -151,9 +160,8 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         own = codec(ranks_path, pattern)
         for batch in batches:
             n, of_ids, of_bytes = [], [], []
-            for text in batch.column(1):
-                parts = own.parts(text.as_py() or "")
-                ids = list(chain.from_iterable(p[0] for p in parts))
+            for parts in own.parts([t or "" for t in batch.column(1).to_pylist()]):
+                ids = np.frombuffer(b"".join([p[0] for p in parts]), dtype=np.int32).tolist()
                 n.append(len(ids))
                 of_ids.append(hashlib.sha256(" ".join([p[1] for p in parts]).encode()).hexdigest())
                 of_bytes.append(hashlib.sha256(own.decode(ids)).hexdigest())
