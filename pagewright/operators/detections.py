@@ -46,7 +46,7 @@ def parse_engine_output(payloads: DataFrame, key: list[str], payload: str = "pay
     n = F.greatest(F.lit(0), F.least(F.size(d["rec_texts"]), F.size(d["rec_scores"]), F.size(polys)))
     zipped = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(i.alias("det_ord"), F.get(d["rec_texts"], i - 1).alias("text"), F.get(d["rec_scores"], i - 1).alias("conf"), F.get(polys, i - 1).alias("poly")))
     rows = F.from_json(F.col(payload), "array<string>")
-    listed = F.transform(rows, lambda r, i: F.struct((i + 1).alias("det_ord"), F.get_json_object(r, "$[1][0]").alias("text"), F.get_json_object(r, "$[1][1]").cast("double").alias("conf"), F.from_json(F.get_json_object(r, "$[0]"), "array<array<double>>").alias("poly")))
+    listed = F.transform(rows, lambda r, i: F.struct((i + 1).alias("det_ord"), F.get_json_object(r, "$[1][0]").alias("text"), F.get_json_object(r, "$[1][1]").try_cast("double").alias("conf"), F.from_json(F.get_json_object(r, "$[0]"), "array<array<double>>").alias("poly")))
     is_list = F.ltrim(payload).startswith("[")
     empty = F.array().cast("array<struct<det_ord:int,text:string,conf:double,poly:array<array<double>>>>")
     both = F.when(is_list, listed).otherwise(F.when(n > 0, zipped).otherwise(empty))
@@ -101,6 +101,6 @@ def overlay_labels(detections: DataFrame) -> DataFrame:
     one = 1 << 60
     hundredths = F.expr(f"cast(cast(conf * {one}D as bigint) as decimal(20,0)) * 100")
     whole = F.expr(f"cast(cast(conf * {one}D as bigint) as decimal(20,0)) * 100 div {one}")
-    twice = (hundredths - whole * F.lit(one)) * 2
+    twice = (hundredths - whole.cast("decimal(10,0)") * F.lit(one).cast("decimal(20,0)")) * 2
     n = whole + F.when((twice > one) | ((twice == one) & (whole % 2 == 1)), 1).otherwise(0)
     return detections.withColumn("label", F.format_string("[%d.%02d] %s", F.floor(n / 100), n % 100, F.left("text", F.lit(40))))
