@@ -184,11 +184,11 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _dealt(rows: DataFrame, key: list[str], blocks: str) -> DataFrame:
-    """Each row once for each pair of blocks that holds its own: key, i <= j, own."""
+    """Each row once for each pair of blocks that holds its own: key, i <= j, own. Sorted by id, so that groups in common have links in common."""
     own = F.pmod(F.xxhash64("id"), F.col(blocks).cast("long")).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
     rows = rows.drop("other", blocks)
-    return rows.repartition(shuffle_partitions(rows.sparkSession), *key, "i", "j").sortWithinPartitions(*key, "i", "j")
+    return rows.repartition(shuffle_partitions(rows.sparkSession), *key, "i", "j").sortWithinPartitions(*key, "i", "j", "id")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
