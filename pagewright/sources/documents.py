@@ -10,7 +10,7 @@ from ..functions import text as T
 
 
 def read_documents(spark: SparkSession, path: str, s: Settings = Settings(), glob: str = "*") -> DataFrame:
-    """path, length, content of files up to the size limit (the limit reaches the reader, so larger files are never read)."""
+    """path, length, content of files up to the size limit (the limit reaches the reader, so larger files are never read). Spark skips empty files."""
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).where(F.col("length") <= s.max_file_mb * 1024 * 1024)
 
 
