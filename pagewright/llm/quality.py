@@ -13,6 +13,7 @@ rows each get a row. Extra columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,45 +24,57 @@ from pyspark.sql import functions as F
 FEATURES = 1 << 14
 
 
-def facts(docs: DataFrame) -> DataFrame:
-    """doc_id, text and what the labellers look at; shares are of characters, words or lines."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.select(F.col("doc_id").cast("long"), text.alias("t")).withColumns(
-        {"chars": F.length("t"), "words": F.filter(F.split("t", r"\s+"), lambda w: w != ""), "lines": F.filter(F.split("t", "\n"), lambda x: F.trim(x) != "")}
-    )
-    one, n = F.greatest(F.lit(1), F.col("chars")), F.greatest(F.lit(1), F.size("words"))
-    return base.select(
-        "doc_id",
-        F.col("t").alias("text"),
-        F.size("words").alias("n_words"),
-        (F.regexp_count("t", F.lit(r"[\p{L}\p{N}\s]")) / one).alias("plain"),
-        (F.regexp_count("t", F.lit(r"\p{Lu}")) / one).alias("upper"),
-        (F.size(F.array_distinct("words")) / n).alias("distinct_words"),
-        (F.size(F.array_distinct("lines")) / F.greatest(F.lit(1), F.size("lines"))).alias("distinct_lines"),
-        (F.col("chars") / n).alias("word_chars"),
-        (F.regexp_count("t", F.lit(r"[.!?](\s|$)")) / n).alias("stops"),
-        (F.regexp_count("t", F.lit(r"[#{}<>|\\^~*$%&=_\[\]]")) / one).alias("symbols"),
-    )
-
-
-_c = F.col
+_KIND = np.zeros(256, dtype=np.uint8)  # of a byte: 1 plain (letters, digits, white space, all beyond ASCII), 2 capital, 4 symbol, 8 white space, 16 full stop
+_KIND[[*b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ \t\n\r\x0b\x0c", *range(128, 256)]] |= 1
+_KIND[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"]] |= 2
+_KIND[[*b"#{}<>|\\^~*$%&=_[]"]] |= 4
+_KIND[[*b" \t\n\r\x0b\x0c"]] |= 8
+_KIND[[*b".!?"]] |= 16
+
+
+def facts(text: str) -> dict[str, float]:
+    """What the labellers look at; shares are of bytes, words or lines."""
+    data = np.frombuffer(text.encode(), dtype=np.uint8)
+    counts = np.bincount(data, minlength=256)
+    one = max(1, len(data))
+    kind = _KIND[data]
+    space = np.append((kind & 8) != 0, True)
+    words = text.split()
+    n = max(1, len(words))
+    lines = [x for x in text.split("\n") if x.strip()]
+
+    def share(bit: int) -> float:
+        return float(counts[(_KIND & bit) != 0].sum()) / one
+
+    return {
+        "n_words": len(words),
+        "plain": share(1),
+        "upper": share(2),
+        "symbols": share(4),
+        "distinct_words": len(set(words)) / n,
+        "distinct_lines": len(set(lines)) / max(1, len(lines)),
+        "word_chars": len(text) / n,
+        "stops": float((((kind & 16) != 0) & space[1:]).sum()) / n,
+    }
+
+
 #: The labellers: each says 'bad' or nothing.
 VOTES = (
-    lambda: (_c("n_words") >= 10) & (_c("plain") < 0.93),
-    lambda: (_c("n_words") >= 10) & (_c("upper") > 0.15),
-    lambda: (_c("n_words") >= 30) & (_c("distinct_words") < 0.35),
-    lambda: (_c("n_words") >= 30) & (_c("distinct_words") < 0.15),
-    lambda: _c("distinct_lines") < 0.7,
-    lambda: (_c("n_words") >= 10) & ((_c("word_chars") < 3) | (_c("word_chars") > 8)),
-    lambda: (_c("n_words") >= 30) & ((_c("stops") < 0.02) | (_c("stops") > 0.35)),
-    lambda: _c("symbols") > 0.02,
-    lambda: _c("n_words") < 1,
+    lambda f: f["n_words"] >= 10 and f["plain"] < 0.93,
+    lambda f: f["n_words"] >= 10 and f["upper"] > 0.15,
+    lambda f: f["n_words"] >= 30 and f["distinct_words"] < 0.35,
+    lambda f: f["n_words"] >= 30 and f["distinct_words"] < 0.15,
+    lambda f: f["distinct_lines"] < 0.7,
+    lambda f: f["n_words"] >= 10 and not 3 <= f["word_chars"] <= 8,
+    lambda f: f["n_words"] >= 30 and not 0.02 <= f["stops"] <= 0.35,
+    lambda f: f["symbols"] > 0.02,
+    lambda f: f["n_words"] < 1,
 )
 
 
-def voted(looked: DataFrame) -> DataFrame:
-    """Adds pattern: the votes as bits."""
-    return looked.withColumn("pattern", sum((vote().cast("int") * (1 << k) for k, vote in enumerate(VOTES)), F.lit(0)).cast("int"))
+def pattern(f: dict[str, float]) -> int:
+    """The votes as bits."""
+    return sum(1 << k for k, vote in enumerate(VOTES) if vote(f))
 
 
 def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 50, cap: float = 0.05) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
@@ -118,31 +131,45 @@ def train(rows: Iterator[tuple[str, list[float], float]], epochs: int = 3, rate:
     return w
 
 
-def _scored(marked: DataFrame, w: np.ndarray) -> DataFrame:
+def _patterns(docs: DataFrame) -> DataFrame:
+    """How often each pattern of votes occurs, counted where the texts lie."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
         for batch in batches:
-            rest = batch.drop_columns(["text"]).to_pylist()
-            out = []
-            for text, row in zip(batch.column("text"), rest, strict=True):
-                at, value = _hashed(text.as_py(), _shape(row))
-                out.append(float(1 / (1 + np.exp(-np.clip(value @ w[at], -30, 30)))) if row["n_words"] else 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.float64()), batch.column("posterior"), batch.column("pattern")], ["doc_id", "score", "posterior", "pattern"])
+            seen.update(pattern(facts(t.as_py() or "")) for t in batch.column(0))
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int32()), pa.array(list(seen.values()), pa.int64())], ["pattern", "n"])
 
-    return marked.mapInArrow(run, "doc_id long, score double, posterior double, pattern int")
+    return docs.select("text").mapInArrow(run, "pattern int, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
+
+
+def _scored(docs: DataFrame, posterior: dict[int, float], w: np.ndarray) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, marks = [], []
+            for text in batch.column(1):
+                text = text.as_py() or ""
+                f = facts(text)
+                at, value = _hashed(text, _shape(f))
+                out.append(float(1 / (1 + np.exp(-np.clip(value @ w[at], -30, 30)))) if f["n_words"] else 0.0)
+                marks.append(pattern(f))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64()), pa.array([posterior.get(m) for m in marks], pa.float64()), pa.array(marks, pa.int32())], ["doc_id", "score", "posterior", "pattern"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double, posterior double, pattern int")
 
 
 def quality(docs: DataFrame, train_rows: int = 4_000) -> DataFrame:
     """Per document doc_id, score (chance of good), predicted (score >= 0.5), posterior of its votes, pattern (the votes as bits)."""
-    spark = docs.sparkSession
-    looked = voted(facts(docs))
-    counts = looked.groupBy("pattern").agg(F.count("*").alias("n")).orderBy("pattern").collect()  # at most 2^9 rows
-    code = np.array([r["pattern"] for r in counts], dtype=np.int64)
-    patterns = np.stack([code >> k & 1 for k in range(len(VOTES))], axis=1) if len(code) else np.zeros((0, len(VOTES)), dtype=np.int64)
-    number = np.array([r["n"] for r in counts], dtype=np.float64)
-    *_, post = estimate(patterns, number)
-    posterior = F.broadcast(spark.createDataFrame([(int(c), float(p)) for c, p in zip(code, post, strict=True)], "pattern int, posterior double"))
-    marked = looked.join(posterior, "pattern", "left")
+    counts = sorted((r["pattern"], r["n"]) for r in _patterns(docs).collect())  # at most 2^9 rows
+    code, number = np.array([c for c, _ in counts], dtype=np.int64), np.array([n for _, n in counts], dtype=np.float64)
+    *_, post = estimate(code[:, None] >> np.arange(len(VOTES)) & 1, number)
+    posterior = {int(c): float(p) for c, p in zip(code, post, strict=True)}
     share = int((1 << 30) * min(1.0, train_rows / max(number.sum(), 1)))
-    sample = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share).orderBy("doc_id", "text").toLocalIterator()
-    w = train((r["text"], _shape(r.asDict()), r["posterior"]) for r in sample)
-    return _scored(marked, w).select("doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "posterior", "pattern")
+    drawn = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share).select(F.coalesce("text", F.lit("")).alias("text")).orderBy("text").toLocalIterator()
+
+    def soft(text: str) -> tuple[str, list[float], float]:
+        f = facts(text)
+        return text, _shape(f), posterior.get(pattern(f), 0.5)
+
+    w = train(soft(r["text"]) for r in drawn)
+    return _scored(docs, posterior, w).select("doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "posterior", "pattern")
