@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
+from .distance import char_distance, long_word_distance
 
 
 def ratio4(num: Column, den: Column) -> Column:
@@ -22,8 +23,9 @@ def ratio4(num: Column, den: Column) -> Column:
     return (q + up.cast("long")) / F.lit(10_000.0)
 
 
-def char_distance(a: Column, b: Column) -> Column:
-    return F.when(a == b, F.lit(0)).otherwise(F.levenshtein(a, b))
+def round_at(x: Column, digits: int) -> Column:
+    """Rounded half up in plain double arithmetic, which every engine does alike; x is not negative."""
+    return F.floor(x * F.lit(10.0**digits) + 0.5) / F.lit(10.0**digits)
 
 
 def word_distance(a: Column, b: Column) -> Column:
@@ -69,7 +71,7 @@ def with_counts(pairs: DataFrame, predicted: str = "predicted", truth: str = "gr
         .withColumns({"p_words": T.words(c("p")), "g_words": T.words(c("g"))})
         .withColumns({
             "p_len": F.length("p"), "g_len": F.length("g"), "p_n": F.size("p_words"), "g_n": F.size("g_words"),
-            "char_dist": char_distance(c("p"), c("g")), "word_dist": word_distance(c("p_words"), c("g_words")),
+            "char_dist": char_distance(c("p"), c("g")), "word_dist": F.coalesce(long_word_distance(c("p"), c("g"), c("p_words"), c("g_words")), word_distance(c("p_words"), c("g_words"))),
             "char_shared": F.when(c("p") == c("g"), F.length("p")).otherwise(shared_chars(c("p"), c("g"))),
             "word_shared": F.when(c("p") == c("g"), F.size("p_words")).otherwise(shared_words(c("p"), c("g"))),
         })
@@ -89,7 +91,7 @@ def overall() -> Column:
     """Mean of the two clamped accuracies (unrounded) and the two F1 (rounded)."""
     c = F.col
     clamped = [1 - F.least(F.lit(1.0), c(d) / F.greatest(c(n), F.lit(1))) for d, n in (("char_dist", "g_len"), ("word_dist", "g_n"))]
-    return F.round((clamped[0] + clamped[1] + c("char_f1") + c("word_f1")) / 4, 4)
+    return round_at((clamped[0] + clamped[1] + c("char_f1") + c("word_f1")) / 4, 4)
 
 
 METRICS = ("cer", "wer", "ned", "char_precision", "char_recall", "char_f1", "word_precision", "word_recall", "word_f1", "overall_accuracy", "exact_match")

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..config import Settings
 from ..functions import geometry as G
 from ..functions import text as T
+from ..functions.metrics import round_at
 
 PAGE = ["doc_id", "page_idx"]
 
@@ -63,12 +64,12 @@ def folded_sum(order: str, value: str) -> Column:
 def page_score(detections: DataFrame, pages: DataFrame, key: list[str] = PAGE) -> DataFrame:
     """Sum of confidences of each page's detections; 0 for a page that has none."""
     sums = detections.groupBy(*key).agg(folded_sum("det_ord", "conf").alias("page_score"))
-    return pages.join(sums, key, "left").select(*pages.columns, F.round(F.coalesce("page_score", F.lit(0.0)), 6).alias("page_score"))
+    return pages.join(sums, key, "left").select(*pages.columns, round_at(F.coalesce("page_score", F.lit(0.0)), 6).alias("page_score"))
 
 
 def avg_confidence(detections: DataFrame, key: list[str] = PAGE) -> DataFrame:
     total = folded_sum("det_ord", "conf")
-    return detections.groupBy(*key).agg((total / F.count("*")).alias("a"), F.count("*").alias("n_lines")).select(*key, "n_lines", F.round("a", 4).alias("avg_confidence"))
+    return detections.groupBy(*key).agg((total / F.count("*")).alias("a"), F.count("*").alias("n_lines")).select(*key, "n_lines", round_at(F.col("a"), 4).alias("avg_confidence"))
 
 
 def median_height(s: Settings = Settings()) -> Column:

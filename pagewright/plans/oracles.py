@@ -83,7 +83,7 @@ SCORED = f"""{PASSES},
 good AS (SELECT * FROM scaled WHERE (x2 - x1) * (y2 - y1) >= 150 AND y2 - y1 >= 8 AND {strip('text')} <> ''),
 joined AS (SELECT doc_id, engine, engine_ord, variant, variant_ord, string_agg({strip('text')}, ' ' ORDER BY det_ord) AS t, list_sum(list(conf ORDER BY det_ord)) / count(*) AS conf FROM good GROUP BY ALL),
 cut AS (SELECT *, string_split(t, '') AS c FROM joined),
-scored AS (SELECT doc_id, engine, engine_ord, variant, variant_ord, round(sqrt(greatest(1, length(t))) * conf * CASE variant WHEN 'upscaled_2x' THEN 0.88::DOUBLE ELSE 1 END * CASE WHEN {RUN.format(c='c')} THEN 0.5::DOUBLE ELSE 1 END, 3) AS score FROM cut)"""
+scored AS (SELECT doc_id, engine, engine_ord, variant, variant_ord, floor((sqrt(greatest(1, length(t))) * conf * CASE variant WHEN 'upscaled_2x' THEN 0.88::DOUBLE ELSE 1 END * CASE WHEN {RUN.format(c='c')} THEN 0.5::DOUBLE ELSE 1 END) * 1e3 + 0.5) / 1e3 AS score FROM cut)"""
 BEST = "best AS (SELECT doc_id, variant, engine, score, n_passes FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, variant_ord, engine_ord) AS rn, count(*) OVER (PARTITION BY doc_id) AS n_passes FROM {t}) WHERE rn = 1)"
 MEDIAN = "CASE WHEN count(*) < 3 THEN 15::DOUBLE ELSE coalesce(quantile_cont(CASE WHEN y2 > y1 THEN CAST(y2 - y1 AS DOUBLE) END, 0.5), 15::DOUBLE) END"
 COLUMNS = """centred AS (SELECT *, x1 + (x2 - x1) / 2 AS cx FROM kept),
@@ -162,12 +162,12 @@ SELECT doc_id, CASE WHEN side > 640 THEN greatest(1, CAST(trunc(width * (640 / s
     "rescale_boxes": f"WITH {PASSES} SELECT doc_id, engine, variant, det_ord, x1, y1, x2, y2 FROM scaled",
     "filter_detections": f"WITH {KEPT} SELECT doc_id, det_ord, conf, x1, y1, x2, y2 FROM kept",
     "parse_engine_output": "SELECT * FROM (VALUES (1, 1, 'one line', 0.9::DOUBLE, 0, 0, 40, 20), (1, 2, 'two', 0.8::DOUBLE, 0, 30, 40, 50), (2, 1, 'a', 0.5::DOUBLE, 0, 0, 40, 20), (3, 1, 'legacy', 0.75::DOUBLE, 0, 0, 40, 20), (3, 3, 'more', 0.5::DOUBLE, 5, 5, 60, 30)) AS t(id, det_ord, text, conf, x1, y1, x2, y2)",
-    "page_score": f"WITH {KEPT} SELECT d.doc_id, 0 AS page_idx, round(coalesce(list_sum(list(conf ORDER BY det_ord) FILTER (conf IS NOT NULL)), 0::DOUBLE), 6) AS page_score FROM documents d LEFT JOIN kept ON kept.doc_id = d.doc_id WHERE d.text IS NOT NULL GROUP BY d.doc_id",
-    "avg_confidence": f"WITH {KEPT} SELECT doc_id, 0 AS page_idx, count(*) AS n_lines, round(list_sum(list(conf ORDER BY det_ord)) / count(*), 4) AS avg_confidence FROM kept GROUP BY doc_id",
+    "page_score": f"WITH {KEPT} SELECT d.doc_id, 0 AS page_idx, floor((coalesce(list_sum(list(conf ORDER BY det_ord) FILTER (conf IS NOT NULL)), 0::DOUBLE)) * 1e6 + 0.5) / 1e6 AS page_score FROM documents d LEFT JOIN kept ON kept.doc_id = d.doc_id WHERE d.text IS NOT NULL GROUP BY d.doc_id",
+    "avg_confidence": f"WITH {KEPT} SELECT doc_id, 0 AS page_idx, count(*) AS n_lines, floor((list_sum(list(conf ORDER BY det_ord)) / count(*)) * 1e4 + 0.5) / 1e4 AS avg_confidence FROM kept GROUP BY doc_id",
     "median_box_height": f"WITH {KEPT} SELECT doc_id, 0 AS page_idx, {MEDIAN} AS median_height FROM kept GROUP BY doc_id",
     "vertical_overlap": f"""WITH {KEPT}, n AS (SELECT *, lead(y1) OVER w AS b1, lead(y2) OVER w AS b2 FROM kept WINDOW w AS (PARTITION BY doc_id ORDER BY y1, det_ord)),
 o AS (SELECT doc_id, CASE WHEN b1 IS NOT NULL AND least(y2 - y1, b2 - b1) > 0 AND (least(y2, b2) - greatest(y1, b1)) / least(y2 - y1, b2 - b1) > 0.30::DOUBLE THEN 1 ELSE 0 END AS over FROM n)
-SELECT doc_id, count(*) AS n_lines, CAST(sum(over) AS BIGINT) AS n_overlaps, round(sum(over) / (count(*) - 1), 6) AS overlap_ratio FROM o GROUP BY doc_id HAVING count(*) > 1""",
+SELECT doc_id, count(*) AS n_lines, CAST(sum(over) AS BIGINT) AS n_overlaps, floor((sum(over) / (count(*) - 1)) * 1e6 + 0.5) / 1e6 AS overlap_ratio FROM o GROUP BY doc_id HAVING count(*) > 1""",
     "reading_order_ltr": f"WITH {KEPT} SELECT doc_id, det_ord, row_number() OVER (PARTITION BY doc_id ORDER BY (y1 + y2) / 2, x1, det_ord) AS read_ord FROM kept",
     "detect_columns": f"WITH {KEPT}, {COLUMNS} SELECT doc_id, n_lines, page_width, max_gap, split_x FROM cols",
     "line_bands": f"WITH RECURSIVE {KEPT}, {BANDS} SELECT doc_id, det_ord, col, band FROM r",
@@ -178,7 +178,7 @@ SELECT doc_id, count(*) AS n_lines, CAST(sum(over) AS BIGINT) AS n_overlaps, rou
     "score_pass_latin": f"WITH {SCORED} SELECT doc_id, engine, variant, score FROM scored",
     "score_pass_arabic": f"""WITH {CASES}, f AS (SELECT case_id, s, string_split(s, '') AS c, length(s) AS n, CASE WHEN s = '' THEN 0 ELSE {count('s', AR)} / length(s) END AS ratio, CASE WHEN s = '' THEN 0 ELSE {count('s', MARK)} / length(s) END AS marks,
   len(list_filter({words(collapse('s'))}, lambda w: {count('w', BASE)} >= 2)) AS tokens FROM cases)
-SELECT case_id, CASE WHEN s = '' THEN 0::DOUBLE ELSE round(sqrt(greatest(1, tokens * 4.5::DOUBLE)) * 0.5 * CASE WHEN marks > 0.40 THEN 0.3::DOUBLE ELSE 1 END * CASE WHEN 1 - ratio > 0.35 THEN CASE WHEN ratio < 0.10 THEN 0.2::DOUBLE ELSE 1 END WHEN ratio < 0.30 THEN 0.2::DOUBLE WHEN ratio < 0.50 THEN 0.5::DOUBLE ELSE 1 END * CASE WHEN {RUN.format(c='c')} THEN 0.5::DOUBLE ELSE 1 END, 6) END AS score FROM f""",
+SELECT case_id, CASE WHEN s = '' THEN 0::DOUBLE ELSE floor((sqrt(greatest(1, tokens * 4.5::DOUBLE)) * 0.5 * CASE WHEN marks > 0.40 THEN 0.3::DOUBLE ELSE 1 END * CASE WHEN 1 - ratio > 0.35 THEN CASE WHEN ratio < 0.10 THEN 0.2::DOUBLE ELSE 1 END WHEN ratio < 0.30 THEN 0.2::DOUBLE WHEN ratio < 0.50 THEN 0.5::DOUBLE ELSE 1 END * CASE WHEN {RUN.format(c='c')} THEN 0.5::DOUBLE ELSE 1 END) * 1e6 + 0.5) / 1e6 END AS score FROM f""",
     "select_best_pass": f"WITH {SCORED}, {BEST.format(t='scored')} SELECT doc_id, variant, engine, score, n_passes FROM best",
     "replace_margin": f"""WITH {SCORED}, three AS (SELECT * FROM scored WHERE engine = 'v3'), five AS (SELECT * FROM scored WHERE engine = 'v5'), {BEST.format(t='three')}, {BEST.format(t='five').replace('best AS', 'alt AS')}
 SELECT b.doc_id, CASE WHEN a.score > b.score * 1.03::DOUBLE THEN a.variant ELSE b.variant END AS variant, CASE WHEN a.score > b.score * 1.03::DOUBLE THEN a.engine ELSE b.engine END AS engine, CASE WHEN a.score > b.score * 1.03::DOUBLE THEN a.score ELSE b.score END AS score, coalesce(a.score > b.score * 1.03::DOUBLE, FALSE) AS replaced FROM best b LEFT JOIN alt a USING (doc_id)""",
@@ -190,12 +190,12 @@ w AS (SELECT doc_id, concat_ws('|', CASE WHEN n < 4 THEN 'low_line_count<4' END,
   CASE WHEN {RUN.format(c='c')} THEN 'repeated_char_pattern' END, CASE WHEN h < 16 THEN printf('low_median_box_height<16px(got %.1fpx)', h) END, CASE WHEN n >= 4 AND over / (n - 1) > 0.20::DOUBLE THEN 'bbox_vertical_overlap_fragmentation(' || over || '/' || (n - 1) || 'pairs)' END) AS reasons FROM g)
 SELECT d.doc_id, coalesce(reasons, 'empty_primary_result') AS reasons, coalesce(reasons, 'x') <> '' AS triggered FROM documents d LEFT JOIN w USING (doc_id) WHERE d.text IS NOT NULL""",
     "language_vote": f"""WITH {KEPT}, l(language, lang_ord) AS (VALUES ('en', 0), ('ar', 1), ('hi', 2)),
-s AS (SELECT doc_id, lang_ord, round(list_sum(list(conf ORDER BY det_ord)), 6) AS score FROM kept, l WHERE conf > 0.3::DOUBLE AND (det_ord + doc_id) % 3 <> lang_ord GROUP BY ALL),
+s AS (SELECT doc_id, lang_ord, floor((list_sum(list(conf ORDER BY det_ord))) * 1e6 + 0.5) / 1e6 AS score FROM kept, l WHERE conf > 0.3::DOUBLE AND (det_ord + doc_id) % 3 <> lang_ord GROUP BY ALL),
 a AS (SELECT d.doc_id, language, l.lang_ord, coalesce(score, 0::DOUBLE) AS score FROM documents d CROSS JOIN l LEFT JOIN s ON s.doc_id = d.doc_id AND s.lang_ord = l.lang_ord WHERE d.text IS NOT NULL)
 SELECT doc_id, language, score AS page_score FROM a QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, lang_ord) = 1""",
-    "arabic_ratio": f"WITH {CASES} SELECT case_id, CASE WHEN s = '' THEN 0::DOUBLE ELSE round({count('s', AR)} / length(s), 6) END AS value FROM cases",
+    "arabic_ratio": f"WITH {CASES} SELECT case_id, CASE WHEN s = '' THEN 0::DOUBLE ELSE floor(({count('s', AR)} / length(s)) * 1e6 + 0.5) / 1e6 END AS value FROM cases",
     "arabic_word_tokens": f"WITH {CASES} SELECT case_id, CAST(len(list_filter({words(collapse('s'))}, lambda w: {count('w', BASE)} >= 2)) AS INTEGER) AS value FROM cases",
-    "diacritic_density": f"WITH {CASES} SELECT case_id, CASE WHEN s = '' THEN 0::DOUBLE ELSE round({count('s', MARK)} / length(s), 6) END AS value FROM cases",
+    "diacritic_density": f"WITH {CASES} SELECT case_id, CASE WHEN s = '' THEN 0::DOUBLE ELSE floor(({count('s', MARK)} / length(s)) * 1e6 + 0.5) / 1e6 END AS value FROM cases",
     "arabic_doc_type": f"WITH {CASES}, d AS (SELECT case_id, CASE WHEN s = '' THEN 0 ELSE {count('s', MARK)} / length(s) END AS v FROM cases) SELECT case_id, CASE WHEN v > 0.15 THEN 'quranic_or_classical' WHEN v > 0.05 THEN 'partially_diacritized' ELSE 'modern_printed' END AS value FROM d",
     "repeated_run": f"WITH {CASES}, d AS (SELECT case_id, string_split(s, '') AS c FROM cases) SELECT case_id, {RUN.format(c='c')} AS value FROM d",
     "strip_invisible": f"WITH {CASES} SELECT case_id, regexp_replace(s, '[\\x{{200B}}-\\x{{200F}}\\x{{FEFF}}]', '', 'g') AS value FROM cases",

@@ -176,7 +176,7 @@ def median_box_height(spark, sf):
 
 @query
 def vertical_overlap(spark, sf):
-    return D.vertical_overlap(_found(spark, sf)).select("doc_id", "n_lines", "n_overlaps", F.round("overlap_ratio", 6).alias("overlap_ratio"))
+    return D.vertical_overlap(_found(spark, sf)).select("doc_id", "n_lines", "n_overlaps", M.round_at(F.col("overlap_ratio"), 6).alias("overlap_ratio"))
 
 
 # Layout
@@ -227,17 +227,17 @@ def _scored(spark, sf, language="en"):
 
 @query
 def score_pass_latin(spark, sf):
-    return _scored(spark, sf).select("doc_id", "engine", "variant", F.round("score", 3).alias("score"))
+    return _scored(spark, sf).select("doc_id", "engine", "variant", M.round_at(F.col("score"), 3).alias("score"))
 
 
 @query
 def score_pass_arabic(spark, sf):
     rows = X.frame(spark, X.UNICODE, "case_id string, s string").select("case_id", F.col("s").alias("page_text"), F.lit(0.5).alias("mean_conf"), F.lit(20.0).alias("median_height"))
-    return rows.select("case_id", F.round(S.score_column(F.lit("ar"), F.lit("original")), 6).alias("score"))
+    return rows.select("case_id", M.round_at(S.score_column(F.lit("ar"), F.lit("original")), 6).alias("score"))
 
 
 def _ranked(spark, sf):
-    return _scored(spark, sf).withColumn("score", F.round("score", 3))
+    return _scored(spark, sf).withColumn("score", M.round_at(F.col("score"), 3))
 
 
 @query
@@ -282,7 +282,7 @@ def _over_cases(name: str, make: Callable) -> None:
 
 
 for _name, _make in {
-    "arabic_ratio": lambda s: F.round(T.arabic_ratio(s), 6), "arabic_word_tokens": T.arabic_word_tokens, "diacritic_density": lambda s: F.round(T.diacritic_density(s), 6),
+    "arabic_ratio": lambda s: M.round_at(T.arabic_ratio(s), 6), "arabic_word_tokens": T.arabic_word_tokens, "diacritic_density": lambda s: M.round_at(T.diacritic_density(s), 6),
     "arabic_doc_type": T.doc_type, "repeated_run": T.repeated_run, "strip_invisible": T.strip_invisible, "strip_kashida": T.strip_kashida, "dedup_diacritics": T.dedup_diacritics,
     "arabic_punct": T.arabic_punct, "fold_alef": T.fold_alef, "filter_isolated": T.filter_isolated, "nfkc": T.nfkc, "arabic_correct": T.arabic_correct,
 }.items():
