@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 #: Product of lengths from which a pair counts as long.
-LONG = 250_000
+LONG = 100_000
 
 
 def bit_distance(a, b) -> int:

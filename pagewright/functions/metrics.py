@@ -44,7 +44,7 @@ def shared_chars(a: Column, b: Column) -> Column:
     def times(s: Column, c: Column) -> Column:
         return F.length(s) - F.length(F.replace(s, c, F.lit("")))
 
-    return F.aggregate(F.array_distinct(T.chars(a)), F.lit(0), lambda n, c: n + F.least(times(a, c), times(b, c)))
+    return T.let(F.struct(a.alias("a"), b.alias("b")), lambda p: F.aggregate(F.array_distinct(T.chars(p["a"])), F.lit(0), lambda n, c: n + F.least(times(p["a"], c), times(p["b"], c))))
 
 
 def shared_words(a: Column, b: Column) -> Column:
@@ -66,16 +66,16 @@ def shared_words(a: Column, b: Column) -> Column:
 def with_counts(pairs: DataFrame, predicted: str = "predicted", truth: str = "ground_truth") -> DataFrame:
     """Adds the normalised texts p and g and the integers that all metrics come from."""
     c = F.col
-    return (
-        pairs.withColumns({"p": T.normalize(c(predicted)), "g": T.normalize(c(truth))})
-        .withColumns({"p_words": T.words(c("p")), "g_words": T.words(c("g"))})
-        .withColumns({
-            "p_len": F.length("p"), "g_len": F.length("g"), "p_n": F.size("p_words"), "g_n": F.size("g_words"),
-            "char_dist": char_distance(c("p"), c("g")), "word_dist": F.coalesce(long_word_distance(c("p"), c("g"), c("p_words"), c("g_words")), word_distance(c("p_words"), c("g_words"))),
-            "char_shared": F.when(c("p") == c("g"), F.length("p")).otherwise(shared_chars(c("p"), c("g"))),
-            "word_shared": F.when(c("p") == c("g"), F.size("p_words")).otherwise(shared_words(c("p"), c("g"))),
-        })
-    )
+    p, g = T.normalize(c(predicted)), T.normalize(c(truth))
+    # exploding an array of one row works the texts out once; the optimiser would else repeat them in each expression below
+    once = pairs.withColumn("_n", F.explode(F.array(F.struct(p.alias("p"), g.alias("g"))))).select(*pairs.columns, "_n.p", "_n.g")
+    once = once.withColumn("_w", F.explode(F.array(F.struct(T.words(c("p")).alias("p"), T.words(c("g")).alias("g"))))).select(*pairs.columns, "p", "g", c("_w.p").alias("p_words"), c("_w.g").alias("g_words"))
+    return once.withColumns({
+        "p_len": F.length("p"), "g_len": F.length("g"), "p_n": F.size("p_words"), "g_n": F.size("g_words"),
+        "char_dist": char_distance(c("p"), c("g")), "word_dist": F.coalesce(long_word_distance(c("p"), c("g"), c("p_words"), c("g_words")), word_distance(c("p_words"), c("g_words"))),
+        "char_shared": F.when(c("p") == c("g"), F.length("p")).otherwise(shared_chars(c("p"), c("g"))),
+        "word_shared": F.when(c("p") == c("g"), F.size("p_words")).otherwise(shared_words(c("p"), c("g"))),
+    })
 
 
 def share(num: Column, den: Column) -> Column:

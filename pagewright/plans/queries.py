@@ -336,8 +336,7 @@ KEY = ("doc_id", "line_no", "model")
 
 @query
 def edit_distance(spark, sf):
-    p = X.pairs(spark, sf).where(E.ok()).withColumns({"p": T.normalize(F.col("predicted")), "g": T.normalize(F.col("ground_truth"))})
-    return p.select(*KEY, M.char_distance(F.col("p"), F.col("g")).alias("distance"))
+    return _counted(spark, sf).select(*KEY, F.col("char_dist").alias("distance"))
 
 
 @query
