@@ -85,6 +85,9 @@ joined AS (SELECT doc_id, engine, engine_ord, variant, variant_ord, string_agg({
 cut AS (SELECT *, string_split(t, '') AS c FROM joined),
 scored AS (SELECT doc_id, engine, engine_ord, variant, variant_ord, floor((sqrt(greatest(1, length(t))) * conf * CASE variant WHEN 'upscaled_2x' THEN 0.88::DOUBLE ELSE 1 END * CASE WHEN {RUN.format(c='c')} THEN 0.5::DOUBLE ELSE 1 END) * 1e3 + 0.5) / 1e3 AS score FROM cut)"""
 BEST = "best AS (SELECT doc_id, variant, engine, score, n_passes FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, variant_ord, engine_ord) AS rn, count(*) OVER (PARTITION BY doc_id) AS n_passes FROM {t}) WHERE rn = 1)"
+#: As the pipeline has it: noise is dropped at the engine's scale, before boxes are rescaled, and scores are not rounded.
+_NOISE = f"(x2 - x1) * (y2 - y1) >= 150 AND y2 - y1 >= 8 AND {strip('text')} <> ''"
+RAW = SCORED.replace("AS y2 FROM passes)", f"AS y2 FROM (SELECT * FROM passes WHERE {_NOISE}))").replace(f"FROM scaled WHERE {_NOISE}", "FROM scaled").replace("floor((", "((").replace(") * 1e3 + 0.5) / 1e3 AS score", ")) AS score")
 MEDIAN = "CASE WHEN count(*) < 3 THEN 15::DOUBLE ELSE coalesce(quantile_cont(CASE WHEN y2 > y1 THEN CAST(y2 - y1 AS DOUBLE) END, 0.5), 15::DOUBLE) END"
 COLUMNS = """centred AS (SELECT *, x1 + (x2 - x1) / 2 AS cx FROM kept),
 stepped AS (SELECT *, row_number() OVER w AS place_no, lag(cx) OVER w AS before FROM centred WINDOW w AS (PARTITION BY doc_id ORDER BY cx, det_ord)),
@@ -182,6 +185,8 @@ SELECT case_id, CASE WHEN s = '' THEN 0::DOUBLE ELSE floor((sqrt(greatest(1, tok
     "select_best_pass": f"WITH {SCORED}, {BEST.format(t='scored')} SELECT doc_id, variant, engine, score, n_passes FROM best",
     "replace_margin": f"""WITH {SCORED}, three AS (SELECT * FROM scored WHERE engine = 'v3'), five AS (SELECT * FROM scored WHERE engine = 'v5'), {BEST.format(t='three')}, {BEST.format(t='five').replace('best AS', 'alt AS')}
 SELECT b.doc_id, CASE WHEN a.score > b.score * 1.03::DOUBLE THEN a.variant ELSE b.variant END AS variant, CASE WHEN a.score > b.score * 1.03::DOUBLE THEN a.engine ELSE b.engine END AS engine, CASE WHEN a.score > b.score * 1.03::DOUBLE THEN a.score ELSE b.score END AS score, coalesce(a.score > b.score * 1.03::DOUBLE, FALSE) AS replaced FROM best b LEFT JOIN alt a USING (doc_id)""",
+    "recognised_documents": f"""WITH {RAW}, five AS (SELECT * FROM scored WHERE engine = 'v5'), {BEST.format(t='five')}, l AS (SELECT g.* FROM good g JOIN best b USING (doc_id, variant, engine))
+SELECT doc_id, string_agg(text, chr(10) ORDER BY (y1 + y2) / 2, x1, det_ord) AS doc_text, count(*) AS n_lines, floor((list_sum(list(conf ORDER BY det_ord)) / count(*)) * 1e4 + 0.5) / 1e4 AS avg_confidence, 1::BIGINT AS n_pages FROM l GROUP BY doc_id""",
     "fallback_reasons": f"""WITH {KEPT}, n AS (SELECT *, lead(y1) OVER w AS b1, lead(y2) OVER w AS b2 FROM kept WINDOW w AS (PARTITION BY doc_id ORDER BY y1, det_ord)),
 f AS (SELECT doc_id, count(*) AS n, string_agg({strip('text')}, ' ' ORDER BY det_ord) AS t, list_sum(list(conf ORDER BY det_ord)) / count(*) AS conf, {MEDIAN} AS h,
   CAST(sum(CASE WHEN b1 IS NOT NULL AND least(y2 - y1, b2 - b1) > 0 AND (least(y2, b2) - greatest(y1, b1)) / least(y2 - y1, b2 - b1) > 0.30::DOUBLE THEN 1 ELSE 0 END) AS BIGINT) AS over FROM n GROUP BY doc_id),

@@ -7,28 +7,75 @@ from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions import text as T
+from ..functions.metrics import round_at
 from ..operators import evaluation as E
 from ..operators import layout as L
 from ..operators import scoring as S
 from ..operators.detections import PAGE, avg_confidence, filter_detections, rescale
 
 
-def recognised_documents(passes: DataFrame, language: str, s: Settings = Settings()) -> DataFrame:
-    """From passes (with their scale) to documents: filter, rescale, score, pick a pass, order, correct, assemble.
+def chosen_passes(passes: DataFrame, language: str, alternate: bool = False, s: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
+    """The kept lines of all passes, and for each page which pass won.
 
-    Returns doc_id, doc_text, n_lines, avg_confidence, and for Arabic the kind of document.
+    The first engine's best pass is the primary; with ``alternate`` the best pass of the other engines takes its place if it
+    scores more than the margin above it.
     """
     kept = rescale(filter_detections(passes, s)) if "scale" in passes.columns else filter_detections(passes, s)
-    best = S.select_best_pass(S.score_passes(kept, language, s=s))
-    chosen = kept.join(best.select(*PAGE, "variant", "engine"), [*PAGE, "variant", "engine"])
-    chosen = chosen.select(*PAGE, "det_ord", "text", "conf", "x1", "y1", "x2", "y2")
-    if language == "ar":
-        chosen = chosen.withColumn("text", T.arabic_correct(F.col("text"), s.fold_alef, s.filter_isolated))
-    ordered = L.reading_order(chosen, language, s=s)
-    texts = L.assemble_documents(L.assemble_pages(ordered))
-    conf = avg_confidence(chosen, ["doc_id"])
-    out = texts.join(conf, "doc_id")
-    return out.withColumn("doc_type", T.doc_type(F.col("doc_text"))) if language == "ar" else out
+    scored = S.score_passes(kept, language, s=s)
+    primary = S.select_best_pass(scored.where("engine_ord = 0"))
+    if not alternate:
+        return kept, primary.select(*PAGE, "variant", "engine", "score", F.lit(False).alias("replaced"), F.col("score").alias("primary_score"), F.lit(None).cast("double").alias("alt_score"), "n_passes")
+    other = S.select_best_pass(scored.where("engine_ord > 0"))
+    won = S.replace_with_margin(primary, other, s=s).join(primary.select(*PAGE, F.col("score").alias("primary_score"), "n_passes"), PAGE)
+    alt = other.select(*PAGE, F.col("score").alias("alt_score"), F.col("n_passes").alias("alt_passes"))
+    return kept, won.join(alt, PAGE, "left").withColumn("n_passes", F.col("n_passes") + F.coalesce("alt_passes", F.lit(0))).drop("alt_passes")
+
+
+def page_lines(kept: DataFrame, won: DataFrame, language: str, s: Settings = Settings()) -> DataFrame:
+    """Lines of the winning passes with raw and corrected text, in reading order; lines that correction empties are gone."""
+    lines = kept.join(won.select(*PAGE, "variant", "engine"), [*PAGE, "variant", "engine"]).select(*PAGE, "det_ord", "text", "conf", "x1", "y1", "x2", "y2")
+    corrected = T.arabic_correct(F.col("text"), s.fold_alef, s.filter_isolated) if language == "ar" else F.col("text")
+    return L.reading_order(lines.withColumn("text_corrected", corrected).where("text_corrected <> ''"), language, s=s)
+
+
+def recognised_documents(passes: DataFrame, language: str, alternate: bool = False, s: Settings = Settings()) -> DataFrame:
+    """doc_id, doc_text, raw_text, n_lines, avg_confidence, n_pages, and for Arabic doc_type and diacritic_density."""
+    lines = page_lines(*chosen_passes(passes, language, alternate, s), language, s)
+    texts = L.assemble_documents(L.assemble_pages(lines, text="text_corrected"))
+    raw = L.assemble_documents(L.assemble_pages(lines)).withColumnRenamed("doc_text", "raw_text")
+    facts = avg_confidence(lines, ["doc_id"]).join(lines.groupBy("doc_id").agg(F.countDistinct("page_idx").alias("n_pages")), "doc_id")
+    out = texts.join(raw, "doc_id").join(facts, "doc_id")
+    if language != "ar":
+        return out
+    return out.withColumns({"doc_type": T.doc_type(F.col("doc_text")), "diacritic_density": round_at(T.diacritic_density(F.col("doc_text")), 4)})
+
+
+def page_diagnostics(passes: DataFrame, pages: DataFrame, language: str, alternate: bool = False, mode: str = "fallback_enabled_with_dual_output", s: Settings = Settings()) -> DataFrame:
+    """Per page which pass won, both scores, how the engines were compared, and the reasons for a second one.
+
+    The reasons are told and not acted on. In the other mode, always_compare_v5_v3, there are none.
+    """
+    kept, won = chosen_passes(passes, language, alternate, s)
+    first = S.select_best_pass(S.score_passes(kept.where("engine_ord = 0"), language, s=s))
+    primary = kept.join(first.select(*PAGE, "variant", "engine"), [*PAGE, "variant", "engine"])
+    reasons = S.fallback_reasons(primary, pages, s=s)
+    told = F.lit(alternate and mode == "fallback_enabled_with_dual_output")
+    return reasons.join(won, PAGE, "left").select(
+        *PAGE, F.col("variant").alias("selected_variant"), F.col("engine").alias("selected_engine"), round_at(F.col("primary_score"), 3).alias("primary_best_score"), round_at(F.col("alt_score"), 3).alias("alt_best_score"),
+        F.lit(mode if alternate else "primary_only").alias("comparison_mode"), (told & F.col("triggered")).alias("fallback_triggered"), F.when(told, F.array_join("reasons", "|")).otherwise("").alias("fallback_reasons"), F.coalesce("n_passes", F.lit(0)).alias("n_passes"),
+    )
+
+
+def metadata(documents: DataFrame, language: str, s: Settings = Settings()) -> DataFrame:
+    """doc_id and metadata as JSON; keys that don't apply are left out."""
+    c, arabic = F.col, language == "ar"
+    parts = [c("n_pages").alias("page_count"), F.lit(s.max_accuracy and language != "all").alias("max_accuracy_mode"), c("raw_text").alias("raw_text_before_correction")]
+    if language == "all":
+        parts.append(F.lit("best_single_language_engine_per_page").alias("best_effort_language_mode"))
+    if arabic:
+        parts.append(F.struct(F.lit(s.fold_alef).alias("normalize_alef"), F.lit(False).alias("normalize_bidi"), F.lit(s.filter_isolated).alias("filter_isolated_letters"), F.lit(s.mixed_page_ratio).alias("mixed_page_ratio_threshold")).alias("arabic_pipeline"))
+        parts += [F.when(c("doc_text") != "", c("doc_type")).alias("arabic_doc_type"), F.when(c("doc_text") != "", c("diacritic_density")).alias("arabic_diacritic_density")]
+    return documents.select("doc_id", F.to_json(F.struct(*parts)).alias("metadata"))
 
 
 def batch(files: DataFrame, truths: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:

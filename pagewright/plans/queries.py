@@ -267,7 +267,17 @@ def language_vote(spark, sf):
 
 @query
 def recognised_documents(spark, sf):
-    return P.recognised_documents(X.passes(spark, sf), "en")
+    return P.recognised_documents(X.passes(spark, sf), "en").drop("raw_text")
+
+
+@query
+def page_diagnostics(spark, sf):
+    return P.page_diagnostics(X.passes(spark, sf), X.pages(spark, sf), "en", alternate=True).drop("page_idx")
+
+
+@query
+def document_metadata(spark, sf):
+    return P.metadata(P.recognised_documents(X.passes(spark, sf), "ar", alternate=True), "ar")
 
 
 # Text
