@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch
+from .common import Scratch, arrow_map
 
 VECTORS_A_CHUNK, QUERIES_A_CHUNK = 4096, 1024
 
@@ -124,7 +124,7 @@ def _lists(rows: DataFrame, graph: CentroidGraph, norm2: float, beam: int, ratio
                 at, place = np.nonzero(keep)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), part.column(1).take(pa.array(at)), pa.array(ids[at, place].astype(np.int32))], ["vec_id", "embedding", "list"])
 
-    return rows.mapInArrow(run, "vec_id long, embedding array<double>, list int")
+    return arrow_map(rows, run, "vec_id long, embedding array<double>, list int")
 
 
 def _search(postings: DataFrame, asked: DataFrame, k: int) -> DataFrame:

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import arrow_map
+
 #: Distinct pre-tokens that a worker remembers; beyond it starts anew.
 REMEMBERED = 200_000
 _CODECS: dict = {}
@@ -138,7 +140,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
             ids = own.encode([t or "" for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -150,7 +152,7 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
             out = [own.decode(ids.as_py() or []) for ids in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "bytes"])
 
-    return encoded.select(F.col("doc_id").cast("long"), "ids").mapInArrow(run, "doc_id long, bytes binary")
+    return arrow_map(encoded.select(F.col("doc_id").cast("long"), "ids"), run, "doc_id long, bytes binary")
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -167,4 +169,4 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                 of_bytes.append(hashlib.sha256(own.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

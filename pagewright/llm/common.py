@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 
-import numpy as np
-import pandas as pd
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 _OPEN: list["Scratch"] = []
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +72,32 @@ def _close_all() -> None:
             return
 
 
+def arrow_map(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """df.mapInArrow(step, schema) with small batches, as texts may be long, whose memory goes back when the task ends.
+
+    The batch size is the session's own setting and is lowered for good: the plan may run long after this call.
+    """
+    df.sparkSession.conf.set(_BATCH, BATCH_BYTES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from step(batches)
+        finally:
+            release_memory()
+
+    return df.mapInArrow(run, schema)
+
+
+def release_memory() -> None:
+    """Gives freed memory back to the system; idle Python workers would keep it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not this C library
+        pass
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -96,28 +128,26 @@ def crc_mod(column: str, n: int) -> Column:
 BITMAP_BITS = 1 << 25
 
 
-def membership(keys: DataFrame, *columns: str) -> Column:
-    """A column that is true for every row whose key is in keys, and for few others: a bitmap of fixed size, tested before any shuffle."""
-    slot = F.pmod(F.xxhash64(*columns), F.lit(BITMAP_BITS)) + 1
-    parts = keys.select(slot.alias("b")).groupBy(F.bitmap_bucket_number("b").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("bits")).collect()
-    bits = np.zeros(BITMAP_BITS // 8, dtype=np.uint8)
-    for r in parts:  # bucket k, from 1, has the 32768 slots up to k * 32768, 4096 bytes
-        bits[(r["part"] - 1) * 4096 : r["part"] * 4096] |= np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
+def marked(df: DataFrame, keys: DataFrame, *columns: str) -> DataFrame:
+    """Adds _maybe: true for every row whose key is in keys, and for few others.
 
-    @F.pandas_udf("boolean")
-    def test(b: pd.Series) -> pd.Series:
-        b = b.to_numpy() - 1
-        return pd.Series((bits[b >> 3] >> (b & 7).astype(np.uint8)) & 1 == 1)
-
-    return test(slot)
+    The keys' hashes become a bitmap, 1024 rows of 4 KB at most, so it is safe to broadcast; it is tested before any shuffle.
+    """
+    slot = F.pmod(F.xxhash64(*columns), F.lit(BITMAP_BITS)) + 1
+    bits = keys.select(slot.alias("b")).groupBy(F.bitmap_bucket_number("b").alias("_part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("_bits"))
+    place = F.bitmap_bit_position(slot)
+    byte = F.conv(F.hex(F.substring("_bits", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    met = df.withColumn("_part", F.bitmap_bucket_number(slot)).join(F.broadcast(bits), "_part", "left")
+    return met.select(*df.columns, F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False)).alias("_maybe"))
 
 
 def maybe_in(df: DataFrame, keys: DataFrame, *columns: str) -> DataFrame:
     """Rows of df whose key may be in keys; none whose key is in keys is lost."""
-    return df.where(membership(keys, *columns))
+    return marked(df, keys, *columns).where("_maybe").drop("_maybe")
 
 
 def without(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
     """Rows of df whose key is not in keys. Only rows that may be in keys are shuffled."""
-    found = membership(keys, column)
-    return df.where(~found).unionByName(df.where(found).join(keys.select(column), column, "left_anti").select(*df.columns))
+    found = marked(df, keys, column)
+    rest = found.where("_maybe").drop("_maybe").join(keys.select(column), column, "left_anti").select(*df.columns)
+    return found.where("not _maybe").drop("_maybe").unionByName(rest)

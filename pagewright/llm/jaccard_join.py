@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, maybe_in, shuffle_partitions
+from .common import Scratch, arrow_map, maybe_in, shuffle_partitions
 from .components import connected_components
 
 N = 5
@@ -154,7 +154,7 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
             if ids:
                 yield pack(ids, grams)
 
-    return docs.mapInArrow(run, SIGNATURES)
+    return arrow_map(docs, run, SIGNATURES)
 
 
 def least_matches(n: int, threshold: float, tolerance: float) -> int:
@@ -234,7 +234,7 @@ def candidate_forest(members: DataFrame, threshold: float, tolerance: float) ->
             moved = np.flatnonzero(root != np.arange(len(ids)))
             yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[root[moved]])], ["a", "b"])
 
-    return members.mapInArrow(run, "a long, b long")
+    return arrow_map(members, run, "a long, b long")
 
 
 def _gram_table(docs: DataFrame, n: int) -> DataFrame:
@@ -250,7 +250,7 @@ def _gram_table(docs: DataFrame, n: int) -> DataFrame:
                     ids, sets, size = [], [], 0
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["id", "grams"])
 
-    return docs.mapInArrow(run, "id long, grams binary")
+    return arrow_map(docs, run, "id long, grams binary")
 
 
 def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -301,7 +301,7 @@ def verified(members: DataFrame, threshold: float) -> DataFrame:
                 low.append(all_ids[s:e][root])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (ids, links, low)], ["id", "links", "low"])
 
-    return members.mapInArrow(run, "id long, links long, low long")
+    return arrow_map(members, run, "id long, links long, low long")
 
 
 def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, scratch: Scratch | None = None) -> DataFrame:

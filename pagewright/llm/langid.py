@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod
+from .common import arrow_map, crc_mod
 
 FEATURES = 1 << 15
 SLICE = 1 << 10
@@ -65,7 +65,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array([[n]] + df.reshape(-1, SLICE).tolist(), pa.list_(pa.int64()))], ["slice", "counts"])
 
     # 32 rows for each task, added up by slice
-    parts = docs.select("text").mapInArrow(run, "slice int, counts array<long>").select("slice", F.posexplode("counts").alias("at", "n"))
+    parts = arrow_map(docs.select("text"), run, "slice int, counts array<long>").select("slice", F.posexplode("counts").alias("at", "n"))
     sums = parts.groupBy("slice", "at").agg(F.sum("n").alias("n")).groupBy("slice").agg(F.sort_array(F.collect_list(F.struct("at", "n"))).alias("c")).collect()
     df, n = np.zeros(FEATURES, dtype=np.int64), 0
     for r in sums:
@@ -127,7 +127,7 @@ def train(docs: DataFrame, folds: int, held: int, train_rows: int) -> dict:
                 share_of.append((c / max(c.sum(), 1)).astype(np.float32))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(at, pa.list_(pa.int32())), pa.array(share_of, pa.list_(pa.float32()))], ["doc_id", "lang", "at", "share"])
 
-    rows = drawn.mapInArrow(sparse, "doc_id long, lang string, at array<int>, share array<float>").where("size(at) > 0").toPandas()  # about train_rows sparse rows
+    rows = arrow_map(drawn, sparse, "doc_id long, lang string, at array<int>, share array<float>").where("size(at) > 0").toPandas()  # about train_rows sparse rows
     df, n = document_frequencies(docs)
     idf = np.log((1 + n) / (1 + df)) + 1
     langs = sorted(rows.lang.unique())
@@ -171,7 +171,7 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
                 score.append(float(p.max()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, lang_pred string, score double")
 
 
 def identify(docs: DataFrame, folds: int = 4, held: int = 2, train_rows: int = 4_000) -> DataFrame:

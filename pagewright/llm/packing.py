@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, ranked
+from .common import Scratch, arrow_map, ranked
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _ENCODERS: dict = {}
@@ -53,7 +53,7 @@ def token_ids(ranks_path: str, pattern: str):
             except BaseException as e:  # the library's own matcher overflows on very long runs of white space
                 if type(e).__name__ != "PanicException":
                     raise
-                ids = [i for w in words.findall(text) for i in encoding.encode_single_piece(w)]
+                ids = [i for w in words.findall(text) for i in encoding._encode_single_piece(w.encode())]
             return np.asarray(ids, dtype="<u4")
 
         _ENCODERS[key] = encode
@@ -78,7 +78,7 @@ def pieces(docs: DataFrame, ranks_path: str, pattern: str, capacity: int, end_id
                 rows += [(doc_id, k, s, n, zlib.crc32(ids[s : s + n].tobytes())) for k, (s, n) in enumerate(cut(len(ids), capacity))]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"]) if rows else pa.RecordBatch.from_pylist([], pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]))
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, PIECES)
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text")), run, PIECES)
 
 
 def match_runs(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int]]:

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import arrow_map
+
 FEATURES = 1 << 14
 
 
@@ -140,7 +142,7 @@ def _patterns(docs: DataFrame) -> DataFrame:
             seen.update(pattern(facts(t.as_py() or "")) for t in batch.column(0))
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int32()), pa.array(list(seen.values()), pa.int64())], ["pattern", "n"])
 
-    return docs.select("text").mapInArrow(run, "pattern int, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
+    return arrow_map(docs.select("text"), run, "pattern int, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
 
 
 def _scored(docs: DataFrame, posterior: dict[int, float], w: np.ndarray) -> DataFrame:
@@ -155,7 +157,7 @@ def _scored(docs: DataFrame, posterior: dict[int, float], w: np.ndarray) -> Data
                 marks.append(pattern(f))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64()), pa.array([posterior.get(m) for m in marks], pa.float64()), pa.array(marks, pa.int32())], ["doc_id", "score", "posterior", "pattern"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double, posterior double, pattern int")
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, score double, posterior double, pattern int")
 
 
 def quality(docs: DataFrame, train_rows: int = 4_000) -> DataFrame:

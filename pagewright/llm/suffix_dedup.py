@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, maybe_in, membership
+from .common import Scratch, arrow_map, marked, maybe_in
 
 POSITIONS = 20  # bits for a position in a block
 BLOCK = 1 << 19
@@ -154,7 +154,7 @@ def _anchors(docs: DataFrame, length: int) -> DataFrame:
                     ["doc_id", "first", "n", "place", "seed", "span"],
                 )
 
-    return docs.mapInArrow(run, ANCHORS)
+    return arrow_map(docs, run, ANCHORS)
 
 
 def ranges_of(data: np.ndarray, base: np.ndarray, n: np.ndarray, place: np.ndarray, seed: np.ndarray, length: int, width: int) -> tuple[np.ndarray, ...]:
@@ -206,7 +206,7 @@ def _refined(runs_with_text: DataFrame, length: int, width: int) -> DataFrame:
             if held:
                 yield flush()
 
-    return runs_with_text.mapInArrow(run, ANCHORS)
+    return arrow_map(runs_with_text, run, ANCHORS)
 
 
 def repeated_spans(docs: DataFrame, length: int = 200, scratch: Scratch | None = None) -> DataFrame:
@@ -266,7 +266,7 @@ def strip(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
     met = maybe_in(texts, spans, "doc_id").join(spans.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "spans")
-    return met.mapInArrow(run, "doc_id long, kept binary, n_removed long, n_spans long")
+    return arrow_map(met, run, "doc_id long, kept binary, n_removed long, n_spans long")
 
 
 def suffix_dedup(docs: DataFrame, length: int = 200, scratch: Scratch | None = None) -> DataFrame:
@@ -288,8 +288,8 @@ def drop_repeats(docs: DataFrame, length: int = 200, scratch: Scratch | None = N
     scratch = scratch or Scratch(docs.sparkSession, "suffix")
     spans = repeated_spans(docs, length, scratch)
     cut = strip(docs, spans).dropDuplicates(["doc_id"]).select("doc_id", F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "\ufffd", "").alias("_kept"))
-    found = membership(spans, "doc_id")
-    met = docs.where(found).join(cut, "doc_id", "left")
+    found = marked(docs, spans, "doc_id")
+    met = found.where("_maybe").drop("_maybe").join(cut, "doc_id", "left")
     text = F.coalesce("_kept", "text")
     new = [text.alias(c) if c == "text" else F.when(F.col("_kept").isNull(), F.col(c)).otherwise(F.length(text)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return docs.where(~found).unionByName(met.select(*new))
+    return found.where("not _maybe").drop("_maybe").unionByName(met.select(*new))
