@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod
+from .common import arrow_map, crc_mod
 
 THRESHOLD = 0.7
 INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE, OTHER = "ITYNRQO"
@@ -142,21 +142,27 @@ def learn_stems(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int =
     known = labels.where(F.col("toxic").isNotNull() & (crc_mod("doc_id", folds) != held)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = int((1 << 30) * min(1.0, train_rows / max(known.count(), 1)))
     drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share)  # about train_rows rows, so small enough to broadcast
-    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").groupBy("text").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))  # a copy teaches nothing new
+
+    def emit(toxic: Counter, clean: Counter) -> pa.RecordBatch:
+        keys = list(toxic.keys() | clean.keys())
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([toxic[k] for k in keys], pa.int64()), pa.array([clean[k] for k in keys], pa.int64())], ["stem", "toxic", "clean"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic, clean = Counter(), Counter()
         for batch in batches:
-            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for text, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 found = {""}
-                for w in set(WORD.findall((text or "").lower())):
+                for w in set(WORD.findall((text.as_py() or "").lower())):
                     found.update(w[:k] for k in range(STEM_FROM, min(len(w), STEM_TO) + 1))
                 (toxic if y else clean).update(found)
-        keys = [k for k in toxic] + [k for k in clean if k not in toxic]
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([toxic[k] for k in keys], pa.int64()), pa.array([clean[k] for k in keys], pa.int64())], ["stem", "toxic", "clean"])
+                if len(toxic) + len(clean) > 100_000:
+                    yield emit(toxic, clean)
+                    toxic, clean = Counter(), Counter()
+        yield emit(toxic, clean)
 
-    counts = rows.mapInArrow(count, "stem string, toxic long, clean long").groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    counts = counts.persist()
+    counts = arrow_map(rows, count, "stem string, toxic long, clean long").groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counts, rows = counts.persist(), rows.persist()
     try:
         total = counts.where("stem = ''").first()
         if not total or not total["toxic"]:
@@ -164,15 +170,35 @@ def learn_stems(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int =
         odds = F.log((F.col("toxic") + 0.25) / (total["toxic"] + 0.5)) - F.log((F.col("clean") + 0.25) / (total["clean"] + 0.5))
         least = max(5, least_share * total["toxic"])
         found = {r["stem"]: (r["toxic"], r["odds"]) for r in counts.where((F.col("stem") != "") & (F.col("toxic") >= least)).withColumn("odds", odds).where(F.col("odds") >= least_odds).collect()}  # at most (words of a text) / least_share
+
+        def having(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                own = []
+                for text in batch.column(0):
+                    words = set(WORD.findall((text.as_py() or "").lower()))
+                    own.append(sorted({w[:k] for w in words for k in range(STEM_FROM, min(len(w), STEM_TO) + 1)} & found.keys()))
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.string()))], ["stems"])
+
+        owners: dict[str, set[int]] = {}
+        for k, r in enumerate(arrow_map(rows.where("toxic = 1").select("text"), having, "stems array<string>").orderBy("stems").collect()):  # toxic rows of the sample
+            for stem in r["stems"]:
+                owners.setdefault(stem, set()).add(k)
     finally:
         counts.unpersist()
+        rows.unpersist()
+    # those that explain most, one after the other; what explains no further text is chance. Of equals the longest
     stems: dict[str, float] = {}
-    for stem, (n, odds) in found.items():
-        if stem[:-1] in found and found[stem[:-1]][0] * 0.95 > n:
-            continue  # only part of what its own beginning covers
-        if any(other[: len(stem)] == stem and m >= 0.95 * n for other, (m, _) in found.items() if len(other) > len(stem)):
-            continue  # a longer one says as much
-        stems[stem] = min(odds, 6.0)
+    while owners:
+        stem = max(owners, key=lambda x: (len(owners[x]), len(x), x))
+        own = owners.pop(stem)
+        if len(own) < max(3, least_share * total["toxic"] / 2):
+            break
+        stems[stem] = min(found[stem][1], 6.0)
+        owners = {x: rest for x, texts in owners.items() if (rest := texts - own)}
+    # and what is too common among toxic texts to be chance, the commonest form first, of equals the longest
+    for stem, (n, odds) in sorted(found.items(), key=lambda x: (-x[1][0], -len(x[0]), x[0])):
+        if n >= 3 * least_share * total["toxic"] and not any(stem.startswith(x) or x.startswith(stem) for x in stems):
+            stems[stem] = min(odds, 6.0)
     return stems
 
 
@@ -185,7 +211,7 @@ def score(docs: DataFrame, stems: dict[str, float]) -> DataFrame:
             found = [grammar.score(t.as_py() or "") for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.int32())], ["doc_id", "score", "n_clauses"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double, n_clauses int")
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, score double, n_clauses int")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, **learning) -> DataFrame:
@@ -203,4 +229,4 @@ def drop_toxic(docs: DataFrame, stems: dict[str, float]) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array([grammar.score(t.as_py() or "")[0] < THRESHOLD for t in batch.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow_map(docs, run, docs.schema)
