@@ -61,6 +61,29 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_best_fit_packing, op3_byte_bpe, op4_suffix_dedup, op5_toxicity, op6_language_id, op7_exact_dedup, op8_hilbert_sharding, op9_nearest_neighbours, op10_quality)}
 
 ORACLE_SQL = {
+    "op1_jaccard_join": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\v\f\r]+'), lambda w: w <> '') AS w FROM documents),
+        g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+              ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM d),
+        n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+        p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM g x JOIN g y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL),
+        e AS (SELECT p.a, p.b, p.k = x.n AND p.k = y.n AS same FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 5 * k >= 4 * (x.n + y.n - k)),
+        r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.doc_id),
+        c AS (SELECT doc_id, min(c) AS class_id FROM r GROUP BY doc_id)
+        SELECT c.doc_id, class_id, count(e.a) AS n_links, least(c.doc_id, coalesce(min(CASE WHEN same THEN e.b END), c.doc_id)) AS copy_id
+        FROM c LEFT JOIN e ON e.a = c.doc_id GROUP BY c.doc_id, class_id""",
+    "op4_suffix_dedup": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        w AS (SELECT doc_id, i, substring(h, 2 * i + 1, 400) AS s FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 199)) AS i FROM d)),
+        c AS (SELECT s FROM w GROUP BY s HAVING count(*) > 1),
+        m AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 0 ELSE 1 END AS opens FROM w WHERE s IN (SELECT s FROM c)),
+        o AS (SELECT doc_id, i, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM m),
+        r AS (SELECT doc_id, k, min(i) AS b, max(i) + 200 AS e FROM o GROUP BY doc_id, k),
+        g AS (SELECT doc_id, b, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY b), 0) AS before FROM r),
+        a AS (SELECT doc_id, sum(e - b) AS removed, count(*) AS n, list(struct_pack(f := before, t := b) ORDER BY b) AS kept, max(e) AS last FROM g GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(n, 0) AS n_spans,
+          sha256(unhex(CASE WHEN n IS NULL THEN h ELSE array_to_string(list_transform(kept, lambda x: substring(h, 2 * x.f + 1, 2 * (x.t - x.f))), '') || substring(h, 2 * last + 1) END)) AS kept_sha256
+        FROM d LEFT JOIN a USING (doc_id)""",
     "op7_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
         g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
