@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pagewright.llm.common import Scratch, table, without
 from pagewright.llm.exact_dedup import exact_dedup
 from pagewright.llm.jaccard_join import jaccard_join
-from pagewright.llm.packing import pack
+from pagewright.llm.packing import added_tokens, pack
 from pagewright.llm.suffix_dedup import drop_repeats
 from pagewright.llm.toxicity import drop_toxic, learn_stems
 
@@ -35,7 +35,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, 1024, 2)
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, 1024, 2, added=added_tokens(public_tokenizers.path("byte_bpe_50k.json")))
 
 
 STAGES = [

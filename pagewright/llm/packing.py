@@ -15,6 +15,8 @@ Other columns of the input are ignored. An empty table gives no rows.
 from __future__ import annotations
 
 import base64
+import json
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -31,13 +33,23 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _ENCODERS: dict = {}
 
 
-def token_ids(ranks_path: str, pattern: str):
+def added_tokens(tokenizer_path: str) -> dict[str, int]:
+    """The added tokens of a tokenizers file, which that library takes out of a text before it looks for words."""
+    with open(tokenizer_path, encoding="utf-8") as f:
+        tokens = json.load(f)["added_tokens"]
+    if any(t[k] for t in tokens for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("only added tokens that are met literally are built")
+    return {t["content"]: t["id"] for t in tokens}
+
+
+def token_ids(ranks_path: str, pattern: str, added: dict[str, int] | None = None):
     """A function from text to uint32 ids, built once in each Python worker.
 
     The ids are those of the tokenizers library with the same vocabulary (the tests hold one against the other);
-    its own encoder takes three times the CPU.
+    its own encoder takes three times the CPU. The literals of ``added`` get their own ids, and the text between them is
+    encoded part by part; without it they are plain text.
     """
-    key = (ranks_path, pattern)
+    key = (ranks_path, pattern, tuple(sorted((added or {}).items())))
     if key not in _ENCODERS:
         import regex
         import tiktoken
@@ -46,15 +58,21 @@ def token_ids(ranks_path: str, pattern: str):
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         words = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
+        literals = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
 
-        def encode(text: str) -> np.ndarray:
+        def plain(text: str) -> list[int]:
             try:
-                ids = encoding.encode_ordinary(text)
+                return encoding.encode_ordinary(text)
             except BaseException as e:  # the library's own matcher overflows on very long runs of white space
                 if type(e).__name__ != "PanicException":
                     raise
-                ids = [i for w in words.findall(text) for i in encoding._encode_single_piece(w.encode())]
-            return np.asarray(ids, dtype="<u4")
+                return [i for w in words.findall(text) for i in encoding._encode_single_piece(w.encode())]
+
+        def encode(text: str) -> np.ndarray:
+            if literals is None or not literals.search(text):
+                return np.asarray(plain(text), dtype="<u4")
+            parts = literals.split(text)  # every second one is a literal
+            return np.asarray([i for k, part in enumerate(parts) for i in ([added[part]] if k % 2 else plain(part))], dtype="<u4")
 
         _ENCODERS[key] = encode
     return _ENCODERS[key]
@@ -66,11 +84,11 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((s, capacity) for s in range(first, n, capacity))]
 
 
-def pieces(docs: DataFrame, ranks_path: str, pattern: str, capacity: int, end_id: int) -> DataFrame:
+def pieces(docs: DataFrame, ranks_path: str, pattern: str, capacity: int, end_id: int, added: dict[str, int] | None = None) -> DataFrame:
     """Tokenises each document, adds the end token and cuts what is longer than ``capacity``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = token_ids(ranks_path, pattern), np.array([end_id], dtype="<u4")
+        encode, end = token_ids(ranks_path, pattern, added), np.array([end_id], dtype="<u4")
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -129,10 +147,10 @@ def match_runs(counts: dict[int, int], capacity: int) -> list[tuple[int, int, in
     return plan
 
 
-def pack(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = 1024, end_id: int = 2, scratch: Scratch | None = None) -> DataFrame:
-    """Returns per piece doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+def pack(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = 1024, end_id: int = 2, scratch: Scratch | None = None, added: dict[str, int] | None = None) -> DataFrame:
+    """Returns per piece doc_id, piece, start, length, ids_crc32, sequence_id, offset. ``added``: see token_ids."""
     scratch = scratch or Scratch(docs.sparkSession, "packing")
-    cut_up = scratch.save(pieces(docs, ranks_path, pattern, capacity, end_id), "pieces")  # else the range sort's sample encodes all texts again
+    cut_up = scratch.save(pieces(docs, ranks_path, pattern, capacity, end_id, added), "pieces")  # else the range sort's sample encodes all texts again
     placed, _ = ranked(cut_up, ["length", "doc_id", "piece"], scratch, "by_length")
     counts = {r["length"]: r["n"] for r in placed.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     runs = match_runs(counts, capacity)

@@ -11,7 +11,7 @@ from .common import table
 from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_join
 from .langid import identify
-from .packing import pack
+from .packing import added_tokens, pack
 from .quality import quality
 from .sharding import shard
 from .suffix_dedup import suffix_dedup
@@ -23,7 +23,7 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, 1024, 2)
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, 1024, 2, added=added_tokens(public_tokenizers.path("byte_bpe_50k.json")))
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -162,6 +162,28 @@ def test_ids_are_those_of_the_tokenizers_library(texts):
     assert len(encode(" " * 1_000_000)) > 1  # too long for the fast matcher
 
 
+def test_added_tokens_get_their_own_ids(spark, texts):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    added = packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    assert added == {"<|endoftext|>": 50256}
+    mark = "<|endoftext|>"
+    cases = [t or "" for t in texts] + [f"a {mark} b", mark, mark * 3, f"  {mark}  \n{mark}é", f"<|endoftext{mark}|>", f"x{mark}", "<|endoftext |>"]
+    wanted = [library.encode(t, add_special_tokens=False).ids for t in cases]
+    encode = packing.token_ids(RANKS, PATTERN, added)
+    assert encode(f"a {mark} b").tolist() == [64, 220, 50256, 275]
+    assert [encode(t).tolist() for t in cases] == wanted
+    rows = {(r.doc_id, r.piece): r for r in packing.pack(frame(spark, cases), RANKS, PATTERN, 64, 2, added=added).collect()}
+    for k, ids in enumerate(wanted):
+        ids = np.array([*ids, 2], dtype="<u4")
+        for p, (s, n) in enumerate(packing.cut(len(ids), 64)):
+            r = rows.pop((k, p))
+            assert (r.start, r.length, r.ids_crc32) == (s, n, zlib.crc32(ids[s : s + n].tobytes()))
+    assert not rows
+    assert len(encode(mark + " " * 1_000_000)) > 2  # too long for the fast matcher
+
+
 # 3
 
 
