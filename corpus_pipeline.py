@@ -2,7 +2,7 @@
 
 Toxic documents go; of equal texts the largest id stays; of near copies (five-word Jaccard of 0.8 or more, linked directly or
 through others) the least id stays; passages of 200 bytes that stand elsewhere too are cut out; what is left is packed
-into sequences of 1024 tokens.
+into sequences of 1024 tokens. The result holds the token ids of each piece with its sequence and offset.
 """
 
 from __future__ import annotations

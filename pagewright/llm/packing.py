@@ -4,11 +4,11 @@ Lengths are integers from 1 to ``capacity``, so both sorted sides of the matchin
 gap, are at most ``capacity`` runs of equal values however many rows there are. A bulk-synchronous superstep takes the
 longest unplaced run, sweeps its successors (the smallest gaps that hold it) and gives the k-th piece of the run, by rank,
 the k-th sequence of the gap run: equal wishes are thus settled by rank. Gaps shrink and the next superstep follows.
-Ranks come from one distributed range sort, and the matches are applied to all rows where they lie; only the run
-lengths (at most ``capacity`` numbers) reach the driver.
+Ranks come from one distributed range sort of lengths and ids of rows; the token ids move once, when they meet their
+places, in as few bytes as they need. Only the run lengths (at most ``capacity`` numbers) reach the driver.
 
 Nulls: a null text is an empty one. An empty text is the end token alone. Ties (equal lengths) go by document and piece.
-Repeated document ids are packed as separate documents only if their rows differ in piece order; ids should be unique.
+Rows that repeat a document id are packed as documents of their own, in any order among equal lengths.
 Other columns of the input are ignored. An empty table gives no rows.
 """
 
@@ -26,10 +26,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType
 
 from .common import Scratch, arrow_map, ranked
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECES = "doc_id long, piece int, start long, length long, narrow binary"
 _ENCODERS: dict = {}
 
 
@@ -84,17 +85,38 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((s, capacity) for s in range(first, n, capacity))]
 
 
+def narrow(ids: np.ndarray) -> bytes:
+    """The ids in two bytes each if all fit, else in four: what moves, instead of an array<int>."""
+    return (ids.astype("<u2") if ids.max() < 1 << 16 else ids).tobytes()
+
+
+@F.arrow_udf(ArrayType(IntegerType()))
+def widened(narrow: pa.Array, length: pa.Array) -> pa.Array:
+    parts = [np.frombuffer(b.as_buffer(), dtype="<u2" if len(b.as_buffer()) == 2 * n else "<u4").astype(np.int32) for b, n in zip(narrow, length.to_pylist(), strict=True)]
+    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*parts, np.zeros(0, dtype=np.int32)])))
+
+
+@F.arrow_udf(LongType())
+def crc32_of_ids(ids: pa.Array) -> pa.Array:
+    """crc32 of the ids as little-endian integers of four bytes."""
+    edges, values = ids.offsets.to_numpy(), np.ascontiguousarray(ids.values.to_numpy(zero_copy_only=False), dtype="<i4")
+    return pa.array([zlib.crc32(values[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.int64())
+
+
 def pieces(docs: DataFrame, ranks_path: str, pattern: str, capacity: int, end_id: int, added: dict[str, int] | None = None) -> DataFrame:
     """Tokenises each document, adds the end token and cuts what is longer than ``capacity``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = token_ids(ranks_path, pattern, added), np.array([end_id], dtype="<u4")
+        types = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "narrow": pa.binary()}
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = np.concatenate([encode(text.as_py() or ""), end])
-                rows += [(doc_id, k, s, n, zlib.crc32(ids[s : s + n].tobytes())) for k, (s, n) in enumerate(cut(len(ids), capacity))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"]) if rows else pa.RecordBatch.from_pylist([], pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]))
+                rows += [(doc_id, k, s, n, narrow(ids[s : s + n])) for k, (s, n) in enumerate(cut(len(ids), capacity))]
+            columns = zip(*rows, strict=True) if rows else [()] * len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types.values(), strict=True)], list(types))
 
     return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text")), run, PIECES)
 
@@ -148,10 +170,13 @@ def match_runs(counts: dict[int, int], capacity: int) -> list[tuple[int, int, in
 
 
 def pack(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = 1024, end_id: int = 2, scratch: Scratch | None = None, added: dict[str, int] | None = None) -> DataFrame:
-    """Returns per piece doc_id, piece, start, length, ids_crc32, sequence_id, offset. ``added``: see token_ids."""
+    """Returns per piece doc_id, piece, start, length, ids array<int>, ids_crc32, sequence_id, offset: its ids and where they stand.
+
+    The pieces of one sequence_id in the order of offset are that sequence. ids_crc32 is derived from ids. ``added``: see token_ids.
+    """
     scratch = scratch or Scratch(docs.sparkSession, "packing")
-    cut_up = scratch.save(pieces(docs, ranks_path, pattern, capacity, end_id, added), "pieces")  # else the range sort's sample encodes all texts again
-    placed, _ = ranked(cut_up, ["length", "doc_id", "piece"], scratch, "by_length")
+    cut_up = scratch.save(pieces(docs, ranks_path, pattern, capacity, end_id, added).withColumn("row", F.monotonically_increasing_id()), "pieces")  # else texts would be encoded again
+    placed, _ = ranked(cut_up.select("length", "doc_id", "piece", "row"), ["length", "doc_id", "piece", "row"], scratch, "by_length")
     counts = {r["length"]: r["n"] for r in placed.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     runs = match_runs(counts, capacity)
     runs.sort(key=lambda r: r[0])  # stable: within a length, ranks go in the order of placing
@@ -164,4 +189,6 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = 1024, e
         at = np.searchsorted(begin, rank.to_numpy(), side="right") - 1
         return pd.DataFrame({"sequence_id": first[at] + rank.to_numpy() - begin[at], "offset": offset[at]})
 
-    return placed.withColumn("at", place("rank")).select("doc_id", "piece", "start", "length", "ids_crc32", "at.sequence_id", "at.offset")
+    places = placed.withColumn("at", place("rank")).select("row", "at.sequence_id", "at.offset")
+    met = cut_up.join(places.hint("shuffle_hash"), "row").withColumn("ids", widened("narrow", "length"))
+    return met.select("doc_id", "piece", "start", "length", "ids", crc32_of_ids("ids").alias("ids_crc32"), "sequence_id", "offset")

@@ -23,7 +23,7 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, 1024, 2, added=added_tokens(public_tokenizers.path("byte_bpe_50k.json")))
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, 1024, 2, added=added_tokens(public_tokenizers.path("byte_bpe_50k.json"))).drop("ids")
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

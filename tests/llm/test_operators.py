@@ -184,6 +184,35 @@ def test_added_tokens_get_their_own_ids(spark, texts):
     assert len(encode(mark + " " * 1_000_000)) > 2  # too long for the fast matcher
 
 
+def test_packed_sequences_hold_their_ids(spark, texts):
+    cases = [*texts, "日本語 " * 90]
+    docs = frame(spark, cases).unionByName(frame(spark, cases[-1:]))  # and one repeated id with another text
+    packed = packing.pack(docs, RANKS, PATTERN, 64, 2)
+    assert dict(packed.dtypes)["ids"] == "array<int>"
+    rows, encode = packed.collect(), packing.token_ids(RANKS, PATTERN)
+    found, sequences = defaultdict(list), defaultdict(list)
+    for r in sorted(rows, key=lambda r: (r.doc_id, r.start, r.sequence_id, r.offset)):
+        assert len(r.ids) == r.length and r.ids_crc32 == zlib.crc32(np.array(r.ids, dtype="<u4").tobytes())
+        found[r.doc_id] += r.ids
+        sequences[r.sequence_id].append((r.offset, r.ids))
+    wanted = {k: [*encode(t or "").tolist(), 2] for k, t in enumerate(cases)}
+    assert sorted(found.pop(0)) == sorted(wanted.pop(0) + wanted[len(cases) - 1]) and found == wanted
+    for places in sequences.values():
+        whole = []
+        for offset, ids in sorted(places):
+            assert offset == len(whole)
+            whole += ids
+        assert len(whole) <= 64
+    wide = np.array([5, 70_000], dtype="<u4")
+    assert (len(packing.narrow(wide)), len(packing.narrow(wide[:1]))) == (8, 2)
+
+
+def test_packing_query_has_its_columns_only(spark, sf):
+    from pagewright.llm import queries
+
+    assert queries.op2_best_fit_packing(spark, sf).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+
+
 # 3
 
 

@@ -43,3 +43,8 @@ def test_stages_keep_columns(spark, sf):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, sf)
         assert out.columns == docs.columns and out.dtypes == docs.dtypes
+
+
+def test_result_holds_packed_ids(spark, sf):
+    rows = corpus_pipeline.STAGES[-1][1](spark, spark.read.parquet(f"{sf}/documents.parquet").limit(20), sf).collect()
+    assert rows and all(len(r.ids) == r.length and r.ids_crc32 == zlib.crc32(np.array(r.ids, dtype="<u4").tobytes()) for r in rows)
