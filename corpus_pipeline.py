@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from pagewright.llm.common import Scratch, table, without
-from pagewright.llm.exact_dedup import exact_dedup
+from pagewright.llm.exact_dedup import drop_copies
 from pagewright.llm.jaccard_join import jaccard_join
 from pagewright.llm.packing import added_tokens, pack
 from pagewright.llm.suffix_dedup import drop_repeats
@@ -23,7 +23,7 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def remove_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return without(docs, exact_dedup(docs).where("not kept").select("doc_id"), "doc_id")
+    return drop_copies(docs)
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,8 +9,9 @@ Each level shuffles one row for each block (16 bytes, without the text) and halv
 Names are counted before rows meet (map-side), and a common block or pair only meets in joins that Spark can split.
 
 Nulls: a null text is an empty one. Empty texts are equal to each other. Ties (equal texts) keep the largest document id.
-Rows that repeat a document id each give a row and count as copies of their own. Other columns are ignored; an empty
-table gives no rows.
+Rows that repeat a document id each give a row and count as copies of their own; exact_dedup marks all rows of the
+kept id with the kept text, as its SQL does, and drop_copies keeps exactly one of them. Other columns are ignored; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, without
 
 BLOCK = 8192
 
@@ -26,9 +27,12 @@ BLOCK = 8192
 NONE = -(1 << 62)  # stands for the missing partner of an odd last name
 
 
-def identities(docs: DataFrame, scratch: Scratch, block: int = BLOCK) -> DataFrame:
-    """doc_id, text_sha256, level, name for each row: two rows have the same level and name exactly if their texts are equal."""
-    raw = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("bytes"))
+def identities(docs: DataFrame, scratch: Scratch, block: int = BLOCK, row: str | None = None) -> DataFrame:
+    """doc_id, row, text_sha256, level, name for each row: two rows have the same level and name exactly if their texts are equal.
+
+    row: a column that is unique to each row and comes back as row; without it, one is made that fits this result only.
+    """
+    raw = docs.select("doc_id", (F.col(row) if row else F.monotonically_increasing_id()).alias("row"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("bytes"))
     count = F.greatest(F.lit(1), F.ceil(F.octet_length("bytes") / block)).cast("int")
     cut = raw.select(
         "doc_id",
@@ -53,7 +57,7 @@ def identities(docs: DataFrame, scratch: Scratch, block: int = BLOCK) -> DataFra
     rows = scratch.save(met.select("doc_id", "row", first, "n", "i", "name"), "level0")
     done, level = [], 0
     while True:
-        done.append(rows.where("n = 1").select("doc_id", "text_sha256", F.lit(level).alias("level"), "name"))
+        done.append(rows.where("n = 1").select("doc_id", "row", "text_sha256", F.lit(level).alias("level"), "name"))
         longer = rows.where("n > 1")
         if longer.isEmpty():
             break
@@ -81,3 +85,13 @@ def exact_dedup(docs: DataFrame, block: int = BLOCK, scratch: Scratch | None = N
     named = scratch.save(identities(docs, scratch, block), "identities")
     groups = scratch.save(named.groupBy("level", "name").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "groups")
     return named.join(groups, ["level", "name"]).select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256")
+
+
+def drop_copies(docs: DataFrame, block: int = BLOCK, scratch: Scratch | None = None) -> DataFrame:
+    """The rows of docs, all columns, with exactly one for each distinct text: one of the rows with the largest id."""
+    scratch = scratch or Scratch(docs.sparkSession, "exact")
+    held = scratch.save(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")  # else a second reading might number them otherwise
+    named = scratch.save(identities(held, scratch, block, "_row"), "identities")
+    keep = scratch.save(named.groupBy("level", "name").agg(F.max(F.struct("doc_id", "row")).alias("keep"), F.count("*").alias("copies")).where("copies > 1"), "keep")
+    copies = scratch.save(named.join(keep, ["level", "name"]).where("row <> keep.row").select(F.col("row").alias("_row")), "copies")
+    return without(held, copies, "_row").drop("_row")

@@ -358,6 +358,17 @@ def test_exact_where_hashes_clash(spark, texts, monkeypatch):
     assert {r.doc_id: (r.keep_id, r.group_size, r.kept, r.text_sha256) for r in rows} == plain_exact(texts)
 
 
+@pytest.mark.parametrize("block", [16, 8192])
+def test_drop_copies_keeps_one_row_of_each_text(spark, texts, block):
+    docs = frame(spark, texts)
+    docs = docs.unionByName(docs.where("doc_id % 3 = 0")).unionByName(frame(spark, ["another text of the id 0"]))
+    kept = exact_dedup.drop_copies(docs, block)
+    assert kept.dtypes == docs.dtypes
+    rows = [(r.doc_id, r.text or "") for r in kept.collect()]
+    last = {t or "": k for k, t in enumerate(texts)} | {"another text of the id 0": 0}
+    assert sorted(rows) == sorted((k, t) for t, k in last.items())
+
+
 # 8
 
 

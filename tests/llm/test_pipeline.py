@@ -48,3 +48,20 @@ def test_stages_keep_columns(spark, sf):
 def test_result_holds_packed_ids(spark, sf):
     rows = corpus_pipeline.STAGES[-1][1](spark, spark.read.parquet(f"{sf}/documents.parquet").limit(20), sf).collect()
     assert rows and all(len(r.ids) == r.length and r.ids_crc32 == zlib.crc32(np.array(r.ids, dtype="<u4").tobytes()) for r in rows)
+
+
+def test_repeated_rows_are_kept_once(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(40)
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    once, twice = str(tmp_path / "once"), str(tmp_path / "twice")
+    for path, made in ((once, docs), (twice, docs.unionByName(docs.where("doc_id % 2 = 0")))):
+        made.write.parquet(f"{path}/documents.parquet")
+        labels.write.parquet(f"{path}/labels.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    left = []
+    for path in (once, twice):
+        rows = spark.read.parquet(f"{path}/documents.parquet")
+        for name in ("exact_dedup", "jaccard_join", "suffix_dedup", "packing"):
+            rows = stages[name](spark, rows, path)
+        left.append(sorted((r.doc_id, r.piece, r.ids) for r in rows.collect()))
+    assert left[0] == left[1] and any(len(ids) > 100 for k, _, ids in left[1] if k % 2 == 0)
