@@ -141,10 +141,13 @@ def _search(postings: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         left = left.sort_values("vec_id", kind="stable")
         ids, asking = left.vec_id.to_numpy(), right.vec_id.to_numpy()
+        ids, begin = np.unique(ids, return_index=True)  # the rows of one id lie side by side
         out = []
         v = _stack(left.embedding)
         for s in range(0, len(right), 256) if len(left) else ():
             score = _stack(right.embedding.iloc[s : s + 256]) @ v.T
+            if len(begin) < len(v):
+                score = np.maximum.reduceat(score, begin, axis=1)  # a repeated id is one neighbour, with its best score
             score[asking[s : s + 256, None] == ids] = -np.inf
             if len(ids) > k:
                 keep = score >= np.partition(score, -k, axis=1)[:, -k][:, None]
@@ -178,7 +181,7 @@ def nearest(vectors: DataFrame, is_query: str, k: int = 20, root: float = 0.5, s
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     usable = vectors.where((F.size("embedding") == most["d"]) & finite).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    facts = usable.agg(F.count("*").alias("n"), F.max(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)).alias("norm2")).first()
+    facts = usable.agg(F.count("*").alias("n"), F.countDistinct("vec_id").alias("ids"), F.max(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)).alias("norm2")).first()
     if not facts["n"]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     share = int((1 << 30) * min(1.0, sample / facts["n"]))
@@ -193,7 +196,7 @@ def nearest(vectors: DataFrame, is_query: str, k: int = 20, root: float = 0.5, s
     queries = usable.where(is_query)
     asked = scratch.save(_lists(queries, graph, facts["norm2"], beam, probe, None, True), "asked")
     found = scratch.save(_search(postings, asked, k), "found")
-    need = min(k, facts["n"] - 1)
+    need = min(k, facts["ids"] - 1)
     enough = found.groupBy("query_id").agg(F.countDistinct("vec_id").alias("n")).where(F.col("n") >= need)
     short = scratch.save(queries.join(enough, queries.vec_id == enough.query_id, "left_anti"), "short")
     if need and not short.isEmpty():

@@ -423,6 +423,14 @@ def test_few_neighbours(spark):
     assert ann.nearest(few.limit(1), "true").count() == ann.nearest(few.limit(0), "true").count() == 0
 
 
+def test_repeated_neighbours_count_once(spark):
+    rows = [(0, [1.0, 0.0])] + [(1, [5.0, 0.1 * k]) for k in range(30)] + [(k, [5.0 - 0.1 * k, 1.0]) for k in range(2, 8)]
+    found = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id = 0", 5, root=0.01).collect()
+    assert sorted((r.rank, r.vec_id) for r in found) == [(k, k) for k in range(1, 6)] and {r.score for r in found if r.vec_id == 1} == {5.0}
+    few = spark.createDataFrame(rows[:33], "vec_id long, embedding array<double>")
+    assert sorted((r.rank, r.vec_id) for r in ann.nearest(few, "vec_id = 0", 5, root=0.01).collect()) == [(1, 1), (2, 2), (3, 3)]
+
+
 def test_graph_walk_finds_the_nearest():
     rng = np.random.default_rng(3)
     c = rng.normal(size=(300, 8)).astype(np.float32)
