@@ -10,8 +10,6 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -128,26 +126,61 @@ def crc_mod(column: str, n: int) -> Column:
 BITMAP_BITS = 1 << 25
 
 
-def marked(df: DataFrame, keys: DataFrame, *columns: str) -> DataFrame:
-    """Adds _maybe: true for every row whose key is in keys, and for few others.
+def fresh(stem: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has. Column names are told apart without regard to case."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    name, k = f"_{stem}", 0
+    while name.lower() in taken:
+        name, k = f"_{stem}{k}", k + 1
+    return name
+
+
+def named(df: DataFrame) -> list[Column]:
+    """All columns of df, whatever their names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def numbered(df: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, str]:
+    """df written once with a column that is unique to each row, and that column's name.
+
+    Rows are told apart by it where ids repeat; a second reading of df itself might number them otherwise.
+    """
+    row = fresh("row", df)
+    return scratch.save(df.withColumn(row, F.monotonically_increasing_id()), name), row
+
+
+def identified(df: DataFrame, scratch: Scratch, name: str, key: str = "doc_id") -> tuple[DataFrame, str]:
+    """df with a column that tells its rows apart, and that column's name: the key if none is null or repeated, else numbers."""
+    ids = df.groupBy(F.col(key).cast("long").alias("id")).agg(F.count("*").alias("n"))
+    worst = ids.agg(F.max("n").alias("n"), F.max(F.col("id").isNull()).alias("none")).first()
+    if (worst["n"] or 0) > 1 or worst["none"]:
+        return numbered(df, scratch, name)
+    row = fresh("row", df)
+    return df.withColumn(row, F.col(key).cast("long")), row
+
+
+def marked(df: DataFrame, keys: DataFrame, *columns: str) -> tuple[DataFrame, str]:
+    """df with a flag, and the flag's name: true for every row whose key is in keys, and for few others.
 
     The keys' hashes become a bitmap, 1024 rows of 4 KB at most, so it is safe to broadcast; it is tested before any shuffle.
     """
+    flag, part, bits = (fresh(x, df) for x in ("maybe", "part", "bits"))
     slot = F.pmod(F.xxhash64(*columns), F.lit(BITMAP_BITS)) + 1
-    bits = keys.select(slot.alias("b")).groupBy(F.bitmap_bucket_number("b").alias("_part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("_bits"))
+    bitmap = keys.select(slot.alias("b")).groupBy(F.bitmap_bucket_number("b").alias(part)).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias(bits))
     place = F.bitmap_bit_position(slot)
-    byte = F.conv(F.hex(F.substring("_bits", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    met = df.withColumn("_part", F.bitmap_bucket_number(slot)).join(F.broadcast(bits), "_part", "left")
-    return met.select(*df.columns, F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False)).alias("_maybe"))
+    byte = F.conv(F.hex(F.substring(bits, (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    met = df.withColumn(part, F.bitmap_bucket_number(slot)).join(F.broadcast(bitmap), part, "left")
+    return met.select(*named(df), F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False)).alias(flag)), flag
 
 
 def maybe_in(df: DataFrame, keys: DataFrame, *columns: str) -> DataFrame:
     """Rows of df whose key may be in keys; none whose key is in keys is lost."""
-    return marked(df, keys, *columns).where("_maybe").drop("_maybe")
+    found, flag = marked(df, keys, *columns)
+    return found.where(flag).drop(flag)
 
 
 def without(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
     """Rows of df whose key is not in keys. Only rows that may be in keys are shuffled."""
-    found = marked(df, keys, column)
-    rest = found.where("_maybe").drop("_maybe").join(keys.select(column), column, "left_anti").select(*df.columns)
-    return found.where("not _maybe").drop("_maybe").unionByName(rest)
+    found, flag = marked(df, keys, column)
+    rest = found.where(flag).drop(flag).join(keys.select(column), column, "left_anti").select(*named(df))
+    return found.where(~F.col(flag)).drop(flag).unionByName(rest)

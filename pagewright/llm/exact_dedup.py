@@ -9,9 +9,9 @@ Each level shuffles one row for each block (16 bytes, without the text) and halv
 Names are counted before rows meet (map-side), and a common block or pair only meets in joins that Spark can split.
 
 Nulls: a null text is an empty one. Empty texts are equal to each other. Ties (equal texts) keep the largest document id.
-Rows that repeat a document id each give a row and count as copies of their own; exact_dedup marks all rows of the
-kept id with the kept text, as its SQL does, and drop_copies keeps exactly one of them. Other columns are ignored; an
-empty table gives no rows.
+Rows that repeat a document id each give a row and count as copies of their own; of rows repeated as a whole exactly one is
+kept. A null id is below all others. Other columns are ignored by exact_dedup and come back from drop_copies, whatever their
+names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, without
+from .common import Scratch, identified, without
 
 BLOCK = 8192
 
@@ -80,18 +80,18 @@ def identities(docs: DataFrame, scratch: Scratch, block: int = BLOCK, row: str |
 
 
 def exact_dedup(docs: DataFrame, block: int = BLOCK, scratch: Scratch | None = None) -> DataFrame:
-    """Returns per document doc_id, keep_id, group_size, kept, text_sha256; the largest id of equal texts stays."""
+    """Returns per document doc_id, keep_id, group_size, kept, text_sha256; one row with the largest id of equal texts stays."""
     scratch = scratch or Scratch(docs.sparkSession, "exact")
     named = scratch.save(identities(docs, scratch, block), "identities")
-    groups = scratch.save(named.groupBy("level", "name").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "groups")
-    return named.join(groups, ["level", "name"]).select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256")
+    groups = scratch.save(named.groupBy("level", "name").agg(F.max(F.struct("doc_id", "row")).alias("keep"), F.count("*").alias("group_size")), "groups")
+    return named.join(groups, ["level", "name"]).select("doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("keep.row")).alias("kept"), "text_sha256")
 
 
 def drop_copies(docs: DataFrame, block: int = BLOCK, scratch: Scratch | None = None) -> DataFrame:
     """The rows of docs, all columns, with exactly one for each distinct text: one of the rows with the largest id."""
     scratch = scratch or Scratch(docs.sparkSession, "exact")
-    held = scratch.save(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")  # else a second reading might number them otherwise
-    named = scratch.save(identities(held, scratch, block, "_row"), "identities")
+    held, row = identified(docs, scratch, "rows")
+    named = scratch.save(identities(held, scratch, block, row), "identities")
     keep = scratch.save(named.groupBy("level", "name").agg(F.max(F.struct("doc_id", "row")).alias("keep"), F.count("*").alias("copies")).where("copies > 1"), "keep")
-    copies = scratch.save(named.join(keep, ["level", "name"]).where("row <> keep.row").select(F.col("row").alias("_row")), "copies")
-    return without(held, copies, "_row").drop("_row")
+    copies = scratch.save(named.join(keep, ["level", "name"]).where("row <> keep.row").select(F.col("row").alias(row)), "copies")
+    return without(held, copies, row).drop(row)

@@ -12,9 +12,9 @@ So a group of near copies costs rows in proportion to its size (times its blocks
 and every link between different texts is counted. Links to copies count through the class's size.
 
 A word is a run of bytes without ASCII white space, taken as it stands. A text of fewer than n words has one n-gram, all its
-words. Nulls: a null text is an empty one; texts without words link to nothing and are classes of their own. Repeated
-ids are documents of their own while bucketed, but share their row's class. Other columns are ignored; an empty table
-gives no rows.
+words. Nulls: a null text is an empty one; texts without words link to nothing and are classes of their own. Rows that repeat
+an id, and rows with a null one, are documents of their own; a null id is below all others. Other columns are ignored by
+jaccard_join and come back from drop_near_copies, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_map, maybe_in, shuffle_partitions
+from .common import Scratch, arrow_map, identified, maybe_in, shuffle_partitions, without
 from .components import connected_components
 
 N = 5
@@ -117,13 +117,13 @@ def minhashes(grams: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-SIGNATURES = "doc_id long, n long, set1 long, set2 long, bands array<long>, values binary"
+SIGNATURES = "id long, doc_id long, n long, set1 long, set2 long, bands array<long>, values binary"
 
 
-def signatures(docs: DataFrame, n: int) -> DataFrame:
-    """Per document the size and two hashes of its n-gram set, its band keys and the low halves of its MinHash values."""
+def signatures(texts: DataFrame, n: int) -> DataFrame:
+    """texts: id, doc_id, text. Per text the size and two hashes of its n-gram set, its band keys and the low halves of its MinHash values."""
 
-    def pack(ids: list[int], grams: list[np.ndarray]) -> pa.RecordBatch:
+    def pack(ids: list[tuple], grams: list[np.ndarray]) -> pa.RecordBatch:
         full = [k for k, g in enumerate(grams) if len(g)]
         bands: list = [[] for _ in grams]
         values: list = [b""] * len(grams)
@@ -139,13 +139,14 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
                 bands[k], values[k] = key[at], low[at].tobytes()
         set1 = [int(_mix(g).sum(dtype=np.uint64).view(np.int64)) if len(g) else 0 for g in grams]
         set2 = [int(_mix(g * _C1).sum(dtype=np.uint64).view(np.int64)) if len(g) else 0 for g in grams]
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(g) for g in grams], pa.int64()), pa.array(set1, pa.int64()), pa.array(set2, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(values, pa.binary())], ["doc_id", "n", "set1", "set2", "bands", "values"])
+        return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in zip(*ids, strict=True)), pa.array([len(g) for g in grams], pa.int64()), pa.array(set1, pa.int64()), pa.array(set2, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(values, pa.binary())], ["id", "doc_id", "n", "set1", "set2", "bands", "values"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, grams, size = [], [], 0
-            for doc_id, g in zip(batch.column(0).to_pylist(), grams_of(batch.column(1), n), strict=True):
-                ids.append(doc_id)
+            both = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            for key, g in zip(both, grams_of(batch.column(2), n), strict=True):
+                ids.append(key)
                 grams.append(g)
                 size += len(g)
                 if size > 1 << 16:
@@ -154,7 +155,7 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
             if ids:
                 yield pack(ids, grams)
 
-    return arrow_map(docs, run, SIGNATURES)
+    return arrow_map(texts, run, SIGNATURES)
 
 
 def least_matches(n: int, threshold: float, tolerance: float) -> int:
@@ -237,12 +238,12 @@ def candidate_forest(members: DataFrame, threshold: float, tolerance: float) ->
     return arrow_map(members, run, "a long, b long")
 
 
-def _gram_table(docs: DataFrame, n: int) -> DataFrame:
+def _gram_table(texts: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, sets, size = [], [], 0
-            for doc_id, g in zip(batch.column(0).to_pylist(), grams_of(batch.column(1), n), strict=True):
-                ids.append(doc_id)
+            for key, g in zip(batch.column(0).to_pylist(), grams_of(batch.column(1), n), strict=True):
+                ids.append(key)
                 sets.append(g.tobytes())
                 size += len(g)
                 if size > 1 << 20:
@@ -250,7 +251,7 @@ def _gram_table(docs: DataFrame, n: int) -> DataFrame:
                     ids, sets, size = [], [], 0
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["id", "grams"])
 
-    return arrow_map(docs, run, "id long, grams binary")
+    return arrow_map(texts, run, "id long, grams binary")
 
 
 def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -307,12 +308,24 @@ def verified(members: DataFrame, threshold: float) -> DataFrame:
 def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, scratch: Scratch | None = None) -> DataFrame:
     """Per document doc_id, class_id (least id of the documents that links connect it with), n_links, copy_id (least id with an equal n-gram set)."""
     scratch = scratch or Scratch(docs.sparkSession, "jaccard")
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-    signed = scratch.save(signatures(texts, n), "signed")
+    held, row = identified(docs.select(F.col("doc_id").cast("long"), "text"), scratch, "texts")
+    texts = held.select(F.col(row).alias("id"), "doc_id", F.col("text").cast("binary").alias("text"))
     sets = ["n", "set1", "set2"]
-    classes = scratch.save(signed.where("n > 0").groupBy(*sets).agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")), "classes")
-    one = signed.where("n > 0").join(classes.select(F.col("id").alias("doc_id"), "copies"), "doc_id").dropDuplicates(["doc_id"])
-    one = scratch.save(one.select(F.col("doc_id").alias("id"), "n", "copies", "bands", "values"), "one")
+    signed = scratch.save(signatures(texts, n), "signed")
+    classes = scratch.save(signed.where("n > 0").groupBy(*sets).agg(F.min("id").alias("id"), F.min("doc_id").alias("copy_id"), F.count("*").alias("copies")), "classes")
+    linked = _linked(texts, signed, classes, n, threshold, tolerance, scratch)
+    # classes go by the ids of rows; the least document id of each component takes the place of its name
+    first = linked.join(classes.select("id", "copy_id"), "id").groupBy("component").agg(F.min("copy_id").alias("class_id"))
+    met = classes.join(linked.join(first, "component"), "id", "left")
+    named = scratch.save(met.select(*sets, "copy_id", F.coalesce("class_id", "copy_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "named")
+    out = signed.select("doc_id", *sets).join(named, sets, "left")
+    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("copy_id", "doc_id").alias("copy_id"))
+
+
+def _linked(texts: DataFrame, signed: DataFrame, classes: DataFrame, n: int, threshold: float, tolerance: float, scratch: Scratch) -> DataFrame:
+    """(id, component, links) of the classes that are linked to others. A class is called by its least id, and so is a component."""
+    one = signed.where("n > 0").join(classes.select("id", "copies"), "id")
+    one = scratch.save(one.select("id", "n", "copies", "bands", "values"), "one")
     banded = one.select("id", "values", F.posexplode("bands").alias("band", "key"))
     buckets = banded.groupBy("band", "key").agg(F.count("*").alias("m")).where("m > 1")
     buckets = scratch.save(buckets.select("band", "key", F.ceil(F.col("m") / BLOCK_DOCS).cast("int").alias("blocks")), "buckets")
@@ -324,13 +337,22 @@ def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, tole
     facts = scratch.save(groups.join(one.select("id", "n", "copies"), "id"), "facts")
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("int").alias("blocks")
     facts = facts.join(facts.groupBy("component").agg(blocks), "component")
-    grams = _gram_table(maybe_in(texts, groups.select(F.col("id").alias("doc_id")), "doc_id"), n)
+    grams = _gram_table(maybe_in(texts.select("id", "text"), groups.select("id"), "id"), n)
     met = facts.join(grams, "id").select("component", "blocks", "id", "copies", "grams")
     met = _dealt(met, ["component"], "blocks").select("component", "i", "j", "own", "id", "copies", "grams")
     counted = scratch.save(verified(met, threshold), "verified")
     links = counted.groupBy("id").agg(F.sum("links").alias("links"))
-    linked = connected_components(counted.where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")), scratch, "groups")
-    named = classes.join(links, "id", "left").join(linked, "id", "left")
-    named = scratch.save(named.select(*sets, F.col("id").alias("copy_id"), F.coalesce("component", "id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "named")
-    out = signed.select("doc_id", *sets).join(named, sets, "left")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("copy_id", "doc_id").alias("copy_id"))
+    found = connected_components(counted.where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")), scratch, "groups")
+    return scratch.save(found.join(links, "id").select("id", "component", "links"), "linked")
+
+
+def drop_near_copies(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, scratch: Scratch | None = None) -> DataFrame:
+    """The rows of docs, all columns, with one row, of the least id, for each class of linked documents."""
+    scratch = scratch or Scratch(docs.sparkSession, "jaccard")
+    held, row = identified(docs, scratch, "rows")
+    joined = jaccard_join(held.select(F.col(row).alias("doc_id"), "text"), n, threshold, tolerance, scratch).where("n_links > 0")
+    ids = held.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(row).alias("row"))
+    linked = scratch.save(joined.select(F.col("doc_id").alias("row"), "class_id").join(ids, "row"), "members")
+    kept = linked.groupBy("class_id").agg(F.min(F.struct("doc_id", "row")).alias("kept"))
+    gone = scratch.save(linked.join(kept, "class_id").where("row <> kept.row").select(F.col("row").alias(row)), "gone")
+    return without(held, gone, row).drop(row)

@@ -47,7 +47,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shard(table(spark, sf_dir, "documents"), 8)
+    return shard(table(spark, sf_dir, "documents"), 8).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "curve")
 
 
 def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,6 +87,6 @@ ORACLE_SQL = {
     "op7_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
         g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
-        SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d.t) AS text_sha256
+        SELECT d.doc_id, g.keep_id, g.group_size, row_number() OVER (PARTITION BY d.t ORDER BY d.doc_id DESC NULLS LAST) = 1 AS kept, sha256(d.t) AS text_sha256
         FROM d JOIN g ON d.t = g.t""",
 }
