@@ -1,16 +1,21 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-A lexicon transducer turns words into classes: insult, threat, target, negation, report, quotation mark, other. Its insult
-stems and their weights are learned from labelled documents (log odds of word beginnings), on top of a short fixed list.
-Three small transducers follow: negation marks what stands up to two words after a negation, reported speech
-marks what follows a verb of saying or stands in quotation marks, and scoring gives weights: an insult its own, more next to a
-target, a threat only with a target, little for what is negated or reported. They are composed into one machine, which
-reads the clauses that hold an insult or a threat. A document's score is the chance that at least one clause is toxic.
+A lexicon transducer turns words into classes: insult, suspect, threat, target, negation, report, quotation mark, comma, other.
+Insults are a short fixed list and stems (word beginnings) that labelled toxic documents have and others hardly ever do;
+suspects are stems that others have now and then, by chance. Three small transducers follow: negation marks what stands up
+to five words after a negation, as far as the next comma; reported speech marks what follows a verb of saying or stands in
+quotation marks; scoring gives weights: an insult its own, more with a target in its clause, a threat only with a
+target, little for what is negated or reported. They are composed into one machine, which reads every clause that
+holds an insult, a suspect or a threat, from end to end and once.
+
+One insult without a target is not enough: a clause of that kind has a chance below one half, and it takes a target or a second
+one. Suspects count over the whole document: how many there are among so many words is compared between the rates in toxic
+and in other documents that have any (Poisson, at least one). A document's score is the chance that any of this is meant.
 
 Learning uses a sample of about ``train_rows`` labelled documents of the training folds, whatever the input's size.
-Nulls: a null text is an empty one and scores the base rate of a text without matches; null labels teach nothing. Texts of
-any length are read whole. Repeated rows each get a row; of repeated labels the greatest counts. Extra columns are
-ignored; an empty table gives no rows.
+Nulls: a null text is an empty one and scores the base rate of a text without matches; null labels and labels of a null id
+teach nothing, and a null id is not held out. Texts and clauses of any length are read whole. Repeated rows each get a row;
+of repeated labels the greatest counts. Extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,36 +24,43 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, crc_mod
 
 THRESHOLD = 0.7
-INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE, OTHER = "ITYNRQO"
-# Fixed word lists of the grammar; insults are whole words here, learned stems are beginnings of words.
+INSULT, SUSPECT, THREAT, TARGET, NEGATION, REPORT, QUOTE, COMMA, OTHER = "ISTYNRQCO"
+# Fixed word lists of the grammar; these are whole words, learned stems are beginnings of words.
 INSULTS = "idiot idiots moron morons stupid imbecile scum scumbag worthless pathetic loser dumbass bastard asshole bitch Idiot Arschloch Dummkopf Trottel Vollidiot imbécile connard salaud abruti idiota imbécil estúpido gilipollas cabrón".lower().split()
 THREATS = "kill hurt destroy murder strangle beat shoot stab töten umbringen verletzen vernichten tuer frapper détruire égorger matar golpear destruir apuñalar".split()
 TARGETS = "you your yours yourself u ur dich dir du dein deine euch toi tu te vous ton votre tú ti usted ustedes vuestro".split()
-NEGATIONS = "not never isn aren wasn don doesn nicht kein keine keinen niemals jamais aucun nunca ningún tampoco".split()
+NEGATIONS = "not never no nor neither nobody cannot without hardly nicht nie niemals kein keine keinen niemand ohne jamais aucun aucune sans nunca jamás ningún ninguna tampoco sin".split()
 REPORTS = "said says say wrote writes claimed claims reported called quoted told sagte schrieb behauptete nannte déclaré écrit prétend appelé dijo escribió afirmó llamó".split()
-WORD = re.compile(r"[^\W\d_]+|[\"“”„«»]")
-CLAUSE = re.compile(r"[.!?;:\n]+")
+WORD = re.compile(r"[^\W\d_]*n['’]t(?![^\W\d_])|[^\W\d_]+|[\"“”„«»,]")
+CONTRACTED = re.compile(r"n['’]t$")
+BREAKS = ".!?;:\n"
+CLAUSE = re.compile(r"[.!?;:\n]")
 STEM_FROM, STEM_TO = 4, 9
+NEGATED = 5  # words that a negation reaches
 
 Arcs = dict[tuple, dict[str, tuple[tuple, str, float]]]
 
 
 def negation() -> Arcs:
-    """Insults and threats up to two words after a negation come out in lower case."""
+    """Insults, suspects and threats in the reach of a negation come out in lower case."""
     arcs: Arcs = {}
-    for state in (0, 1, 2):
-        step = {c: ((max(state - 1, 0),), c, 0.0) for c in (TARGET, REPORT, QUOTE, OTHER)}
-        step[NEGATION] = ((2,), OTHER, 0.0)
-        for c in (INSULT, THREAT):
-            step[c] = ((0,), c.lower() if state else c, 0.0)
+    for state in range(NEGATED + 1):
+        after = (max(state - 1, 0),)
+        step = {c: (after, c, 0.0) for c in (TARGET, REPORT, OTHER)}
+        step |= {c: (after, c.lower() if state else c, 0.0) for c in (INSULT, SUSPECT, THREAT)}
+        step[QUOTE] = ((state,), QUOTE, 0.0)
+        step[NEGATION] = ((NEGATED,), OTHER, 0.0)
+        step[COMMA] = ((0,), OTHER, 0.0)
         arcs[(state,)] = step
     return arcs
 
@@ -57,7 +69,7 @@ def reported() -> Arcs:
     """What follows a verb of saying, or stands in quotation marks, comes out as 'reported' (R)."""
     arcs: Arcs = {}
     for state in ("plain", "said", "quoted"):
-        step = {c: ((state,), c if state == "plain" else REPORT, 0.0) for c in (INSULT, THREAT, "i", "t")}
+        step = {c: ((state,), c if state == "plain" else REPORT, 0.0) for c in (INSULT, SUSPECT, THREAT, "i", "s", "t")}
         step |= {c: ((state,), c, 0.0) for c in (TARGET, OTHER)}
         step[REPORT] = (("said" if state != "quoted" else state,), OTHER, 0.0)
         step[QUOTE] = (("plain" if state == "quoted" else "quoted",), OTHER, 0.0)
@@ -65,19 +77,20 @@ def reported() -> Arcs:
     return arcs
 
 
+WITH_TARGET, AT_TARGET = 1.5, 4.5
+
+
 def scoring() -> Arcs:
-    """Log-odds of classes: state is whether a target was seen in the clause, or a threat waits for one."""
+    """Log-odds of classes: state is whether the clause has a target, or an insult or a threat waits for one."""
     arcs: Arcs = {}
-    for state in ("none", "target", "threat"):
-        seen = "target" if state == "target" else state
-        arcs[(state,)] = {
-            INSULT: ((seen,), "I", 1.0 if state == "target" else 0.0),
-            "i": ((seen,), "i", 0.0),
-            REPORT: ((seen,), "R", 0.0),
-            "t": ((seen,), "O", 0.0),
-            THREAT: (("target",), "O", 4.5) if state == "target" else (("threat",), "O", 0.5),
-            TARGET: (("target",), "O", 4.0 if state == "threat" else 0.0),
-            OTHER: ((state,), "O", 0.0),
+    for state in ("none", "insult", "threat", "target"):
+        aimed = state == "target"
+        same = {c: ((state,), c, 0.0) for c in ("i", "s", SUSPECT, REPORT, OTHER)}
+        arcs[(state,)] = same | {
+            "t": ((state,), OTHER, 0.0),
+            INSULT: (("insult" if state == "none" else state,), INSULT, WITH_TARGET if aimed else 0.0),
+            THREAT: (("target",), OTHER, AT_TARGET) if aimed else (("threat",), OTHER, 0.0),
+            TARGET: (("target",), OTHER, {"insult": WITH_TARGET, "threat": AT_TARGET}.get(state, 0.0)),
         }
     return arcs
 
@@ -91,54 +104,101 @@ def compose(first: Arcs, second: Arcs) -> Arcs:
     return out
 
 
-#: Share of an insult's own weight that counts when it is meant, negated, reported.
-SHARE = {"I": 1.0, "i": 0.15, "R": 0.25}
+#: Share of a word's own weight that counts when it is meant, negated, reported.
+SHARE = {INSULT: 1.0, SUSPECT: 1.0, "i": 0.15, "s": 0.15, REPORT: 0.25}
+OWN, BIAS, BASE = 3.0, 2.8, 0.01  # log odds of an insult, of a clause without any, and the score of a text without matches
+
+
+def chance(x: float) -> float:
+    return 1 / (1 + math.exp(-x)) if x > -700 else 0.0
+
+
+@dataclass(frozen=True)
+class Lexicon:
+    """What is learned: stems of insults and of suspects, and the rates of suspects for each word of toxic and of other documents that have any."""
+
+    stems: tuple[str, ...] = ()
+    suspects: tuple[str, ...] = ()
+    toxic_rate: float = 0.02
+    clean_rate: float = 0.001
+    prior: float = 0.0  # log odds of a document with a suspect
 
 
 class Grammar:
-    def __init__(self, stems: dict[str, float]):
-        self.stems = stems
-        self.classes = {w: c for words, c in ((TARGETS, TARGET), (NEGATIONS, NEGATION), (REPORTS, REPORT), (THREATS, THREAT), ("\"“”„«»", QUOTE)) for w in words}
-        self.insults = dict.fromkeys(INSULTS, 4.0)
+    def __init__(self, lexicon: Lexicon = Lexicon()):
+        self.lexicon = lexicon
+        self.classes = {w: c for words, c in ((TARGETS, TARGET), (NEGATIONS, NEGATION), (REPORTS, REPORT), (THREATS, THREAT), ("\"“”„«»", QUOTE), (",", COMMA)) for w in words}
+        self.insults = frozenset(INSULTS)
+        self.begin = {c: re.compile("|".join(map(re.escape, sorted(stems)))) if stems else None for c, stems in ((INSULT, lexicon.stems), (SUSPECT, lexicon.suspects))}
         self.machine = compose(compose(negation(), reported()), scoring())
         self.start = (0, "plain", "none")
         whole = "|".join(map(re.escape, sorted({*INSULTS, *THREATS})))
-        begin = "|".join(map(re.escape, sorted(stems)))
+        begin = "|".join(map(re.escape, sorted({*lexicon.stems, *lexicon.suspects})))
         self.hit = re.compile(rf"\b(?:(?:{whole})\b" + (rf"|(?:{begin}))" if begin else ")"))
 
-    def weight(self, word: str) -> float | None:
-        best = self.insults.get(word)
-        for k in range(STEM_FROM, min(len(word), STEM_TO) + 1):
-            own = self.stems.get(word[:k])
-            best = own if best is None else max(best, own or best)
-        return best
-
-    def clause(self, text: str) -> float:
-        """Log odds of a clause; the machine starts anew in each."""
-        state, total = self.start, 0.0
+    def kind(self, word: str) -> str:
+        """The class of a word in lower case: the lexicon transducer."""
+        if word in self.insults:
+            return INSULT
+        for c in (INSULT, SUSPECT):
+            if self.begin[c] and self.begin[c].match(word):
+                return c
+        return self.classes.get(word) or (NEGATION if CONTRACTED.search(word) else OTHER)
+
+    def clause(self, text: str) -> tuple[float, float]:
+        """Log odds of a clause without its bias, and how many suspects count; the machine starts anew in each clause."""
+        state, total, suspects = self.start, 0.0, 0.0
         for word in WORD.findall(text):
-            own = self.weight(word)
-            state, out, w = self.machine[state][INSULT if own is not None else self.classes.get(word, OTHER)]
-            total += w + (SHARE[out] * own if own is not None else 0.0)
-        return total
-
-    def score(self, text: str) -> tuple[float, int]:
-        """Chance of toxicity, and the number of matched clauses."""
-        text = text.lower()
-        clean, n, done = 0.99, 0, -1
+            kind = self.kind(word)
+            state, out, w = self.machine[state][kind]
+            total += w
+            if kind == INSULT:
+                total += SHARE[out] * OWN
+            elif kind == SUSPECT:
+                suspects += SHARE[out]
+        return total, suspects
+
+    def clauses(self, text: str) -> Iterator[str]:
+        """The clauses of a text in lower case that hold a hit, each once."""
+        done = 0
         for m in self.hit.finditer(text):
             if m.start() < done:
                 continue
-            begin = max((x.end() for x in CLAUSE.finditer(text, max(0, m.start() - 400), m.start())), default=max(0, m.start() - 400))
+            begin = max(done, 1 + max(text.rfind(c, done, m.start()) for c in BREAKS))
             end = CLAUSE.search(text, m.end())
-            done = min(end.start() if end else len(text), m.end() + 400)
-            clean *= 1 - 1 / (1 + math.exp(1.5 - self.clause(text[begin:done])))
+            done = end.start() if end else len(text)
+            yield text[begin:done]
+
+    def score(self, text: str) -> tuple[float, int]:
+        """Chance of toxicity, and the number of matched clauses."""
+        clean, n, suspects = 1 - BASE, 0, 0.0
+        for clause in self.clauses(text.lower()):
+            total, own = self.clause(clause)
+            clean *= 1 - max(0.0, chance(total - BIAS) - chance(-BIAS))
+            suspects += own
             n += 1
+        if suspects:
+            clean *= 1 - self.dense(suspects, len(text.split()))
         return 1 - clean, n
 
+    def dense(self, suspects: float, words: int) -> float:
+        """Chance that so many suspects among so many words are those of a toxic document."""
+        x, n = self.lexicon, max(words, 1)
+        odds = x.prior + suspects * math.log(x.toxic_rate / x.clean_rate) - n * (x.toxic_rate - x.clean_rate)
+        return chance(odds + math.log(-math.expm1(-n * x.clean_rate)) - math.log(-math.expm1(-n * x.toxic_rate)))
 
-def learn_stems(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, train_rows: int = 20_000, least_share: float = 0.01, least_odds: float = 4.5) -> dict[str, float]:
-    """Word beginnings that toxic documents of the training folds have and others hardly ever do, with their log odds."""
+
+def stems_of(text: str | None) -> set[str]:
+    """The beginnings of a text's words."""
+    return {w[:k] for w in set(WORD.findall((text or "").lower())) for k in range(STEM_FROM, min(len(w), STEM_TO) + 1)}
+
+
+def learn(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, train_rows: int = 20_000, least_share: float = 0.01, pure_odds: float = 4.5, least_odds: float = 1.75) -> Lexicon:
+    """Word beginnings that toxic documents of the training folds have and others hardly ever (insults) or more seldom (suspects) do.
+
+    A stem needs ``least_share`` of the toxic documents, log odds of ``pure_odds`` as an insult or ``least_odds`` as a suspect, and
+    odds that stay above e when three standard errors worse.
+    """
     known = labels.where(F.col("toxic").isNotNull() & (crc_mod("doc_id", folds) != held)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = int((1 << 30) * min(1.0, train_rows / max(known.count(), 1)))
     drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share)  # about train_rows rows, so small enough to broadcast
@@ -152,61 +212,86 @@ def learn_stems(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int =
         toxic, clean = Counter(), Counter()
         for batch in batches:
             for text, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                found = {""}
-                for w in set(WORD.findall((text.as_py() or "").lower())):
-                    found.update(w[:k] for k in range(STEM_FROM, min(len(w), STEM_TO) + 1))
-                (toxic if y else clean).update(found)
+                (toxic if y else clean).update({"", *stems_of(text.as_py())})
                 if len(toxic) + len(clean) > 100_000:
                     yield emit(toxic, clean)
                     toxic, clean = Counter(), Counter()
         yield emit(toxic, clean)
 
     counts = arrow_map(rows, count, "stem string, toxic long, clean long").groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    counts, rows = counts.persist(), rows.persist()
+    counts, rows = counts.persist(StorageLevel.DISK_ONLY), rows.persist(StorageLevel.DISK_ONLY)
     try:
         total = counts.where("stem = ''").first()
         if not total or not total["toxic"]:
-            return {}
-        odds = F.log((F.col("toxic") + 0.25) / (total["toxic"] + 0.5)) - F.log((F.col("clean") + 0.25) / (total["clean"] + 0.5))
+            return Lexicon()
+        odds = F.log((F.col("toxic") + 0.5) / (total["toxic"] + 1)) - F.log((F.col("clean") + 0.5) / (total["clean"] + 1))
+        error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
         least = max(5, least_share * total["toxic"])
-        found = {r["stem"]: (r["toxic"], r["odds"]) for r in counts.where((F.col("stem") != "") & (F.col("toxic") >= least)).withColumn("odds", odds).where(F.col("odds") >= least_odds).collect()}  # at most (words of a text) / least_share
-
-        def having(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                own = []
-                for text in batch.column(0):
-                    words = set(WORD.findall((text.as_py() or "").lower()))
-                    own.append(sorted({w[:k] for w in words for k in range(STEM_FROM, min(len(w), STEM_TO) + 1)} & found.keys()))
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.string()))], ["stems"])
-
-        owners: dict[str, set[int]] = {}
-        for k, r in enumerate(arrow_map(rows.where("toxic = 1").select("text"), having, "stems array<string>").orderBy("stems").collect()):  # toxic rows of the sample
-            for stem in r["stems"]:
-                owners.setdefault(stem, set()).add(k)
+        able = counts.where((F.col("stem") != "") & (F.col("toxic") >= least)).withColumn("odds", odds).where((F.col("odds") >= least_odds) & (F.col("odds") - 3 * error >= 1))
+        found = {r["stem"]: (r["toxic"], r["odds"]) for r in able.collect()}  # at most (words of a text) / least_share
+        chosen = _explaining(rows, found, max(3, least_share * total["toxic"] / 2))
+        # and what is too common among toxic texts to be chance, the commonest form first, of equals the longest
+        for stem, (n, _) in sorted(found.items(), key=lambda x: (-x[1][0], -len(x[0]), x[0])):
+            if n >= 3 * least_share * total["toxic"] and not any(stem.startswith(x) or x.startswith(stem) for x in chosen):
+                chosen.append(stem)
+        lexicon = Lexicon(tuple(sorted(x for x in chosen if found[x][1] >= pure_odds)), tuple(sorted(x for x in chosen if found[x][1] < pure_odds)))
+        return _with_rates(rows, lexicon)
     finally:
         counts.unpersist()
         rows.unpersist()
-    # those that explain most, one after the other; what explains no further text is chance. Of equals the longest
-    stems: dict[str, float] = {}
+
+
+def _explaining(rows: DataFrame, found: dict[str, tuple[int, float]], least: float) -> list[str]:
+    """The stems that explain most toxic texts, one after the other; what explains no further ones is chance. Of equals the longest."""
+
+    def having(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sorted(stems_of(t.as_py()) & found.keys()) for t in batch.column(0)], pa.list_(pa.string()))], ["stems"])
+
+    owners: dict[str, set[int]] = {}
+    for k, r in enumerate(arrow_map(rows.where("toxic = 1").select("text"), having, "stems array<string>").orderBy("stems").collect()):  # toxic rows of the sample
+        for stem in r["stems"]:
+            owners.setdefault(stem, set()).add(k)
+    chosen = []
     while owners:
         stem = max(owners, key=lambda x: (len(owners[x]), len(x), x))
         own = owners.pop(stem)
-        if len(own) < max(3, least_share * total["toxic"] / 2):
+        if len(own) < least:
             break
-        stems[stem] = min(found[stem][1], 6.0)
+        chosen.append(stem)
         owners = {x: rest for x, texts in owners.items() if (rest := texts - own)}
-    # and what is too common among toxic texts to be chance, the commonest form first, of equals the longest
-    for stem, (n, odds) in sorted(found.items(), key=lambda x: (-x[1][0], -len(x[0]), x[0])):
-        if n >= 3 * least_share * total["toxic"] and not any(stem.startswith(x) or x.startswith(stem) for x in stems):
-            stems[stem] = min(odds, 6.0)
-    return stems
+    return chosen
+
 
+def _with_rates(rows: DataFrame, lexicon: Lexicon) -> Lexicon:
+    """The lexicon with the rates of its suspects, counted over the sample's documents that have any."""
+    if not lexicon.suspects:
+        return lexicon
 
-def score(docs: DataFrame, stems: dict[str, float]) -> DataFrame:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grammar, sums = Grammar(lexicon), [[0, 0.0, 0], [0, 0.0, 0]]
+        for batch in batches:
+            for text, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                text = text.as_py() or ""
+                suspects = sum(grammar.clause(c)[1] for c in grammar.clauses(text.lower()))
+                if suspects:
+                    sums[bool(y)] = [a + b for a, b in zip(sums[bool(y)], (1, suspects, len(text.split())), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), *(pa.array([s[k] for s in sums], t) for k, t in enumerate((pa.int64(), pa.float64(), pa.int64())))], ["toxic", "docs", "hits", "words"])
+
+    sums = {r["toxic"]: r for r in arrow_map(rows, count, "toxic int, docs long, hits double, words long").groupBy("toxic").agg(F.sum("docs").alias("docs"), F.sum(F.round(F.col("hits") * 100).cast("long")).alias("hits"), F.sum("words").alias("words")).collect()}
+    (clean, toxic) = (sums.get(k) for k in (0, 1))
+    if not toxic or not toxic["words"]:
+        return replace(lexicon, suspects=())
+    toxic_rate = toxic["hits"] / 100 / toxic["words"]
+    clean_rate = (clean["hits"] / 100 + 0.5) / (clean["words"] + 1000)
+    return replace(lexicon, toxic_rate=toxic_rate, clean_rate=min(clean_rate, toxic_rate / 2), prior=math.log((toxic["docs"] + 0.5) / (clean["docs"] + 0.5)))
+
+
+def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """doc_id, score, n_clauses."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grammar = Grammar(stems)
+        grammar = Grammar(lexicon)
         for batch in batches:
             found = [grammar.score(t.as_py() or "") for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.int32())], ["doc_id", "score", "n_clauses"])
@@ -216,17 +301,19 @@ def score(docs: DataFrame, stems: dict[str, float]) -> DataFrame:
 
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, **learning) -> DataFrame:
     """Per document doc_id, held_out, score, predicted, n_clauses."""
-    scored = score(docs, learn_stems(docs, labels, folds, held, **learning))
-    return scored.select("doc_id", (crc_mod("doc_id", folds) == held).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "n_clauses")
+    scored = score(docs, learn(docs, labels, folds, held, **learning))
+    held_out = F.coalesce(crc_mod("doc_id", folds) == held, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "n_clauses")
 
 
-def drop_toxic(docs: DataFrame, stems: dict[str, float]) -> DataFrame:
+def drop_toxic(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """The rows of docs, all columns, whose score is below the threshold. Nothing is shuffled."""
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grammar = Grammar(stems)
+        grammar = Grammar(lexicon)
         for batch in batches:
             yield batch.filter(pa.array([grammar.score(t.as_py() or "")[0] < THRESHOLD for t in batch.column(at)], pa.bool_()))
 
-    return arrow_map(docs, run, docs.schema)
+    plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))  # the Arrow step resolves columns by name, and names may be odd
+    return arrow_map(plain, run, plain.schema).toDF(*docs.columns)
