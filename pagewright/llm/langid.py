@@ -1,14 +1,14 @@
 """Language identification by sparse multinomial logistic regression on TF-IDF character n-grams.
 
 N-grams of one to three characters (letters in lower case, all else a space) are hashed into a fixed number of features. Term
-frequency is the share of a text's n-grams; document frequencies are counted over all documents. Weights are trained by
-follow-the-regularised-leader with elastic-net penalties, which leaves most of them at zero, and a temperature fitted to
-rows kept from training calibrates the scores.
-
-Training uses about ``train_rows`` labelled rows of the training folds, whatever the input's size; document frequencies come
-from every row. Nulls: a null text, and one without a letter, is `und` with score 0; null languages teach nothing. Texts
-of any length are read whole. Repeated rows each get a row. Extra columns are ignored; an empty table gives no rows, and
-without labelled rows every text is `und`.
+frequency is the share of a text's n-grams; document frequencies are counted over every labelled document of the training
+folds and no other. Weights are trained by follow-the-regularised-leader with elastic-net penalties, which leaves most of
+them at zero, and a temperature fitted to rows kept from training calibrates the scores.
+
+Weights come from about ``train_rows`` labelled rows of the training folds, whatever the input's size. Nulls: a null text, and
+one without a letter, is `und` with score 0; null languages and ids teach nothing, and a null id is not held out. Texts of any
+length are read whole. Repeated rows each get a row. Extra columns are ignored; an empty table gives no rows, and without
+labelled rows every text is `und`.
 """
 
 from __future__ import annotations
@@ -128,12 +128,12 @@ def train(docs: DataFrame, folds: int, held: int, train_rows: int) -> dict:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(at, pa.list_(pa.int32())), pa.array(share_of, pa.list_(pa.float32()))], ["doc_id", "lang", "at", "share"])
 
     rows = arrow_map(drawn, sparse, "doc_id long, lang string, at array<int>, share array<float>").where("size(at) > 0").toPandas()  # about train_rows sparse rows
-    df, n = document_frequencies(docs)
+    df, n = document_frequencies(known)
     idf = np.log((1 + n) / (1 + df)) + 1
     langs = sorted(rows.lang.unique())
     if not langs:
         return {"langs": []}
-    rows = rows.sort_values("doc_id", kind="stable")
+    rows = rows.assign(first=[tuple(x[:50]) for x in rows["at"]]).sort_values(["doc_id", "lang", "first"], kind="stable")  # an order that repeated ids leave alone
     index = {x: k for k, x in enumerate(langs)}
     # the norm is that of an even spread of the text's n-grams, so that scores are linear in the n-grams
     data = [(np.append(f, FEATURES), np.append(SCALE * np.asarray(s) * idf[f], 1.0), index[x]) for f, s, x in zip(map(np.asarray, rows["at"]), rows["share"], rows["lang"], strict=True)]
@@ -177,4 +177,5 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
 def identify(docs: DataFrame, folds: int = 4, held: int = 2, train_rows: int = 4_000) -> DataFrame:
     """Per document doc_id, held_out, lang_pred, score."""
     scored = predict(docs, train(docs, folds, held, train_rows))
-    return scored.select("doc_id", (crc_mod("doc_id", folds) == held).alias("held_out"), "lang_pred", "score")
+    held_out = F.coalesce(crc_mod("doc_id", folds) == held, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
