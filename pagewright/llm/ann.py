@@ -1,17 +1,21 @@
 """Approximate nearest neighbours by balanced posting lists.
 
-Centroids are fitted to a bounded sample by k-means with a penalty on full clusters, and a neighbour graph over them is
-kept in memory. Each vector goes to the list of its nearest centroid and, at a boundary, to further lists whose distance
+Centroids are fitted to a sample by k-means with a penalty on full clusters, and a neighbour graph over them is kept in
+memory. There are as many as the square root of the rows asks for: beyond what one sample on the driver can hold, the
+clusters of that sample are split further, each in its own task, so lists do not grow longer with the table. Each vector goes to the list of its nearest centroid and, at a boundary, to further lists whose distance
 is within a ratio of the nearest. A query walks the graph, keeps the lists within a ratio of its nearest, and is compared
 with every vector of those lists. Inner products become distances by one more coordinate that gives all vectors the
 same norm. Scores are inner products of the original vectors in double precision.
 
 A list that holds very many vectors, or meets very many queries, is dealt out in chunks, each searched on its own, so no
-task holds more than one chunk and nothing is dropped. A query whose lists hold fewer rows than it asks for is compared
-with all lists. Only the sample, the centroids and one count for each list reach the driver.
-
-Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part. Ties go to
-the smaller id; a repeated id counts once, with its best score. Other columns are ignored; an empty table gives no rows.
+task holds more than one chunk and nothing is dropped. A query reads every list within the ratio that its walk meets: the
+walk goes on with a wider beam as long as all of the beam is within it. A query whose lists hold fewer rows than it asks
+for is compared with all lists. Only the sample, the centroids (as many as the root of the rows) and one count for each
+list reach the driver.
+
+Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part, nor do rows
+without an id. Ties go to the smaller id; a repeated id counts once, with its best score. Other columns are ignored; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -63,7 +67,8 @@ class CentroidGraph:
         for s in range(0, k, 1024):
             d = self.distances(self.c[s : s + 1024])
             d[np.arange(len(d)), np.arange(s, s + len(d))] = np.inf if k > 1 else 0
-            near[s : s + 1024] = np.argsort(d, axis=1, kind="stable")[:, : near.shape[1]]
+            least = np.argpartition(d, near.shape[1] - 1, axis=1)[:, : near.shape[1]]
+            near[s : s + 1024] = np.take_along_axis(least, np.argsort(np.take_along_axis(d, least, 1), axis=1), 1)
         self.near = np.concatenate([near, np.random.default_rng(seed).integers(0, k, (k, links))], axis=1)
 
     def distances(self, q: np.ndarray) -> np.ndarray:
@@ -108,6 +113,20 @@ def _stack(column: pa.Array | pd.Series) -> np.ndarray:
     return np.stack(values).astype(np.float64) if len(values) else np.zeros((0, 1))
 
 
+def within(graph: CentroidGraph, q: np.ndarray, beam: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and squared distances of the lists whose distance is within the ratio of the nearest; -1 and inf where fewer."""
+    ids, d = graph.search(q, beam)
+    near = (ids >= 0) & (np.sqrt(d) <= ratio * np.sqrt(d[:, :1]))
+    ids, d = np.where(near, ids, -1), np.where(near, d, np.inf)
+    full = np.flatnonzero(near[:, -1]) if ids.shape[1] < len(graph.c) else []
+    if len(full):
+        more_ids, more_d = within(graph, q[full], 2 * beam, ratio)
+        wider = ((0, 0), (0, more_ids.shape[1] - ids.shape[1]))
+        ids, d = np.pad(ids, wider, constant_values=-1), np.pad(d, wider, constant_values=np.inf)
+        ids[full], d[full] = more_ids, more_d
+    return ids, d
+
+
 def _lists(rows: DataFrame, graph: CentroidGraph, norm2: float, beam: int, ratio: float, most: int | None, as_query: bool) -> DataFrame:
     """A row for each list that a vector goes to."""
 
@@ -117,9 +136,12 @@ def _lists(rows: DataFrame, graph: CentroidGraph, norm2: float, beam: int, ratio
                 part = batch.slice(s, 512)
                 v = _stack(part.column(1))
                 last = np.zeros(len(v)) if as_query else np.sqrt(np.maximum(norm2 - (v * v).sum(1), 0))
-                ids, d = graph.search(np.concatenate([v, last[:, None]], axis=1).astype(np.float32), beam)
-                keep = (ids >= 0) & (np.sqrt(d) <= ratio * np.sqrt(d[:, :1]))
-                if most:
+                x = np.concatenate([v, last[:, None]], axis=1).astype(np.float32)
+                if as_query:
+                    keep = (ids := within(graph, x, beam, ratio)[0]) >= 0
+                else:
+                    ids, d = graph.search(x, beam)
+                    keep = (ids >= 0) & (np.sqrt(d) <= ratio * np.sqrt(d[:, :1]))
                     keep[:, most:] = False
                 at, place = np.nonzero(keep)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), part.column(1).take(pa.array(at)), pa.array(ids[at, place].astype(np.int32))], ["vec_id", "embedding", "list"])
@@ -166,41 +188,67 @@ def _search(postings: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     return left.groupBy("list", "v", "q").cogroup(right.groupBy("list", "v", "q")).applyInPandas(compare, "query_id long, vec_id long, score double")
 
 
+def _split(usable: DataFrame, coarse: np.ndarray, norm2: float, lists: int, rows: int) -> np.ndarray:
+    """About `lists` centroids: the clusters of the coarse ones, each split in a task of its own by a sample of its vectors.
+
+    20 vectors are drawn for each list to be, over all; a cluster with more than four times the mean of them is cut to that.
+    """
+    share = int((1 << 30) * min(1.0, 20 * lists / rows))
+    drawn = usable.where(F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(1 << 30)) < share)
+    homes = _lists(drawn, CentroidGraph(coarse), norm2, 16, 1.0, 1, False)
+    in_order = Window.partitionBy("list").orderBy(F.xxhash64("vec_id"), "vec_id")
+    held = homes.withColumn("place", F.row_number().over(in_order)).where(F.col("place") <= 80 * lists // len(coarse))
+
+    def fit(part: pd.DataFrame) -> pd.DataFrame:
+        v = _stack(part.sort_values(["place", "vec_id"]).embedding)
+        x = np.concatenate([v, np.sqrt(np.maximum(norm2 - (v * v).sum(1), 0))[:, None]], axis=1)
+        return pd.DataFrame({"list": part.list.iloc[0], "centroid": list(fit_centroids(x, max(1, len(x) // 20)).astype(np.float64))})
+
+    found = held.groupBy("list").applyInPandas(fit, "list int, centroid array<double>").toPandas()  # one row for each list
+    return np.stack(found.sort_values("list", kind="stable").centroid).astype(np.float32)
+
+
 def nearest(vectors: DataFrame, is_query: str, k: int = 20, root: float = 0.5, sample: int = 20_000, boundary: float = 1.03, replicas: int = 4, probe: float = 1.15, beam: int = 128, scratch: Scratch | None = None) -> DataFrame:
     """The k nearest rows of each row that meets the SQL condition ``is_query``: query_id, rank, vec_id, score.
 
-    root: lists for each square root of the rows, while there are no more than sample / 20 lists. sample: vectors that
-    the centroids are fitted to, about. boundary, replicas: a vector goes to lists within this ratio of the nearest, so
-    many at most. probe, beam: a query reads the lists within this ratio among the beam that its walk found.
+    root: lists for each square root of the rows. sample: vectors, about, that centroids are fitted to at once on the driver;
+    more than sample / 20 lists come from splitting. boundary, replicas: a vector goes to lists within this ratio of the
+    nearest, so many at most. probe: a query reads the lists within this ratio. beam: how wide its walk begins.
     """
     spark = vectors.sparkSession
     scratch = scratch or Scratch(spark, "ann")
+    vectors = vectors.where("vec_id is not null")
     sizes = vectors.where("embedding is not null").groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n"))
     most = sizes.agg(F.max(F.struct("n", "d")).alias("top")).first()["top"]
     if most is None or most["d"] < 1:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    usable = vectors.where((F.size("embedding") == most["d"]) & finite).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    asks = F.coalesce(F.expr(is_query), F.lit(False)).alias("asks")
+    usable = vectors.where((F.size("embedding") == most["d"]) & finite).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), asks)
     facts = usable.agg(F.count("*").alias("n"), F.countDistinct("vec_id").alias("ids"), F.max(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)).alias("norm2")).first()
     if not facts["n"]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    queries, usable = usable.where("asks").drop("asks"), usable.drop("asks")
     share = int((1 << 30) * min(1.0, sample / facts["n"]))
-    drawn = usable.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < share).limit(2 * sample).select("embedding").toPandas()
-    drawn = drawn if len(drawn) else usable.limit(sample).select("embedding").toPandas()
-    x = _stack(drawn.embedding)
+    drawn = usable.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < share).limit(2 * sample).toPandas()
+    drawn = drawn if len(drawn) else usable.limit(sample).toPandas()
+    x = _stack(drawn.sort_values("vec_id", kind="stable").embedding)
     x = np.concatenate([x, np.sqrt(np.maximum(facts["norm2"] - (x * x).sum(1), 0))[:, None]], axis=1)
-    lists = int(max(1, min(root * facts["n"] ** 0.5, sample / 20, len(x) / 4)))
-    graph = CentroidGraph(fit_centroids(x, lists))
+    lists = max(1, int(root * facts["n"] ** 0.5))
+    held = max(1, min(lists, sample // 20, len(x) // 4))
+    centroids = fit_centroids(x, held)
+    if lists > held and facts["n"] >= 40 * lists:
+        centroids = _split(usable, centroids, facts["norm2"], lists, facts["n"])
+    graph = CentroidGraph(centroids)
 
     postings = scratch.save(_lists(usable, graph, facts["norm2"], 4 * replicas, boundary, replicas, False), "postings")
-    queries = usable.where(is_query)
     asked = scratch.save(_lists(queries, graph, facts["norm2"], beam, probe, None, True), "asked")
     found = scratch.save(_search(postings, asked, k), "found")
     need = min(k, facts["ids"] - 1)
     enough = found.groupBy("query_id").agg(F.countDistinct("vec_id").alias("n")).where(F.col("n") >= need)
     short = scratch.save(queries.join(enough, queries.vec_id == enough.query_id, "left_anti"), "short")
     if need and not short.isEmpty():
-        everywhere = short.withColumn("list", F.explode(F.sequence(F.lit(0), F.lit(lists - 1))))
+        everywhere = short.withColumn("list", F.explode(F.sequence(F.lit(0), F.lit(len(centroids) - 1))))
         found = found.unionByName(scratch.save(_search(postings, everywhere, k), "found_everywhere"))
     once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
