@@ -1,14 +1,15 @@
 """Quality scores from weak labels.
 
-Heuristic labellers look at a text and vote 'bad' or not at all. Their votes form one pattern for each document; patterns are
-counted over all documents (there are at most 2^labellers, so the counts fit anywhere), and expectation-maximisation over
-the counts estimates the share of good texts and how often each labeller votes on good and on bad ones, with
-no labels at all. The posterior of each pattern then labels texts for a linear scorer on hashed byte trigrams and shape
-features, which generalises beyond the heuristics.
-
-The scorer is fitted to about ``train_rows`` documents, whatever the input's size; vote counts come from every row. Nulls: a
-null text is an empty one; an empty text scores 0. Texts of any length are read whole. Repeated
-rows each get a row. Extra columns are ignored; an empty table gives no rows.
+Heuristic labellers look at a text and vote 'good' or 'bad', or abstain where a text is too short for them. Their votes form
+one pattern for each document; patterns are counted over all documents (there are at most 3^labellers, so the counts fit
+anywhere), and expectation-maximisation over the counts estimates the share of good texts and how often each labeller is
+wrong on good and right on bad ones, with no labels at all; who abstains says nothing. The posterior of each pattern then
+labels texts for a linear scorer on hashed byte trigrams and shape features, which generalises beyond the heuristics.
+
+The scorer is fitted to the features, at most ``FEATURES`` numbers each, of about ``train_rows`` documents, whatever the input's
+size; vote counts come from every row. Nulls: a null text is an empty one; an empty text scores 0; a null id stays null, and is
+drawn like any other. Texts of any length are read whole. Repeated rows each get a row. Extra columns are ignored; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -60,42 +61,43 @@ def facts(text: str) -> dict[str, float]:
     }
 
 
-#: The labellers: each says 'bad' or nothing.
+#: The labellers: how many words a text needs for a vote, and when the vote is 'bad'.
 VOTES = (
-    lambda f: f["n_words"] >= 10 and f["plain"] < 0.93,
-    lambda f: f["n_words"] >= 10 and f["upper"] > 0.15,
-    lambda f: f["n_words"] >= 30 and f["distinct_words"] < 0.35,
-    lambda f: f["n_words"] >= 30 and f["distinct_words"] < 0.15,
-    lambda f: f["distinct_lines"] < 0.7,
-    lambda f: f["n_words"] >= 10 and not 3 <= f["word_chars"] <= 8,
-    lambda f: f["n_words"] >= 30 and not 0.02 <= f["stops"] <= 0.35,
-    lambda f: f["symbols"] > 0.02,
-    lambda f: f["n_words"] < 1,
+    (10, lambda f: f["plain"] < 0.93),
+    (10, lambda f: f["upper"] > 0.15),
+    (30, lambda f: f["distinct_words"] < 0.35),
+    (1, lambda f: f["distinct_lines"] < 0.7),
+    (10, lambda f: not 3 <= f["word_chars"] <= 8),
+    (30, lambda f: not 0.02 <= f["stops"] <= 0.35),
+    (1, lambda f: f["symbols"] > 0.02),
+    (0, lambda f: f["n_words"] < 1),
 )
+ABSTAINS, BAD, GOOD = 0, 1, 2
 
 
 def pattern(f: dict[str, float]) -> int:
-    """The votes as bits."""
-    return sum(1 << k for k, vote in enumerate(VOTES) if vote(f))
+    """The votes as digits to the base of three, the first labeller's last."""
+    return sum(3**k * (ABSTAINS if f["n_words"] < least else BAD if bad(f) else GOOD) for k, (least, bad) in enumerate(VOTES))
 
 
-def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 50, cap: float = 0.05) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
-    """Share of good texts, P(vote | good), P(vote | bad) and each pattern's posterior of good, by expectation-maximisation.
+#: What labellers are taken for beforehand, as (rate of 'bad', votes that this is worth): on good texts and on bad ones.
+ON_GOOD, ON_BAD = (0.02, 50), (0.4, 2)
 
-    patterns: 0 or 1 for each labeller. Good texts are taken to get a labeller's vote once in twenty times at most (`cap`), which
-    also says which class is the good one.
+
+def estimate(votes: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """Share of good texts, P('bad' | good), P('bad' | bad) of each labeller that votes, and each pattern's posterior of good.
+
+    votes: a row for each pattern, a column for each labeller. Expectation-maximisation; which class is the good one follows
+    from what labellers are taken for beforehand, a few votes that weigh nothing in a large table.
     """
-    k = patterns.shape[1]
-    prior, on_good, on_bad = 0.8, np.full(k, 0.02), np.full(k, 0.4)
+    bad, good = votes == BAD, votes == GOOD
+    prior, on_good, on_bad = 0.8, np.full(votes.shape[1], ON_GOOD[0]), np.full(votes.shape[1], ON_BAD[0])
     post = np.full(len(counts), prior)
     for _ in range(rounds):
-        good = prior * np.prod(np.where(patterns == 1, on_good, 1 - on_good), axis=1)
-        bad = (1 - prior) * np.prod(np.where(patterns == 1, on_bad, 1 - on_bad), axis=1)
-        post = good / (good + bad)
-        w_good, w_bad = post * counts, (1 - post) * counts
-        prior = float(np.clip(w_good.sum() / max(counts.sum(), 1), 0.05, 0.95))
-        on_good = np.minimum((w_good @ patterns + 1) / (w_good.sum() + 50), cap)
-        on_bad = np.maximum((w_bad @ patterns + 1) / (w_bad.sum() + 2), 0.1)
+        apart = np.log(prior / (1 - prior)) + bad @ np.log(on_good / on_bad) + good @ np.log((1 - on_good) / (1 - on_bad))
+        post = 1 / (1 + np.exp(-np.clip(apart, -500, 500)))
+        prior = float((post @ counts + 1) / (counts.sum() + 2))
+        on_good, on_bad = (((w @ bad) + rate * worth) / (w @ (bad | good) + worth) for w, (rate, worth) in ((post * counts, ON_GOOD), ((1 - post) * counts, ON_BAD)))
     return prior, on_good, on_bad, post
 
 
@@ -119,9 +121,8 @@ def _shape(row: dict) -> list[float]:
     return [min(1.0, s * row[k]) for k, s in zip(SHAPE, (1.0, 2.0, 1.0, 1.0, 10.0, 2.0), strict=True)] + [min(1.0, np.log1p(row["n_words"]) / 10), min(1.0, row["word_chars"] / 20)]
 
 
-def train(rows: Iterator[tuple[str, list[float], float]], epochs: int = 3, rate: float = 0.1) -> np.ndarray:
+def train(data: list[tuple[np.ndarray, np.ndarray, float]], epochs: int = 3, rate: float = 0.1) -> np.ndarray:
     """Logistic regression on soft labels, by adaptive gradient steps."""
-    data = [(*_hashed(t, s), y) for t, s, y in rows]
     w, g2 = np.zeros(256 + FEATURES), np.full(256 + FEATURES, 1e-6)
     rng = np.random.default_rng(10)
     for _ in range(epochs):
@@ -160,18 +161,35 @@ def _scored(docs: DataFrame, posterior: dict[int, float], w: np.ndarray) -> Data
     return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, score double, posterior double, pattern int")
 
 
-def quality(docs: DataFrame, train_rows: int = 4_000) -> DataFrame:
-    """Per document doc_id, score (chance of good), predicted (score >= 0.5), posterior of its votes, pattern (the votes as bits)."""
-    counts = sorted((r["pattern"], r["n"]) for r in _patterns(docs).collect())  # at most 2^9 rows
+def _features(docs: DataFrame) -> DataFrame:
+    """What the scorer learns from: hashed features and votes, not the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ats, values, marks = [], [], []
+            for text in batch.column(0):
+                text = text.as_py() or ""
+                f = facts(text)
+                at, value = _hashed(text, _shape(f))
+                ats.append(at.astype(np.int32))
+                values.append(value)
+                marks.append(pattern(f))
+            yield pa.RecordBatch.from_arrays([pa.array(ats, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64())), pa.array(marks, pa.int32())], ["at", "value", "pattern"])
+
+    return arrow_map(docs.select("text"), run, "at array<int>, value array<double>, pattern int")
+
+
+def learn(docs: DataFrame, train_rows: int = 4_000) -> tuple[dict[int, float], np.ndarray]:
+    """The posterior of each pattern of votes, and the scorer's weights."""
+    counts = sorted((r["pattern"], r["n"]) for r in _patterns(docs).collect())  # at most 3^8 rows
     code, number = np.array([c for c, _ in counts], dtype=np.int64), np.array([n for _, n in counts], dtype=np.float64)
-    *_, post = estimate(code[:, None] >> np.arange(len(VOTES)) & 1, number)
+    *_, post = estimate(code[:, None] // 3 ** np.arange(len(VOTES)) % 3, number)
     posterior = {int(c): float(p) for c, p in zip(code, post, strict=True)}
     share = int((1 << 30) * min(1.0, train_rows / max(number.sum(), 1)))
-    drawn = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share).select(F.coalesce("text", F.lit("")).alias("text")).orderBy("text").toLocalIterator()
+    drawn = _features(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share)).orderBy("at", "value").toPandas()  # about train_rows rows of bounded size
+    return posterior, train([(np.asarray(a), np.asarray(v), posterior[m]) for a, v, m in zip(drawn["at"], drawn["value"], drawn["pattern"], strict=True)])
 
-    def soft(text: str) -> tuple[str, list[float], float]:
-        f = facts(text)
-        return text, _shape(f), posterior.get(pattern(f), 0.5)
 
-    w = train(soft(r["text"]) for r in drawn)
-    return _scored(docs, posterior, w).select("doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "posterior", "pattern")
+def quality(docs: DataFrame, train_rows: int = 4_000) -> DataFrame:
+    """Per document doc_id, score (chance of good), predicted (score >= 0.5), posterior of its votes, pattern (the votes as digits)."""
+    return _scored(docs, *learn(docs, train_rows)).select("doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "posterior", "pattern")
