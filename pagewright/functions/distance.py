@@ -16,9 +16,15 @@ LONG = 100_000
 
 
 def bit_distance(a, b) -> int:
-    """Edit distance of two sequences of hashable symbols."""
+    """Edit distance of two sequences of hashable symbols; what they begin and end with in common costs nothing."""
     if len(a) < len(b):
         a, b = b, a
+    first, last = 0, len(b)
+    while first < last and a[first] == b[first]:
+        first += 1
+    while last > first and a[last - 1 - len(b)] == b[last - 1]:
+        last -= 1
+    a, b = a[first : len(a) - len(b) + last], b[first:last]
     if not len(b):
         return len(a)
     m = len(b)

@@ -1,13 +1,18 @@
 """Text metrics as column expressions: distances, multiset overlap, rates, and the blended score.
 
 Rates are exact ratios of integers, rounded half to even at four decimals in integer arithmetic, so every engine gets the
-same digits. All expressions are built-ins; nothing leaves the JVM but the normal form of non-ASCII text.
+same digits. What no built-in does in time linear in a text (multisets, distances of long texts, normal forms) runs in one
+Arrow step, which sees nulls for pairs that are equal.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from . import text as T
 from .distance import char_distance, long_word_distance
@@ -38,29 +43,28 @@ def word_distance(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(0)).otherwise(distance)
 
 
-def shared_chars(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection of two strings' characters: each distinct one counts by what its removal takes."""
+@F.pandas_udf(IntegerType())
+def _shared_chars(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None else (Counter(x) & Counter(y)).total() for x, y in zip(a, b, strict=True)], dtype="Int32")
 
-    def times(s: Column, c: Column) -> Column:
-        return F.length(s) - F.length(F.replace(s, c, F.lit("")))
 
-    return T.let(F.struct(a.alias("a"), b.alias("b")), lambda p: F.aggregate(F.array_distinct(T.chars(p["a"])), F.lit(0), lambda n, c: n + F.least(times(p["a"], c), times(p["b"], c))))
+@F.pandas_udf(IntegerType())
+def _shared_words(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None else (Counter(x.split(" ")) & Counter(y.split(" "))).total() for x, y in zip(a, b, strict=True)], dtype="Int32")
 
 
-def shared_words(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection of two collapsed texts' words. Each word is padded on both sides, so repeats don't overlap."""
+def _where_apart(form, a: Column, b: Column, same: Column) -> Column:
+    return F.coalesce(form(F.when(a != b, a), F.when(a != b, b)), F.when(a == b, same))
 
-    def padded(s: Column) -> Column:
-        return F.concat(F.lit(" "), F.replace(s, F.lit(" "), F.lit("  ")), F.lit(" "))
 
-    def times(s: Column, w: Column) -> Column:
-        own = F.concat(F.lit(" "), w, F.lit(" "))
-        return ((F.length(s) - F.length(F.replace(s, own, F.lit("")))) / F.length(own)).cast("int")
+def shared_chars(a: Column, b: Column) -> Column:
+    """Size of the multiset intersection of two strings' characters."""
+    return _where_apart(_shared_chars, a, b, F.length(a))
+
 
-    return T.let(
-        F.struct(padded(a).alias("a"), padded(b).alias("b")),
-        lambda p: F.aggregate(F.array_distinct(T.words(a)), F.lit(0), lambda n, w: n + F.least(times(p["a"], w), times(p["b"], w))),
-    )
+def shared_words(a: Column, b: Column, a_words: Column) -> Column:
+    """Size of the multiset intersection of two collapsed texts' words."""
+    return _where_apart(_shared_words, a, b, F.size(a_words))
 
 
 def with_counts(pairs: DataFrame, predicted: str = "predicted", truth: str = "ground_truth") -> DataFrame:
@@ -73,8 +77,7 @@ def with_counts(pairs: DataFrame, predicted: str = "predicted", truth: str = "gr
     return once.withColumns({
         "p_len": F.length("p"), "g_len": F.length("g"), "p_n": F.size("p_words"), "g_n": F.size("g_words"),
         "char_dist": char_distance(c("p"), c("g")), "word_dist": F.coalesce(long_word_distance(c("p"), c("g"), c("p_words"), c("g_words")), word_distance(c("p_words"), c("g_words"))),
-        "char_shared": F.when(c("p") == c("g"), F.length("p")).otherwise(shared_chars(c("p"), c("g"))),
-        "word_shared": F.when(c("p") == c("g"), F.size("p_words")).otherwise(shared_words(c("p"), c("g"))),
+        "char_shared": shared_chars(c("p"), c("g")), "word_shared": shared_words(c("p"), c("g"), c("p_words")),
     })
 
 

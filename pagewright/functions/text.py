@@ -113,18 +113,23 @@ def fold_alef(s: Column) -> Column:
 
 
 def arabic_punct(s: Column) -> Column:
-    """Western , ; ? next to Arabic turn Arabic. What was just turned counts as Arabic for the next, so a run turns forwards."""
+    """Western , ; ? next to Arabic turn Arabic. What was just turned counts as Arabic for the next, so a run turns forwards:
+    all of it after Arabic, and only its last one before Arabic. Runs and what lies between them are the pieces of a split."""
 
-    def turned(c: Column) -> Column:
-        def step(done: Column, i: Column) -> Column:
-            here = F.element_at(c, i)
-            before = F.right(done, F.lit(1)).rlike(f"[{ARABIC}]")
-            after = F.coalesce(F.try_element_at(c, i + 1).rlike(f"[{ARABIC}]"), F.lit(False))
-            return F.concat(done, F.when(here.isin(*WESTERN) & (before | after), F.translate(here, WESTERN, EASTERN)).otherwise(here))
+    def turned(pieces: Column) -> Column:
+        def turn(x: Column) -> Column:
+            return F.translate(x, WESTERN, EASTERN)
 
-        return F.aggregate(F.sequence(F.lit(1), F.size(c)), F.lit(""), step)
+        def one(piece: Column, i: Column) -> Column:
+            before = F.right(F.get(pieces, i - 1), F.lit(1)).rlike(f"[{ARABIC}]")
+            after = F.left(F.get(pieces, i + 1), F.lit(1)).rlike(f"[{ARABIC}]")
+            last = F.concat(F.left(piece, F.length(piece) - 1), turn(F.right(piece, F.lit(1))))
+            return F.when(piece.rlike("^[,;?]"), F.when(before, turn(piece)).when(after, last).otherwise(piece)).otherwise(piece)
 
-    return let(s, lambda t: F.when(t.rlike("[,;?]") & t.rlike(f"[{ARABIC}]"), let(chars(t), turned)).otherwise(t))
+        return F.array_join(F.transform(pieces, one), "")
+
+    edges = "(?<=[,;?])(?![,;?])|(?<![,;?])(?=[,;?])"
+    return let(s, lambda t: F.when(t.rlike("[,;?]") & t.rlike(f"[{ARABIC}]"), let(F.split(t, edges), turned)).otherwise(t))
 
 
 def filter_isolated(s: Column) -> Column:
@@ -143,3 +148,18 @@ def arabic_correct(s: Column, alef: bool = False, isolated: bool = True) -> Colu
     t = fold_alef(t) if alef else t
     t = filter_isolated(t) if isolated else t
     return F.when(blank(s), s).otherwise(strip(t))
+
+
+@F.pandas_udf(StringType())
+def _shaped(s: pd.Series) -> pd.Series:
+    try:
+        from arabic_reshaper import reshape
+        from bidi.algorithm import get_display
+    except ImportError:  # without them the text is shown as it is stored
+        return s
+    return s.map(lambda x: x if x is None else get_display(reshape(x)))
+
+
+def display(s: Column) -> Column:
+    """Text in the order and shapes of display, where it holds Arabic and the libraries for it are there."""
+    return F.coalesce(_shaped(F.when(s.rlike(r"[\x{0600}-\x{06FF}]"), s)), s)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..schemas import CATALOG
+from ..schemas import CATALOG, LANGUAGES
 
 #: The aliases that ask for a whole preset.
 PRESET_ALIASES = ("OCR_WITHOUT_LLM_CAPABILITIES", "ocr_without_llm_capabilities", "pure_ocr", "pure-ocr")
@@ -61,6 +61,36 @@ def select_models(requests: DataFrame, models: DataFrame, preset: tuple[str, ...
     return asked.join(F.broadcast(models.where("loaded")), F.array_contains("names", F.col("name")) & supports(F.col("language"))).select("request_id", "model_ord", "name")
 
 
+def run_options(models: DataFrame, preset: tuple[str, ...]) -> DataFrame:
+    """One row: the loaded models in order (as `list_models` has them), their names, the languages one may ask for, and the presets."""
+    loaded = list_models(models)
+    one = F.struct("model_ord", "name", "tier", "languages", "loaded")
+    found = loaded.agg(F.array_sort(F.collect_list(one)).alias("loaded_models"))
+    names = F.transform("loaded_models", lambda x: x["name"]).alias("available_model_names")
+    return found.select("loaded_models", names, F.array(*map(F.lit, LANGUAGES)).alias("available_languages"), F.create_map(F.lit(PRESET_ALIASES[0]), F.array(*map(F.lit, preset))).alias("presets"))
+
+
+def admit(requests: DataFrame, models: DataFrame, preset: tuple[str, ...], batch: bool = False) -> DataFrame:
+    """Per request its status and what the answer tells: names asked for, unknown ones, and, if any is, the sorted loaded names.
+
+    422: a name that is not loaded was asked for; 404: none of the names supports the language, which a batch lets pass.
+    """
+    asked = resolve_models(requests, models, preset)
+    unknown = unknown_models(requests, models).groupBy("request_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "name"))), lambda x: x["name"]).alias("unknown"))
+    chosen = select_models(requests, models, preset).groupBy("request_id").agg(F.count("*").alias("n_selected"))
+    loaded = models.where("loaded").agg(F.sort_array(F.collect_list("name")).alias("all_loaded"))
+    met = requests.select("request_id", "language").join(asked, "request_id").join(unknown, "request_id", "left").join(chosen, "request_id", "left").crossJoin(F.broadcast(loaded))
+    status = F.when(F.col("unknown").isNotNull(), 422).when(F.col("n_selected").isNull() & F.lit(not batch), 404).otherwise(200)
+    message = F.when(F.col("status") == 422, F.lit("models that are not loaded")).when(F.col("status") == 404, F.format_string("no loaded model supports '%s'", "language")).otherwise("")
+    told = met.withColumn("status", status).withColumn("message", message)
+    none = F.array().cast("array<string>")
+    return told.select("request_id", "status", "message", F.col("names").alias("requested"), F.coalesce("unknown", none).alias("unknown"), F.when(F.col("status") == 422, F.col("all_loaded")).otherwise(none).alias("loaded"), F.coalesce("n_selected", F.lit(0).cast("long")).alias("n_selected"))
+
+
+def has_alternate(language: str) -> bool:
+    return any(x == language and o > 0 for x, o, _ in ENGINES)
+
+
 def engine_config(languages: DataFrame) -> DataFrame:
     """Engines of each language in order; a language without one keeps a row of nulls."""
     spark = languages.sparkSession

@@ -67,15 +67,22 @@ def page_score(detections: DataFrame, pages: DataFrame, key: list[str] = PAGE) -
     return pages.join(sums, key, "left").select(*pages.columns, round_at(F.coalesce("page_score", F.lit(0.0)), 6).alias("page_score"))
 
 
-def avg_confidence(detections: DataFrame, key: list[str] = PAGE) -> DataFrame:
+def avg_confidence(detections: DataFrame, key: list[str] = PAGE, pages: DataFrame | None = None) -> DataFrame:
+    """n_lines and mean confidence of each key; with ``pages``, 0 and 0.0 for those that have no lines."""
     total = folded_sum("det_ord", "conf")
-    return detections.groupBy(*key).agg((total / F.count("*")).alias("a"), F.count("*").alias("n_lines")).select(*key, "n_lines", round_at(F.col("a"), 4).alias("avg_confidence"))
+    found = detections.groupBy(*key).agg((total / F.count("*")).alias("a"), F.count("*").alias("n_lines"))
+    if pages is not None:
+        found = pages.select(*key).join(found, key, "left").na.fill({"a": 0.0, "n_lines": 0})
+    return found.select(*key, "n_lines", round_at(F.col("a"), 4).alias("avg_confidence"))
 
 
-def median_height(s: Settings = Settings()) -> Column:
-    """Median of positive box heights; the default where there are fewer than three boxes or none is positive."""
+def median_height(s: Settings = Settings(), over=None) -> Column:
+    """Median of positive box heights; the default where there are fewer than three boxes or none is positive. Of a group, or over a window."""
     h = F.col("y2") - F.col("y1")
-    return F.when(F.count("*") < 3, F.lit(float(s.band_tolerance))).otherwise(F.coalesce(F.percentile(F.when(h > 0, h), F.lit(0.5)), F.lit(float(s.band_tolerance))))
+    n, middle = F.count("*"), F.percentile(F.when(h > 0, h), F.lit(0.5))
+    if over is not None:
+        n, middle = n.over(over), middle.over(over)
+    return F.when(n < 3, F.lit(float(s.band_tolerance))).otherwise(F.coalesce(middle, F.lit(float(s.band_tolerance))))
 
 
 def median_box_height(detections: DataFrame, key: list[str] = PAGE, s: Settings = Settings()) -> DataFrame:

@@ -21,7 +21,14 @@ def pair_by_position(files: DataFrame, truths: DataFrame, key: list[str]) -> Dat
 
 
 def counts_match(files: DataFrame, truths: DataFrame) -> bool:
-    return files.count() == truths.count()
+    """Whether there are as many of one as of the other, by one job. Files are best given as they came, before recognition."""
+    both = files.agg(F.count("*").alias("files")).crossJoin(truths.agg(F.count("*").alias("truths"))).first()  # one row each
+    return both["files"] == both["truths"]
+
+
+def total_elapsed(calls: DataFrame, by: list[str], ms: str = "inference_time_ms") -> DataFrame:
+    """Sum of the times of single calls, each of two decimals, by whole hundredths."""
+    return calls.groupBy(*by).agg((F.sum(F.round(F.col(ms) * 100).cast("long")) / 100).alias("total_ms"), F.count(ms).alias("n_calls"))
 
 
 def with_models(rows: DataFrame, models: list[tuple[str, Column]]) -> DataFrame:
@@ -65,4 +72,4 @@ def best_models(evaluated: DataFrame, key: list[str]) -> DataFrame:
 
 def per_image(evaluated: DataFrame, key: list[str]) -> DataFrame:
     """One row for each evaluated image and model, with a preview of the text."""
-    return evaluated.where(ok()).select(*key, "model", "cer", "word_f1", F.left("predicted", F.lit(200)).alias("preview"))
+    return evaluated.where(ok()).select(*key, "model", "cer", "wer", "word_f1", "overall_accuracy", F.left("predicted", F.lit(200)).alias("preview"))

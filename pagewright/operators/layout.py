@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 from pyspark.sql.window import Window
 
 from ..config import Settings
@@ -16,44 +19,60 @@ def reading_order_ltr(detections: DataFrame, key: list[str] = PAGE) -> DataFrame
     return detections.withColumn("read_ord", F.row_number().over(w))
 
 
-def detect_columns(detections: DataFrame, key: list[str] = PAGE, s: Settings = Settings()) -> DataFrame:
-    """Per page n_lines, page_width, the largest gap between neighbouring centres, and split_x (null: one column).
-
-    Pages with fewer than six lines, or whose gap is under a tenth of the width, have one column.
-    """
+def _with_gaps(detections: DataFrame, key: list[str]) -> DataFrame:
+    """Adds cx, a line's place `at` among the centres of its page, the centre `before` it, and the gap to that."""
     w = Window.partitionBy(*key).orderBy("cx", "det_ord")
     centred = detections.withColumn("cx", F.col("x1") + (F.col("x2") - F.col("x1")) / 2)
-    stepped = centred.withColumns({"at": F.row_number().over(w), "before": F.lag("cx").over(w)}).withColumn("gap", F.col("cx") - F.col("before"))
-    widest = F.max(F.struct("gap", (-F.col("at")).alias("first"), ((F.col("cx") + F.col("before")) / 2).alias("middle")))
-    pages = stepped.groupBy(*key).agg(F.count("*").alias("n_lines"), F.max("x2").alias("page_width"), widest.alias("w"))
-    wide = (F.col("n_lines") >= 6) & (F.col("page_width") != 0) & (F.col("w.gap") / F.when(F.col("page_width") != 0, F.col("page_width")) >= s.column_gap_ratio)
-    return pages.select(*key, "n_lines", "page_width", F.col("w.gap").alias("max_gap"), F.when(wide, F.col("w.middle")).alias("split_x"))
+    return centred.withColumns({"at": F.row_number().over(w), "before": F.lag("cx").over(w)}).withColumn("gap", F.col("cx") - F.col("before"))
+
+
+def _widest() -> Column:
+    """The first of the largest gaps of a page, with its middle."""
+    return F.max(F.struct("gap", (-F.col("at")).alias("first"), ((F.col("cx") + F.col("before")) / 2).alias("middle")))
+
 
+def _split(n_lines: Column, width: Column, widest: Column, s: Settings) -> Column:
+    """Where a page is split in two columns; null for one, as with fewer than six lines or a gap under a tenth of the width."""
+    wide = (n_lines >= 6) & (width != 0) & (widest["gap"] / F.when(width != 0, width) >= s.column_gap_ratio)
+    return F.when(wide, widest["middle"])
 
-def bands_of(lines: Column, tolerance: Column) -> Column:
-    """Numbers the bands of an array of structs with cy, in its order: a line opens a band if its centre is `tolerance` or more from
-    the band's first line. The anchor stays with that first line, so this is a fold and not a matter of neighbours."""
-    start = F.struct(F.lit(-1).alias("band"), F.lit(None).cast("double").alias("anchor"), F.array().cast("array<int>").alias("bands"))
 
-    def step(state: Column, line: Column) -> Column:
-        opens = state["anchor"].isNull() | (F.abs(line["cy"] - state["anchor"]) >= tolerance)
-        band = state["band"] + opens.cast("int")
-        return F.struct(band.alias("band"), F.when(opens, line["cy"]).otherwise(state["anchor"]).alias("anchor"), F.concat(state["bands"], F.array(band)).alias("bands"))
+def detect_columns(detections: DataFrame, key: list[str] = PAGE, s: Settings = Settings()) -> DataFrame:
+    """Per page n_lines, page_width, the largest gap between neighbouring centres, and split_x (null: one column)."""
+    pages = _with_gaps(detections, key).groupBy(*key).agg(F.count("*").alias("n_lines"), F.max("x2").alias("page_width"), _widest().alias("w"))
+    return pages.select(*key, "n_lines", "page_width", F.col("w.gap").alias("max_gap"), _split(F.col("n_lines"), F.col("page_width"), F.col("w"), s).alias("split_x"))
+
+
+@F.pandas_udf(ArrayType(IntegerType()))
+def bands_of(centres: pd.Series, tolerance: pd.Series) -> pd.Series:
+    """Numbers the bands of ascending centres: a line opens a band if its centre is `tolerance` or more from the band's first line.
+
+    The anchor stays with that first line, so bands are not a matter of neighbours; from one anchor the next is searched.
+    """
+
+    def one(cy: np.ndarray, reach: int) -> np.ndarray:
+        opens = np.zeros(len(cy), dtype=np.int32)
+        at = int(np.searchsorted(cy, cy[0] + reach)) if len(cy) else 0
+        while at < len(cy):
+            opens[at] = 1
+            at = max(at + 1, int(np.searchsorted(cy, cy[at] + reach)))
+        return np.cumsum(opens, dtype=np.int32)
 
-    return F.aggregate(lines, start, step, lambda state: state["bands"])
+    return pd.Series([one(np.asarray(c, dtype=np.float64), t) for c, t in zip(centres, tolerance, strict=True)])
 
 
 def line_bands(detections: DataFrame, key: list[str] = PAGE, s: Settings = Settings()) -> DataFrame:
-    """Adds col (0: right or only column), band within it, and cy to every line. One task holds one page."""
-    c = F.col
-    columns = detect_columns(detections, key, s).select(*key, "split_x")
-    heights = detections.groupBy(*key).agg(F.greatest(F.lit(s.band_tolerance), (median_height(s) * 0.4).cast("int")).alias("tol"))
-    placed = detections.join(columns, key).join(heights, key).withColumns({"cy": (c("y1") + c("y2")) / 2, "centre": (c("x1") + c("x2")) / 2})
-    placed = placed.withColumn("col", F.when(c("split_x").isNull() | (c("centre") >= c("split_x")), 0).otherwise(1))
+    """Adds col (0: right or only column), band within it, and cy to every line. One task holds one page, and lines move once."""
+    c, page = F.col, Window.partitionBy(*key)
+    facts = [F.count("*").over(page).alias("n_lines"), F.max("x2").over(page).alias("page_width"), _widest().over(page).alias("widest"), median_height(s, page).alias("height")]
+    seen = _with_gaps(detections, key).select(*detections.columns, F.struct(*facts).alias("_page"))
+    split = _split(c("_page.n_lines"), c("_page.page_width"), c("_page.widest"), s)
+    placed = seen.withColumns({"cy": (c("y1") + c("y2")) / 2, "tol": F.greatest(F.lit(s.band_tolerance), (c("_page.height") * 0.4).cast("int")), "split_x": split})
+    placed = placed.withColumn("col", F.when(c("split_x").isNull() | ((c("x1") + c("x2")) / 2 >= c("split_x")), 0).otherwise(1))
     rest = [x for x in detections.columns if x not in key]
     pages = placed.groupBy(*key, "col").agg(F.first("tol").alias("tol"), F.array_sort(F.collect_list(F.struct("cy", "det_ord", *(x for x in rest if x != "det_ord")))).alias("lines"))
-    numbered = pages.withColumn("lines", F.arrays_zip("lines", bands_of(c("lines"), c("tol")).alias("band")))
-    return numbered.select(*key, "col", F.explode("lines").alias("l")).select(*key, *(F.col(f"l.lines.{x}").alias(x) for x in rest), "col", F.col("l.band").alias("band"), F.col("l.lines.cy").alias("cy"))
+    numbered = pages.withColumn("bands", bands_of(F.transform("lines", lambda x: x["cy"]), c("tol")))
+    return numbered.select(*key, "col", F.posexplode("lines").alias("i", "l"), "bands").select(*key, *(c(f"l.{x}").alias(x) for x in rest), "col", F.get("bands", c("i")).alias("band"), c("l.cy").alias("cy"))
 
 
 def reading_order_rtl(detections: DataFrame, key: list[str] = PAGE, s: Settings = Settings()) -> DataFrame:

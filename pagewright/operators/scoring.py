@@ -10,6 +10,14 @@ from ..functions import text as T
 from .detections import PAGE, folded_sum, median_height, overlaps_next
 
 PASS = [*PAGE, "engine", "engine_ord", "variant", "variant_ord"]
+# The factors of the score.
+TOKEN_WEIGHT = 4.5
+DENSE_MARKS, DENSE_FACTOR = 0.40, 0.3
+LOW_BOXES_FACTOR = 0.4
+FOREIGN, FOREIGN_FACTOR, HALF_FOREIGN, HALF_FACTOR, MIXED_FOREIGN = 0.30, 0.2, 0.50, 0.5, 0.10
+VARIANT_FACTORS = {"upscaled_2x": 0.88, "downscaled_0.75x": 0.93}
+REPEATED_FACTOR = 0.5
+OVERLAP_SHARE = 0.20
 
 
 def joined_text(order: str = "det_ord", text: str = "text") -> Column:
@@ -31,20 +39,25 @@ def score_column(language: Column, variant: Column, s: Settings = Settings()) ->
     ratio = T.arabic_ratio(text)
     mixed = (1.0 - ratio) > s.mixed_page_ratio
     one = F.lit(1.0)
-    foreign = F.when(mixed, F.when(ratio < 0.10, 0.2).otherwise(one)).otherwise(F.when(ratio < 0.30, 0.2).when(ratio < 0.50, 0.5).otherwise(one))
-    arabic = F.sqrt(F.greatest(one, T.arabic_word_tokens(text) * 4.5)) * conf
-    arabic = arabic * F.when(T.diacritic_density(text) > 0.40, 0.3).otherwise(one)
-    arabic = arabic * F.when(F.col("median_height") < 2 * s.min_box_height, 0.4).otherwise(one) * foreign
+    foreign = F.when(mixed, F.when(ratio < MIXED_FOREIGN, FOREIGN_FACTOR).otherwise(one)).otherwise(F.when(ratio < FOREIGN, FOREIGN_FACTOR).when(ratio < HALF_FOREIGN, HALF_FACTOR).otherwise(one))
+    arabic = F.sqrt(F.greatest(one, T.arabic_word_tokens(text) * TOKEN_WEIGHT)) * conf
+    arabic = arabic * F.when(T.diacritic_density(text) > DENSE_MARKS, DENSE_FACTOR).otherwise(one)
+    arabic = arabic * F.when(F.col("median_height") < 2 * s.min_box_height, LOW_BOXES_FACTOR).otherwise(one) * foreign
     latin = F.sqrt(F.greatest(one, F.length(text).cast("double"))) * conf
     score = F.when(language == "ar", arabic).otherwise(latin)
-    score = score * F.when(variant == "upscaled_2x", 0.88).when(variant == "downscaled_0.75x", 0.93).otherwise(one)
-    score = score * F.when(T.repeated_run(text), 0.5).otherwise(one)
+    for name, factor in VARIANT_FACTORS.items():
+        score = score * F.when(variant == name, factor).otherwise(one)
+    score = score * F.when(T.repeated_run(text), REPEATED_FACTOR).otherwise(one)
     return F.when(text == "", F.lit(0.0)).otherwise(score)
 
 
-def score_passes(passes: DataFrame, language: str | Column, key: list[str] = PASS, s: Settings = Settings()) -> DataFrame:
+def score_passes(passes: DataFrame, language: str | Column, key: list[str] = PASS, s: Settings = Settings(), planned: DataFrame | None = None) -> DataFrame:
+    """Facts and score of each pass; with ``planned``, the passes that were run, also of those that found nothing, which score 0."""
     language = F.lit(language) if isinstance(language, str) else language
-    return pass_facts(passes, key, s).withColumn("score", score_column(language, F.col("variant"), s))
+    facts = pass_facts(passes, key, s)
+    if planned is not None:
+        facts = planned.select(*key).join(facts, key, "left").na.fill({"page_text": "", "n_lines": 0, "mean_conf": 0.0, "median_height": float(s.band_tolerance)})
+    return facts.withColumn("score", score_column(language, F.col("variant"), s))
 
 
 def select_best_pass(scored: DataFrame, key: list[str] = PAGE) -> DataFrame:
@@ -67,6 +80,7 @@ def fallback_reasons(detections: DataFrame, pages: DataFrame, key: list[str] = P
     marked = detections.withColumn("over", overlaps_next(key).cast("int"))
     facts = marked.groupBy(*key).agg(n.alias("n"), joined_text().alias("t"), (folded_sum("det_ord", "conf") / n).alias("conf"), median_height(s).alias("h"), F.sum("over").alias("over"))
     low = 2 * s.min_box_height
+    # The texts of the reasons.
     reasons = F.array_compact(F.array(
         F.when(c("n") < s.fallback_min_lines, F.lit(f"low_line_count<{s.fallback_min_lines}")),
         F.when(F.length("t") < s.fallback_min_chars, F.lit(f"low_char_count<{s.fallback_min_chars}")),
@@ -74,7 +88,7 @@ def fallback_reasons(detections: DataFrame, pages: DataFrame, key: list[str] = P
         F.when(T.arabic_ratio(c("t")) < s.fallback_min_arabic, F.lit(f"low_arabic_ratio<{s.fallback_min_arabic:.2f}")),
         F.when(T.repeated_run(c("t")), F.lit("repeated_char_pattern")),
         F.when(c("h") < low, F.format_string(f"low_median_box_height<{low}px(got %.1fpx)", c("h"))),
-        F.when((c("n") >= 4) & (c("over") / (c("n") - 1) > 0.20), F.format_string("bbox_vertical_overlap_fragmentation(%d/%dpairs)", c("over"), c("n") - 1)),
+        F.when((c("n") >= 4) & (c("over") / (c("n") - 1) > OVERLAP_SHARE), F.format_string("bbox_vertical_overlap_fragmentation(%d/%dpairs)", c("over"), c("n") - 1)),
     ))
     found = facts.select(*key, reasons.alias("reasons"))
     out = pages.join(found, key, "left").withColumn("reasons", F.coalesce("reasons", F.array(F.lit("empty_primary_result"))))

@@ -26,6 +26,7 @@ UPLOADS = [
     ("a.jpg", "image/jpeg", 10, "ffd8ff", "x"), ("b.png", "image/png", 20 * 1024 * 1024, "89504e470d0a", "x"), ("c.png", "image/png", 20 * 1024 * 1024 + 1, "89504e47", "x"),
     ("d.txt", "text/plain", 9, "736f6d65", "x"), ("e.pdf", "application/pdf", 30, "255044462d312e37", "  "), ("f.pdf", "application/pdf", 31, "20200a25504446", "y"),
     ("g.webp", "image/webp", 5, "52494646", ""), ("h.tiff", "image/tiff", 6, "49492a00", "z"), ("i", None, 1, "", None),
+    ("j.pdf", "application/pdf", 2004, "20" * 2000 + "25504446", "w"), ("k.pdf", "application/pdf", 9, "0b0c0d0a0925504446", "v"), ("l.pdf", "application/pdf", 6, "00255044462d", "v"),
 ]
 UNICODE = [
     ("nfd", "e\u0301te\u0301"), ("zero_width", "\u0645\u200c\u0631\u200d\u062d\u200b\u0628\u200e\u0627\u200f\ufeff"), ("presentation", "\ufedb\ufdf2"), ("kashida", "\u0645\u0640\u0640\u0640\u0631"),
@@ -45,6 +46,9 @@ PAYLOADS = [
 ]
 PLAN_PAGES = [(1, "en", 1000, 800, 3.0), (2, "ar", 1000, 800, 0.1), (3, "ar", 1000, 800, -0.2), (4, "ar", 3001, 800, 0.0), (5, "ar", 800, 3000, 0.5), (6, "hi", 5000, 5000, 1.0), (7, "ar", 800, 4000, -9.0)]
 AREAS = [(1, 1, 900.0, True), (1, 2, 2500.0, False), (1, 3, 2000.0, True), (1, 4, 2000.0, True), (2, 1, 10.0, True), (3, 1, 5000.0, False), (3, 2, 1500.0, True)]
+AREAS += [(4, k, 9000.0 - k, False) for k in range(15)] + [(4, 15, 8000.0, True)] + [(5, k, 9000.0 - k, False) for k in range(14)] + [(5, 14, 8000.0, True), (5, 15, 7999.0, True)]
+#: Latin text in Arabic letters, one sign for another; e and y become marks, so that all branches of scoring are met.
+LATIN, ARABIC = "abcdefghijklmnopqrstuvwxyz", "\u0627\u0628\u062a\u062b\u064e\u062c\u062d\u062e\u062f\u0630\u0631\u0632\u0633\u0634\u0635\u0636\u0637\u0638\u0639\u063a\u0641\u0642\u0643\u0644\u0650\u0645"
 
 
 def frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
@@ -74,6 +78,24 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.lit(0).alias("page_idx"))
 
 
+def planned(spark: SparkSession, sf_dir: str, engines: tuple = ENGINES) -> DataFrame:
+    """The passes that are run on each page, whether they find anything or not."""
+    each = F.array(*(F.struct(F.lit(v).alias("variant"), F.lit(vo).alias("variant_ord"), F.lit(e).alias("engine"), F.lit(eo).alias("engine_ord")) for v, vo, _ in VARIANTS for e, eo in engines))
+    return pages(spark, sf_dir).withColumn("p", F.explode(each)).select("doc_id", "page_idx", "p.*")
+
+
+def in_languages(found: DataFrame) -> DataFrame:
+    """Each language's engine is made to see the lines whose place leaves its number as the remainder by three, or all."""
+    langs = F.array(*(F.struct(F.lit(x).alias("language"), F.lit(o).alias("lang_ord")) for x, o in LANGUAGES))
+    return found.where("conf > 0.3").withColumn("l", F.explode(langs)).select(*found.columns, "l.language", "l.lang_ord").where("(det_ord + doc_id) % 3 <> lang_ord")
+
+
+def page_images(spark: SparkSession, sf_dir: str, width: int = 48, height: int = 64) -> DataFrame:
+    """A picture for each page: rows of noise that follow from its text, light above and dark below a line that depends on it."""
+    texts = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(0).alias("page_idx"), F.sha2("text", 256).alias("h"))
+    return texts.select("doc_id", "page_idx", F.lit(width).alias("width"), F.lit(height).alias("height"), F.lit(3).alias("n_channels"), F.unhex(F.repeat("h", F.lit(width * height * 3 // 32))).alias("data"))
+
+
 def passes(spark: SparkSession, sf_dir: str, engines: tuple = ENGINES) -> DataFrame:
     """Detections under each variant and engine, without a fifth of the lines, at the variant's scale."""
     c = F.col

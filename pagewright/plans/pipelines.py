@@ -1,86 +1,193 @@
-"""The three request pipelines over DataFrames: recognise, evaluate, evaluate a batch."""
+"""The request pipelines over DataFrames: recognise (in one language, simply, or in the best language), evaluate, evaluate a batch."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions import text as T
 from ..functions.metrics import round_at
+from ..operators import catalog as C
 from ..operators import evaluation as E
 from ..operators import layout as L
 from ..operators import scoring as S
-from ..operators.detections import PAGE, avg_confidence, filter_detections, rescale
+from ..operators.detections import PAGE, filter_detections, page_score, rescale
 
+SIDE = [*PAGE, "alternate"]
+#: How the engines of a language with an alternate are compared.
+PRIMARY_ONLY, FALLBACK, ALWAYS = "primary_only", "fallback_enabled_with_dual_output", "always_compare_v5_v3"
 
-def chosen_passes(passes: DataFrame, language: str, alternate: bool = False, s: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
-    """The kept lines of all passes, and for each page which pass won.
 
-    The first engine's best pass is the primary; with ``alternate`` the best pass of the other engines takes its place if it
-    scores more than the margin above it.
+def kept_lines(passes: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """Noise is dropped at the scale of the pass, and only then are boxes brought to the scale of the page."""
+    kept = filter_detections(passes, s)
+    return rescale(kept) if "scale" in passes.columns else kept
+
+
+def best_of_sides(kept: DataFrame, language: str, alternate: bool, s: Settings = Settings(), planned: DataFrame | None = None) -> DataFrame:
+    """The best pass of the first engine of each page and, with ``alternate``, of the others: variant, engine, score, n_passes by SIDE."""
+    scored = S.score_passes(kept, language, s=s, planned=planned).withColumn("alternate", F.col("engine_ord") > 0)
+    return S.select_best_pass(scored if alternate else scored.where("engine_ord = 0"), SIDE)
+
+
+def winners(best: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """Per page variant, engine, score of the pass that counts, both sides' scores, and the passes run.
+
+    The alternate's best takes the place of the primary if it scores more than the margin above it.
     """
-    kept = rescale(filter_detections(passes, s)) if "scale" in passes.columns else filter_detections(passes, s)
-    scored = S.score_passes(kept, language, s=s)
-    primary = S.select_best_pass(scored.where("engine_ord = 0"))
-    if not alternate:
-        return kept, primary.select(*PAGE, "variant", "engine", "score", F.lit(False).alias("replaced"), F.col("score").alias("primary_score"), F.lit(None).cast("double").alias("alt_score"), "n_passes")
-    other = S.select_best_pass(scored.where("engine_ord > 0"))
-    won = S.replace_with_margin(primary, other, s=s).join(primary.select(*PAGE, F.col("score").alias("primary_score"), "n_passes"), PAGE)
-    alt = other.select(*PAGE, F.col("score").alias("alt_score"), F.col("n_passes").alias("alt_passes"))
-    return kept, won.join(alt, PAGE, "left").withColumn("n_passes", F.col("n_passes") + F.coalesce("alt_passes", F.lit(0))).drop("alt_passes")
+    sides = {x: F.max(F.when(F.col("alternate") == (x == "alt"), F.struct("variant", "engine", "score"))).alias(x) for x in ("primary", "alt")}
+    met = best.groupBy(*PAGE).agg(*sides.values(), F.sum("n_passes").alias("n_passes"))
+    replaced = F.coalesce(F.col("alt.score") > F.col("primary.score") * (1.0 + s.replace_margin), F.col("primary").isNull())
+    won = F.when(replaced, F.col("alt")).otherwise(F.col("primary"))
+    return met.select(*PAGE, won["variant"].alias("variant"), won["engine"].alias("engine"), won["score"].alias("score"), replaced.alias("replaced"), F.col("primary.score").alias("primary_score"), F.col("alt.score").alias("alt_score"), "n_passes")
+
+
+def with_corrected(lines: DataFrame, language: str, s: Settings = Settings()) -> DataFrame:
+    return lines.withColumn("text_corrected", T.arabic_correct(F.col("text"), s.fold_alef, s.filter_isolated) if language == "ar" else F.col("text"))
 
 
 def page_lines(kept: DataFrame, won: DataFrame, language: str, s: Settings = Settings()) -> DataFrame:
     """Lines of the winning passes with raw and corrected text, in reading order; lines that correction empties are gone."""
     lines = kept.join(won.select(*PAGE, "variant", "engine"), [*PAGE, "variant", "engine"]).select(*PAGE, "det_ord", "text", "conf", "x1", "y1", "x2", "y2")
-    corrected = T.arabic_correct(F.col("text"), s.fold_alef, s.filter_isolated) if language == "ar" else F.col("text")
-    return L.reading_order(lines.withColumn("text_corrected", corrected).where("text_corrected <> ''"), language, s=s)
-
-
-def recognised_documents(passes: DataFrame, language: str, alternate: bool = False, s: Settings = Settings()) -> DataFrame:
-    """doc_id, doc_text, raw_text, n_lines, avg_confidence, n_pages, and for Arabic doc_type and diacritic_density."""
-    lines = page_lines(*chosen_passes(passes, language, alternate, s), language, s)
-    texts = L.assemble_documents(L.assemble_pages(lines, text="text_corrected"))
-    raw = L.assemble_documents(L.assemble_pages(lines)).withColumnRenamed("doc_text", "raw_text")
-    facts = avg_confidence(lines, ["doc_id"]).join(lines.groupBy("doc_id").agg(F.countDistinct("page_idx").alias("n_pages")), "doc_id")
-    out = texts.join(raw, "doc_id").join(facts, "doc_id")
-    if language != "ar":
+    return L.reading_order(with_corrected(lines, language, s).where("text_corrected <> ''"), language, s=s)
+
+
+def assemble(lines: DataFrame, pages: DataFrame | None = None, s: Settings = Settings()) -> DataFrame:
+    """doc_id, doc_text, raw_text, n_lines, avg_confidence, n_pages, from lines with read_ord, text, text_corrected, conf.
+
+    Lines of a page are joined by line feeds and pages by blank lines, in one aggregation. With ``pages``, all pages count, and a
+    document without lines has an empty text and a confidence of 0.
+    """
+    listed = F.array_sort(F.collect_list(F.struct("page_idx", "read_ord", F.col("text_corrected").alias("t"), F.col("text").alias("raw"), "conf")))
+
+    def joined(x: str) -> Column:
+        def glue(line: Column, i: Column) -> Column:
+            before = F.get("lines", i - 1)["page_idx"]
+            return F.concat(F.when(before.isNull(), "").when(before == line["page_idx"], "\n").otherwise("\n\n"), line[x])
+
+        return F.array_join(F.transform("lines", glue), "")
+
+    found = lines.groupBy("doc_id").agg(listed.alias("lines"))
+    n = F.size("lines")
+    mean = F.aggregate("lines", F.lit(0.0), lambda a, x: a + x["conf"]) / n
+    out = found.select("doc_id", joined("t").alias("doc_text"), joined("raw").alias("raw_text"), n.cast("long").alias("n_lines"), round_at(mean, 4).alias("avg_confidence"), F.size(F.array_distinct(F.transform("lines", lambda x: x["page_idx"]))).cast("long").alias("n_pages"))
+    if pages is None:
         return out
-    return out.withColumns({"doc_type": T.doc_type(F.col("doc_text")), "diacritic_density": round_at(T.diacritic_density(F.col("doc_text")), 4)})
+    counted = pages.groupBy("doc_id").agg(F.count("*").alias("n_pages"))
+    return counted.join(out.drop("n_pages"), "doc_id", "left").na.fill({"doc_text": "", "raw_text": "", "n_lines": 0, "avg_confidence": 0.0}).select(*out.columns)
+
+
+def with_kind_of_text(documents: DataFrame) -> DataFrame:
+    return documents.withColumns({"doc_type": T.doc_type(F.col("doc_text")), "diacritic_density": round_at(T.diacritic_density(F.col("doc_text")), 4)})
+
 
+def recognised_documents(passes: DataFrame, language: str, alternate: bool = False, s: Settings = Settings(), pages: DataFrame | None = None, planned: DataFrame | None = None) -> DataFrame:
+    """The documents that `assemble` gives from the winning passes, and for Arabic doc_type and diacritic_density.
 
-def page_diagnostics(passes: DataFrame, pages: DataFrame, language: str, alternate: bool = False, mode: str = "fallback_enabled_with_dual_output", s: Settings = Settings()) -> DataFrame:
-    """Per page which pass won, both scores, how the engines were compared, and the reasons for a second one.
+    An alternate engine is only asked where the language has one.
+    """
+    kept = kept_lines(passes, s)
+    won = winners(best_of_sides(kept, language, alternate and C.has_alternate(language), s, planned), s)
+    out = assemble(page_lines(kept, won, language, s), pages, s)
+    return with_kind_of_text(out) if language == "ar" else out
+
+
+def simple_documents(detections: DataFrame, language: str, s: Settings = Settings(), pages: DataFrame | None = None) -> DataFrame:
+    """One pass a page, its lines in the engine's order and uncorrected."""
+    lines = kept_lines(detections, s).withColumns({"read_ord": F.col("det_ord"), "text_corrected": F.col("text")})
+    out = assemble(lines, pages, s)
+    return with_kind_of_text(out) if language == "ar" else out
+
+
+def all_language_documents(detections: DataFrame, pages: DataFrame, languages: tuple[tuple[str, int], ...], s: Settings = Settings()) -> DataFrame:
+    """detections: one pass a page for each language (language, lang_ord). Each page takes the language with the highest page score.
 
-    The reasons are told and not acted on. In the other mode, always_compare_v5_v3, there are none.
+    Adds resolved_page_languages, an array in page order; a page on which no language sees anything resolves to the first.
     """
-    kept, won = chosen_passes(passes, language, alternate, s)
-    first = S.select_best_pass(S.score_passes(kept.where("engine_ord = 0"), language, s=s))
-    primary = kept.join(first.select(*PAGE, "variant", "engine"), [*PAGE, "variant", "engine"])
-    reasons = S.fallback_reasons(primary, pages, s=s)
-    told = F.lit(alternate and mode == "fallback_enabled_with_dual_output")
-    return reasons.join(won, PAGE, "left").select(
+    kept = kept_lines(detections, s)
+    asked = pages.select(*PAGE, F.explode(F.array(*(F.struct(F.lit(x).alias("language"), F.lit(o).alias("lang_ord")) for x, o in languages))).alias("l")).select(*PAGE, "l.*")
+    vote = S.language_vote(page_score(kept, asked, [*PAGE, "language", "lang_ord"]))
+    lines = kept.join(vote.select(*PAGE, "language"), [*PAGE, "language"])
+    out = assemble(lines.withColumns({"read_ord": F.col("det_ord"), "text_corrected": F.col("text")}), pages, s)
+    resolved = vote.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("page_idx", "language"))), lambda x: x["language"]).alias("resolved_page_languages"))
+    return out.join(resolved, "doc_id")
+
+
+def many_passes(language: str, s: Settings = Settings()) -> bool:
+    """Whether a request runs all variants and engines: not in the best-language mode, and only for greatest accuracy."""
+    return s.max_accuracy and language != "all"
+
+
+def run(passes: DataFrame, pages: DataFrame, language: str, alternate: bool = False, s: Settings = Settings(), languages: tuple[tuple[str, int], ...] = ()) -> DataFrame:
+    """The documents of a request; passes holds what the mode of the request asks for."""
+    if many_passes(language, s):
+        return recognised_documents(passes, language, alternate, s, pages)
+    return all_language_documents(passes, pages, languages, s) if language == "all" else simple_documents(passes, language, s, pages)
+
+
+def page_diagnostics(passes: DataFrame, pages: DataFrame, language: str, alternate: bool = False, mode: str = FALLBACK, s: Settings = Settings(), planned: DataFrame | None = None) -> DataFrame:
+    """Per page which pass won, both scores, how the engines were compared, the reasons for a second one, and both sides' texts.
+
+    The reasons are told and not acted on; comparing always has none. Lines that correction empties stay as empty lines here.
+    """
+    alternate = alternate and C.has_alternate(language)
+    kept = kept_lines(passes, s)
+    best = best_of_sides(kept, language, alternate, s, planned)
+    chosen = kept.join(best.select(*SIDE, "variant", "engine"), [*PAGE, "variant", "engine"]).select(*SIDE, "det_ord", "text", "conf", "x1", "y1", "x2", "y2")
+    ordered = L.reading_order(with_corrected(chosen, language, s), language, SIDE, s)
+    listed = F.array_sort(F.collect_list(F.struct("read_ord", "text", "text_corrected")))
+    texts = ordered.groupBy(*SIDE).agg(listed.alias("l")).select(*SIDE, *(F.array_join(F.col("l").getField(c), "\n").alias(c) for c in ("text", "text_corrected")))
+    sides = texts.groupBy(*PAGE).agg(*(F.coalesce(F.max(F.when(F.col("alternate") == (x == "alt"), F.col(c))), F.lit("")).alias(f"{x}_response_{name}_text") for x in ("primary", "alt") for c, name in (("text", "raw"), ("text_corrected", "corrected"))))
+    told = alternate and mode == FALLBACK
+    reasons = S.fallback_reasons(chosen.where("not alternate"), pages.select(*PAGE), s=s) if told else pages.select(*PAGE, F.array().cast("array<string>").alias("reasons"), F.lit(False).alias("triggered"))
+    met = reasons.join(winners(best, s), PAGE, "left").join(sides, PAGE, "left")
+    return met.select(
         *PAGE, F.col("variant").alias("selected_variant"), F.col("engine").alias("selected_engine"), round_at(F.col("primary_score"), 3).alias("primary_best_score"), round_at(F.col("alt_score"), 3).alias("alt_best_score"),
-        F.lit(mode if alternate else "primary_only").alias("comparison_mode"), (told & F.col("triggered")).alias("fallback_triggered"), F.when(told, F.array_join("reasons", "|")).otherwise("").alias("fallback_reasons"), F.coalesce("n_passes", F.lit(0)).alias("n_passes"),
+        F.lit(mode if alternate else PRIMARY_ONLY).alias("comparison_mode"), F.col("triggered").alias("fallback_triggered"), F.col("reasons").alias("fallback_reasons"),
+        *(F.coalesce(f"{x}_response_{n}_text", F.lit("")).alias(f"{x}_response_{n}_text") for x in ("primary", "alt") for n in ("raw", "corrected")), F.coalesce("n_passes", F.lit(0)).alias("n_passes"),
     )
 
 
-def metadata(documents: DataFrame, language: str, s: Settings = Settings()) -> DataFrame:
-    """doc_id and metadata as JSON; keys that don't apply are left out."""
-    c, arabic = F.col, language == "ar"
-    parts = [c("n_pages").alias("page_count"), F.lit(s.max_accuracy and language != "all").alias("max_accuracy_mode"), c("raw_text").alias("raw_text_before_correction")]
+def metadata(documents: DataFrame, language: str, s: Settings = Settings(), diagnostics: DataFrame | None = None, inputs: DataFrame | None = None, drawings: DataFrame | None = None) -> DataFrame:
+    """doc_id and metadata as JSON; keys that don't apply are left out.
+
+    diagnostics: of pages. inputs: doc_id, page_idx, roi_warp_applied, roi_warp_reason (without it, no page was warped).
+    drawings: doc_id, page_idx, name, path.
+    """
+    c, parts = F.col, []
+
+    def by_page(rows: DataFrame, value: Column, name: str) -> DataFrame:
+        found = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_idx", value.alias("v")))).alias("l"))
+        return documents.join(found.select("doc_id", F.transform("l", lambda x: x["v"]).alias(name)), "doc_id", "left")
+
+    parts += [c("n_pages").alias("page_count"), F.lit(many_passes(language, s)).alias("max_accuracy_mode"), c("raw_text").alias("raw_text_before_correction")]
+    if drawings is not None:
+        found = drawings.groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.concat(F.lit("p"), "page_idx", F.lit("_"), "name"), "path")))).alias("_drawn"))
+        documents = documents.join(found, "doc_id", "left")
+        parts.append(c("_drawn").alias("debug_visualizations"))
+    if diagnostics is not None:
+        shown = [x for x in diagnostics.columns if x not in (*PAGE, "n_passes")]
+        documents = by_page(diagnostics, F.struct(*shown), "_diagnostics")
+        parts.append(c("_diagnostics").alias("f2_page_diagnostics"))
+    unwarped = F.struct(F.lit(False).alias("roi_warp_applied"), F.lit("disabled").alias("roi_warp_reason"))
+    if inputs is not None:
+        documents = by_page(inputs, F.struct("roi_warp_applied", "roi_warp_reason"), "_inputs")
+    parts.append((c("_inputs") if inputs is not None else F.array_repeat(unwarped, c("n_pages").cast("int"))).alias("input_pipeline"))
     if language == "all":
-        parts.append(F.lit("best_single_language_engine_per_page").alias("best_effort_language_mode"))
-    if arabic:
+        parts += [F.lit("best_single_language_engine_per_page").alias("best_effort_language_mode"), c("resolved_page_languages")]
+    if language == "ar":
         parts.append(F.struct(F.lit(s.fold_alef).alias("normalize_alef"), F.lit(False).alias("normalize_bidi"), F.lit(s.filter_isolated).alias("filter_isolated_letters"), F.lit(s.mixed_page_ratio).alias("mixed_page_ratio_threshold")).alias("arabic_pipeline"))
         parts += [F.when(c("doc_text") != "", c("doc_type")).alias("arabic_doc_type"), F.when(c("doc_text") != "", c("diacritic_density")).alias("arabic_diacritic_density")]
     return documents.select("doc_id", F.to_json(F.struct(*parts)).alias("metadata"))
 
 
-def batch(files: DataFrame, truths: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Per-image rows and the summary by model, from recognised files and truths paired by position."""
-    if not E.counts_match(files.select(*key).distinct(), truths):
+def batch(files: DataFrame, truths: DataFrame, key: list[str], uploads: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Per-image rows and the summary by model, from recognised files and truths paired by position.
+
+    uploads: the files as they came, one row each; counting them costs no recognition.
+    """
+    if not E.counts_match(files.select(*key).distinct() if uploads is None else uploads, truths):
         raise ValueError("one line of ground truth is needed for each file")
     evaluated = E.evaluate(E.pair_by_position(files, truths, key))
     return E.per_image(evaluated, key), E.batch_summary(evaluated)

@@ -14,6 +14,7 @@ from ..operators import catalog as C
 from ..operators import detections as D
 from ..operators import evaluation as E
 from ..operators import layout as L
+from ..operators import pages as pictures
 from ..operators import scoring as S
 from ..sources import documents as docs
 from ..sources import sinks
@@ -60,13 +61,44 @@ def overlay_labels(spark, sf):
 
 @query
 def json_sink(spark, sf):
-    rows = D.avg_confidence(_found(spark, sf)).select("doc_id", "n_lines")
+    rows = D.avg_confidence(_found(spark, sf), pages=X.pages(spark, sf)).select("doc_id", "n_lines")
     return sinks.as_json(rows)
 
 
+@query
+def batch_ordinals(spark, sf):
+    """Files by path, in an order that is not that of their ids."""
+    files = X.table(spark, sf, "documents").select("doc_id", F.concat(F.lpad(((F.col("doc_id") * 7919) % 10007).cast("string"), 5, "0"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".png")).alias("path"))
+    return docs.with_ordinal(files)
+
+
 # Catalogue and planning
 
 
+@query
+def run_options(spark, sf):
+    c = F.col
+    row = C.run_options(C.catalog(spark, X.CATALOG), X.PRESET)
+    return row.select(F.transform("loaded_models", lambda x: F.concat_ws("/", x["name"], x["tier"].cast("string"), F.array_join(x["languages"], "+"))).alias("m"), "*").select(
+        F.array_join("m", ",").alias("loaded_models"), F.array_join("available_model_names", ",").alias("available_model_names"), F.array_join("available_languages", ",").alias("available_languages"), F.to_json(c("presets")).alias("presets")
+    )
+
+
+def _admitted(spark, batch):
+    rows = C.admit(X.frame(spark, X.REQUESTS, "request_id int, models string, language string"), C.catalog(spark, X.CATALOG), X.PRESET, batch)
+    return rows.select("request_id", "status", "message", *(F.array_join(x, ",").alias(x) for x in ("requested", "unknown", "loaded")), "n_selected")
+
+
+@query
+def admit_requests(spark, sf):
+    return _admitted(spark, False)
+
+
+@query
+def admit_batches(spark, sf):
+    return _admitted(spark, True)
+
+
 @query
 def list_models(spark, sf):
     return C.list_models(C.catalog(spark, X.CATALOG)).withColumn("languages", F.array_join("languages", ","))
@@ -166,7 +198,7 @@ def page_score(spark, sf):
 
 @query
 def avg_confidence(spark, sf):
-    return D.avg_confidence(_found(spark, sf))
+    return D.avg_confidence(_found(spark, sf), pages=X.pages(spark, sf))
 
 
 @query
@@ -204,7 +236,8 @@ def reading_order_rtl(spark, sf):
 
 @query
 def assemble_document(spark, sf):
-    return L.assemble_documents(L.assemble_pages(L.reading_order_ltr(_found(spark, sf))))
+    texts = L.assemble_documents(L.assemble_pages(L.reading_order_ltr(_found(spark, sf))))
+    return X.pages(spark, sf).select("doc_id").join(texts, "doc_id", "left").na.fill({"doc_text": ""})
 
 
 # Passes
@@ -221,8 +254,8 @@ def all_passes(spark, sf):
     return primary.unionByName(alternate).groupBy("doc_id").agg(F.countDistinct("engine", "variant").alias("n_passes"), F.count("*").alias("n_lines"))
 
 
-def _scored(spark, sf, language="en"):
-    return S.score_passes(D.filter_detections(D.rescale(X.passes(spark, sf))), language)
+def _scored(spark, sf):
+    return S.score_passes(P.kept_lines(X.passes(spark, sf)), "en", planned=X.planned(spark, sf))
 
 
 @query
@@ -232,23 +265,27 @@ def score_pass_latin(spark, sf):
 
 @query
 def score_pass_arabic(spark, sf):
+    """The passes with their text in Arabic letters, and the few cases that no table has."""
+    passes = X.passes(spark, sf).withColumn("text", F.translate("text", X.LATIN, X.ARABIC))
+    scored = S.score_passes(P.kept_lines(passes), "ar", planned=X.planned(spark, sf)).select(F.concat_ws("/", F.col("doc_id").cast("string"), "engine", "variant").alias("case_id"), "score")
     rows = X.frame(spark, X.UNICODE, "case_id string, s string").select("case_id", F.col("s").alias("page_text"), F.lit(0.5).alias("mean_conf"), F.lit(20.0).alias("median_height"))
-    return rows.select("case_id", M.round_at(S.score_column(F.lit("ar"), F.lit("original")), 6).alias("score"))
+    cases = rows.select("case_id", S.score_column(F.lit("ar"), F.lit("original")).alias("score"))
+    return scored.unionByName(cases).select("case_id", M.round_at(F.col("score"), 6).alias("score"))
 
 
-def _ranked(spark, sf):
-    return _scored(spark, sf).withColumn("score", M.round_at(F.col("score"), 3))
+def _rounded(best):
+    return best.withColumn("score", M.round_at(F.col("score"), 3)).drop("page_idx")
 
 
 @query
 def select_best_pass(spark, sf):
-    return S.select_best_pass(_ranked(spark, sf)).drop("page_idx")
+    return _rounded(S.select_best_pass(_scored(spark, sf)))
 
 
 @query
 def replace_margin(spark, sf):
-    ranked = _ranked(spark, sf)
-    return S.replace_with_margin(S.select_best_pass(ranked.where("engine = 'v3'")), S.select_best_pass(ranked.where("engine = 'v5'"))).drop("page_idx")
+    scored = _scored(spark, sf)
+    return _rounded(S.replace_with_margin(S.select_best_pass(scored.where("engine = 'v3'")), S.select_best_pass(scored.where("engine = 'v5'"))))
 
 
 @query
@@ -258,26 +295,52 @@ def fallback_reasons(spark, sf):
 
 @query
 def language_vote(spark, sf):
-    """Each language's engine is made to see the lines whose place leaves its number as the remainder by three, or all."""
     langs = F.array(*(F.struct(F.lit(x).alias("language"), F.lit(o).alias("lang_ord")) for x, o in X.LANGUAGES))
-    seen = _found(spark, sf).where("conf > 0.3").withColumn("l", F.explode(langs)).select("*", "l.language", "l.lang_ord").where("(det_ord + doc_id) % 3 <> lang_ord")
     asked = X.pages(spark, sf).withColumn("l", F.explode(langs)).select("doc_id", "page_idx", "l.language", "l.lang_ord")
-    return S.language_vote(D.page_score(seen, asked, ["doc_id", "page_idx", "language", "lang_ord"])).drop("page_idx")
+    return S.language_vote(D.page_score(X.in_languages(_found(spark, sf)), asked, ["doc_id", "page_idx", "language", "lang_ord"])).drop("page_idx")
 
 
 @query
 def recognised_documents(spark, sf):
-    return P.recognised_documents(X.passes(spark, sf), "en").drop("raw_text")
+    return P.recognised_documents(X.passes(spark, sf), "en", pages=X.pages(spark, sf), planned=X.planned(spark, sf)).drop("raw_text")
+
+
+@query
+def simple_documents(spark, sf):
+    return P.simple_documents(X.detections(spark, sf), "en", pages=X.pages(spark, sf)).drop("raw_text")
+
+
+@query
+def all_language_documents(spark, sf):
+    out = P.all_language_documents(X.in_languages(X.detections(spark, sf)), X.pages(spark, sf), X.LANGUAGES)
+    return out.drop("raw_text").withColumn("resolved_page_languages", F.array_join("resolved_page_languages", ","))
+
+
+def _diagnostics(spark, sf):
+    return P.page_diagnostics(X.passes(spark, sf), X.pages(spark, sf), "ar", alternate=True, planned=X.planned(spark, sf))
 
 
 @query
 def page_diagnostics(spark, sf):
-    return P.page_diagnostics(X.passes(spark, sf), X.pages(spark, sf), "en", alternate=True).drop("page_idx")
+    return _diagnostics(spark, sf).drop("page_idx").withColumn("fallback_reasons", F.array_join("fallback_reasons", "|"))
 
 
 @query
 def document_metadata(spark, sf):
-    return P.metadata(P.recognised_documents(X.passes(spark, sf), "ar", alternate=True), "ar")
+    documents = P.recognised_documents(X.passes(spark, sf), "ar", alternate=True, pages=X.pages(spark, sf), planned=X.planned(spark, sf))
+    return P.metadata(documents, "ar", diagnostics=_diagnostics(spark, sf))
+
+
+@query
+def page_variants(spark, sf):
+    """Pictures of all pages in all their variants, for a language that has most of them."""
+    made = pictures.page_variants(X.page_images(spark, sf), "ar")
+    return made.select("doc_id", "variant_ord", "variant", "scale", "width", "height", F.md5("data").alias("data_md5"))
+
+
+@query
+def page_skew(spark, sf):
+    return pictures.skew_angles(X.page_images(spark, sf)).drop("page_idx")
 
 
 # Text
@@ -291,12 +354,23 @@ def _over_cases(name: str, make: Callable) -> None:
     QUERIES[name] = lambda spark, sf: _unicode(spark).select("case_id", make(F.col("s")).alias("value"))
 
 
+def _over_documents(name: str, make: Callable) -> None:
+    """Over the cases and over whole documents in Arabic letters."""
+
+    def run(spark, sf):
+        own = X.table(spark, sf, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("case_id"), F.translate("text", X.LATIN, X.ARABIC).alias("s"))
+        return _unicode(spark).unionByName(own).select("case_id", make(F.col("s")).alias("value"))
+
+    QUERIES[name] = run
+
+
 for _name, _make in {
     "arabic_ratio": lambda s: M.round_at(T.arabic_ratio(s), 6), "arabic_word_tokens": T.arabic_word_tokens, "diacritic_density": lambda s: M.round_at(T.diacritic_density(s), 6),
     "arabic_doc_type": T.doc_type, "repeated_run": T.repeated_run, "strip_invisible": T.strip_invisible, "strip_kashida": T.strip_kashida, "dedup_diacritics": T.dedup_diacritics,
-    "arabic_punct": T.arabic_punct, "fold_alef": T.fold_alef, "filter_isolated": T.filter_isolated, "nfkc": T.nfkc, "arabic_correct": T.arabic_correct,
+    "fold_alef": T.fold_alef, "filter_isolated": T.filter_isolated, "nfkc": T.nfkc, "arabic_correct": T.arabic_correct,
 }.items():
-    _over_cases(_name, _make)
+    _over_documents(_name, _make)
+_over_cases("arabic_punct", T.arabic_punct)
 
 
 @query
@@ -328,8 +402,8 @@ def final_lines(spark, sf):
 
 @query
 def batch_pairs(spark, sf):
-    files = X.pairs(spark, sf).where("model = 'sub_e'").select("doc_id", "line_no", "predicted")
-    return E.pair_by_position(files, X.truths(spark, sf), ["doc_id", "line_no"]).select("doc_id", "line_no", "predicted", F.col("line").alias("ground_truth"))
+    files = X.pairs(spark, sf).select("doc_id", "line_no", "model", "predicted")
+    return E.pair_by_position(files, X.truths(spark, sf), ["doc_id", "line_no"]).select("doc_id", "line_no", "model", "predicted", F.col("line").alias("ground_truth"))
 
 
 @query
@@ -392,7 +466,7 @@ def overall_accuracy(spark, sf):
 
 @query
 def evaluate_with_errors(spark, sf):
-    return E.evaluate(X.pairs(spark, sf)).select(*KEY, "cer", "ned", "char_f1", "word_f1", "exact_match")
+    return E.evaluate(X.pairs(spark, sf)).select(*KEY, *M.METRICS)
 
 
 @query
@@ -402,7 +476,15 @@ def batch_per_image(spark, sf):
 
 @query
 def batch_summary(spark, sf):
-    return E.batch_summary(E.evaluate(X.pairs(spark, sf)), ("cer", "ned", "char_f1", "word_f1"))
+    """As a batch request has it: files and lines of ground truth, paired by position after their counts are compared."""
+    files, key = X.pairs(spark, sf).drop("ground_truth"), ["doc_id", "line_no"]
+    truths = X.truths(spark, sf).withColumnRenamed("line", "ground_truth")
+    return P.batch(files, truths, key, uploads=truths.select(*key))[1]
+
+
+@query
+def elapsed_totals(spark, sf):
+    return E.total_elapsed(X.pairs(spark, sf).where(E.ok()), ["doc_id", "model"])
 
 
 @query

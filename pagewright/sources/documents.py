@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,16 +15,38 @@ def read_documents(spark: SparkSession, path: str, s: Settings = Settings(), glo
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).where(F.col("length") <= s.max_file_mb * 1024 * 1024)
 
 
-def kind(head: Column) -> Column:
-    """'pdf' if the bytes start with %PDF, white space aside, else 'image'."""
-    text = F.decode(F.substring(head, 1, 1024), "ISO-8859-1")
-    return F.when(F.regexp_replace(text, r"^[ \t\n\r\x0B\f]+", "").startswith("%PDF"), "pdf").otherwise("image")
+def kind(content: Column) -> Column:
+    """'pdf' if the bytes start with %PDF, white space aside, else 'image'. Only bytes that start with white space are looked at as a whole."""
+    first = F.hex(F.substring(content, 1, 1))
+    padded = first.isin("09", "0A", "0B", "0C", "0D", "20") & F.decode(F.when(first <= "20", content), "ISO-8859-1").rlike(r"^[ \t\n\r\x0B\f]+%PDF")
+    return F.when((F.hex(F.substring(content, 1, 4)) == "25504446") | padded, "pdf").otherwise("image")
 
 
 def sniff(documents: DataFrame, head: str = "head") -> DataFrame:
     return documents.withColumn("kind", kind(F.col(head)))
 
 
+def with_ordinal(files: DataFrame, by: str = "path", name: str = "ord") -> DataFrame:
+    """Adds the place, from 0, of each row in the order of a column of distinct values, without one task that holds them all.
+
+    Only that column is sorted, in ranges; each range is numbered by itself and moved by the sizes of those before it.
+    """
+    parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = files.select(by).repartitionByRange(parts, by).sortWithinPartitions(by).withColumn("_at", F.monotonically_increasing_id()).persist(StorageLevel.DISK_ONLY)
+    sizes = placed.groupBy(F.shiftright("_at", 33).alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect()  # one row for each range
+    starts, total = {}, 0
+    for r in sizes:
+        starts[r["part"]], total = total, total + r["n"]
+    start = F.create_map(*(F.lit(x) for pair in starts.items() for x in pair)) if starts else F.create_map().cast("map<long,int>")
+    numbered = placed.select(by, (start[F.shiftright("_at", 33)] + F.col("_at").bitwiseAND((1 << 33) - 1)).cast("long").alias(name))
+    return files.join(numbered, by)
+
+
+def read_batch(spark: SparkSession, path: str, s: Settings = Settings(), glob: str = "*") -> DataFrame:
+    """Files of a folder with their ordinals by path, which pair them with lines of ground truth."""
+    return with_ordinal(read_documents(spark, path, s, glob))
+
+
 def validate_uploads(uploads: DataFrame, s: Settings = Settings()) -> DataFrame:
     """Adds status and reason of the first check that fails: type, size, then ground truth if there is such a column."""
     status = F.when(~F.coalesce(F.col("content_type").isin(*s.allowed_types), F.lit(False)), F.struct(F.lit(415).alias("status"), F.lit("unsupported type").alias("reason")))

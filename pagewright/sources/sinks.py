@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,3 +19,16 @@ def write_json(rows: DataFrame, path: str) -> None:
 
 def write_parquet(rows: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     rows.write.mode("overwrite").partitionBy(*(partition_by or [])).parquet(path)
+
+
+def debug_folder(option: str | None) -> Path | None:
+    """Where drawings go: the given folder, taken from the working folder if it is relative; one of a fixed name if it cannot be made; none without an option."""
+    if not option:
+        return None
+    for folder in (Path.cwd() / option, Path.cwd() / "debug_output"):
+        try:
+            folder.mkdir(parents=True, exist_ok=True)
+            return folder
+        except OSError:
+            continue
+    raise OSError("no folder for drawings can be made")
