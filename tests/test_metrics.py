@@ -106,3 +106,34 @@ def test_ground_truth_lines(spark):
 def test_normal_forms_leave_ascii_alone(spark):
     df = spark.createDataFrame([("plain",), ("é",), (None,)], "s string")
     assert [r[0] for r in df.select(T.nfc(F.col("s"))).collect()] == ["plain", "é", None]
+
+
+def test_long_distances_are_exact(spark):
+    from pagewright.functions import distance as L
+
+    rng = random.Random(8)
+    for n in (0, 1, 3, 70, 200):
+        a = [rng.choice("abc") for _ in range(n)]
+        for b in (a, a[: n // 2], a[n // 3 :], [], [rng.choice("abc") for _ in range(n + 5)], a + ["x"], ["x", *a, "y"]):
+            assert L.bit_distance(a, b) == L.bit_distance(b, a) == distance(a, b)
+    a = "".join(rng.choice("abcd ") for _ in range(700))
+    b = a[:100] + "zz" + a[150:]
+    row = M.compute_metrics(spark.createDataFrame([(a, b)], "predicted string, ground_truth string")).first()
+    assert all(row[m] == pytest.approx(v, abs=1.01e-4) for m, v in plain(a, b).items())
+
+
+def test_counting_is_linear(spark):
+    import time
+
+    rng = random.Random(9)
+    a, b = (" ".join(str(rng.randrange(10**6)) for _ in range(60_000)) for _ in range(2))
+    df = spark.createDataFrame([(a, b)], "predicted string, ground_truth string")
+    began = time.perf_counter()
+    row = M.with_counts(df).select("char_shared", "word_shared").first()
+    assert (row.char_shared, row.word_shared) == tuple(sum((Counter(x) & Counter(y)).values()) for x, y in ((a, b), (a.split(), b.split())))
+    assert time.perf_counter() - began < 10
+
+
+def test_elapsed_times_add_up(spark):
+    rows = spark.createDataFrame([(1, 0.1), (1, 0.2), (1, None), (2, 33.33)], "doc_id long, inference_time_ms double")
+    assert {r.doc_id: (r.total_ms, r.n_calls) for r in E.total_elapsed(rows, ["doc_id"]).collect()} == {1: (0.3, 2), 2: (33.33, 1)}
