@@ -16,6 +16,7 @@ from pyspark.sql.types import StructType
 
 _OPEN: list["Scratch"] = []
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+_JOINED = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
 BATCH_BYTES = 8 << 20
 
 
@@ -43,8 +44,14 @@ class Scratch:
         _OPEN.append(self)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
+        """Writes and rereads df. A small table becomes few files: partitions are joined up to their advised size, not kept as many as there are cores."""
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        before = self.spark.conf.get(_JOINED)
+        self.spark.conf.set(_JOINED, "false")
+        try:
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            self.spark.conf.set(_JOINED, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
