@@ -313,4 +313,9 @@ u AS (SELECT request_id, string_agg(token, ',' ORDER BY place) AS unknown FROM u
 s AS (SELECT r.request_id, count(*) AS n FROM resolved r JOIN requests q USING (request_id) JOIN models m ON m.name = r.name AND m.loaded WHERE CASE WHEN q.language = 'all' THEN supports_all ELSE list_contains(languages, q.language) END GROUP BY r.request_id),
 t AS (SELECT q.request_id, q.language, CASE WHEN unknown IS NOT NULL THEN 422 WHEN s.n IS NULL AND FALSE THEN 404 ELSE 200 END AS status, coalesce(requested, '') AS requested, coalesce(unknown, '') AS unknown, coalesce(s.n, 0) AS n_selected FROM requests q LEFT JOIN u USING (request_id) LEFT JOIN n USING (request_id) LEFT JOIN s USING (request_id))
 SELECT request_id, status, CASE status WHEN 422 THEN 'models that are not loaded' WHEN 404 THEN 'no loaded model supports ''' || language || '''' ELSE '' END AS message, requested, unknown, CASE WHEN status = 422 THEN (SELECT string_agg(name, ',' ORDER BY name) FROM models WHERE loaded) ELSE '' END AS loaded, n_selected FROM t""",
+    "model_results": f"""WITH {SCORED}, five AS (SELECT * FROM scored WHERE engine = 'v5'), {BEST.format(t='five')}, l AS (SELECT g.* FROM good g JOIN best b USING (doc_id, variant, engine)),
+o AS (SELECT doc_id, string_agg(text, chr(10) ORDER BY (y1 + y2) / 2, x1, det_ord) AS raw_text, to_json(list(struct_pack(text := text, confidence := conf, bbox := [x1, y1, x2, y2]) ORDER BY (y1 + y2) / 2, x1, det_ord)) AS words, floor((list_sum(list(conf ORDER BY (y1 + y2) / 2, x1, det_ord)) / count(*)) * 1e4 + 0.5) / 1e4 AS avg_confidence FROM l GROUP BY doc_id),
+{PAIRS}, e AS (SELECT doc_id, CAST(sum(CAST(round(inference_time_ms * 100) AS BIGINT)) AS BIGINT) / 100 AS total_ms FROM pairs WHERE model = 'identity' GROUP BY doc_id)
+SELECT d.doc_id, coalesce(raw_text, '') AS raw_text, coalesce(words, '[]') AS words, CASE WHEN d.text IS NULL THEN 0::DOUBLE ELSE coalesce(total_ms, 0::DOUBLE) END AS inference_time_ms, coalesce(avg_confidence, 0::DOUBLE) AS avg_confidence, CASE WHEN d.text IS NULL THEN 'no text' END AS error, 'printed' AS model_name, 'en' AS language
+FROM documents d LEFT JOIN o USING (doc_id) LEFT JOIN e USING (doc_id)""",
 }

@@ -53,13 +53,16 @@ def page_lines(kept: DataFrame, won: DataFrame, language: str, s: Settings = Set
     return L.reading_order(with_corrected(lines, language, s).where("text_corrected <> ''"), language, s=s)
 
 
-def assemble(lines: DataFrame, pages: DataFrame | None = None, s: Settings = Settings()) -> DataFrame:
+def assemble(lines: DataFrame, pages: DataFrame | None = None, words: bool = False) -> DataFrame:
     """doc_id, doc_text, raw_text, n_lines, avg_confidence, n_pages, from lines with read_ord, text, text_corrected, conf.
 
+    ``words`` adds all lines in order, each with text, confidence and bbox.
+
     Lines of a page are joined by line feeds and pages by blank lines, in one aggregation. With ``pages``, all pages count, and a
     document without lines has an empty text and a confidence of 0.
     """
-    listed = F.array_sort(F.collect_list(F.struct("page_idx", "read_ord", F.col("text_corrected").alias("t"), F.col("text").alias("raw"), "conf")))
+    box = ["x1", "y1", "x2", "y2"] if words else []
+    listed = F.array_sort(F.collect_list(F.struct("page_idx", "read_ord", F.col("text_corrected").alias("t"), F.col("text").alias("raw"), "conf", *box)))
 
     def joined(x: str) -> Column:
         def glue(line: Column, i: Column) -> Column:
@@ -71,32 +74,42 @@ def assemble(lines: DataFrame, pages: DataFrame | None = None, s: Settings = Set
     found = lines.groupBy("doc_id").agg(listed.alias("lines"))
     n = F.size("lines")
     mean = F.aggregate("lines", F.lit(0.0), lambda a, x: a + x["conf"]) / n
-    out = found.select("doc_id", joined("t").alias("doc_text"), joined("raw").alias("raw_text"), n.cast("long").alias("n_lines"), round_at(mean, 4).alias("avg_confidence"), F.size(F.array_distinct(F.transform("lines", lambda x: x["page_idx"]))).cast("long").alias("n_pages"))
+    shown = ["doc_id", joined("t").alias("doc_text"), joined("raw").alias("raw_text"), n.cast("long").alias("n_lines"), round_at(mean, 4).alias("avg_confidence"), F.size(F.array_distinct(F.transform("lines", lambda x: x["page_idx"]))).cast("long").alias("n_pages")]
+    out = found.select(*shown)
+    if words:
+        told = F.transform("lines", lambda x: F.struct(x["t"].alias("text"), x["conf"].alias("confidence"), F.array(*(x[c] for c in box)).alias("bbox")))
+        out = found.select(*shown, told.alias("words"))
     if pages is None:
         return out
     counted = pages.groupBy("doc_id").agg(F.count("*").alias("n_pages"))
-    return counted.join(out.drop("n_pages"), "doc_id", "left").na.fill({"doc_text": "", "raw_text": "", "n_lines": 0, "avg_confidence": 0.0}).select(*out.columns)
+    return counted.join(out.drop("n_pages"), "doc_id", "left").na.fill({"doc_text": "", "raw_text": "", "n_lines": 0, "avg_confidence": 0.0}).select(*out.columns).transform(_without_null_words)
+
+
+def _without_null_words(documents: DataFrame) -> DataFrame:
+    if "words" not in documents.columns:
+        return documents
+    return documents.withColumn("words", F.coalesce("words", F.array().cast(documents.schema["words"].dataType)))
 
 
 def with_kind_of_text(documents: DataFrame) -> DataFrame:
     return documents.withColumns({"doc_type": T.doc_type(F.col("doc_text")), "diacritic_density": round_at(T.diacritic_density(F.col("doc_text")), 4)})
 
 
-def recognised_documents(passes: DataFrame, language: str, alternate: bool = False, s: Settings = Settings(), pages: DataFrame | None = None, planned: DataFrame | None = None) -> DataFrame:
+def recognised_documents(passes: DataFrame, language: str, alternate: bool = False, s: Settings = Settings(), pages: DataFrame | None = None, planned: DataFrame | None = None, words: bool = False) -> DataFrame:
     """The documents that `assemble` gives from the winning passes, and for Arabic doc_type and diacritic_density.
 
     An alternate engine is only asked where the language has one.
     """
     kept = kept_lines(passes, s)
     won = winners(best_of_sides(kept, language, alternate and C.has_alternate(language), s, planned), s)
-    out = assemble(page_lines(kept, won, language, s), pages, s)
+    out = assemble(page_lines(kept, won, language, s), pages, words)
     return with_kind_of_text(out) if language == "ar" else out
 
 
 def simple_documents(detections: DataFrame, language: str, s: Settings = Settings(), pages: DataFrame | None = None) -> DataFrame:
     """One pass a page, its lines in the engine's order and uncorrected."""
     lines = kept_lines(detections, s).withColumns({"read_ord": F.col("det_ord"), "text_corrected": F.col("text")})
-    out = assemble(lines, pages, s)
+    out = assemble(lines, pages)
     return with_kind_of_text(out) if language == "ar" else out
 
 
@@ -109,11 +122,28 @@ def all_language_documents(detections: DataFrame, pages: DataFrame, languages: t
     asked = pages.select(*PAGE, F.explode(F.array(*(F.struct(F.lit(x).alias("language"), F.lit(o).alias("lang_ord")) for x, o in languages))).alias("l")).select(*PAGE, "l.*")
     vote = S.language_vote(page_score(kept, asked, [*PAGE, "language", "lang_ord"]))
     lines = kept.join(vote.select(*PAGE, "language"), [*PAGE, "language"])
-    out = assemble(lines.withColumns({"read_ord": F.col("det_ord"), "text_corrected": F.col("text")}), pages, s)
+    out = assemble(lines.withColumns({"read_ord": F.col("det_ord"), "text_corrected": F.col("text")}), pages)
     resolved = vote.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("page_idx", "language"))), lambda x: x["language"]).alias("resolved_page_languages"))
     return out.join(resolved, "doc_id")
 
 
+def model_results(documents: DataFrame, model: str, language: str, errors: DataFrame | None = None, elapsed: DataFrame | None = None, told: DataFrame | None = None) -> DataFrame:
+    """What a request answers for each document: model_name, language, raw_text, words, inference_time_ms, avg_confidence, error, metadata.
+
+    documents: with words. errors: doc_id, error of documents that failed, whose row has no text, words, time or confidence.
+    elapsed: doc_id, total_ms. told: doc_id, metadata.
+    """
+    out = documents.select("doc_id", F.col("doc_text").alias("raw_text"), "words", "avg_confidence")
+    out = out.join(elapsed, "doc_id", "left") if elapsed is not None else out.withColumn("total_ms", F.lit(None).cast("double"))
+    out = out.join(told, "doc_id", "left") if told is not None else out.withColumn("metadata", F.lit(None).cast("string"))
+    out = out.select("doc_id", "raw_text", "words", F.coalesce(F.round("total_ms", 2), F.lit(0.0)).alias("inference_time_ms"), "avg_confidence", F.lit(None).cast("string").alias("error"), "metadata")
+    if errors is not None:
+        none = F.array().cast(documents.schema["words"].dataType)
+        failed = errors.select("doc_id", F.lit("").alias("raw_text"), none.alias("words"), F.lit(0.0).alias("inference_time_ms"), F.lit(0.0).alias("avg_confidence"), "error", F.lit(None).cast("string").alias("metadata"))
+        out = out.join(errors.select("doc_id"), "doc_id", "left_anti").unionByName(failed)
+    return out.withColumns({"model_name": F.lit(model), "language": F.lit(language)})
+
+
 def many_passes(language: str, s: Settings = Settings()) -> bool:
     """Whether a request runs all variants and engines: not in the best-language mode, and only for greatest accuracy."""
     return s.max_accuracy and language != "all"

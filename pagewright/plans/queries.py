@@ -305,6 +305,15 @@ def recognised_documents(spark, sf):
     return P.recognised_documents(X.passes(spark, sf), "en", pages=X.pages(spark, sf), planned=X.planned(spark, sf)).drop("raw_text")
 
 
+@query
+def model_results(spark, sf):
+    """Answers of one model; documents without a text are those that failed."""
+    found = P.recognised_documents(X.passes(spark, sf), "en", pages=X.pages(spark, sf), planned=X.planned(spark, sf), words=True)
+    failed = X.table(spark, sf, "documents").where("text is null").select("doc_id", F.lit("no text").alias("error"))
+    calls = E.total_elapsed(X.pairs(spark, sf).where("model = 'identity'"), ["doc_id"]).drop("n_calls")
+    return P.model_results(found, "printed", "en", failed, calls).drop("metadata").withColumn("words", F.to_json("words"))
+
+
 @query
 def simple_documents(spark, sf):
     return P.simple_documents(X.detections(spark, sf), "en", pages=X.pages(spark, sf)).drop("raw_text")

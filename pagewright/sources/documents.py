@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import subprocess
+
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,8 +59,17 @@ def validate_uploads(uploads: DataFrame, s: Settings = Settings()) -> DataFrame:
     return uploads.withColumn("_s", status).select(*uploads.columns, "_s.status", "_s.reason")
 
 
+def _gpu() -> str | None:
+    """Name and memory of the driver's GPUs as their tool tells them; None where there is none, or no answer."""
+    try:
+        told = subprocess.run(["nvidia-smi", "--query-gpu=name,memory.used,memory.total", "--format=csv,noheader"], capture_output=True, text=True, timeout=5, check=True)
+        return told.stdout.strip() or None
+    except (OSError, subprocess.SubprocessError):
+        return None
+
+
 def health(spark: SparkSession, loaded: list[str]) -> DataFrame:
-    """One row: status, loaded models, platform, CPU share and memory in GB, where psutil is there."""
+    """One row: status, loaded models, platform, CPU share and memory in GB (where psutil is there), and GPUs."""
     import platform
 
     try:
@@ -67,4 +78,4 @@ def health(spark: SparkSession, loaded: list[str]) -> DataFrame:
         cpu, ram = psutil.cpu_percent(), round(psutil.virtual_memory().used / 1e9, 2)
     except ImportError:
         cpu = ram = None
-    return spark.createDataFrame([("ok", loaded, platform.platform(), cpu, ram)], "status string, models array<string>, platform string, cpu_percent double, ram_gb double")
+    return spark.createDataFrame([("ok", loaded, platform.platform(), cpu, ram, _gpu())], "status string, models array<string>, platform string, cpu_percent double, ram_gb double, gpu string")

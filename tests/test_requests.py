@@ -205,7 +205,8 @@ def test_json_sink(spark, tmp_path):
 
 
 def test_health(spark):
-    assert docs.health(spark, ["printed"]).first().status == "ok"
+    row = docs.health(spark, ["printed"]).first()
+    assert row.status == "ok" and row.models == ["printed"] and (row.gpu is None or row.gpu)
 
 
 def test_stream_equals_batch(spark, sf, tmp_path):
@@ -229,6 +230,18 @@ def test_documents_without_lines(spark):
 X_PASSES = "doc_id long, page_idx int, engine string, engine_ord int, variant string, variant_ord int, det_ord int, text string, conf double, x1 int, y1 int, x2 int, y2 int"
 
 
+def test_answers(spark):
+    pages = spark.createDataFrame([(1, 0), (2, 0), (3, 0)], "doc_id long, page_idx int")
+    passes = spark.createDataFrame([(1, 0, "v5", 0, "original", 0, 0, "one line", 0.5, 1, 2, 100, 20), (3, 0, "v5", 0, "original", 0, 0, "lost", 0.5, 1, 2, 100, 20)], X_PASSES)
+    documents = P.recognised_documents(passes, "en", pages=pages, words=True)
+    errors = spark.createDataFrame([(3, "boom")], "doc_id long, error string")
+    elapsed = spark.createDataFrame([(1, 12.345)], "doc_id long, total_ms double")
+    rows = {r.doc_id: r for r in P.model_results(documents, "m", "en", errors, elapsed).collect()}
+    assert [tuple(w) for w in rows[1].words] == [("one line", 0.5, [1, 2, 100, 20])] and (rows[1].inference_time_ms, rows[1].error) == (12.35, None)
+    assert (rows[2].raw_text, rows[2].words, rows[2].avg_confidence) == ("", [], 0.0)
+    assert (rows[3].raw_text, rows[3].words, rows[3].error, rows[3].avg_confidence) == ("", [], "boom", 0.0) and {r.model_name for r in rows.values()} == {"m"}
+
+
 def test_pages_are_joined_in_order(spark):
     rows = [(1, p, "v5", 0, "original", 0, k, f"p{p} l{k}", 0.5, 0, 30 * k, 100, 30 * k + 20) for p in (2, 0) for k in (1, 0)]
     out = P.recognised_documents(spark.createDataFrame(rows, X_PASSES), "en").first()
