@@ -58,9 +58,12 @@ def fit_centroids(sample: np.ndarray, k: int, rounds: int = 8, penalty: float =
 
 
 class CentroidGraph:
-    """Nearest-neighbour graph over the centroids with a few random links; searched best first, many queries at once."""
+    """Nearest-neighbour graph over the centroids with links back and a few random ones; searched best first, many queries at once.
 
-    def __init__(self, centroids: np.ndarray, degree: int = 16, links: int = 4, seed: int = 1):
+    A centroid that lies apart is nobody's neighbour, so each is linked from two of its own nearest that have room for it.
+    """
+
+    def __init__(self, centroids: np.ndarray, degree: int = 16, links: int = 4, room: int = 6, seed: int = 1):
         self.c = centroids.astype(np.float32)
         k = len(self.c)
         near = np.empty((k, min(degree, max(k - 1, 1))), dtype=np.int64)
@@ -69,7 +72,12 @@ class CentroidGraph:
             d[np.arange(len(d)), np.arange(s, s + len(d))] = np.inf if k > 1 else 0
             least = np.argpartition(d, near.shape[1] - 1, axis=1)[:, : near.shape[1]]
             near[s : s + 1024] = np.take_along_axis(least, np.argsort(np.take_along_axis(d, least, 1), axis=1), 1)
-        self.near = np.concatenate([near, np.random.default_rng(seed).integers(0, k, (k, links))], axis=1)
+        back, used = np.tile(np.arange(k)[:, None], (1, room)), np.zeros(k, dtype=np.int64)  # an empty place links to itself
+        for c in range(k):
+            free = near[c][used[near[c]] < room][:2]
+            back[free, used[free]] = c
+            used[free] += 1
+        self.near = np.concatenate([near, back, np.random.default_rng(seed).integers(0, k, (k, links))], axis=1)
 
     def distances(self, q: np.ndarray) -> np.ndarray:
         return np.maximum((q * q).sum(1)[:, None] - 2 * q @ self.c.T + (self.c * self.c).sum(1), 0)

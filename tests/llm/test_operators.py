@@ -728,6 +728,18 @@ def test_graph_walk_finds_the_nearest():
     assert np.mean([len(set(a[:8]) & set(b)) / 8 for a, b in zip(ids, true, strict=True)]) > 0.95 and (np.diff(d, axis=1) >= 0).all()
 
 
+def test_graph_walk_reaches_what_lies_apart():
+    rng = np.random.default_rng(6)
+    crowd = rng.normal(size=(400, 32))
+    apart = 6 * rng.normal(size=(40, 32))
+    graph = ann.CentroidGraph(np.concatenate([crowd, apart]).astype(np.float32))
+    ids, _ = graph.search((apart + 0.01).astype(np.float32), 16)
+    reached = (ids[:, 0] == np.arange(400, 440)).mean()
+    graph.near = np.delete(graph.near, np.arange(16, 22), axis=1)  # without the links back
+    ids, _ = graph.search((apart + 0.01).astype(np.float32), 16)
+    assert reached >= 0.9 > (ids[:, 0] == np.arange(400, 440)).mean()
+
+
 # 10
 
 
