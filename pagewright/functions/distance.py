@@ -11,8 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-#: Product of lengths from which a pair counts as long.
-LONG = 100_000
+#: Product of lengths from which a pair counts as long: measured, the built-in is no faster from here on.
+LONG = 10_000
 
 
 def bit_distance(a, b) -> int:
