@@ -37,7 +37,7 @@ class Recognizer(Protocol):
 #: Thresholds that engines are built with.
 THRESHOLDS = {"text_det_thresh": 0.5, "text_det_box_thresh": 0.7, "text_rec_score_thresh": 0.5}
 #: Options that a build of an engine may lack.
-OPTIONAL = ("paddle_mem_fraction", "precision", "use_tensorrt", "det_limit_side_len", "limit_side_len")
+OPTIONAL = ("memory_fraction", "precision", "use_tensorrt", "det_limit_side_len", "limit_side_len")
 
 
 def options_for(language: str, version: str, s: Settings = Settings(), gpu: bool = False, tensorrt: bool = False, memory: float | None = None) -> dict:
@@ -48,7 +48,7 @@ def options_for(language: str, version: str, s: Settings = Settings(), gpu: bool
     if gpu and tensorrt:
         found["use_tensorrt"] = True
     if memory is not None:
-        found["paddle_mem_fraction"] = memory
+        found["memory_fraction"] = memory
     if s.side_limit:
         found |= {"det_limit_side_len": s.side_limit, "limit_side_len": s.side_limit}
     return found
