@@ -6,10 +6,11 @@ values are compared step by step; with m of the first n equal, and any similarit
 chance that the pair reaches the threshold is P(Bin(n + 1, threshold) <= m), and the pair is dropped when that falls below
 `tolerance`. What is left is verified on the whole n-gram sets.
 
-Pairs are never rows. A bucket's survivors leave as a spanning forest, the forests' components are cut into blocks, and
-each pair of blocks is verified in one task that gives back, for each document, its number of links and a forest of them.
-So a group of near copies costs rows in proportion to its size (times its blocks), no task holds more than two blocks,
-and every link between different texts is counted. Links to copies count through the class's size.
+Pairs are never rows. A bucket's survivors leave as a spanning forest, so pairs that others connect already are not
+compared there; the forests' components are cut into blocks, and each pair of blocks is verified in one task that gives
+back, for each document, its number of links and a forest of them. So a group of near copies costs rows in proportion to
+its size (times its blocks), no task holds more than two blocks, and every link between different texts is counted. Links
+to copies count through the class's size.
 
 A word is a run of bytes without ASCII white space, taken as it stands. A text of fewer than n words has one n-gram, all its
 words. Nulls: a null text is an empty one; texts without words link to nothing and are classes of their own. Rows that repeat
@@ -35,6 +36,7 @@ THRESHOLD = 0.8
 ROWS, BANDS = 4, 28  # 0.5904 ^ 28 = 4e-7 pairs missed at the threshold
 TOLERANCE = 1e-6
 STEPS = (8, 16, 32, 64, ROWS * BANDS)
+BUCKET_DOCS = 2048  # MinHash values are 224 bytes a row
 BLOCK_DOCS, BLOCK_GRAMS = 512, 1_000_000
 _C1, _C2, _C3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _BASE = 0x5851F42D4C957F2D
@@ -168,9 +170,9 @@ def least_matches(n: int, threshold: float, tolerance: float) -> int:
     return n
 
 
-def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least place that each of n places is linked to, by the pairs (a, b)."""
-    root = np.arange(n)
+def _forest(n: int, a: np.ndarray, b: np.ndarray, root: np.ndarray | None = None) -> np.ndarray:
+    """The least place that each of n places is linked to, by the pairs (a, b) and those that made ``root``."""
+    root = np.arange(n) if root is None else root
     while len(a):
         low = np.minimum(root[a], root[b])
         before = root.copy()
@@ -218,20 +220,20 @@ def candidate_forest(members: DataFrame, threshold: float, tolerance: float) ->
             stop = np.repeat(bound[1:], np.diff(bound))
             cross = (rows.column("i").to_numpy() != rows.column("j").to_numpy())
             own = rows.column("own").to_numpy()
-            left, right = [], []
-            here = np.arange(len(ids))
+            here, root = np.arange(len(ids)), np.arange(len(ids))
             for apart in range(1, int(np.diff(bound).max())):
                 here = here[here + apart < stop[here]]
-                a = here[~cross[here] | (own[here] != own[here + apart])]
+                # only a forest leaves, so pairs that others connect already need no comparison
+                a = here[(root[here] != root[here + apart]) & (~cross[here] | (own[here] != own[here + apart]))]
+                if not len(a):
+                    continue
                 equal = np.zeros(len(a), dtype=np.int64)
                 done = 0
                 for to, low in zip(STEPS, least, strict=True):
                     equal = equal + (values[a, done:to] == values[a + apart, done:to]).sum(1)
                     go = equal >= low
                     a, equal, done = a[go], equal[go], to
-                left.append(a)
-                right.append(a + apart)
-            root = _forest(len(ids), np.concatenate(left), np.concatenate(right)) if left else np.arange(len(ids))
+                root = _forest(len(ids), a, a + apart, root)
             moved = np.flatnonzero(root != np.arange(len(ids)))
             yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[root[moved]])], ["a", "b"])
 
@@ -273,7 +275,7 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
     width = max(256, (1 << 22) // g)
     for s in range(0, int(column[-1]) + 1 if len(column) else 0, width):
         a, b = np.searchsorted(column, [s, s + width])
-        dense = np.zeros((g, width), dtype=np.float32)
+        dense = np.zeros((g, min(width, int(column[-1]) + 1 - s)), dtype=np.float32)
         dense[owner[a:b], column[a:b] - s] = 1
         out += dense @ dense.T
     return np.rint(out).astype(np.int64)
@@ -328,7 +330,7 @@ def _linked(texts: DataFrame, signed: DataFrame, classes: DataFrame, n: int, thr
     one = scratch.save(one.select("id", "n", "copies", "bands", "values"), "one")
     banded = one.select("id", "values", F.posexplode("bands").alias("band", "key"))
     buckets = banded.groupBy("band", "key").agg(F.count("*").alias("m")).where("m > 1")
-    buckets = scratch.save(buckets.select("band", "key", F.ceil(F.col("m") / BLOCK_DOCS).cast("int").alias("blocks")), "buckets")
+    buckets = scratch.save(buckets.select("band", "key", F.ceil(F.col("m") / BUCKET_DOCS).cast("int").alias("blocks")), "buckets")
     members = maybe_in(banded, buckets, "band", "key").join(buckets, ["band", "key"])
     members = _dealt(members.select("band", "key", "blocks", "id", "values"), ["band", "key"], "blocks").select("band", "key", "i", "j", "own", "id", "values")
     edges = scratch.save(candidate_forest(members, threshold, tolerance).distinct(), "candidates")
