@@ -86,7 +86,6 @@ def test_jaccard_of_a_large_group(spark, monkeypatch):
             w[rng.randrange(len(w))] = str(rng.randrange(10**6))
         group.append(" ".join(w))
     monkeypatch.setattr(jaccard_join, "BLOCK_DOCS", 8)  # several blocks
-    monkeypatch.setattr(jaccard_join, "BUCKET_DOCS", 8)
     check_join(spark, group + group[:10])
 
 
