@@ -16,6 +16,7 @@ from .quality import quality
 from .sharding import shard
 from .suffix_dedup import suffix_dedup
 from .toxicity import toxicity
+from .urlfilter import judge
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +59,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_best_fit_packing, op3_byte_bpe, op4_suffix_dedup, op5_toxicity, op6_language_id, op7_exact_dedup, op8_hilbert_sharding, op9_nearest_neighbours, op10_quality)}
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_best_fit_packing, op3_byte_bpe, op4_suffix_dedup, op5_toxicity, op6_language_id, op7_exact_dedup, op8_hilbert_sharding, op9_nearest_neighbours, op10_quality, op11_url_filter)}
 
 ORACLE_SQL = {
     "op1_jaccard_join": r"""
@@ -89,4 +94,25 @@ ORACLE_SQL = {
         g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
         SELECT d.doc_id, g.keep_id, g.group_size, row_number() OVER (PARTITION BY d.t ORDER BY d.doc_id DESC NULLS LAST) = 1 AS kept, sha256(d.t) AS text_sha256
         FROM d JOIN g ON d.t = g.t""",
+    "op11_url_filter": r"""
+        WITH r AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substring(url, strpos(url, '://') + 3) ELSE '' END AS rest, strpos(url, '://') > 0 AS whole FROM pages),
+        h AS (SELECT *, regexp_extract(rest, '^[^/?#]*') AS raw FROM r),
+        p AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substring(rest, length(raw) + 1), '^[^?#]*') AS path,
+              CASE WHEN whole THEN '.' || translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(substring(rest, length(raw) + 1), '^[^#]*') ELSE '' END AS u FROM h),
+        g AS (SELECT *, CASE WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+                             WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+                             WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+                             WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM p),
+        o AS (SELECT *, CASE WHEN rule IS NOT NULL THEN NULL
+                             WHEN regexp_matches(u, '(?s)^.*\?.*sessionid=.*$') THEN '**\?**sessionid=**'
+                             WHEN regexp_matches(u, '(?s)^.*/wp-login\.php.*$') THEN '**/wp-login.php**'
+                             WHEN regexp_matches(u, '(?s)^.*/trackback/.*$') THEN '**/trackback/**'
+                             WHEN regexp_matches(u, '(?s)^[^/?#]*casino[^/?#]*/.*$') THEN '*casino*/**'
+                             WHEN regexp_matches(u, '(?s)^[^/?#]*spam[^/?#]*/.*$') THEN '*spam*/**'
+                             WHEN regexp_matches(u, '(?s)^[^/?#]*\.xxx/.*$') THEN '*.xxx/**'
+                             WHEN regexp_matches(u, '(?s)^.*/[^/?#]*\.exe$') THEN '**/*.exe'
+                             WHEN regexp_matches(u, '(?s)^[^/?#]*\.edu/.*$') THEN '*.edu/**'
+                             WHEN regexp_matches(u, '(?s)^[^/?#]*\.gov/.*$') THEN '*.gov/**' END AS other FROM g)
+        SELECT page_id, host, path, rule, CASE WHEN coalesce(rule, other) IS NULL OR coalesce(rule, other) IN ('example.net/en/', 'org/fr/', '*.edu/**', '*.gov/**') THEN 'allow' ELSE 'block' END AS verdict, other
+        FROM o""",
 }
