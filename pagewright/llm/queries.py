@@ -13,6 +13,7 @@ from .jaccard_join import jaccard_join
 from .langid import identify
 from .packing import added_tokens, pack
 from .quality import quality
+from .rolling_median import rolling_median
 from .sharding import shard
 from .suffix_dedup import suffix_dedup
 from .toxicity import toxicity
@@ -63,7 +64,11 @@ def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_best_fit_packing, op3_byte_bpe, op4_suffix_dedup, op5_toxicity, op6_language_id, op7_exact_dedup, op8_hilbert_sharding, op9_nearest_neighbours, op10_quality, op11_url_filter)}
+def op13_rolling_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rolling_median(table(spark, sf_dir, "clicks"), 60)
+
+
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_best_fit_packing, op3_byte_bpe, op4_suffix_dedup, op5_toxicity, op6_language_id, op7_exact_dedup, op8_hilbert_sharding, op9_nearest_neighbours, op10_quality, op11_url_filter, op13_rolling_median)}
 
 ORACLE_SQL = {
     "op1_jaccard_join": r"""
@@ -115,4 +120,12 @@ ORACLE_SQL = {
                              WHEN regexp_matches(u, '(?s)^[^/?#]*\.gov/.*$') THEN '*.gov/**' END AS other FROM g)
         SELECT page_id, host, path, rule, CASE WHEN coalesce(rule, other) IS NULL OR coalesce(rule, other) IN ('example.net/en/', 'org/fr/', '*.edu/**', '*.gov/**') THEN 'allow' ELSE 'block' END AS verdict, other
         FROM o""",
+    "op13_rolling_median": """
+        WITH c AS (SELECT click_id, min(struct_pack(ts := ts, kind := kind, cents := CAST(floor(100 * value + 0.5) AS BIGINT))) AS r FROM clicks WHERE ts IS NOT NULL GROUP BY click_id),
+        w AS (SELECT click_id, r.kind AS kind, r.cents AS cents, list(r.cents) FILTER (r.cents IS NOT NULL) OVER (PARTITION BY r.kind ORDER BY r.ts RANGE BETWEEN INTERVAL 60 MINUTES PRECEDING AND CURRENT ROW) AS found FROM c),
+        s AS (SELECT click_id, kind, cents, list_sort(coalesce(found, [])) AS v, len(coalesce(found, [])) AS n FROM w),
+        m AS (SELECT *, CASE WHEN n >= 2 THEN v[(n + 1) // 2] + v[n // 2 + 1] END AS median2 FROM s),
+        d AS (SELECT *, list_sort(list_transform(v, lambda x: abs(2 * x - median2))) AS e FROM m),
+        f AS (SELECT *, CASE WHEN n >= 2 THEN e[(n + 1) // 2] + e[n // 2 + 1] END AS mad4 FROM d)
+        SELECT click_id, kind, CAST(n AS BIGINT) AS n, median2, mad4, 2 * abs(2 * cents - median2) > 3 * mad4 AS far FROM f""",
 }
