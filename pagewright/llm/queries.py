@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .alignment import align
 from .ann import nearest
 from .bpe import round_trip
 from .common import table
@@ -64,11 +65,15 @@ def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_rolling_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rolling_median(table(spark, sf_dir, "clicks"), 60)
 
 
-QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_best_fit_packing, op3_byte_bpe, op4_suffix_dedup, op5_toxicity, op6_language_id, op7_exact_dedup, op8_hilbert_sharding, op9_nearest_neighbours, op10_quality, op11_url_filter, op13_rolling_median)}
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_best_fit_packing, op3_byte_bpe, op4_suffix_dedup, op5_toxicity, op6_language_id, op7_exact_dedup, op8_hilbert_sharding, op9_nearest_neighbours, op10_quality, op11_url_filter, op12_token_alignment, op13_rolling_median)}
 
 ORACLE_SQL = {
     "op1_jaccard_join": r"""
