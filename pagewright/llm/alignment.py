@@ -29,9 +29,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import _field, byte_characters
-from .common import Scratch, arrow_map
+from .common import Scratch, arrow_map, shuffle_partitions
 
-BLOCK = 8 << 20
+BLOCK = 32 << 20
 #: A token is its id and, in the low bits, its length in bytes.
 LENGTH_BITS = 12
 SPACE = "▁"
@@ -167,8 +167,11 @@ def tokens(texts: DataFrame, first: str, second: str) -> DataFrame:
 def groups(tokenised: DataFrame) -> DataFrame:
     """tokenised: id, a, b (packed tokens). Per group of an id: id, g (from 0 in order), as and bs (token ids in order)."""
 
+    # one shuffle of whole stretches: windows and join find their rows together
+    dealt = tokenised.repartition(shuffle_partitions(tokenised.sparkSession), "id")
+
     def ends(side: str) -> DataFrame:
-        rows = tokenised.select("id", F.posexplode(side).alias("pos", "token"))
+        rows = dealt.select("id", F.posexplode(side).alias("pos", "token"))
         end = F.sum(F.col("token").bitwiseAND((1 << LENGTH_BITS) - 1)).over(Window.partitionBy("id").orderBy("pos"))
         return rows.select("id", end.alias("end"), F.shiftright("token", LENGTH_BITS).alias(side))
 

@@ -17,6 +17,7 @@ from pyspark.sql.types import StructType
 _OPEN: list["Scratch"] = []
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _JOINED = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
+_CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BATCH_BYTES = 8 << 20
 
 
@@ -28,6 +29,7 @@ class Scratch:
     """Tables written to the folder that driver and executors share; they cut lineage and survive lost executors.
 
     The folder is ``spark.checkpoint.dir``. Only a local session may leave it unset; it then gets a temporary folder.
+    The session is told, for good, to delete the shuffle files of a query when it ends: what is needed again is a table.
     """
 
     def __init__(self, spark: SparkSession, tag: str):
@@ -39,6 +41,7 @@ class Scratch:
             spark.sparkContext.setCheckpointDir(base)
             base = spark.sparkContext.getCheckpointDir()
         self.spark, self.root = spark, f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex[:12]}"
+        spark.conf.set(_CLEANED, "true")
         if not _OPEN:
             atexit.register(_close_all)
         _OPEN.append(self)
@@ -55,10 +58,9 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        """Deletes tables that nothing reads any more, and lets Spark clean the shuffles that made them."""
+        """Deletes tables that nothing reads any more."""
         for name in names:
             self._delete(f"{self.root}/{name}")
-        self.spark.sparkContext._jvm.System.gc()
 
     def _delete(self, path: str) -> None:
         jvm = self.spark.sparkContext._jvm

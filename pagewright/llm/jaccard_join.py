@@ -12,6 +12,7 @@ back, for each document, its number of links and a forest of them. So a group of
 its size (times its blocks), no task holds more than two blocks, and every link between different texts is counted. Links
 to copies count through the class's size.
 
+n-grams go by names of 64 bits, whole sets by 128 bits from two independent hashes.
 A word is a run of bytes without ASCII white space, taken as it stands. A text of fewer than n words has one n-gram, all its
 words. Nulls: a null text is an empty one; texts without words link to nothing and are classes of their own. Rows that repeat
 an id, and rows with a null one, are documents of their own; a null id is below all others. Other columns are ignored by
@@ -38,11 +39,9 @@ TOLERANCE = 1e-6
 STEPS = (8, 16, 32, 64, ROWS * BANDS)
 BLOCK_DOCS, BLOCK_GRAMS = 512, 1_000_000
 _C1, _C2, _C3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
-_BASE = 0x5851F42D4C957F2D
 _rng = np.random.default_rng(20)
 _A = _rng.integers(0, 1 << 32, ROWS * BANDS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _B = _rng.integers(0, 1 << 32, ROWS * BANDS, dtype=np.uint64).astype(np.uint32)
-_TABLES: list[np.ndarray] = []
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -51,52 +50,57 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> list[np.ndarray]:
-    if not _TABLES or len(_TABLES[0]) < n:
-        _TABLES[:] = [np.append(np.uint64(1), np.full(max(n, 1 << 20), b, dtype=np.uint64)).cumprod(dtype=np.uint64) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
-    return _TABLES
-
-
 def word_hashes(data: np.ndarray, part: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and begin of each word of the bytes; long texts go in parts that end at white space."""
+    """Two independent hashes (rows) and the begin of each word of the bytes.
+
+    Eight bytes at a time are mixed with their place in the word before they are summed, so no arithmetic relation between
+    words carries over to their hashes. Work goes in parts, whatever the length of texts and words.
+    """
     space = (data == 32) | ((data >= 9) & (data <= 13))
     edge = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]])))
     begin, end = edge[::2], edge[1::2]
-    out = []
-    k = 0
-    while k < len(begin):
-        to = max(k + 1, int(np.searchsorted(end, begin[k] + part, side="right")))
-        lo, hi = begin[k], end[to - 1]
-        power, inverse = _powers(hi - lo + 1)
-        sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum((data[lo:hi].astype(np.uint64) + np.uint64(1)) * power[: hi - lo], dtype=np.uint64)])
-        s, e = begin[k:to] - lo, end[k:to] - lo
-        out.append(_mix((sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64) * _C1))
-        k = to
-    return (np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)), begin
-
-
-def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
-    """Distinct hashes of the n-grams of consecutive words, sorted."""
-    if not len(words):
-        return words
-    n = min(n, len(words))
-    x = np.zeros(len(words) - n + 1, dtype=np.uint64)
+    first = np.concatenate([[0], np.cumsum((end - begin + 7) // 8)])
+    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    eight = np.ndarray((len(data),), dtype=np.dtype("<u8"), buffer=padded, strides=(1,))
+    sums = np.zeros((2, len(begin)), dtype=np.uint64)
+    for lo in range(0, int(first[-1]), part):
+        place = np.arange(lo, min(lo + part, int(first[-1])))
+        word = np.searchsorted(first, place, side="right") - 1
+        k = place - first[word]
+        at = begin[word] + 8 * k
+        short = np.maximum(0, 8 - (end[word] - at)).astype(np.uint64) * np.uint64(8)
+        value = eight[at] << short
+        own = np.flatnonzero(np.diff(word, prepend=-1))
+        for lane, seed in enumerate((_C1, _C3)):
+            sums[lane, word[own]] += np.add.reduceat(_mix(value ^ _mix((k.astype(np.uint64) + np.uint64(1)) * seed)), own)
+    size = (end - begin).astype(np.uint64)
+    return np.stack([_mix(x + size * seed) for x, seed in zip(sums, (_C1, _C3), strict=True)]), begin
+
+
+def gram_hashes(words: np.ndarray, n: int) -> tuple[np.ndarray, int]:
+    """Distinct hashes of the n-grams of consecutive words, sorted, and a digest of the set by the words' other hashes."""
+    m = words.shape[1]
+    if not m:
+        return words[0], 0
+    n = min(n, m)
+    x = np.zeros((2, m - n + 1), dtype=np.uint64)
     for k in range(n):
-        x = x * _C1 + words[k : k + len(x)]
-    return np.unique(_mix(x))
+        x = _mix(x * _C1 + words[:, k : k + x.shape[1]])
+    grams, at = np.unique(x[0], return_index=True)
+    return grams, int(_mix(x[1, at]).sum(dtype=np.uint64).view(np.int64))
 
 
-def grams_of(texts: pa.Array, n: int, block: int = 1 << 18) -> Iterator[np.ndarray]:
-    """The n-gram set of each text, hashed; short texts share the work of one block."""
+def grams_of(texts: pa.Array, n: int, block: int = 1 << 18) -> Iterator[tuple[np.ndarray, int]]:
+    """The n-gram set of each text, hashed, and its digest; short texts share the work of one block."""
     held: list[np.ndarray] = []
     size = 0
 
-    def flush() -> Iterator[np.ndarray]:
+    def flush() -> Iterator[tuple[np.ndarray, int]]:
         gap = np.array([32], dtype=np.uint8)
         words, begin = word_hashes(np.concatenate([x for h in held for x in (h, gap)]))
         bounds = np.searchsorted(begin, np.cumsum([0, *(len(h) + 1 for h in held)]))
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            yield gram_hashes(words[a:b], n)
+            yield gram_hashes(words[:, a:b], n)
 
     for text in texts:
         held.append(np.frombuffer(text.as_buffer(), dtype=np.uint8) if text.is_valid and len(text.as_buffer()) else np.zeros(0, dtype=np.uint8))
@@ -122,9 +126,9 @@ SIGNATURES = "id long, doc_id long, n long, set1 long, set2 long, bands array<lo
 
 
 def signatures(texts: DataFrame, n: int) -> DataFrame:
-    """texts: id, doc_id, text. Per text the size and two hashes of its n-gram set, its band keys and the low halves of its MinHash values."""
+    """texts: id, doc_id, text. Per text the size and 128 bits of its n-gram set (two sums, of names that come from independent hashes), its band keys and the low halves of its MinHash values."""
 
-    def pack(ids: list[tuple], grams: list[np.ndarray]) -> pa.RecordBatch:
+    def pack(ids: list[tuple], grams: list[np.ndarray], set2: list[int]) -> pa.RecordBatch:
         full = [k for k, g in enumerate(grams) if len(g)]
         bands: list = [[] for _ in grams]
         values: list = [b""] * len(grams)
@@ -139,22 +143,22 @@ def signatures(texts: DataFrame, n: int) -> DataFrame:
             for at, k in enumerate(full):
                 bands[k], values[k] = key[at], low[at].tobytes()
         set1 = [int(_mix(g).sum(dtype=np.uint64).view(np.int64)) if len(g) else 0 for g in grams]
-        set2 = [int(_mix(g * _C1).sum(dtype=np.uint64).view(np.int64)) if len(g) else 0 for g in grams]
         return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in zip(*ids, strict=True)), pa.array([len(g) for g in grams], pa.int64()), pa.array(set1, pa.int64()), pa.array(set2, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(values, pa.binary())], ["id", "doc_id", "n", "set1", "set2", "bands", "values"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, grams, size = [], [], 0
+            ids, grams, digests, size = [], [], [], 0
             both = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-            for key, g in zip(both, grams_of(batch.column(2), n), strict=True):
+            for key, (g, digest) in zip(both, grams_of(batch.column(2), n), strict=True):
                 ids.append(key)
                 grams.append(g)
+                digests.append(digest)
                 size += len(g)
                 if size > 1 << 16:
-                    yield pack(ids, grams)
-                    ids, grams, size = [], [], 0
+                    yield pack(ids, grams, digests)
+                    ids, grams, digests, size = [], [], [], 0
             if ids:
-                yield pack(ids, grams)
+                yield pack(ids, grams, digests)
 
     return arrow_map(texts, run, SIGNATURES)
 
@@ -243,7 +247,7 @@ def _gram_table(texts: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, sets, size = [], [], 0
-            for key, g in zip(batch.column(0).to_pylist(), grams_of(batch.column(1), n), strict=True):
+            for key, (g, _) in zip(batch.column(0).to_pylist(), grams_of(batch.column(1), n), strict=True):
                 ids.append(key)
                 sets.append(g.tobytes())
                 size += len(g)

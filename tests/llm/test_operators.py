@@ -50,6 +50,23 @@ def texts():
 # 1
 
 
+def test_words_that_fool_polynomials(spark):
+    """Thue-Morse words and their swaps have equal polynomial hashes modulo 2^64, in any base."""
+    words = ["a"]
+    while len(words[-1]) < 4096:
+        words.append(words[-1] + words[-1].translate(str.maketrans("ab", "ba")))
+    pairs = [(w, w.translate(str.maketrans("ab", "ba"))) for w in words[6:]]
+    alone = [w for p in pairs for w in p]
+    texts = alone + [w + " one two three four five" for w in alone] + ["x" + "a" * 8 + "b" * 8, "x" + "b" * 8 + "a" * 8, "\x01", "\x01\x00", "\x00"]
+    assert all(tuple(r)[1:] == (r.doc_id, 0, r.doc_id) for r in jaccard_join.jaccard_join(frame(spark, texts)).collect())
+    assert jaccard_join.drop_near_copies(frame(spark, texts)).count() == len(texts)
+    data = np.frombuffer(" ".join(texts).encode(), dtype=np.uint8)
+    whole, parts = jaccard_join.word_hashes(data), jaccard_join.word_hashes(data, 7)
+    assert (whole[0] == parts[0]).all() and (whole[1] == parts[1]).all() and (whole[0][0] != whole[0][1]).all()
+    assert len(np.unique(whole[0][0])) == len({w for t in texts for w in t.split()})
+
+
+
 def sets_of(text, n=5):
     w = [x for x in re.split("[ \t-\r]+", text or "") if x]
     return frozenset(tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))) if w else frozenset()
