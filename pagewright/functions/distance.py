@@ -1,4 +1,4 @@
-"""Edit distance of long sequences, by bit vectors.
+"""Edit distance of long sequences, by bit vectors; of very long ones that differ little, by furthest-reaching diagonals.
 
 The built-in distance costs a step for each pair of symbols. For long pairs the columns of its table are kept as bits of one
 integer, so a step handles a whole column; pairs below ``LONG`` stay with the built-in.
@@ -6,13 +6,18 @@ integer, so a step handles a whole column; pairs below ``LONG`` stay with the bu
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
+from .diagonals import diagonal_distance
+
 #: Product of lengths from which a pair counts as long: measured, the built-in is no faster from here on.
 LONG = 10_000
+#: Product of lengths from which few edits are looked for first, and how many: up to one in so many symbols, and so many in all.
+HUGE, SPARSE, MOST = 1 << 28, 64, 4_000
 
 
 def bit_distance(a, b) -> int:
@@ -56,14 +61,30 @@ def bit_distance(a, b) -> int:
     return score
 
 
+def sequence_distance(a, b) -> int:
+    """Edit distance of two sequences of hashable symbols, by the way that suits their lengths."""
+    if len(a) * len(b) >= HUGE:
+        found = diagonal_distance(*_numbers(a, b), min(MOST, max(len(a), len(b)) // SPARSE))
+        if found is not None:
+            return found
+    return bit_distance(a, b)
+
+
+def _numbers(a, b) -> tuple[np.ndarray, np.ndarray]:
+    if isinstance(a, str):
+        return tuple(np.frombuffer(x.encode("utf-32-le", "surrogatepass"), dtype="<u4") for x in (a, b))
+    names: dict = {}
+    return tuple(np.array([names.setdefault(w, len(names)) for w in x], dtype=np.int64) for x in (a, b))
+
+
 @F.pandas_udf(IntegerType())
 def _chars(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None else bit_distance(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
+    return pd.Series([None if x is None else sequence_distance(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
 
 
 @F.pandas_udf(IntegerType())
 def _words(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None else bit_distance(x.split(" "), y.split(" ")) for x, y in zip(a, b, strict=True)], dtype="Int32")
+    return pd.Series([None if x is None else sequence_distance(x.split(" "), y.split(" ")) for x, y in zip(a, b, strict=True)], dtype="Int32")
 
 
 def _long(form, a: Column, b: Column, long: Column) -> Column:

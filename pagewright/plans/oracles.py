@@ -121,6 +121,7 @@ o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, col ORDER BY cy, det_ord
 r AS (SELECT doc_id, col, rn, det_ord, x1, cy, cy AS anchor, 0 AS band FROM o WHERE rn = 1
   UNION ALL SELECT o.doc_id, o.col, o.rn, o.det_ord, o.x1, o.cy, CASE WHEN abs(o.cy - r.anchor) >= o.tol THEN o.cy ELSE r.anchor END, CASE WHEN abs(o.cy - r.anchor) >= o.tol THEN r.band + 1 ELSE r.band END
   FROM r JOIN o ON o.doc_id = r.doc_id AND o.col = r.col AND o.rn = r.rn + 1)"""
+STACKED = KEPT.replace("kept AS", "single AS") + ",\nkept AS (SELECT doc_id % 20 AS doc_id, doc_id * 100000 + det_ord AS det_ord, text, conf, x1, y1 + 37 * doc_id AS y1, x2, y2 + 37 * doc_id AS y2 FROM single)"
 TRUTHS = f"""truths AS (SELECT doc_id, CAST(generate_subscripts(s, 1) - 1 AS INTEGER) AS line_no, unnest(s) AS line
   FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: {strip('x')}), lambda x: x <> '') AS s FROM documents WHERE text IS NOT NULL))"""
 PAIRS = f"""{TRUTHS},
@@ -232,6 +233,8 @@ o AS (SELECT doc_id, CASE WHEN b1 IS NOT NULL AND least(y2 - y1, b2 - b1) > 0 AN
 SELECT doc_id, count(*) AS n_lines, CAST(sum(over) AS BIGINT) AS n_overlaps, floor((sum(over) / (count(*) - 1)) * 1e6 + 0.5) / 1e6 AS overlap_ratio FROM o GROUP BY doc_id HAVING count(*) > 1""",
     "reading_order_ltr": f"WITH {KEPT} SELECT doc_id, det_ord, row_number() OVER (PARTITION BY doc_id ORDER BY (y1 + y2) / 2, x1, det_ord) AS read_ord FROM kept",
     "detect_columns": f"WITH {KEPT}, {COLUMNS} SELECT doc_id, n_lines, page_width, max_gap, split_x FROM cols",
+    "long_page_order": f"WITH RECURSIVE {STACKED}, {BANDS} SELECT doc_id, det_ord, col, band, row_number() OVER (PARTITION BY doc_id ORDER BY col, band, x1 DESC, cy, det_ord) AS read_ord FROM r",
+    "long_page_medians": f"WITH {STACKED} SELECT doc_id, {MEDIAN} AS median_height FROM kept GROUP BY doc_id",
     "line_bands": f"WITH RECURSIVE {KEPT}, {BANDS} SELECT doc_id, det_ord, col, band FROM r",
     "reading_order_rtl": f"WITH RECURSIVE {KEPT}, {BANDS} SELECT doc_id, det_ord, row_number() OVER (PARTITION BY doc_id ORDER BY col, band, x1 DESC, cy, det_ord) AS read_ord FROM r",
     "assemble_document": f"WITH {KEPT}, t AS (SELECT doc_id, string_agg(text, chr(10) ORDER BY (y1 + y2) / 2, x1, det_ord) AS doc_text FROM kept WHERE text <> '' GROUP BY doc_id) SELECT d.doc_id, coalesce(doc_text, '') AS doc_text FROM documents d LEFT JOIN t USING (doc_id) WHERE d.text IS NOT NULL",

@@ -14,6 +14,7 @@ from ..operators import catalog as C
 from ..operators import detections as D
 from ..operators import evaluation as E
 from ..operators import layout as L
+from ..operators import long_pages as LP
 from ..operators import pages as pictures
 from ..operators import scoring as S
 from ..sources import documents as docs
@@ -234,6 +235,23 @@ def reading_order_rtl(spark, sf):
     return L.reading_order_rtl(_found(spark, sf)).select("doc_id", "det_ord", "read_ord")
 
 
+def _stacked(spark, sf):
+    """The lines of every twentieth document below each other, as one long page."""
+    c = F.col
+    down = 37 * c("doc_id")
+    return _found(spark, sf).select((c("doc_id") % 20).alias("doc_id"), "page_idx", (c("doc_id") * 100_000 + c("det_ord")).alias("det_ord"), "text", "conf", "x1", (c("y1") + down).alias("y1"), "x2", (c("y2") + down).alias("y2"))
+
+
+@query
+def long_page_order(spark, sf):
+    return LP.reading_order_any(_stacked(spark, sf), limit=200).select("doc_id", "det_ord", "col", "band", "read_ord")
+
+
+@query
+def long_page_medians(spark, sf):
+    return LP.page_medians(_stacked(spark, sf)).select("doc_id", "median_height")
+
+
 @query
 def assemble_document(spark, sf):
     texts = L.assemble_documents(L.assemble_pages(L.reading_order_ltr(_found(spark, sf))))
