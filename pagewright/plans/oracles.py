@@ -248,6 +248,25 @@ SELECT case_id, floor(score * 1e6 + 0.5) / 1e6 AS score FROM a""",
     "select_best_pass": f"WITH {SCORED}, {BEST.format(t='scored')} SELECT doc_id, variant, engine, {THREE} AS score, n_passes FROM best",
     "replace_margin": f"""WITH {SCORED}, three AS (SELECT * FROM scored WHERE engine = 'v3'), five AS (SELECT * FROM scored WHERE engine = 'v5'), {BEST.format(t='three')}, {BEST.format(t='five').replace('best AS', 'alt AS')}
 SELECT b.doc_id, CASE WHEN a.score > b.score * 1.03::DOUBLE THEN a.variant ELSE b.variant END AS variant, CASE WHEN a.score > b.score * 1.03::DOUBLE THEN a.engine ELSE b.engine END AS engine, floor(CASE WHEN a.score > b.score * 1.03::DOUBLE THEN a.score ELSE b.score END * 1e3 + 0.5) / 1e3 AS score, coalesce(a.score > b.score * 1.03::DOUBLE, FALSE) AS replaced FROM best b LEFT JOIN alt a USING (doc_id)""",
+    "batch_report": f"""WITH RECURSIVE {ALL_METRICS}, given AS (SELECT * FROM pairs WHERE doc_id % 5 <> 0 OR error IS NOT NULL),
+good AS (SELECT ev.* FROM ev JOIN given USING (doc_id, line_no, model)),
+told AS (SELECT doc_id, line_no, string_agg(model || '/' || concat_ws('/', CAST(round(cer * 10000) AS BIGINT), CAST(round(wer * 10000) AS BIGINT), CAST(round(word_f1 * 10000) AS BIGINT), CAST(round(overall_accuracy * 10000) AS BIGINT)), ' ' ORDER BY model_ord) AS results,
+  count(*) AS n_results, first(left(predicted, 200) ORDER BY model_ord) AS first_text FROM good GROUP BY doc_id, line_no),
+every AS (SELECT doc_id, line_no, first(ground_truth) AS ground_truth, count(*) AS models_run, CAST(sum(CAST(round(inference_time_ms * 100) AS BIGINT)) AS BIGINT) / 100 AS total_time_ms FROM given GROUP BY doc_id, line_no)
+SELECT doc_id, line_no, doc_id || '/' || line_no || '.png' AS image, ground_truth, coalesce(results, '') AS results, coalesce(n_results, 0) AS n_results, first_text, models_run, total_time_ms FROM every LEFT JOIN told USING (doc_id, line_no)""",
+    "document_overlap": f"""WITH {SCORED}, five AS (SELECT * FROM scored WHERE engine = 'v5'), {BEST.format(t='five')}, l AS (SELECT g.* FROM good g JOIN best b USING (doc_id, variant, engine)),
+o AS (SELECT doc_id, string_agg(text, chr(10) ORDER BY (y1 + y2) / 2, x1, det_ord) AS t FROM l GROUP BY doc_id),
+simple AS (SELECT doc_id, string_agg(text, chr(10) ORDER BY det_ord) AS t FROM det WHERE {_NOISE} GROUP BY doc_id),
+texts AS (SELECT d.doc_id, model, coalesce(CASE model WHEN 'printed' THEN o.t ELSE simple.t END, '') AS predicted, d.text AS truth FROM documents d CROSS JOIN (VALUES ('printed'), ('plain'), ('moody')) AS m(model) LEFT JOIN o USING (doc_id) LEFT JOIN simple USING (doc_id)
+  WHERE d.text IS NOT NULL AND (model <> 'moody' OR doc_id % 3 <> 0)),
+normals AS (SELECT doc_id, model, {collapse('nfc_normalize(predicted)')} AS p, {collapse('nfc_normalize(truth)')} AS g FROM texts),
+tokens AS (SELECT doc_id, model, 'c' AS kind, unnest(string_split(p, '')) AS t, 1 AS a, 0 AS b FROM normals WHERE p <> '' UNION ALL SELECT doc_id, model, 'c', unnest(string_split(g, '')), 0, 1 FROM normals WHERE g <> ''
+  UNION ALL SELECT doc_id, model, 'w', unnest({words('p')}), 1, 0 FROM normals UNION ALL SELECT doc_id, model, 'w', unnest({words('g')}), 0, 1 FROM normals),
+n AS (SELECT doc_id, model, kind, t, sum(a) AS a, sum(b) AS b FROM tokens GROUP BY ALL),
+f AS (SELECT doc_id, model, kind, CAST(sum(least(a, b)) AS BIGINT) AS s, CAST(sum(a) AS BIGINT) AS a, CAST(sum(b) AS BIGINT) AS b FROM n GROUP BY ALL),
+h AS (SELECT normals.doc_id, normals.model, coalesce(c.s, 0) AS cs, coalesce(c.a, 0) AS ca, coalesce(c.b, 0) AS cb, coalesce(w.s, 0) AS ws, coalesce(w.a, 0) AS wa, coalesce(w.b, 0) AS wb
+  FROM normals LEFT JOIN f c ON c.doc_id = normals.doc_id AND c.model = normals.model AND c.kind = 'c' LEFT JOIN f w ON w.doc_id = normals.doc_id AND w.model = normals.model AND w.kind = 'w')
+SELECT doc_id, model, cs AS char_shared, {r4('cs', 'ca')} AS char_precision, {r4('cs', 'cb')} AS char_recall, {r4('2 * cs', 'ca + cb')} AS char_f1, ws AS word_shared, {r4('ws', 'wa')} AS word_precision, {r4('ws', 'wb')} AS word_recall, {r4('2 * ws', 'wa + wb')} AS word_f1 FROM h""",
     "recognised_documents": f"""WITH {SCORED}, five AS (SELECT * FROM scored WHERE engine = 'v5'), {BEST.format(t='five')}, l AS (SELECT g.* FROM good g JOIN best b USING (doc_id, variant, engine)),
 o AS (SELECT doc_id, string_agg(text, chr(10) ORDER BY (y1 + y2) / 2, x1, det_ord) AS doc_text, count(*) AS n_lines, floor((list_sum(list(conf ORDER BY (y1 + y2) / 2, x1, det_ord)) / count(*)) * 1e4 + 0.5) / 1e4 AS avg_confidence FROM l GROUP BY doc_id)
 SELECT d.doc_id, coalesce(doc_text, '') AS doc_text, coalesce(n_lines, 0) AS n_lines, coalesce(avg_confidence, 0::DOUBLE) AS avg_confidence, 1::BIGINT AS n_pages FROM documents d LEFT JOIN o USING (doc_id) WHERE d.text IS NOT NULL""",
@@ -290,7 +309,7 @@ SELECT case_id, CASE WHEN len(w) > 0 AND len(kept) / len(w) >= 0.8 THEN array_to
     "compute_metrics": f"WITH RECURSIVE {ALL_METRICS} {Q}{NAMES} FROM ev",
     "overall_accuracy": f"WITH RECURSIVE {ALL_METRICS} {Q}overall_accuracy FROM ev",
     "best_models": f"""WITH RECURSIVE {ALL_METRICS}, every AS (SELECT doc_id, model, model_ord, cer, wer, word_f1, FALSE AS bad FROM ev UNION ALL SELECT doc_id, model, model_ord, 1::DOUBLE, 1::DOUBLE, 0::DOUBLE, TRUE FROM pairs WHERE error IS NOT NULL),
-means AS (SELECT doc_id, model, model_ord, {mean4('cer')} AS cer, {mean4('wer')} AS wer, {mean4('word_f1')} AS word_f1, bool_or(bad) AS bad FROM every WHERE model <> 'identity' GROUP BY ALL)
+means AS (SELECT doc_id, model, model_ord, {mean4('cer')} AS cer, {mean4('wer')} AS wer, {mean4('word_f1')} AS word_f1, bool_or(bad) AS bad FROM every GROUP BY ALL)
 SELECT doc_id, coalesce(first(model ORDER BY cer, model_ord) FILTER (NOT bad), 'N/A') AS best_cer, coalesce(first(model ORDER BY wer, model_ord) FILTER (NOT bad), 'N/A') AS best_wer, coalesce(first(model ORDER BY word_f1 DESC, model_ord) FILTER (NOT bad), 'N/A') AS best_word_f1 FROM means GROUP BY doc_id""",
     "page_diagnostics": f"WITH RECURSIVE {SIDES} SELECT * EXCLUDE (won) FROM diagnosed",
     "document_metadata": f"""WITH RECURSIVE {SIDES},

@@ -15,12 +15,14 @@ from ..operators import detections as D
 from ..operators import evaluation as E
 from ..operators import layout as L
 from ..operators import long_pages as LP
+from ..operators import overlap as O
 from ..operators import pages as pictures
 from ..operators import scoring as S
 from ..sources import documents as docs
 from ..sources import sinks
 from . import fixtures as X
 from . import pipelines as P
+from . import requests as R
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -525,4 +527,43 @@ def best_models(spark, sf):
     c = F.col
     rows = E.evaluate(X.pairs(spark, sf)).withColumn("bad", ~E.ok())
     means = rows.groupBy("doc_id", "model", "model_ord").agg(*(E.mean4(m).alias(m) for m in ("cer", "wer", "word_f1")), F.when(F.max("bad"), "error").alias("error"))
-    return E.best_models(means.where(c("model") != "identity"), ["doc_id"])
+    return E.best_models(means, ["doc_id"])
+
+
+def _document_results(spark, sf):
+    """Three models over whole documents: all passes of the printed engine, the detections as they come, and one that fails on every third."""
+    c = F.col
+    pages = X.pages(spark, sf)
+    printed = P.recognised_documents(X.passes(spark, sf), "en", pages=pages, planned=X.planned(spark, sf))
+    plain = P.simple_documents(X.detections(spark, sf), "en", pages=pages)
+    parts = []
+    for k, (name, made) in enumerate((("printed", printed), ("plain", plain), ("moody", plain))):
+        error = F.when(c("doc_id") % 3 == 0, "boom") if name == "moody" else F.lit(None).cast("string")
+        parts.append(made.select("doc_id", F.lit(k).alias("model_ord"), F.lit(name).alias("model"), c("doc_text").alias("raw_text"), "avg_confidence", ((c("doc_id") * 13 + k * 29) % 997 / F.lit(10.0)).alias("inference_time_ms"), error.alias("error")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def _named_truths(spark, sf):
+    return X.table(spark, sf, "documents").select("doc_id", F.format_string("%d.png", "doc_id").alias("filename"), F.col("text").alias("ground_truth"))
+
+
+@query
+def evaluate_documents(spark, sf):
+    """The whole evaluate request: recognised documents against their whole texts."""
+    return R.evaluate_documents(_document_results(spark, sf), _named_truths(spark, sf), "en")
+
+
+@query
+def document_overlap(spark, sf):
+    c = F.col
+    found = _document_results(spark, sf).where(E.ok()).select("doc_id", "model", c("raw_text").alias("predicted"))
+    return O.overlap_metrics(found.join(_named_truths(spark, sf), "doc_id"), ["doc_id", "model"])
+
+
+@query
+def batch_report(spark, sf):
+    c = F.col
+    report = R.batch_report(E.evaluate(X.pairs(spark, sf).where("doc_id % 5 <> 0 OR error IS NOT NULL")), ["doc_id", "line_no"], F.format_string("%d/%d.png", "doc_id", "line_no"))
+    whole = lambda x: F.round(x * 10_000).cast("long").cast("string")
+    told = F.array_join(F.transform("results", lambda r: F.concat_ws("/", r["model"], *(whole(r[m]) for m in ("cer", "wer", "word_f1", "overall_accuracy")))), " ")
+    return report.select("doc_id", "line_no", "image", "ground_truth", told.alias("results"), F.size("results").alias("n_results"), F.transform("results", lambda r: r["raw_text"])[0].alias("first_text"), "models_run", "total_time_ms")

@@ -61,7 +61,7 @@ def test_running_sums_cross_ranges(spark):
 
 def test_long_pages_are_spread_over_tasks(spark):
     """One page of 200 000 lines: after the sort no task has more than its range, and nothing is a window over a page."""
-    lines = spark.range(200_000).selectExpr("1L AS doc_id", "0 AS page_idx", "CAST(id AS INT) AS det_ord", "'t' AS text", "1.0D AS conf", "CAST(id % 7 * 40 AS INT) AS x1", "CAST(id AS INT) AS y1", "CAST(id % 7 * 40 + 30 AS INT) AS x2", "CAST(id + 10 AS INT) AS y2")
+    lines = spark.range(200_000).selectExpr("1L AS doc_id", "0 AS page_idx", "CAST(id AS INT) AS det_ord", "'t' AS text", "1.0D AS conf", "CAST(id % 7 * 4 AS INT) AS x1", "CAST(id AS INT) AS y1", "CAST(id % 7 * 4 + 30 AS INT) AS x2", "CAST(id + 10 AS INT) AS y2")
     ordered = LP.long_reading_order(lines)
     assert "Window" not in ordered._jdf.queryExecution().executedPlan().toString()
     assert ordered.agg(F.max("read_ord"), F.countDistinct("read_ord"), F.max("band")).first()[:] == (200_000, 200_000, 199_999 // 15)
