@@ -131,6 +131,18 @@ def crc_mod(column: str, n: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 
 
+def sampled(rows: DataFrame, size: int, *columns: str) -> DataFrame:
+    """At most ``size`` rows, and that many if so many differ in the columns; rows that agree in all of them count once.
+
+    Those with the least hashes of the columns' contents are taken, so neither null nor repeated ids crowd out others. Only
+    hashes are sorted, and ``size`` of them are broadcast.
+    """
+    draw = fresh("draw", rows)
+    keyed = rows.withColumn(draw, F.xxhash64(*columns))
+    least = keyed.select(draw).distinct().orderBy(draw).limit(size)
+    return keyed.join(F.broadcast(least), draw).dropDuplicates([draw]).drop(draw)
+
+
 #: Bits of a membership bitmap: 4 MB, whatever the data. A full bitmap lets everything pass, so only shuffles grow.
 BITMAP_BITS = 1 << 25
 

@@ -5,7 +5,7 @@ frequency is the share of a text's n-grams; document frequencies are counted ove
 folds and no other. Weights are trained by follow-the-regularised-leader with elastic-net penalties, which leaves most of
 them at zero, and a temperature fitted to rows kept from training calibrates the scores.
 
-Weights come from about ``train_rows`` labelled rows of the training folds, whatever the input's size. Nulls: a null text, and
+Weights come from at most ``train_rows`` labelled rows of the training folds, whatever the input's size. Nulls: a null text, and
 one without a letter, is `und` with score 0; null languages and ids teach nothing, and a null id is not held out. Texts of any
 length are read whole. Repeated rows each get a row. Extra columns are ignored; an empty table gives no rows, and without
 labelled rows every text is `und`.
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, crc_mod
+from .common import arrow_map, crc_mod, sampled
 
 FEATURES = 1 << 15
 SLICE = 1 << 10
@@ -114,8 +114,7 @@ def temperature(scores: np.ndarray, labels: np.ndarray) -> float:
 def train(docs: DataFrame, folds: int, held: int, train_rows: int) -> dict:
     """Languages, weights with IDF folded in, bias and temperature."""
     known = docs.where(F.col("lang").isNotNull() & (crc_mod("doc_id", folds) != held))
-    share = int((1 << 30) * min(1.0, train_rows / max(known.count(), 1)))
-    drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share).select("doc_id", "text", "lang")
+    drawn = sampled(known.select("doc_id", "text", "lang"), train_rows, "doc_id", "text", "lang")
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,7 +126,7 @@ def train(docs: DataFrame, folds: int, held: int, train_rows: int) -> dict:
                 share_of.append((c / max(c.sum(), 1)).astype(np.float32))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(at, pa.list_(pa.int32())), pa.array(share_of, pa.list_(pa.float32()))], ["doc_id", "lang", "at", "share"])
 
-    rows = arrow_map(drawn, sparse, "doc_id long, lang string, at array<int>, share array<float>").where("size(at) > 0").toPandas()  # about train_rows sparse rows
+    rows = arrow_map(drawn, sparse, "doc_id long, lang string, at array<int>, share array<float>").where("size(at) > 0").toPandas()  # at most train_rows sparse rows
     df, n = document_frequencies(known)
     idf = np.log((1 + n) / (1 + df)) + 1
     langs = sorted(rows.lang.unique())

@@ -6,7 +6,7 @@ anywhere), and expectation-maximisation over the counts estimates the share of g
 wrong on good and right on bad ones, with no labels at all; who abstains says nothing. The posterior of each pattern then
 labels texts for a linear scorer on hashed byte trigrams and shape features, which generalises beyond the heuristics.
 
-The scorer is fitted to the features, at most ``FEATURES`` numbers each, of about ``train_rows`` documents, whatever the input's
+The scorer is fitted to the features, at most ``FEATURES`` numbers each, of at most ``train_rows`` documents, whatever the input's
 size; vote counts come from every row. Nulls: a null text is an empty one; an empty text scores 0; a null id stays null, and is
 drawn like any other. Texts of any length are read whole. Repeated rows each get a row. Extra columns are ignored; an
 empty table gives no rows.
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map
+from .common import arrow_map, sampled
 
 FEATURES = 1 << 14
 
@@ -185,8 +185,7 @@ def learn(docs: DataFrame, train_rows: int = 4_000) -> tuple[dict[int, float], n
     code, number = np.array([c for c, _ in counts], dtype=np.int64), np.array([n for _, n in counts], dtype=np.float64)
     *_, post = estimate(code[:, None] // 3 ** np.arange(len(VOTES)) % 3, number)
     posterior = {int(c): float(p) for c, p in zip(code, post, strict=True)}
-    share = int((1 << 30) * min(1.0, train_rows / max(number.sum(), 1)))
-    drawn = _features(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share)).orderBy("at", "value").toPandas()  # about train_rows rows of bounded size
+    drawn = _features(sampled(docs.select("doc_id", "text"), train_rows, "doc_id", "text")).orderBy("at", "value").toPandas()  # at most train_rows rows of bounded size
     return posterior, train([(np.asarray(a), np.asarray(v), posterior[m]) for a, v, m in zip(drawn["at"], drawn["value"], drawn["pattern"], strict=True)])
 
 

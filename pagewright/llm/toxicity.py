@@ -12,7 +12,7 @@ One insult without a target is not enough: a clause of that kind has a chance be
 one. Suspects count over the whole document: how many there are among so many words is compared between the rates in toxic
 and in other documents that have any (Poisson, at least one). A document's score is the chance that any of this is meant.
 
-Learning uses a sample of about ``train_rows`` labelled documents of the training folds, whatever the input's size.
+Learning uses a sample of at most ``train_rows`` labelled documents and as many of their texts of the training folds, whatever the input's size.
 Nulls: a null text is an empty one and scores the base rate of a text without matches; null labels and labels of a null id
 teach nothing, and a null id is not held out. Texts and clauses of any length are read whole. Repeated rows each get a row;
 of repeated labels the greatest counts. Extra columns are ignored; an empty table gives no rows.
@@ -31,7 +31,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, crc_mod
+from .common import arrow_map, crc_mod, sampled
 
 THRESHOLD = 0.7
 INSULT, SUSPECT, THREAT, TARGET, NEGATION, REPORT, QUOTE, COMMA, OTHER = "ISTYNRQCO"
@@ -200,9 +200,9 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, tra
     odds that stay above e when three standard errors worse.
     """
     known = labels.where(F.col("toxic").isNotNull() & (crc_mod("doc_id", folds) != held)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    share = int((1 << 30) * min(1.0, train_rows / max(known.count(), 1)))
-    drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share)  # about train_rows rows, so small enough to broadcast
+    drawn = sampled(known, train_rows, "doc_id")  # small enough to broadcast
     rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").groupBy("text").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))  # a copy teaches nothing new
+    rows = sampled(rows, train_rows, "text")
 
     def emit(toxic: Counter, clean: Counter) -> pa.RecordBatch:
         keys = list(toxic.keys() | clean.keys())

@@ -847,6 +847,26 @@ def test_estimate_finds_who_is_right():
     assert abs(prior - 0.8) < 0.05 and (np.abs(on_bad - hit) < 0.1).all() and (on_good < 0.03).all()
 
 
+# Samples
+
+
+def test_samples_are_bounded(spark):
+    """Null and repeated ids, ten times as many as are to be learned from, neither crowd out others nor are all taken."""
+    texts = [f"the quick words of english number {k}" for k in range(300)]
+    for ids in ([None] * 300, [7] * 300, [k % 2 for k in range(300)]):
+        rows = frame(spark, texts).withColumn("doc_id", F.element_at(F.array(*[F.lit(x).cast("long") for x in ids]), (F.col("doc_id") + 1).cast("int")))
+        assert common.sampled(rows, 30, "doc_id", "text").count() == 30 and common.sampled(rows, 500, "doc_id", "text").count() == 300
+        scored = quality.quality(rows, 30)
+        assert scored.count() == 300
+    same = frame(spark, ["one text"] * 300)
+    assert common.sampled(same, 30, "text").count() == 1
+    known = [k for k in range(100) if zlib.crc32(str(k).encode()) % 4 != 2][0]
+    rows = frame(spark, texts).withColumn("doc_id", F.lit(known).cast("long"))
+    assert {r.lang_pred for r in langid.identify(rows, train_rows=30).collect()} == {"en"}
+    labels = spark.createDataFrame([(known, 1, 1)], "doc_id long, quality int, toxic int")
+    assert toxicity.toxicity(rows, labels, train_rows=30).count() == 300
+
+
 # All
 
 
