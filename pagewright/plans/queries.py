@@ -566,4 +566,4 @@ def batch_report(spark, sf):
     report = R.batch_report(E.evaluate(X.pairs(spark, sf).where("doc_id % 5 <> 0 OR error IS NOT NULL")), ["doc_id", "line_no"], F.format_string("%d/%d.png", "doc_id", "line_no"))
     whole = lambda x: F.round(x * 10_000).cast("long").cast("string")
     told = F.array_join(F.transform("results", lambda r: F.concat_ws("/", r["model"], *(whole(r[m]) for m in ("cer", "wer", "word_f1", "overall_accuracy")))), " ")
-    return report.select("doc_id", "line_no", "image", "ground_truth", told.alias("results"), F.size("results").alias("n_results"), F.transform("results", lambda r: r["raw_text"])[0].alias("first_text"), "models_run", "total_time_ms")
+    return report.select("doc_id", "line_no", "image", "ground_truth", told.alias("results"), F.size("results").alias("n_results"), F.get(F.transform("results", lambda r: r["raw_text"]), F.lit(0)).alias("first_text"), "models_run", "total_time_ms")
