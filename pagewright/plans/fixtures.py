@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import evaluation as E
@@ -22,6 +22,7 @@ REQUESTS = [
     (1, None, "en"), (2, "  ", "all"), (3, ",", "en"), (4, "pure_ocr", "ar"), (5, "latin, pure-ocr ,latin", "en"), (6, "nope,script,nope, vision", "ar"),
     (7, "OCR_WITHOUT_LLM_CAPABILITIES", "hi"), (8, "printed", "pa"), (9, "PURE_OCR", "en"), (10, "\tscript ,printed", "ar"),
 ]
+ASKED = ("en", "all", "ar", "hi", "pa")
 UPLOADS = [
     ("a.jpg", "image/jpeg", 10, "ffd8ff", "x"), ("b.png", "image/png", 20 * 1024 * 1024, "89504e470d0a", "x"), ("c.png", "image/png", 20 * 1024 * 1024 + 1, "89504e47", "x"),
     ("d.txt", "text/plain", 9, "736f6d65", "x"), ("e.pdf", "application/pdf", 30, "255044462d312e37", "  "), ("f.pdf", "application/pdf", 31, "20200a25504446", "y"),
@@ -74,6 +75,43 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boxed.select("doc_id", "page_idx", "det_ord", "text", "conf", "x1", "y1", (c("x1") + c("w")).alias("x2"), (c("y1") + c("h")).alias("y2"))
 
 
+def by_case(rows: DataFrame, number: Column, cases: list[tuple], schema: str) -> DataFrame:
+    """rows, each with the columns of the case that its number leaves as the remainder."""
+    few = rows.sparkSession.createDataFrame([(k, *c) for k, c in enumerate(cases)], f"case int, {schema}")
+    return rows.withColumn("case", (number % len(cases)).cast("int")).join(F.broadcast(few), "case").drop("case")
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request for each event; its list of models and its language follow from the event's id."""
+    c = F.col
+    asked = by_case(table(spark, sf_dir, "events").select(c("event_id").alias("request_id")), c("request_id"), [(m,) for _, m, _ in REQUESTS], "models string")
+    return by_case(asked, F.floor(c("request_id") / 10), [(x,) for x in ASKED], "language string")
+
+
+def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each document: a case's type, size and first bytes, followed by the text's own."""
+    c = F.col
+    rows = by_case(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("n_chars", F.lit(0)).alias("n_chars")), c("doc_id"), UPLOADS, "path string, content_type string, length long, hex string, truth string")
+    return rows.select(
+        F.concat("path", c("doc_id").cast("string")).alias("path"), "content_type", F.when(c("doc_id") % 24 < 12, c("length")).otherwise(c("length") + c("n_chars")).alias("length"),
+        F.unhex(F.concat("hex", F.hex(F.left("text", F.lit(16)).cast("binary")))).alias("head"), F.when(c("truth").rlike("[a-z]"), F.left("text", F.lit(20))).otherwise(c("truth")).alias("ground_truth"),
+    )
+
+
+def plan_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = by_case(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id")), F.col("page_id"), [p[1:] for p in PLAN_PAGES], "language string, width int, height int, skew double")
+    return rows.withColumn("width", (F.col("width") + F.floor(F.col("page_id") / 7) % 3).cast("int"))
+
+
+def outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each detection's box as four corners that begin anywhere, with its area; every other one is a quadrilateral."""
+    c = F.col
+    rows = detections(spark, sf_dir).select("doc_id", "det_ord", (c("doc_id") * 100_000 + c("det_ord")).alias("id"), *(c(x).cast("double").alias(x) for x in ("x1", "y1", "x2", "y2")))
+    whole = F.array(F.array("x1", "y1"), F.array("x2", "y1"), F.array("x2", "y2"), F.array("x1", "y2"))
+    turn = (c("det_ord") % 4).cast("int")
+    return rows.select("*", F.concat(F.slice(whole, turn + 1, F.lit(4)), F.slice(whole, F.lit(1), turn)).alias("corners"), ((c("x2") - c("x1")) * (c("y2") - c("y1"))).alias("area"), (c("det_ord") % 2 == 0).alias("quad"))
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.lit(0).alias("page_idx"))
 

@@ -186,7 +186,12 @@ SHOWN = "selected_variant selected_engine primary_best_score alt_best_score comp
 CASES = values("cases", "case_id, s", X.UNICODE)
 DOCUMENT_CASES = values("few", "case_id, s", X.UNICODE) + f", cases AS (SELECT * FROM few UNION ALL SELECT CAST(doc_id AS VARCHAR), {IN_ARABIC} FROM documents WHERE text IS NOT NULL)"
 MODELS = values("models", "model_ord, name, tier, languages, supports_all, loaded, error", X.CATALOG)
-ASKED = values("requests", "request_id, models, language", X.REQUESTS)
+ASKED = values("asked", "k, models", [(k, r[1]) for k, r in enumerate(X.REQUESTS)]) + f", requests AS (SELECT event_id AS request_id, a.models, ({lit(X.ASKED)})[1 + (event_id // 10) % 5] AS language FROM events JOIN asked a ON a.k = event_id % {len(X.REQUESTS)})"
+UPLOADED = values("few", "k, path, content_type, length, hex, truth", [(k, *u) for k, u in enumerate(X.UPLOADS)]) + """,
+u AS (SELECT f.path || doc_id AS path, content_type, CASE WHEN doc_id % 24 < 12 THEN length ELSE length + coalesce(n_chars, 0) END AS length, f.hex || lower(hex(encode(left(coalesce(text, ''), 16)))) AS hex,
+  CASE WHEN regexp_matches(truth, '[a-z]') THEN left(coalesce(text, ''), 20) ELSE truth END AS ground_truth FROM documents JOIN few f ON f.k = doc_id % 12)"""
+OUTLINES = f"""{DETECTIONS}, flat AS (SELECT doc_id, det_ord, doc_id * 100000 + det_ord AS id, [[x1, y1], [x2, y1], [x2, y2], [x1, y2]] AS whole, det_ord % 4 AS turn, CAST((x2 - x1) * (y2 - y1) AS DOUBLE) AS area, det_ord % 2 = 0 AS quad FROM det),
+outlines AS (SELECT *, list_concat(whole[turn + 1:4], whole[1:turn]) AS corners FROM flat)"""
 ALIASES = "('OCR_WITHOUT_LLM_CAPABILITIES', 'ocr_without_llm_capabilities', 'pure_ocr', 'pure-ocr')"
 TOKENS = f"""tokens AS (SELECT request_id, language, models, generate_subscripts(s, 1) AS place_no, unnest(s) AS token FROM (SELECT request_id, language, models, list_filter(list_transform(string_split(models, ','), lambda x: {strip('x')}), lambda x: x <> '') AS s FROM requests WHERE models IS NOT NULL AND {strip('models')} <> '')),
 preset AS (SELECT k, name FROM (SELECT generate_subscripts(p, 1) AS k, unnest(p) AS name FROM (SELECT {lit(X.PRESET)} AS p)) WHERE name IN (SELECT name FROM models WHERE loaded)),
@@ -198,8 +203,8 @@ Q = "SELECT doc_id, line_no, model, "
 TEXT = f"{collapse('nfc_normalize(text)')}"
 
 ORACLES: dict[str, str] = {
-    "doc_sniff": f"WITH {values('u', 'path, content_type, length, hex, ground_truth', X.UPLOADS)} SELECT path, CASE WHEN regexp_matches(hex, '^((09|0a|0b|0c|0d|20))*25504446') THEN 'pdf' ELSE 'image' END AS kind FROM u",
-    "validate_uploads": f"""WITH {values('u', 'path, content_type, length, hex, ground_truth', X.UPLOADS)},
+    "doc_sniff": f"WITH {UPLOADED} SELECT path, CASE WHEN regexp_matches(hex, '^((09|0a|0b|0c|0d|20))*25504446') THEN 'pdf' ELSE 'image' END AS kind FROM u",
+    "validate_uploads": f"""WITH {UPLOADED},
 c AS (SELECT path, CASE WHEN content_type IS NULL OR content_type NOT IN ('image/jpeg', 'image/png', 'image/webp', 'image/tiff', 'application/pdf') THEN 415 WHEN length > 20971520 THEN 413 WHEN ground_truth IS NULL OR {strip('ground_truth')} = '' THEN 422 ELSE 200 END AS status FROM u)
 SELECT path, status, CASE status WHEN 415 THEN 'unsupported type' WHEN 413 THEN 'too large' WHEN 422 THEN 'blank ground truth' ELSE 'ok' END AS reason FROM c""",
     "gt_lines": f"WITH {TRUTHS} SELECT doc_id, line_no, line FROM truths",
@@ -211,14 +216,14 @@ SELECT path, status, CASE status WHEN 415 THEN 'unsupported type' WHEN 413 THEN
     "unknown_models": f"WITH {MODELS}, {ASKED}, {TOKENS} SELECT DISTINCT request_id, token AS name FROM tokens WHERE token NOT IN {ALIASES} AND token NOT IN (SELECT name FROM models WHERE loaded)",
     "select_models": f"WITH {MODELS}, {ASKED}, {TOKENS} SELECT q.request_id, m.model_ord, m.name FROM resolved r JOIN requests q USING (request_id) JOIN models m ON m.name = r.name AND m.loaded WHERE CASE WHEN q.language = 'all' THEN supports_all ELSE list_contains(languages, q.language) END",
     "engine_config": "SELECT language, engine_ord, engine FROM (VALUES ('en'), ('ar'), ('hi'), ('pa')) AS l(language) LEFT JOIN (VALUES ('en', 0, 'v5'), ('ar', 0, 'v5'), ('ar', 1, 'v3'), ('hi', 0, 'v5')) AS e(language, engine_ord, engine) USING (language)",
-    "plan_variants": f"""WITH {values('p', 'page_id, language, width, height, skew', X.PLAN_PAGES)},
+    "plan_variants": f"""WITH {values('few', 'k, language, width, height, skew', [(k, *r[1:]) for k, r in enumerate(X.PLAN_PAGES)])}, p AS (SELECT doc_id AS page_id, language, width + (doc_id // 7) % 3 AS width, height, skew FROM documents JOIN few ON k = doc_id % {len(X.PLAN_PAGES)}),
 v AS (SELECT p.*, n, variant, scale FROM p, (VALUES (0, 'original', 1::DOUBLE), (1, 'upscaled_2x', 2::DOUBLE), (2, 'clahe', 1::DOUBLE), (3, 'adaptive_thresh', 1::DOUBLE), (4, 'ink_bleed_clean', 1::DOUBLE), (5, 'deskewed', 1::DOUBLE), (6, 'downscaled_0.75x', 0.75::DOUBLE)) AS v(n, variant, scale)
   WHERE n < 3 OR (language = 'ar' AND (n < 5 OR (n = 5 AND abs(skew) >= 0.2) OR (n = 6 AND greatest(width, height) > 3000))))
 SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY n) - 1 AS INTEGER) AS variant_ord, variant, scale FROM v""",
-    "poly_to_bbox": f"WITH {values('p', 'id, poly', X.POLYS)}, e AS (SELECT id, list_transform(poly, lambda q: CAST(trunc(q[1]) AS INTEGER)) AS xs, list_transform(poly, lambda q: CAST(trunc(q[2]) AS INTEGER)) AS ys FROM p) SELECT id, coalesce(list_min(xs), 0) AS x1, coalesce(list_min(ys), 0) AS y1, coalesce(list_max(xs), 0) AS x2, coalesce(list_max(ys), 0) AS y2 FROM e",
-    "order_quad": f"""WITH {values('q', 'id, points', X.QUADS)}, e AS (SELECT id, i, points[i][1] AS x, points[i][2] AS y FROM q, range(1, 5) AS r(i))
+    "poly_to_bbox": f"WITH {OUTLINES}, p AS (SELECT id, CASE WHEN det_ord % 50 = 7 THEN [] WHEN det_ord % 50 <> 9 THEN list_transform(range(1, 5), lambda i: [corners[i][1] + 0.25::DOUBLE * (i - 1), corners[i][2] - 0.75::DOUBLE]) END AS poly FROM outlines), e AS (SELECT id, list_transform(poly, lambda q: CAST(trunc(q[1]) AS INTEGER)) AS xs, list_transform(poly, lambda q: CAST(trunc(q[2]) AS INTEGER)) AS ys FROM p) SELECT id, coalesce(list_min(xs), 0) AS x1, coalesce(list_min(ys), 0) AS y1, coalesce(list_max(xs), 0) AS x2, coalesce(list_max(ys), 0) AS y2 FROM e",
+    "order_quad": f"""WITH {OUTLINES}, e AS (SELECT id, i, corners[i][1] AS x, corners[i][2] AS y FROM outlines, range(1, 5) AS r(i))
 SELECT id, """ + ", ".join(f"first({c} ORDER BY {o}, i) AS {n}_{c}" for n, o in (("tl", "x + y"), ("tr", "y - x"), ("br", "-(x + y)"), ("bl", "-(y - x)")) for c in "xy") + " FROM e GROUP BY id",
-    "topk_quads": f"WITH {values('a', 'image_id, contour, area, quad', X.AREAS)}, t AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY area DESC, contour) AS place_no FROM a) SELECT image_id, first(contour ORDER BY place_no) AS contour FROM t WHERE place_no <= 15 AND area >= 1000 AND quad GROUP BY image_id",
+    "topk_quads": f"WITH {OUTLINES}, a AS (SELECT doc_id AS image_id, det_ord AS contour, area, quad FROM outlines), t AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY area DESC, contour) AS place_no FROM a) SELECT image_id, first(contour ORDER BY place_no) AS contour FROM t WHERE place_no <= 15 AND area >= 1000 AND quad GROUP BY image_id",
     "box_geometry": f"WITH {DETECTIONS} SELECT doc_id, det_ord, x2 - x1 AS width, y2 - y1 AS height, (x2 - x1) * (y2 - y1) AS area, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy FROM det",
     "effective_scale": f"""WITH {DETECTIONS}, p AS (SELECT doc_id, max(x2) AS width, max(y2) AS height FROM det GROUP BY doc_id), q AS (SELECT *, greatest(width, height) AS side FROM p)
 SELECT doc_id, CASE WHEN side > 640 THEN greatest(1, CAST(trunc(width * (640 / side)) AS INTEGER)) ELSE width END AS new_width, CASE WHEN side > 640 THEN greatest(1, CAST(trunc(height * (640 / side)) AS INTEGER)) ELSE height END AS new_height, CASE WHEN side > 640 THEN 2::DOUBLE * (640 / side) ELSE 2::DOUBLE END AS effective_scale FROM q""",

@@ -43,13 +43,12 @@ def _found(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def doc_sniff(spark, sf):
-    rows = X.frame(spark, [(p, h) for p, _, _, h, _ in X.UPLOADS], "path string, hex string").withColumn("head", F.unhex("hex"))
-    return docs.sniff(rows).select("path", "kind")
+    return docs.sniff(X.uploads(spark, sf)).select("path", "kind")
 
 
 @query
 def validate_uploads(spark, sf):
-    return docs.validate_uploads(X.frame(spark, [(p, t, n, g) for p, t, n, _, g in X.UPLOADS], "path string, content_type string, length long, ground_truth string")).select("path", "status", "reason")
+    return docs.validate_uploads(X.uploads(spark, sf)).select("path", "status", "reason")
 
 
 @query
@@ -87,19 +86,19 @@ def run_options(spark, sf):
     )
 
 
-def _admitted(spark, batch):
-    rows = C.admit(X.frame(spark, X.REQUESTS, "request_id int, models string, language string"), C.catalog(spark, X.CATALOG), X.PRESET, batch)
+def _admitted(spark, sf, batch):
+    rows = C.admit(X.requests(spark, sf), C.catalog(spark, X.CATALOG), X.PRESET, batch)
     return rows.select("request_id", "status", "message", *(F.array_join(x, ",").alias(x) for x in ("requested", "unknown", "loaded")), "n_selected")
 
 
 @query
 def admit_requests(spark, sf):
-    return _admitted(spark, False)
+    return _admitted(spark, sf, False)
 
 
 @query
 def admit_batches(spark, sf):
-    return _admitted(spark, True)
+    return _admitted(spark, sf, True)
 
 
 @query
@@ -113,23 +112,19 @@ def models_for_language(spark, sf):
     return C.models_for_language(C.catalog(spark, X.CATALOG), asked).select("language", "model_ord", "name")
 
 
-def _requests(spark):
-    return X.frame(spark, X.REQUESTS, "request_id int, models string, language string")
-
-
 @query
 def resolve_models(spark, sf):
-    return C.resolve_models(_requests(spark), C.catalog(spark, X.CATALOG), X.PRESET).select("request_id", F.array_join("names", ",").alias("names"))
+    return C.resolve_models(X.requests(spark, sf), C.catalog(spark, X.CATALOG), X.PRESET).select("request_id", F.array_join("names", ",").alias("names"))
 
 
 @query
 def unknown_models(spark, sf):
-    return C.unknown_models(_requests(spark), C.catalog(spark, X.CATALOG)).select("request_id", "name")
+    return C.unknown_models(X.requests(spark, sf), C.catalog(spark, X.CATALOG)).select("request_id", "name")
 
 
 @query
 def select_models(spark, sf):
-    return C.select_models(_requests(spark), C.catalog(spark, X.CATALOG), X.PRESET)
+    return C.select_models(X.requests(spark, sf), C.catalog(spark, X.CATALOG), X.PRESET)
 
 
 @query
@@ -139,8 +134,7 @@ def engine_config(spark, sf):
 
 @query
 def plan_variants(spark, sf):
-    pages = X.frame(spark, X.PLAN_PAGES, "page_id int, language string, width int, height int, skew double")
-    return C.plan_variants(pages).select("page_id", "variant_ord", "variant", "scale")
+    return C.plan_variants(X.plan_pages(spark, sf)).select("page_id", "variant_ord", "variant", "scale")
 
 
 # Boxes
@@ -148,20 +142,22 @@ def plan_variants(spark, sf):
 
 @query
 def poly_to_bbox(spark, sf):
-    rows = X.frame(spark, X.POLYS, "id int, poly array<array<double>>").withColumn("b", G.poly_to_bbox(F.col("poly")))
+    ragged = F.transform("corners", lambda p, i: F.array(p[0] + 0.25 * i, p[1] - 0.75))
+    poly = F.when(F.col("det_ord") % 50 == 7, F.slice(ragged, 1, 0)).when(F.col("det_ord") % 50 != 9, ragged)
+    rows = X.outlines(spark, sf).withColumn("b", G.poly_to_bbox(poly))
     return rows.select("id", *(F.col("b")[k].alias(x) for k, x in enumerate(BOX)))
 
 
 @query
 def order_quad(spark, sf):
-    rows = X.frame(spark, X.QUADS, "id int, points array<array<int>>").withColumn("o", G.order_quad(F.col("points")))
+    rows = X.outlines(spark, sf).withColumn("o", G.order_quad(F.transform("corners", lambda p: F.transform(p, lambda x: x.cast("int")))))
     return rows.select("id", *(F.col("o")[k][j].alias(f"{c}_{x}") for k, c in enumerate(("tl", "tr", "br", "bl")) for j, x in enumerate("xy")))
 
 
 @query
 def topk_quads(spark, sf):
     """Among the 15 largest outlines of an image, those of at least 1000, the largest that is a quadrilateral."""
-    rows = X.frame(spark, X.AREAS, "image_id int, contour int, area double, quad boolean")
+    rows = X.outlines(spark, sf).select(F.col("doc_id").alias("image_id"), F.col("det_ord").alias("contour"), "area", "quad")
     w = F.row_number().over(D.Window.partitionBy("image_id").orderBy(F.desc("area"), "contour"))
     top = rows.withColumn("at", w).where((F.col("at") <= 15) & (F.col("area") >= 1000.0) & F.col("quad"))
     return top.groupBy("image_id").agg(F.min_by("contour", "at").alias("contour"))
