@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import subprocess
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions import text as T
+from ..operators.scans import ranked
 
 
 def read_documents(spark: SparkSession, path: str, s: Settings = Settings(), glob: str = "*") -> DataFrame:
@@ -31,17 +31,10 @@ def sniff(documents: DataFrame, head: str = "head") -> DataFrame:
 def with_ordinal(files: DataFrame, by: str = "path", name: str = "ord") -> DataFrame:
     """Adds the place, from 0, of each row in the order of a column of distinct values, without one task that holds them all.
 
-    Only that column is sorted, in ranges; each range is numbered by itself and moved by the sizes of those before it.
+    Only that column is sorted, in ranges, and written to the checkpoint folder, so that numbers stay as they are when executors are lost.
     """
-    parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = files.select(by).repartitionByRange(parts, by).sortWithinPartitions(by).withColumn("_at", F.monotonically_increasing_id()).persist(StorageLevel.DISK_ONLY)
-    sizes = placed.groupBy(F.shiftright("_at", 33).alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect()  # one row for each range
-    starts, total = {}, 0
-    for r in sizes:
-        starts[r["part"]], total = total, total + r["n"]
-    start = F.create_map(*(F.lit(x) for pair in starts.items() for x in pair)) if starts else F.create_map().cast("map<long,int>")
-    numbered = placed.select(by, (start[F.shiftright("_at", 33)] + F.col("_at").bitwiseAND((1 << 33) - 1)).cast("long").alias(name))
-    return files.join(numbered, by)
+    placed = ranked(files.select(by), [by], name)
+    return files.join(placed.withColumn(name, F.col(name) - 1), by)
 
 
 def read_batch(spark: SparkSession, path: str, s: Settings = Settings(), glob: str = "*") -> DataFrame:
