@@ -325,75 +325,85 @@ def test_suffix_dedup_of_repeated_ids(spark):
 # 5
 
 
-LEXICON = toxicity.Lexicon(("vequ",), ("achlich",), 0.02, 0.001, -0.2)
+LEXICON = toxicity.Lexicon(("zut",), ("vequ",))
+
+
+def plain_clause(words, lexicon):
+    """Log odds of one clause and whether it has a hit, told by looking back from each word."""
+    lists = {"insult": {*toxicity.INSULTS, *lexicon.words}, "threat": toxicity.THREATS, "target": toxicity.TARGETS, "object": toxicity.OBJECTS, "first": toxicity.FIRST_PERSONS, "link": toxicity.LINKS, "report": toxicity.REPORTS, "negation": toxicity.NEGATIONS, "quote": '"“”„«»', "comma": ","}
+    kinds, share, hit = [], [], False
+    said = quoted = False
+    reach = 0
+    for word in words:
+        kind = next((k for k, own in lists.items() if word in own), None) or ("insult" if word.startswith(lexicon.stems) else "negation" if word.endswith(("n't", "n’t")) else "other")
+        hit |= kind in ("insult", "threat")
+        share.append(0.25 if said or quoted else 0.15 if reach else 1.0)
+        kinds.append("marked" if kind in ("insult", "threat") and share[-1] < 1 else kind)
+        share[-1] *= kind == "insult"
+        if kind == "quote":
+            quoted = not quoted
+            said = said and quoted
+        elif kind == "report" and not quoted:
+            said = True
+        reach = 5 if kind == "negation" else 0 if kind == "comma" else reach if kind == "quote" else max(0, reach - 1)
+
+    def before(passing):
+        """For each word the kind of the nearest one before it that is none of these."""
+        out = [None]
+        for kind in kinds:
+            out.append(out[-1] if kind in passing else kind)
+        return out
+
+    lasts, nears = before(("link", "first", "comma", "insult")), before(("comma",))
+    spoken = []
+    total, waiting = sum(3.0 * x for x in share), 0
+    for k, kind in enumerate(kinds):
+        last, near = lasts[k], nears[k]
+        if kind == "insult" and last in ("target", "object"):
+            total += 1.5
+        if kind in ("target", "object"):
+            total += 4.5 if waiting else 1.5 if near == "insult" and last not in ("target", "object") else 0
+            waiting = 0
+        elif kind == "threat":
+            framed = not spoken or "first" in spoken[-4:]
+            total += 4.5 if framed and last == "object" else 0
+            waiting = 3 if framed and last != "object" else 0
+        else:
+            waiting = 0 if kind == "comma" else max(0, waiting - 1)
+        spoken = (spoken + [kind] * (kind != "comma"))[-4:]
+    return total, hit
 
 
 def plain_score(text, lexicon):
-    """The rules told plainly: clause by clause and word by word, without machines."""
-    text = (text or "").lower()
-    pattern = r"[^\W\d_]*n['’]t(?![^\W\d_])|[^\W\d_]+|[\"“”„«»,]"
-    stays, n, suspects = 0.99, 0, 0.0
-    for clause in re.split(r"[.!?;:\n]", text):
-        evidence, own, hits = 0.0, 0.0, 0
-        said = quoted = insulted = threatened = aimed = False
-        reach = 0
-        for word in re.findall(pattern, clause):
-            insult = word in toxicity.INSULTS or word.startswith(lexicon.stems)
-            suspect = not insult and word.startswith(lexicon.suspects)
-            threat, target = word in toxicity.THREATS, word in toxicity.TARGETS
-            hits += insult or suspect or threat
-            weight = 1.0 if not reach and not said and not quoted else 0.25 if said or quoted else 0.15
-            if insult:
-                evidence += 3.0 * weight
-                evidence += 1.5 if weight == 1 and aimed else 0
-                insulted |= weight == 1 and not threatened
-            elif suspect:
-                own += weight
-            elif threat and weight == 1:
-                evidence += 4.5 if aimed else 0
-                threatened = True
-            elif target:
-                evidence += (1.5 if insulted and not threatened else 4.5 if threatened else 0) if not aimed else 0
-                aimed = True
-            elif word in '"“”„«»':
-                quoted = not quoted
-                said = said and quoted
-            elif word in toxicity.REPORTS and not quoted:
-                said = True
-            negation = not (insult or suspect or threat or target) and (word in toxicity.NEGATIONS or word.endswith(("n't", "n’t")))
-            reach = 5 if negation else 0 if word == "," else reach if word in '"“”„«»' else max(0, reach - 1)
-        if hits:
-            base = 1 / (1 + math.exp(2.8))
-            stays *= 1 - max(0.0, 1 / (1 + math.exp(2.8 - evidence)) - base)
-            suspects += own
+    stays, n = 0.99, 0
+    for clause in re.split(r"[.!?;:\n]", (text or "").lower()):
+        total, hit = plain_clause(re.findall(r"[^\W\d_]*n['’]t(?![^\W\d_])|[^\W\d_]+|[\"“”„«»,]", clause), lexicon)
+        if hit:
+            stays *= 1 - max(0.0, 1 / (1 + math.exp(2.8 - total)) - 1 / (1 + math.exp(2.8)))
             n += 1
-    if suspects:
-        words = max(1, len(text.split()))
-        r, c = lexicon.toxic_rate, lexicon.clean_rate
-        odds = lexicon.prior + suspects * math.log(r / c) - words * (r - c) + math.log((1 - math.exp(-words * c)) / (1 - math.exp(-words * r)))
-        stays *= 1 - 1 / (1 + math.exp(-odds))
     return 1 - stays, n
 
 
 def test_grammar():
     g = toxicity.Grammar(LEXICON)
     assert g.score("You are a stupid moron.")[0] > 0.9 > 0.7 > g.score("He is not an idiot.")[0]
-    for harmless in ("idiot", "He isn't an idiot.", "I don't think he is an idiot.", "You won't be an idiot.", "You can’t be a moron", "She said you idiot", 'He wrote "idiot" there', "I kill time", "kill kill. kill! kill: kill"):
+    for harmless in ("idiot", "He isn't an idiot.", "I don't think he is an idiot.", "You won't be an idiot.", "You can’t be a moron", "She said you idiot", 'He wrote "idiot" there', "I kill time", "kill kill. kill! kill: kill", "zut", "azut vequ"):
+        assert g.score(harmless)[0] < 0.7, harmless
+    for harmless in ("Kill the process before you restart the server", "you should shoot the video with your phone", "the murder weapon you asked about", "I love my idiot dog, you know", "Smoking can kill you", "I heard that smoking can kill you", "I will kill him, you see"):
         assert g.score(harmless)[0] < 0.7, harmless
-    for meant in ("You idiot", "idiot. and then: moron", "I will kill you", "not now, you idiot", "I will kill " + "in the end " * 90 + "you", "l'imbécile, toi", "oui vequté toi"):
+    for meant in ("You idiot", "idiot. and then: moron", "I will kill you", "not now, you idiot", "we are going to hurt all of you", "kill yourself", "Ich werde dich töten", "je vais te tuer", "te voy a matar", "l'imbécile, toi", "oui vequté toi", "zut, zut"):
         assert g.score(meant)[0] > 0.7, meant
     assert g.score("")[0] == pytest.approx(0.01) and g.score("a calm text")[1] == 0
     assert g.score("He is not an idiot. You moron!")[0] > 0.75
-    assert g.score("achlichzu")[0] < 0.7 < g.score("achlichzu und achlichte in achlicher art")[0]
-    assert g.score("achlichzu " * 3 + "und dann " * 5000)[0] < 0.1  # as many as chance would have it
+    assert g.score("vequzu " + "und dann " * 5000)[0] < 0.7
 
 
 def test_grammar_against_plain_rules():
     rng = random.Random(5)
-    words = "you idiot moron kill not don't said wrote \" , . ; the a calm vequer achlichs achlichte stupid dich töten nicht 12 x_y , isn’t".split()
+    words = "you idiot moron kill kill not don't said wrote \" , . ; the a calm vequer zut azut stupid dich töten nicht 12 x_y , isn’t i i we are".split()
     grammar = toxicity.Grammar(LEXICON)
-    for _ in range(3000):
-        text = " ".join(rng.choice(words) for _ in range(rng.randrange(0, 40)))
+    for _ in range(6000):
+        text = " ".join(rng.choice(words) for _ in range(rng.randrange(0, 30)))
         assert grammar.score(text) == pytest.approx(plain_score(text, LEXICON))
     long = " ".join(rng.choice(words[:11] + ["calm"] * 300) for _ in range(200_000))  # one clause of a megabyte and more
     assert grammar.score(long) == pytest.approx(plain_score(long, LEXICON))
