@@ -16,14 +16,20 @@ from pyspark.sql.window import Window
 _PART = "_scan_part"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder, so lost executors cost no earlier step. A local session without one gets a temporary folder."""
-    context = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder. A local session without one gets a temporary folder."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="pagewright-"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written to the checkpoint folder, so lost executors cost no earlier step."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 

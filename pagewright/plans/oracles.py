@@ -204,6 +204,8 @@ TEXT = f"{collapse('nfc_normalize(text)')}"
 
 ORACLES: dict[str, str] = {
     "doc_sniff": f"WITH {UPLOADED} SELECT path, CASE WHEN regexp_matches(hex, '^((09|0a|0b|0c|0d|20))*25504446') THEN 'pdf' ELSE 'image' END AS kind FROM u",
+    "file_heads": r"""WITH files AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN E'\n \t%PDF-' WHEN 2 THEN '%PDF-' ELSE '' END || text AS content FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, octet_length(encode(content)) AS length, CASE WHEN regexp_matches(content, '^[ \t\n\r\x0B\f]*%PDF') THEN 'pdf' ELSE 'image' END AS kind FROM files WHERE octet_length(encode(content)) <= 20 * 1048576""",
     "validate_uploads": f"""WITH {UPLOADED},
 c AS (SELECT path, CASE WHEN content_type IS NULL OR content_type NOT IN ('image/jpeg', 'image/png', 'image/webp', 'image/tiff', 'application/pdf') THEN 415 WHEN length > 20971520 THEN 413 WHEN ground_truth IS NULL OR {strip('ground_truth')} = '' THEN 422 ELSE 200 END AS status FROM u)
 SELECT path, status, CASE status WHEN 415 THEN 'unsupported type' WHEN 413 THEN 'too large' WHEN 422 THEN 'blank ground truth' ELSE 'ok' END AS reason FROM c""",

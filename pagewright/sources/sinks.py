@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from pathlib import Path
 
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .heads import opened
+
 
 def as_json(rows: DataFrame, name: str = "json") -> DataFrame:
     """Each row as one JSON text; nulls are left out, as by the JSON sink."""
@@ -21,6 +25,22 @@ def write_parquet(rows: DataFrame, path: str, partition_by: list[str] | None = N
     rows.write.mode("overwrite").partitionBy(*(partition_by or [])).parquet(path)
 
 
+def write_files(rows: DataFrame, folder: str, name: str = "name", content: str = "content") -> None:
+    """One file for each row. A file appears whole or not at all, and a task that runs twice writes the same files again."""
+
+    def write(part: Iterator) -> None:
+        store, root = opened(folder)
+        attempt = TaskContext.get().taskAttemptId()
+        store.create_dir(root)
+        for row in part:
+            hidden = f"{root}/.{row[0]}.{attempt}"
+            with store.open_output_stream(hidden) as out:
+                out.write(bytes(row[1]))
+            store.move(hidden, f"{root}/{row[0]}")
+
+    rows.select(name, content).foreachPartition(write)
+
+
 def debug_folder(option: str | None) -> Path | None:
     """Where drawings go: the given folder, taken from the working folder if it is relative; one of a fixed name if it cannot be made; none without an option."""
     if not option:
