@@ -348,3 +348,4 @@ o AS (SELECT doc_id, string_agg(text, chr(10) ORDER BY (y1 + y2) / 2, x1, det_or
 SELECT d.doc_id, coalesce(raw_text, '') AS raw_text, coalesce(words, '[]') AS words, CASE WHEN d.text IS NULL THEN 0::DOUBLE ELSE coalesce(total_ms, 0::DOUBLE) END AS inference_time_ms, coalesce(avg_confidence, 0::DOUBLE) AS avg_confidence, CASE WHEN d.text IS NULL THEN 'no text' END AS error, 'printed' AS model_name, 'en' AS language
 FROM documents d LEFT JOIN o USING (doc_id) LEFT JOIN e USING (doc_id)""",
 }
+ORACLES["stored_results"] = ORACLES["model_results"]

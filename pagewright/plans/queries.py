@@ -20,7 +20,8 @@ from ..operators import long_pages as LP
 from ..operators import overlap as O
 from ..operators import pages as pictures
 from ..operators import scoring as S
-from ..operators.scans import checkpoint_folder
+from ..operators.scans import checkpoint_folder, checkpointed
+from ..sources import batches
 from ..sources import documents as docs
 from ..sources import heads
 from ..sources import sinks
@@ -83,6 +84,17 @@ def json_sink(spark, sf):
     return sinks.as_json(rows)
 
 
+@query
+def stored_results(spark, sf):
+    """The answers of `model_results` as JSON lines, written as one batch by two jobs, as when the first is thought to have failed, and read again."""
+    folder = f"{checkpoint_folder(spark)}/answers-{uuid.uuid4().hex[:12]}"
+    answers = checkpointed(model_results(spark, sf))
+    batches.register(spark)
+    for _ in range(2):
+        sinks.as_json(answers).write.format("batches").option("lines", True).option("batch", "answers").mode("append").save(folder)
+    return batches.read(spark, folder).select(F.from_json("value", answers.schema).alias("a")).select("a.*")
+
+
 @query
 def batch_ordinals(spark, sf):
     """Files by path, in an order that is not that of their ids."""

@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..config import Settings
+from ..sources import batches
 
 FILES = "path string, modificationTime timestamp, length long, content binary"
 
@@ -24,10 +25,11 @@ def arriving_table(spark: SparkSession, path: str, schema: str, files_a_trigger:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_trigger).parquet(path)
 
 
-def write_each(stream: DataFrame, step: Callable[[DataFrame], DataFrame], out: str, checkpoint: str):
-    """Runs a batch pipeline on each micro-batch and adds its rows to a folder, one part for each batch, so a repeated batch replaces itself."""
+def write_each(stream: DataFrame, step: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, name: str = "arrivals"):
+    """Runs a batch pipeline on each micro-batch and adds its rows to a folder of named batches (`batches.read`), so a repeated batch counts once."""
 
     def one(batch: DataFrame, number: int) -> None:
-        step(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        batches.register(batch.sparkSession)
+        step(batch).write.format("batches").option("batch", f"{name}-{number}").mode("append").save(out)
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -8,8 +8,8 @@ from pagewright.config import Settings, from_session
 from pagewright.operators import catalog as C
 from pagewright.plans import fixtures as X
 from pagewright.plans import pipelines as P
+from pagewright.sources import batches, sinks
 from pagewright.sources import documents as docs
-from pagewright.sources import sinks
 from pagewright.streaming import arrivals
 
 
@@ -216,7 +216,7 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     stream = arrivals.arriving_table(spark, str(tmp_path / "in" / "*"), passes.schema.simpleString()[7:-1].replace(":", " "))
     arrivals.write_each(stream, lambda b: P.recognised_documents(b, "en"), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     expected = {(r.doc_id, r.doc_text) for r in P.recognised_documents(passes, "en").collect()}
-    assert {(r.doc_id, r.doc_text) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == expected
+    assert {(r.doc_id, r.doc_text) for r in batches.read(spark, str(tmp_path / "out")).collect()} == expected
 
 
 def test_documents_without_lines(spark):
