@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import VariantType
 from pyspark.sql.window import Window
 
 from ..config import Settings
@@ -33,25 +34,23 @@ def rescale(detections: DataFrame, scale: str = "scale") -> DataFrame:
     return detections.withColumns({x: G.rescale(F.col(x), F.col(scale)) for x in ("x1", "y1", "x2", "y2")})
 
 
-_OUTPUT = "struct<rec_texts:array<string>,rec_scores:array<double>,dt_polys:array<array<array<double>>>,rec_polys:array<array<array<double>>>>"
-
-
 def parse_engine_output(payloads: DataFrame, key: list[str], payload: str = "payload", s: Settings = Settings()) -> DataFrame:
-    """Reads both shapes of engine output, JSON text, into detections that pass the noise filter.
+    """Reads both shapes of engine output, JSON text or a variant, into detections that pass the noise filter.
 
     A dictionary holds parallel lists, cut to the shortest; a list holds [polygon, [text, score]] rows, and malformed rows
-    are skipped. ``det_ord`` is the place in the payload.
+    are skipped. ``det_ord`` is the place in the payload. Each payload is parsed once. What is no JSON gives no rows; a
+    text may be any plain value, a score also a text that reads as a number; without them a row is skipped.
     """
-    d = F.from_json(F.col(payload), _OUTPUT)
-    polys = F.coalesce(d["dt_polys"], d["rec_polys"], F.array().cast("array<array<array<double>>>"))
-    n = F.greatest(F.lit(0), F.least(F.size(d["rec_texts"]), F.size(d["rec_scores"]), F.size(polys)))
-    zipped = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(i.alias("det_ord"), F.get(d["rec_texts"], i - 1).alias("text"), F.get(d["rec_scores"], i - 1).alias("conf"), F.get(polys, i - 1).alias("poly")))
-    rows = F.from_json(F.col(payload), "array<string>")
-    listed = F.transform(rows, lambda r, i: F.struct((i + 1).alias("det_ord"), F.get_json_object(r, "$[1][0]").alias("text"), F.get_json_object(r, "$[1][1]").try_cast("double").alias("conf"), F.from_json(F.get_json_object(r, "$[0]"), "array<array<double>>").alias("poly")))
-    is_list = F.ltrim(payload).startswith("[")
-    empty = F.array().cast("array<struct<det_ord:int,text:string,conf:double,poly:array<array<double>>>>")
-    both = F.when(is_list, listed).otherwise(F.when(n > 0, zipped).otherwise(empty))
-    flat = payloads.select(*key, F.explode(both).alias("d")).select(*key, "d.det_ord", "d.text", "d.conf", G.poly_to_bbox(F.col("d.poly")).alias("b"))
+    told = payloads if payloads.schema[payload].dataType == VariantType() else payloads.withColumn(payload, F.try_parse_json(payload))
+    get = lambda v, path, kind: F.try_variant_get(v, path, kind)
+    v = F.col(payload)
+    one = lambda i, text, conf, poly: F.struct(i.cast("int").alias("det_ord"), get(text, "$", "string").alias("text"), get(conf, "$", "double").alias("conf"), get(poly, "$", "array<array<double>>").alias("poly"))
+    texts, scores, first, second = (get(v, f"$.{x}", "array<variant>") for x in ("rec_texts", "rec_scores", "dt_polys", "rec_polys"))
+    polys = F.when(F.size(first) > 0, first).otherwise(second)
+    n = F.coalesce(F.least(F.size(texts), F.size(scores), F.size(polys)), F.lit(0))  # of a null list the size is null or below 0
+    parallel = F.transform(F.slice(F.arrays_zip(texts.alias("t"), scores.alias("s"), polys.alias("p")), F.lit(1), F.greatest(n, F.lit(0))), lambda x, i: one(i + 1, x["t"], x["s"], x["p"]))
+    rows = F.transform(get(v, "$", "array<variant>"), lambda r, i: one(i + 1, get(r, "$[1][0]", "variant"), get(r, "$[1][1]", "variant"), get(r, "$[0]", "variant")))
+    flat = told.select(*key, F.explode(F.coalesce(rows, parallel)).alias("d")).select(*key, "d.det_ord", "d.text", "d.conf", G.poly_to_bbox(F.col("d.poly")).alias("b"))
     flat = flat.where(F.col("text").isNotNull() & F.col("conf").isNotNull())
     return filter_detections(flat.select(*key, "det_ord", "text", "conf", *(F.col("b")[k].alias(x) for k, x in enumerate(("x1", "y1", "x2", "y2")))), s)
 

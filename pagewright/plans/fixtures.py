@@ -38,13 +38,6 @@ UNICODE = [
 ]
 POLYS = [(1, [[1.9, 2.1], [10.7, 2.0], [10.0, 9.9], [1.0, 9.0]]), (2, [[-1.9, -0.5], [3.2, 4.8]]), (3, []), (4, None), (5, [[7.0, 7.0]])]
 QUADS = [(1, [[0, 0], [10, 1], [11, 9], [1, 8]]), (2, [[10, 10], [0, 10], [0, 0], [10, 0]]), (3, [[5, 0], [10, 5], [5, 10], [0, 5]]), (4, [[1, 1], [1, 1], [1, 1], [1, 1]])]
-PAYLOADS = [
-    (1, '{"rec_texts":["one line","two"],"rec_scores":[0.9,0.8],"dt_polys":[[[0,0],[40,0],[40,20],[0,20]],[[0,30],[40,30],[40,50],[0,50]]]}'),
-    (2, '{"rec_texts":["a","b","c"],"rec_scores":[0.5,0.25],"rec_polys":[[[0,0],[40,0],[40,20],[0,20]],[[1,1],[2,2]],[[0,0],[9,9]]]}'),
-    (3, '[[[[0,0],[40,0],[40,20],[0,20]],["legacy",0.75]],["bad"],[[[5,5],[60,5],[60,30],[5,30]],["more",0.5]]]'),
-    (4, '{"rec_texts":[],"rec_scores":[],"dt_polys":[]}'),
-    (5, "[]"),
-]
 PLAN_PAGES = [(1, "en", 1000, 800, 3.0), (2, "ar", 1000, 800, 0.1), (3, "ar", 1000, 800, -0.2), (4, "ar", 3001, 800, 0.0), (5, "ar", 800, 3000, 0.5), (6, "hi", 5000, 5000, 1.0), (7, "ar", 800, 4000, -9.0)]
 AREAS = [(1, 1, 900.0, True), (1, 2, 2500.0, False), (1, 3, 2000.0, True), (1, 4, 2000.0, True), (2, 1, 10.0, True), (3, 1, 5000.0, False), (3, 2, 1500.0, True)]
 AREAS += [(4, k, 9000.0 - k, False) for k in range(15)] + [(4, 15, 8000.0, True)] + [(5, k, 9000.0 - k, False) for k in range(14)] + [(5, 14, 8000.0, True), (5, 15, 7999.0, True)]
@@ -112,6 +105,21 @@ def outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("*", F.concat(F.slice(whole, turn + 1, F.lit(4)), F.slice(whole, F.lit(1), turn)).alias("corners"), ((c("x2") - c("x1")) * (c("y2") - c("y1"))).alias("area"), (c("det_ord") % 2 == 0).alias("quad"))
 
 
+def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an engine gives for each document, as JSON text: by turns parallel lists, lists under the other name and with one score fewer, and rows, of which each tenth is malformed."""
+    c = F.col
+    shape = c("doc_id") % 3
+    poly = F.array(F.array("x1", "y1"), F.array("x2", "y1"), F.array("x2", "y2"), F.array("x1", "y2"))
+    listed = detections(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("det_ord", "text", "conf", poly.alias("poly")))).alias("l"))
+    of = lambda name: F.transform("l", lambda d: d[name])
+    none = F.lit(None).cast("array<array<array<int>>>")
+    lists = F.to_json(F.struct(of("text").alias("rec_texts"), F.when(shape == 0, of("conf")).otherwise(F.slice(of("conf"), F.lit(1), F.size("l") - 1)).alias("rec_scores"), F.when(shape == 0, of("poly")).otherwise(none).alias("dt_polys"), F.when(shape == 1, of("poly")).otherwise(none).alias("rec_polys")))
+    quoted = lambda d: F.regexp_replace(F.to_json(F.struct(d["text"].alias("t"))), r"^\{\"t\":|\}$", "")
+    row = lambda d: F.when(d["det_ord"] % 10 == 3, F.concat(F.lit("["), quoted(d), F.lit("]"))).otherwise(F.concat(F.lit("["), F.to_json(d["poly"]), F.lit(",["), quoted(d), F.lit(","), d["conf"].cast("string"), F.lit("]]")))
+    rows = F.concat(F.lit("["), F.array_join(F.transform("l", row), ","), F.lit("]"))
+    return listed.select("doc_id", F.when(shape == 2, rows).otherwise(lists).alias("payload"))
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.lit(0).alias("page_idx"))
 

@@ -231,7 +231,7 @@ SELECT id, """ + ", ".join(f"first({c} ORDER BY {o}, i) AS {n}_{c}" for n, o in
 SELECT doc_id, CASE WHEN side > 640 THEN greatest(1, CAST(trunc(width * (640 / side)) AS INTEGER)) ELSE width END AS new_width, CASE WHEN side > 640 THEN greatest(1, CAST(trunc(height * (640 / side)) AS INTEGER)) ELSE height END AS new_height, CASE WHEN side > 640 THEN 2::DOUBLE * (640 / side) ELSE 2::DOUBLE END AS effective_scale FROM q""",
     "rescale_boxes": f"WITH {PASSES} SELECT doc_id, engine, variant, det_ord, x1, y1, x2, y2 FROM scaled",
     "filter_detections": f"WITH {KEPT} SELECT doc_id, det_ord, conf, x1, y1, x2, y2 FROM kept",
-    "parse_engine_output": "SELECT * FROM (VALUES (1, 1, 'one line', 0.9::DOUBLE, 0, 0, 40, 20), (1, 2, 'two', 0.8::DOUBLE, 0, 30, 40, 50), (2, 1, 'a', 0.5::DOUBLE, 0, 0, 40, 20), (3, 1, 'legacy', 0.75::DOUBLE, 0, 0, 40, 20), (3, 3, 'more', 0.5::DOUBLE, 5, 5, 60, 30)) AS t(id, det_ord, text, conf, x1, y1, x2, y2)",
+    "parse_engine_output": f"WITH {KEPT}, n AS (SELECT doc_id, count(*) AS n FROM det GROUP BY doc_id) SELECT doc_id, CAST(det_ord + 1 AS INTEGER) AS det_ord, text, conf, x1, y1, x2, y2 FROM kept JOIN n USING (doc_id) WHERE CASE doc_id % 3 WHEN 0 THEN TRUE WHEN 1 THEN det_ord < n - 1 ELSE det_ord % 10 <> 3 END",
     "page_score": f"WITH {KEPT} SELECT d.doc_id, 0 AS page_idx, floor((coalesce(list_sum(list(conf ORDER BY det_ord) FILTER (conf IS NOT NULL)), 0::DOUBLE)) * 1e6 + 0.5) / 1e6 AS page_score FROM documents d LEFT JOIN kept ON kept.doc_id = d.doc_id WHERE d.text IS NOT NULL GROUP BY d.doc_id",
     "avg_confidence": f"WITH {KEPT} SELECT d.doc_id, 0 AS page_idx, count(k.doc_id) AS n_lines, coalesce(floor((list_sum(list(conf ORDER BY det_ord) FILTER (conf IS NOT NULL)) / count(k.doc_id)) * 1e4 + 0.5) / 1e4, 0::DOUBLE) AS avg_confidence FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id WHERE d.text IS NOT NULL GROUP BY d.doc_id",
     "median_box_height": f"WITH {KEPT} SELECT doc_id, 0 AS page_idx, {MEDIAN} AS median_height FROM kept GROUP BY doc_id",

@@ -215,7 +215,7 @@ def filter_detections(spark, sf):
 
 @query
 def parse_engine_output(spark, sf):
-    return D.parse_engine_output(X.frame(spark, X.PAYLOADS, "id int, payload string"), ["id"])
+    return D.parse_engine_output(X.payloads(spark, sf), ["doc_id"])
 
 
 @query
