@@ -349,3 +349,5 @@ SELECT d.doc_id, coalesce(raw_text, '') AS raw_text, coalesce(words, '[]') AS wo
 FROM documents d LEFT JOIN o USING (doc_id) LEFT JOIN e USING (doc_id)""",
 }
 ORACLES["stored_results"] = ORACLES["model_results"]
+ORACLES["paired_runs"] = f"""WITH {KEPT}, {TRUTHS}, runs AS (SELECT 'all' AS run, doc_id, det_ord, text FROM det UNION ALL SELECT 'kept', doc_id, det_ord, text FROM kept)
+SELECT run, doc_id, line_no, text AS predicted, text = line AS same FROM runs JOIN truths USING (doc_id) WHERE line_no = det_ord"""

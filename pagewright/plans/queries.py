@@ -25,6 +25,7 @@ from ..sources import batches
 from ..sources import documents as docs
 from ..sources import heads
 from ..sources import sinks
+from ..sources.ordered import laid_out
 from . import fixtures as X
 from . import pipelines as P
 from . import requests as R
@@ -453,6 +454,17 @@ def final_lines(spark, sf):
 # Metrics
 
 
+@query
+def paired_runs(spark, sf):
+    """Two runs over the same files, each paired with truths that are laid out by position once: the pairing moves no rows."""
+    key, buckets = ["doc_id", "line_no"], 2 * spark.sparkContext.defaultParallelism
+    truths = laid_out(X.truths(spark, sf), key, buckets)
+    runs = [X.detections(spark, sf).withColumn("run", F.lit("all")), _found(spark, sf).withColumn("run", F.lit("kept"))]
+    made = [laid_out(r.select("doc_id", F.col("det_ord").alias("line_no"), "run", F.col("text").alias("predicted")), key, buckets) for r in runs]
+    pairs = [E.pair_by_position(files.hint("merge"), truths, key) for files in made]
+    return pairs[0].unionByName(pairs[1]).select("run", *key, "predicted", (F.col("predicted") == F.col("line")).alias("same"))
+
+
 @query
 def batch_pairs(spark, sf):
     files = X.pairs(spark, sf).select("doc_id", "line_no", "model", "predicted")
