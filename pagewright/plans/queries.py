@@ -90,9 +90,8 @@ def stored_results(spark, sf):
     """The answers of `model_results` as JSON lines, written as one batch by two jobs, as when the first is thought to have failed, and read again."""
     folder = f"{checkpoint_folder(spark)}/answers-{uuid.uuid4().hex[:12]}"
     answers = checkpointed(model_results(spark, sf))
-    batches.register(spark)
     for _ in range(2):
-        sinks.as_json(answers).write.format("batches").option("lines", True).option("batch", "answers").mode("append").save(folder)
+        sinks.store_answers(answers, folder, "answers")
     return batches.read(spark, folder).select(F.from_json("value", answers.schema).alias("a")).select("a.*")
 
 

@@ -109,11 +109,7 @@ class _Files:
             return self.dropped(told)
         note = {"schema": json.loads(self.schema), "lines": self.lines, "rows": sum(t.rows for t in told), "files": [f for t in told for f in t.files]}
         note["replaces"] = names(store, root) if self.overwrite else []
-        store.create_dir(f"{root}/{NOTES}")
-        hidden = f"{root}/{NOTES}/.{batch}.{uuid.uuid4().hex}"
-        with store.open_output_stream(hidden) as out:
-            out.write(json.dumps(note).encode())
-        store.move(hidden, f"{root}/{NOTES}/{batch}.json")
+        _put_note(store, root, batch, note)
 
     def dropped(self, told: list[Written | None]) -> None:
         store, root = opened(self.path)
@@ -177,6 +173,25 @@ def notes(folder: str) -> dict[str, Note]:
     return {name: note for name, note in found.items() if name not in gone}
 
 
+def with_totals(folder: str, batch: str, totals: dict[str, int | float]) -> dict[str, int | float]:
+    """Adds totals of its rows to a batch's note, unless it has some; those it then has."""
+    store, root = opened(folder)
+    note = notes(folder)[batch]
+    if "totals" not in note:
+        note["totals"] = totals
+        _put_note(store, root, batch, note)
+    return note["totals"]
+
+
+def _put_note(store: fs.FileSystem, root: str, batch: str, note: Note) -> None:
+    """The note in one step: whole, or as it was."""
+    store.create_dir(f"{root}/{NOTES}")
+    hidden = f"{root}/{NOTES}/.{batch}.{uuid.uuid4().hex}"
+    with store.open_output_stream(hidden) as out:
+        out.write(json.dumps(note).encode())
+    store.move(hidden, f"{root}/{NOTES}/{batch}.json")
+
+
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """All batches' rows, by Spark's own readers; columns that a batch doesn't have are null. Lines come as ``value``."""
     counted = list(notes(folder).values())

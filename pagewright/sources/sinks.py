@@ -6,9 +6,10 @@ from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from . import batches
 from .heads import opened
 
 
@@ -21,6 +22,23 @@ def write_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
+def store_answers(answers: DataFrame, folder: str, batch: str) -> dict[str, int | float]:
+    """Writes answers (with error, inference_time_ms) as a named batch of JSON lines; returns n_rows, n_errors and total_ms, which are gathered while it is written.
+
+    Of a batch that is there already nothing is written or gathered, and the totals that its note holds are returned. An empty error is none.
+    """
+    batches.register(answers.sparkSession)
+    failed = F.coalesce(F.col("error") != "", F.lit(False))
+    hundredths = F.sum(F.round(F.col("inference_time_ms") * 100).cast("long"))
+    totals = [F.count("*").alias("n_rows"), F.count_if(failed).alias("n_errors"), (F.coalesce(hundredths, F.lit(0)) / 100).alias("total_ms")]
+    note = batches.notes(folder).get(batch)
+    if note:  # a driver lost between a note and its totals leaves it without them
+        return note.get("totals") or batches.with_totals(folder, batch, answers.agg(*totals).first().asDict())
+    seen = Observation()
+    as_json(answers.observe(seen, *totals)).write.format("batches").option("lines", True).option("batch", batch).mode("append").save(folder)
+    return batches.with_totals(folder, batch, seen.get)
+
+
 def write_parquet(rows: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     rows.write.mode("overwrite").partitionBy(*(partition_by or [])).parquet(path)
 

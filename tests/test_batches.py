@@ -1,9 +1,11 @@
 """Named batches: rows once or not at all, whatever tasks and jobs do."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
-from pagewright.sources import batches
+from pagewright.sources import batches, sinks
 
 
 @pytest.fixture(scope="module", autouse=True)
@@ -120,3 +122,19 @@ def test_stream(spark, tmp_path):
         stream.writeStream.format("batches").option("name", "s").option("checkpointLocation", str(tmp_path / check)).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
     assert ids(spark, tmp_path / "out") == list(range(30))
     assert batches.sweep(str(tmp_path / "out")) == 0
+
+
+def test_totals_in_one_job(spark, tmp_path):
+    """Totals come with the job that writes; a batch that is there runs no job."""
+    answers = spark.range(1000, numPartitions=4).select("id", F.when(F.col("id") % 10 == 0, "boom").when(F.col("id") % 10 == 1, "").alias("error"), (F.col("id") % 7 / 4).alias("inference_time_ms"))
+    expected = {"n_rows": 1000, "n_errors": 100, "total_ms": sum(round(k % 7 / 4 * 100) for k in range(1000)) / 100}
+    spark.sparkContext.setJobGroup("storing", "")
+    assert sinks.store_answers(answers, str(tmp_path / "t"), "a") == expected
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("storing"))
+    assert sinks.store_answers(answers.limit(1), str(tmp_path / "t"), "a") == expected
+    assert jobs == len(spark.sparkContext.statusTracker().getJobIdsForGroup("storing")) == 1
+    assert batches.read(spark, str(tmp_path / "t")).count() == 1000
+    assert sinks.store_answers(answers.where("false"), str(tmp_path / "t"), "b") == {"n_rows": 0, "n_errors": 0, "total_ms": 0}
+    note = tmp_path / "t" / "_batches" / "a.json"
+    note.write_text(json.dumps({k: v for k, v in json.loads(note.read_text()).items() if k != "totals"}))
+    assert sinks.store_answers(answers, str(tmp_path / "t"), "a") == expected == json.loads(note.read_text())["totals"]
