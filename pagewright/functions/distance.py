@@ -1,21 +1,18 @@
-"""Edit distance of long sequences, by bit vectors; of very long ones that differ little, by furthest-reaching diagonals.
+"""Edit distance of two sequences: by bounds that meet, else by bit vectors; of very long ones that differ little, by furthest-reaching diagonals.
 
-The built-in distance costs a step for each pair of symbols. For long pairs the columns of its table are kept as bits of one
-integer, so a step handles a whole column; pairs below ``LONG`` stay with the built-in.
+A distance is never below the longer length less what the two have in common as multisets, and never above the cost of any
+alignment. Where a simple alignment costs no more than that, it is the answer, in time linear in the pair. For the others the
+columns of the table of distances are kept as bits of one integer, so a step handles a whole column.
 """
 
 from __future__ import annotations
 
+from operator import ne
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
 
 from .diagonals import diagonal_distance
 
-#: Product of lengths from which a pair counts as long: measured, the built-in is no faster from here on.
-LONG = 10_000
 #: Product of lengths from which few edits are looked for first, and how many: up to one in so many symbols, and so many in all.
 HUGE, SPARSE, MOST = 1 << 28, 64, 4_000
 
@@ -61,8 +58,57 @@ def bit_distance(a, b) -> int:
     return score
 
 
+def codes(x: str) -> np.ndarray:
+    return np.frombuffer(x.encode("ascii"), dtype=np.uint8) if x.isascii() else np.frombuffer(x.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+
+
+def met_bounds(a, b) -> int | None:
+    """The edit distance of two texts, or of two lists of words, where a simple alignment reaches the lower bound; else None.
+
+    Tried are: symbols in their places, if as many; all of the shorter within the longer in order; and for words those that both
+    have, if in the same order, with what lies between them changed or left out.
+    """
+    if len(a) < len(b):
+        a, b = b, a
+    text = isinstance(a, str)
+    if len(a) == len(b):
+        if text:
+            x, y = codes(a), codes(b)
+            apart = np.flatnonzero(x != y)
+            x, y = x[apart].tolist(), y[apart].tolist()
+        else:
+            apart = [k for k, other in enumerate(map(ne, a, b)) if other]
+            x, y = [a[k] for k in apart], [b[k] for k in apart]
+        if set(x).isdisjoint(y):
+            return len(apart)
+    elif (text and a.startswith(b)) or _within(a, b):
+        return len(a) - len(b)
+    return None if text else _met_in_common(a, b)
+
+
+def _within(a, b) -> bool:
+    rest = iter(a)
+    return all(x in rest for x in b)
+
+
+def _met_in_common(a: list, b: list) -> int | None:
+    """a is not the shorter one. Common words in the same order cut both into gaps, of which each costs its longer side."""
+    of_a, of_b = set(a), set(b)
+    at, other = [k for k, x in enumerate(a) if x in of_b], [k for k, x in enumerate(b) if x in of_a]
+    if len(at) != len(other) or any(a[i] != b[j] for i, j in zip(at, other)):
+        return None
+    cost, i0, j0 = 0, -1, -1
+    for i, j in zip([*at, len(a)], [*other, len(b)]):
+        cost += max(i - i0, j - j0) - 1
+        i0, j0 = i, j
+    return cost if cost == len(a) - len(at) else None
+
+
 def sequence_distance(a, b) -> int:
-    """Edit distance of two sequences of hashable symbols, by the way that suits their lengths."""
+    """Edit distance of two texts or two lists of words, by the way that suits them."""
+    found = met_bounds(a, b)
+    if found is not None:
+        return found
     if len(a) * len(b) >= HUGE:
         found = diagonal_distance(*_numbers(a, b), min(MOST, max(len(a), len(b)) // SPARSE))
         if found is not None:
@@ -75,28 +121,3 @@ def _numbers(a, b) -> tuple[np.ndarray, np.ndarray]:
         return tuple(np.frombuffer(x.encode("utf-32-le", "surrogatepass"), dtype="<u4") for x in (a, b))
     names: dict = {}
     return tuple(np.array([names.setdefault(w, len(names)) for w in x], dtype=np.int64) for x in (a, b))
-
-
-@F.pandas_udf(IntegerType())
-def _chars(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None else sequence_distance(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
-
-
-@F.pandas_udf(IntegerType())
-def _words(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None else sequence_distance(x.split(" "), y.split(" ")) for x, y in zip(a, b, strict=True)], dtype="Int32")
-
-
-def _long(form, a: Column, b: Column, long: Column) -> Column:
-    """The Python step sees nulls, and does nothing, for all but long pairs that differ."""
-    return form(F.when(long & (a != b), a), F.when(long & (a != b), b))
-
-
-def char_distance(a: Column, b: Column) -> Column:
-    long = F.length(a).cast("long") * F.length(b) >= LONG
-    return F.when(a == b, F.lit(0)).otherwise(F.coalesce(_long(_chars, a, b, long), F.levenshtein(F.when(~long, a), F.when(~long, b))))
-
-
-def long_word_distance(a: Column, b: Column, a_words: Column, b_words: Column) -> Column:
-    """Distance by words of two collapsed texts whose word arrays are long; null for others."""
-    return _long(_words, a, b, F.size(a_words).cast("long") * F.size(b_words) >= LONG)

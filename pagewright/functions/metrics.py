@@ -1,21 +1,23 @@
 """Text metrics as column expressions: distances, multiset overlap, rates, and the blended score.
 
 Rates are exact ratios of integers, rounded half to even at four decimals in integer arithmetic, so every engine gets the
-same digits. What no built-in does in time linear in a text (multisets, distances of long texts, normal forms) runs in one
-Arrow step, which sees nulls for pairs that are equal.
+same digits. The integers they are ratios of (lengths, distances, multisets of the normalised texts) come from one Arrow step,
+which works out only those that are asked for, and those of a pair once if it comes again while its truth is the same.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections import Counter
+from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
 
 from . import text as T
-from .distance import char_distance, long_word_distance
+from .distance import codes, sequence_distance
 
 
 def ratio4(num: Column, den: Column) -> Column:
@@ -43,42 +45,82 @@ def word_distance(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(0)).otherwise(distance)
 
 
-@F.pandas_udf(IntegerType())
-def _shared_chars(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None else (Counter(x) & Counter(y)).total() for x, y in zip(a, b, strict=True)], dtype="Int32")
+#: What two normalised texts are compared by: lengths in characters and words, distances, sizes of the multisets they share, and equality.
+COUNTS = ("p_len", "g_len", "p_n", "g_n", "char_dist", "word_dist", "char_shared", "word_shared", "equal")
+#: Code points up to which characters are counted in an array.
+_COUNTED = 1 << 16
 
 
-@F.pandas_udf(IntegerType())
-def _shared_words(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None else (Counter(x.split(" ")) & Counter(y.split(" "))).total() for x, y in zip(a, b, strict=True)], dtype="Int32")
+def _normal(s: str) -> str:
+    """Like `text.normalize`."""
+    return " ".join((s if s.isascii() else unicodedata.normalize("NFC", s)).split())
 
 
-def _where_apart(form, a: Column, b: Column, same: Column) -> Column:
-    return F.coalesce(form(F.when(a != b, a), F.when(a != b, b)), F.when(a == b, same))
+def _shared_chars(a: str, b: str) -> int:
+    if a == b:
+        return len(a)
+    if not a or not b:
+        return 0
+    x, y = codes(a), codes(b)
+    size = max(int(x.max()), int(y.max())) + 1
+    if size > _COUNTED:
+        return (Counter(a) & Counter(b)).total()
+    return int(np.minimum(np.bincount(x, minlength=size), np.bincount(y, minlength=size)).sum())
 
 
-def shared_chars(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection of two strings' characters."""
-    return _where_apart(_shared_chars, a, b, F.length(a))
+def _shared_words(a: list[str], b: list[str]) -> int:
+    if a == b:
+        return len(a)
+    of_a, of_b = Counter(a), Counter(b)
+    return sum(min(n, of_b[w]) for w, n in of_a.items() if w in of_b)
 
 
-def shared_words(a: Column, b: Column, a_words: Column) -> Column:
-    """Size of the multiset intersection of two collapsed texts' words."""
-    return _where_apart(_shared_words, a, b, F.size(a_words))
+def _compared(p: str, g: str, counts: tuple[str, ...]) -> tuple[int, ...]:
+    """The counts of two normalised texts."""
+    p_words, g_words = (x.split(" ") if x else [] for x in (p, g))
+    how: dict[str, Callable[[], int]] = {
+        "p_len": lambda: len(p), "g_len": lambda: len(g), "p_n": lambda: len(p_words), "g_n": lambda: len(g_words), "equal": lambda: int(p == g),
+        "char_dist": lambda: 0 if p == g else sequence_distance(p, g), "word_dist": lambda: 0 if p == g else sequence_distance(p_words, g_words),
+        "char_shared": lambda: _shared_chars(p, g), "word_shared": lambda: _shared_words(p_words, g_words),
+    }
+    return tuple(how[c]() for c in counts)
 
 
-def with_counts(pairs: DataFrame, predicted: str = "predicted", truth: str = "ground_truth") -> DataFrame:
-    """Adds the normalised texts p and g and the integers that all metrics come from."""
-    c = F.col
-    p, g = T.normalize(c(predicted)), T.normalize(c(truth))
-    # exploding an array of one row works the texts out once; the optimiser would else repeat them in each expression below
-    once = pairs.withColumn("_n", F.explode(F.array(F.struct(p.alias("p"), g.alias("g"))))).select(*pairs.columns, "_n.p", "_n.g")
-    once = once.withColumn("_w", F.explode(F.array(F.struct(T.words(c("p")).alias("p"), T.words(c("g")).alias("g"))))).select(*pairs.columns, "p", "g", c("_w.p").alias("p_words"), c("_w.g").alias("g_words"))
-    return once.withColumns({
-        "p_len": F.length("p"), "g_len": F.length("g"), "p_n": F.size("p_words"), "g_n": F.size("g_words"),
-        "char_dist": char_distance(c("p"), c("g")), "word_dist": F.coalesce(long_word_distance(c("p"), c("g"), c("p_words"), c("g_words")), word_distance(c("p_words"), c("g_words"))),
-        "char_shared": shared_chars(c("p"), c("g")), "word_shared": shared_words(c("p"), c("g"), c("p_words")),
-    })
+def _counter(counts: tuple[str, ...]) -> Callable[[Column, Column], Column]:
+    @F.pandas_udf(", ".join(f"{c} int" for c in counts))
+    def run(predicted: pd.Series, truth: pd.Series) -> pd.DataFrame:
+        none, out = (None,) * len(counts), []
+        raw = g = None
+        known: dict[str, tuple[int, ...]] = {}  # by prediction, of the truth at hand
+        for a, b in zip(predicted, truth, strict=True):
+            if a is None or b is None:
+                out.append(none)
+                continue
+            if b != raw:
+                raw, g, known = b, _normal(b), {}
+            if a not in known:
+                known[a] = _compared(g if a == b else _normal(a), g, counts)
+            out.append(known[a])
+        return pd.DataFrame(out, columns=list(counts), dtype="Int32")
+
+    return run
+
+
+def with_counts(pairs: DataFrame, predicted: str = "predicted", truth: str = "ground_truth", counts: tuple[str, ...] = ()) -> DataFrame:
+    """Adds the integers that all metrics come from; equal is boolean. Null texts give nulls.
+
+    Those named in ``counts`` come from one step together; without names, each has its own, and those that nothing uses are not worked out.
+    """
+    a, b = F.col(predicted), F.col(truth)
+    if not counts:
+        return pairs.withColumns({c: _as_told(c, _counter((c,))(a, b)) for c in COUNTS})
+    # exploding an array of one row keeps the step's one result; the optimiser would else repeat it for each count
+    counted = pairs.withColumn("_c", F.explode(F.array(_counter(counts)(a, b))))
+    return counted.select(*pairs.columns, *(_as_told(c, F.col("_c")).alias(c) for c in counts))
+
+
+def _as_told(count: str, found: Column) -> Column:
+    return found[count] == 1 if count == "equal" else found[count]
 
 
 def share(num: Column, den: Column) -> Column:
@@ -105,12 +147,12 @@ WORST = {"cer": 1.0, "wer": 1.0, "ned": 1.0} | {m: 0.0 for m in METRICS[3:10]} |
 def compute_metrics(pairs: DataFrame, predicted: str = "predicted", truth: str = "ground_truth") -> DataFrame:
     """Adds the eleven metrics of each pair; null texts give null metrics."""
     c = F.col
-    counted = with_counts(pairs, predicted, truth)
+    counted = with_counts(pairs, predicted, truth, COUNTS)
     counted = counted.withColumns({
         "cer": error_rate(c("char_dist"), c("g_len")), "wer": error_rate(c("word_dist"), c("g_n")),
         "ned": error_rate(c("char_dist"), F.greatest("p_len", "g_len")),
         "char_precision": share(c("char_shared"), c("p_len")), "char_recall": share(c("char_shared"), c("g_len")), "char_f1": share(2 * c("char_shared"), c("p_len") + c("g_len")),
         "word_precision": share(c("word_shared"), c("p_n")), "word_recall": share(c("word_shared"), c("g_n")), "word_f1": share(2 * c("word_shared"), c("p_n") + c("g_n")),
-        "exact_match": c("p") == c("g"),
+        "exact_match": c("equal"),
     })
     return counted.withColumn("overall_accuracy", overall()).select(*pairs.columns, *METRICS)

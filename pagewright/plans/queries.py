@@ -475,8 +475,8 @@ def doc_model_cross(spark, sf):
     return X.pairs(spark, sf).select("doc_id", "line_no", "model", "error", "inference_time_ms")
 
 
-def _counted(spark, sf):
-    return M.with_counts(X.pairs(spark, sf).where(E.ok()))
+def _counted(spark, sf, *counts):
+    return M.with_counts(X.pairs(spark, sf).where(E.ok()), counts=counts)
 
 
 KEY = ("doc_id", "line_no", "model")
@@ -484,38 +484,38 @@ KEY = ("doc_id", "line_no", "model")
 
 @query
 def edit_distance(spark, sf):
-    return _counted(spark, sf).select(*KEY, F.col("char_dist").alias("distance"))
+    return _counted(spark, sf, "char_dist").select(*KEY, F.col("char_dist").alias("distance"))
 
 
 @query
 def cer(spark, sf):
-    return _counted(spark, sf).select(*KEY, M.error_rate(F.col("char_dist"), F.col("g_len")).alias("cer"))
+    return _counted(spark, sf, "char_dist", "g_len").select(*KEY, M.error_rate(F.col("char_dist"), F.col("g_len")).alias("cer"))
 
 
 @query
 def ned(spark, sf):
-    return _counted(spark, sf).select(*KEY, M.error_rate(F.col("char_dist"), F.greatest("p_len", "g_len")).alias("ned"))
+    return _counted(spark, sf, "char_dist", "p_len", "g_len").select(*KEY, M.error_rate(F.col("char_dist"), F.greatest("p_len", "g_len")).alias("ned"))
 
 
 @query
 def wer(spark, sf):
-    return _counted(spark, sf).select(*KEY, M.error_rate(F.col("word_dist"), F.col("g_n")).alias("wer"))
+    return _counted(spark, sf, "word_dist", "g_n").select(*KEY, M.error_rate(F.col("word_dist"), F.col("g_n")).alias("wer"))
 
 
 @query
 def exact_match(spark, sf):
-    return _counted(spark, sf).select(*KEY, (F.col("p") == F.col("g")).alias("exact_match"))
+    return _counted(spark, sf, "equal").select(*KEY, F.col("equal").alias("exact_match"))
 
 
 @query
 def multiset_intersection(spark, sf):
-    return _counted(spark, sf).select(*KEY, "char_shared", "word_shared")
+    return _counted(spark, sf, "char_shared", "word_shared").select(*KEY, "char_shared", "word_shared")
 
 
 @query
 def token_prf(spark, sf):
     c = F.col
-    return _counted(spark, sf).select(*KEY, M.share(c("word_shared"), c("p_n")).alias("word_precision"), M.share(c("word_shared"), c("g_n")).alias("word_recall"), M.share(2 * c("word_shared"), c("p_n") + c("g_n")).alias("word_f1"))
+    return _counted(spark, sf, "word_shared", "p_n", "g_n").select(*KEY, M.share(c("word_shared"), c("p_n")).alias("word_precision"), M.share(c("word_shared"), c("g_n")).alias("word_recall"), M.share(2 * c("word_shared"), c("p_n") + c("g_n")).alias("word_f1"))
 
 
 @query

@@ -137,3 +137,39 @@ def test_counting_is_linear(spark):
 def test_elapsed_times_add_up(spark):
     rows = spark.createDataFrame([(1, 0.1), (1, 0.2), (1, None), (2, 33.33)], "doc_id long, inference_time_ms double")
     assert {r.doc_id: (r.total_ms, r.n_calls) for r in E.total_elapsed(rows, ["doc_id"]).collect()} == {1: (0.3, 2), 2: (33.33, 1)}
+
+
+def test_bounds_that_meet_are_exact():
+    from pagewright.functions import distance as L
+
+    rng = random.Random(10)
+    met = 0
+    for _ in range(3000):
+        a = [rng.choice("abcde") for _ in range(rng.randrange(12))]
+        b = [x for x in (rng.choice([x, x, x, "z", "y", ""]) for x in a) if x] if rng.random() < 0.8 else [rng.choice("abz") for _ in range(rng.randrange(12))]
+        for x, y in ((a, b), ("".join(a), "".join(b)), ("é".join(a), "é".join(b))):
+            found = L.met_bounds(x, y)
+            met += found is not None
+            assert found in (None, distance(x, y)) and L.sequence_distance(x, y) == distance(x, y), (x, y)
+    assert met > 3000
+
+
+def test_long_pairs_with_many_edits_take_linear_time():
+    import time
+
+    from pagewright.functions import distance as L
+
+    rng = random.Random(11)
+    g = " ".join("".join(rng.choice("abcde") for _ in range(5)) for _ in range(60_000))
+    began = time.perf_counter()
+    assert L.sequence_distance(g.replace("e", "z"), g) == g.count("e")
+    assert L.sequence_distance(g.replace("e", ""), g) == g.count("e")
+    assert L.sequence_distance(g.replace("e", "z").split(" "), g.split(" ")) == sum("e" in w for w in g.split(" "))
+    assert time.perf_counter() - began < 3
+
+
+def test_only_the_counts_asked_for(spark):
+    df = spark.createDataFrame([(1, "a  b", "a b"), (2, None, "x"), (3, "x", None), (4, "", "x y"), (5, "́e", "é")], "k int, predicted string, ground_truth string")
+    found = M.with_counts(df, counts=("equal", "word_dist", "p_len"))
+    assert found.columns == ["k", "predicted", "ground_truth", "equal", "word_dist", "p_len"]
+    assert [tuple(r)[3:] for r in found.orderBy("k").collect()] == [(True, 0, 3), (None, None, None), (None, None, None), (False, 2, 0), (False, 1, 2)]
