@@ -26,29 +26,48 @@ def joined_text(order: str = "det_ord", text: str = "text") -> Column:
     return F.array_join(F.filter(texts, lambda t: t != ""), " ")
 
 
+#: What a score takes from a page's text: characters, those in Arabic letters, marks, Arabic word tokens, and whether a character is repeated.
+TEXT_FACTS = {"n_chars": F.length, "n_arabic": T.arabic_chars, "n_marks": T.marks, "n_tokens": T.arabic_word_tokens, "repeated": lambda t: T.repeated_run(t).cast("int")}
+
+
 def pass_facts(passes: DataFrame, key: list[str] = PASS, s: Settings = Settings()) -> DataFrame:
-    """Per pass its text, number of lines, mean confidence (summed in line order) and median height."""
-    n = F.count("*")
-    return passes.groupBy(*key).agg(joined_text().alias("page_text"), n.alias("n_lines"), (folded_sum("det_ord", "conf") / n).alias("mean_conf"), median_height(s).alias("median_height"))
+    """Per pass its number of lines, mean confidence (summed in line order), median height, and the facts of its text, which are sums over its lines.
+
+    The text is that of `joined_text`: stripped lines with one space between, so no token or repeated character is in two of
+    them. Only figures are shuffled.
+    """
+    n, c = F.count("*"), F.col
+    facts = {f: make(c("text")) for f, make in TEXT_FACTS.items()} | {"n_chars": F.length(T.strip(c("text")))}
+    facts["repeated"] = F.when(T.repeated_run(c("text")), T.repeated_run(T.strip(c("text")))).cast("int")
+    lines = passes.select(*key, "det_ord", "conf", "y1", "y2", *(v.alias(f) for f, v in facts.items()))
+    spaces = F.greatest(F.count(F.when(c("n_chars") > 0, 1)) - 1, F.lit(0))
+    sums = {f: F.sum(f) for f in TEXT_FACTS} | {"n_chars": F.sum("n_chars") + spaces, "repeated": F.coalesce(F.max("repeated"), F.lit(0))}
+    return lines.groupBy(*key).agg(n.alias("n_lines"), (folded_sum("det_ord", "conf") / n).alias("mean_conf"), median_height(s).alias("median_height"), *(v.alias(f) for f, v in sums.items()))
+
+
+def with_text_facts(rows: DataFrame, text: str = "page_text") -> DataFrame:
+    """Adds the facts of whole texts."""
+    return rows.withColumns({f: make(F.col(text)) for f, make in TEXT_FACTS.items()})
 
 
 def score_column(language: Column, variant: Column, s: Settings = Settings()) -> Column:
     """Higher is better. Arabic counts word tokens, and is marked down for diacritics, low boxes and foreign text; all
     languages are marked down for scaled variants and repeated characters."""
-    text, conf = F.col("page_text"), F.col("mean_conf")
-    ratio = T.arabic_ratio(text)
+    conf, n_chars = F.col("mean_conf"), F.col("n_chars")
+    share = lambda n: F.when(n_chars == 0, F.lit(0.0)).otherwise(F.col(n) / n_chars)
+    ratio = share("n_arabic")
     mixed = (1.0 - ratio) > s.mixed_page_ratio
     one = F.lit(1.0)
     foreign = F.when(mixed, F.when(ratio < MIXED_FOREIGN, FOREIGN_FACTOR).otherwise(one)).otherwise(F.when(ratio < FOREIGN, FOREIGN_FACTOR).when(ratio < HALF_FOREIGN, HALF_FACTOR).otherwise(one))
-    arabic = F.sqrt(F.greatest(one, T.arabic_word_tokens(text) * TOKEN_WEIGHT)) * conf
-    arabic = arabic * F.when(T.diacritic_density(text) > DENSE_MARKS, DENSE_FACTOR).otherwise(one)
+    arabic = F.sqrt(F.greatest(one, F.col("n_tokens") * TOKEN_WEIGHT)) * conf
+    arabic = arabic * F.when(share("n_marks") > DENSE_MARKS, DENSE_FACTOR).otherwise(one)
     arabic = arabic * F.when(F.col("median_height") < 2 * s.min_box_height, LOW_BOXES_FACTOR).otherwise(one) * foreign
-    latin = F.sqrt(F.greatest(one, F.length(text).cast("double"))) * conf
+    latin = F.sqrt(F.greatest(one, n_chars.cast("double"))) * conf
     score = F.when(language == "ar", arabic).otherwise(latin)
     for name, factor in VARIANT_FACTORS.items():
         score = score * F.when(variant == name, factor).otherwise(one)
-    score = score * F.when(T.repeated_run(text), REPEATED_FACTOR).otherwise(one)
-    return F.when(text == "", F.lit(0.0)).otherwise(score)
+    score = score * F.when(F.col("repeated") == 1, REPEATED_FACTOR).otherwise(one)
+    return F.when(n_chars == 0, F.lit(0.0)).otherwise(score)
 
 
 def score_passes(passes: DataFrame, language: str | Column, key: list[str] = PASS, s: Settings = Settings(), planned: DataFrame | None = None) -> DataFrame:
@@ -56,7 +75,8 @@ def score_passes(passes: DataFrame, language: str | Column, key: list[str] = PAS
     language = F.lit(language) if isinstance(language, str) else language
     facts = pass_facts(passes, key, s)
     if planned is not None:
-        facts = planned.select(*key).join(facts, key, "left").na.fill({"page_text": "", "n_lines": 0, "mean_conf": 0.0, "median_height": float(s.band_tolerance)})
+        none = dict.fromkeys(TEXT_FACTS, 0) | {"n_lines": 0, "mean_conf": 0.0, "median_height": float(s.band_tolerance)}
+        facts = planned.select(*key).join(facts, key, "left").na.fill(none)
     return facts.withColumn("score", score_column(language, F.col("variant"), s))
 
 

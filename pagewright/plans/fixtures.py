@@ -142,11 +142,16 @@ def page_images(spark: SparkSession, sf_dir: str, width: int = 48, height: int =
     return texts.select("doc_id", "page_idx", F.lit(width).alias("width"), F.lit(height).alias("height"), F.lit(3).alias("n_channels"), F.unhex(F.repeat("h", F.lit(width * height * 3 // 32))).alias("data"))
 
 
-def passes(spark: SparkSession, sf_dir: str, engines: tuple = ENGINES) -> DataFrame:
-    """Detections under each variant and engine, without a fifth of the lines, at the variant's scale."""
+def passes(spark: SparkSession, sf_dir: str, engines: tuple = ENGINES, text: Column | None = None) -> DataFrame:
+    """Detections, or these with another text, under each variant and engine, without a fifth of the lines, at the variant's scale.
+
+    Lines are dealt out by document before there are six of each, so a table in few pieces is not the work of few tasks.
+    """
     c = F.col
+    lines = detections(spark, sf_dir)
+    lines = (lines if text is None else lines.withColumn("text", text)).repartition("doc_id")
     each = F.array(*(F.struct(F.lit(v).alias("variant"), F.lit(vo).alias("variant_ord"), F.lit(s).alias("scale"), F.lit(e).alias("engine"), F.lit(eo).alias("engine_ord")) for v, vo, s in VARIANTS for e, eo in engines))
-    every = detections(spark, sf_dir).withColumn("p", F.explode(each)).select("doc_id", "page_idx", "p.engine", "p.engine_ord", "p.variant", "p.variant_ord", "p.scale", "det_ord", "text", "conf", "x1", "y1", "x2", "y2")
+    every = lines.withColumn("p", F.explode(each)).select("doc_id", "page_idx", "p.engine", "p.engine_ord", "p.variant", "p.variant_ord", "p.scale", "det_ord", "text", "conf", "x1", "y1", "x2", "y2")
     kept = every.where((c("det_ord") + c("variant_ord") + c("engine_ord")) % 5 != 0)
     lower = F.greatest(F.lit(0.0), c("conf") - 0.02 * c("variant_ord") - 0.03 * c("engine_ord"))
     return kept.withColumns({"conf": lower} | {x: (c(x) * c("scale")).cast("int") for x in ("x1", "y1", "x2", "y2")})

@@ -310,10 +310,10 @@ def score_pass_latin(spark, sf):
 @query
 def score_pass_arabic(spark, sf):
     """The passes with their text in Arabic letters, and the few cases that no table has."""
-    passes = X.passes(spark, sf).withColumn("text", F.translate("text", X.LATIN, X.ARABIC))
+    passes = X.passes(spark, sf, text=F.translate("text", X.LATIN, X.ARABIC))
     scored = S.score_passes(P.kept_lines(passes), "ar", planned=X.planned(spark, sf)).select(F.concat_ws("/", F.col("doc_id").cast("string"), "engine", "variant").alias("case_id"), "score")
     rows = X.frame(spark, X.UNICODE, "case_id string, s string").select("case_id", F.col("s").alias("page_text"), F.lit(0.5).alias("mean_conf"), F.lit(20.0).alias("median_height"))
-    cases = rows.select("case_id", S.score_column(F.lit("ar"), F.lit("original")).alias("score"))
+    cases = S.with_text_facts(rows).select("case_id", S.score_column(F.lit("ar"), F.lit("original")).alias("score"))
     return scored.unionByName(cases).select("case_id", M.round_at(F.col("score"), 6).alias("score"))
 
 
