@@ -66,3 +66,9 @@ def test_overlap_is_that_of_pairs(spark):
     got = {r.k: tuple(r[m] for m in names) for r in found.collect()}
     plain = {r.k: tuple(r[m] for m in names) for r in M.compute_metrics(pairs.withColumn("predicted", F.coalesce("predicted", F.lit("")))).collect()}
     assert got == plain
+
+
+def test_overlap_makes_no_row_for_a_token(spark):
+    pairs = spark.createDataFrame([(1, "a b", "b c")], "k int, predicted string, ground_truth string")
+    plan = O.overlap_metrics(pairs, ["k"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 1 and "Join" not in plan and "Aggregate" not in plan  # the one is over an array of one
