@@ -5,10 +5,13 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+#: Bytes of a batch of texts that a Python worker holds at once, as texts may be long.
+BATCH_BYTES = 4 << 20
+
 #: The code points that count as white space, and ranges of the Arabic script.
 SPACE = r"\t\n\x0B\f\r\x1C-\x1F \x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 ARABIC = r"\x{0600}-\x{06FF}\x{0750}-\x{077F}\x{FB50}-\x{FDFF}\x{FE70}-\x{FEFF}"
@@ -29,7 +32,13 @@ def _nfkc(s: pd.Series) -> pd.Series:
 
 
 def _unless_ascii(form, s: Column) -> Column:
-    """The Python step sees nulls where the text is ASCII, which no normal form changes."""
+    """The Python step sees nulls where the text is ASCII, which no normal form changes.
+
+    The session's batches are made small, for good, as the plan may run long after this call: by rows alone, 10 000 whole texts would be one.
+    """
+    session = SparkSession.getActiveSession()
+    if session is not None:
+        session.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return F.coalesce(form(F.when(s.rlike(r"[^\x00-\x7F]"), s)), s)
 
 
