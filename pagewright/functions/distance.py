@@ -107,8 +107,11 @@ def _met_in_common(a: list, b: list) -> int | None:
 def sequence_distance(a, b) -> int:
     """Edit distance of two texts or two lists of words, by the way that suits them."""
     found = met_bounds(a, b)
-    if found is not None:
-        return found
+    return unmet_distance(a, b) if found is None else found
+
+
+def unmet_distance(a, b) -> int:
+    """Edit distance of two texts or two lists of words whose bounds do not meet."""
     if len(a) * len(b) >= HUGE:
         found = diagonal_distance(*_numbers(a, b), min(MOST, max(len(a), len(b)) // SPARSE))
         if found is not None:

@@ -7,17 +7,16 @@ which works out only those that are asked for, and those of a pair once if it co
 
 from __future__ import annotations
 
+import functools
 import unicodedata
-from collections import Counter
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .distance import codes, sequence_distance
+from .bounds import shared_and_distances
 
 
 def ratio4(num: Column, den: Column) -> Column:
@@ -47,61 +46,62 @@ def word_distance(a: Column, b: Column) -> Column:
 
 #: What two normalised texts are compared by: lengths in characters and words, distances, sizes of the multisets they share, and equality.
 COUNTS = ("p_len", "g_len", "p_n", "g_n", "char_dist", "word_dist", "char_shared", "word_shared", "equal")
-#: Code points up to which characters are counted in an array.
-_COUNTED = 1 << 16
 
 
-def _normal(s: str) -> str:
-    """Like `text.normalize`."""
-    return " ".join((s if s.isascii() else unicodedata.normalize("NFC", s)).split())
+class _Text:
+    """A text as `text.normalize` has it, and its words."""
 
+    def __init__(self, s: str):
+        if s.isascii() and s.isprintable() and "  " not in s and s[:1] != " " and s[-1:] != " ":
+            self.s = s
+        else:
+            self.words = (s if s.isascii() else unicodedata.normalize("NFC", s)).split()
+            self.s = " ".join(self.words)
 
-def _shared_chars(a: str, b: str) -> int:
-    if a == b:
-        return len(a)
-    if not a or not b:
-        return 0
-    x, y = codes(a), codes(b)
-    size = max(int(x.max()), int(y.max())) + 1
-    if size > _COUNTED:
-        return (Counter(a) & Counter(b)).total()
-    return int(np.minimum(np.bincount(x, minlength=size), np.bincount(y, minlength=size)).sum())
+    @functools.cached_property
+    def words(self) -> list[str]:
+        return self.s.split()
 
 
-def _shared_words(a: list[str], b: list[str]) -> int:
-    if a == b:
-        return len(a)
-    of_a, of_b = Counter(a), Counter(b)
-    return sum(min(n, of_b[w]) for w, n in of_a.items() if w in of_b)
-
-
-def _compared(p: str, g: str, counts: tuple[str, ...]) -> tuple[int, ...]:
-    """The counts of two normalised texts."""
-    p_words, g_words = (x.split(" ") if x else [] for x in (p, g))
-    how: dict[str, Callable[[], int]] = {
-        "p_len": lambda: len(p), "g_len": lambda: len(g), "p_n": lambda: len(p_words), "g_n": lambda: len(g_words), "equal": lambda: int(p == g),
-        "char_dist": lambda: 0 if p == g else sequence_distance(p, g), "word_dist": lambda: 0 if p == g else sequence_distance(p_words, g_words),
-        "char_shared": lambda: _shared_chars(p, g), "word_shared": lambda: _shared_words(p_words, g_words),
-    }
-    return tuple(how[c]() for c in counts)
+def _compared(pairs: list[tuple[_Text, _Text]], counts: frozenset[str]) -> dict[str, list[int]]:
+    """The counts of pairs of texts, those asked for among them; those of equal texts need no comparison."""
+    out = {"p_len": [len(p.s) for p, _ in pairs], "g_len": [len(g.s) for _, g in pairs], "equal": [int(p.s == g.s) for p, g in pairs]}
+    if counts & {"p_n", "g_n", "word_dist", "word_shared"}:
+        out |= {"p_n": [len(p.words) for p, _ in pairs], "g_n": [len(g.words) for _, g in pairs]}
+    unequal = [k for k, same in enumerate(out["equal"]) if not same]
+    for kind, lengths, of in (("char", "p_len", lambda t: t.s), ("word", "p_n", lambda t: t.words)):
+        dist, both = f"{kind}_dist", f"{kind}_shared"
+        if counts & {dist, both}:
+            shared, distances = shared_and_distances([(of(pairs[k][0]), of(pairs[k][1])) for k in unequal], dist in counts)
+            out[dist], out[both] = [0] * len(pairs), list(out[lengths])
+            for k, n in zip(unequal, shared, strict=True):
+                out[both][k] = n
+            for k, n in zip(unequal, distances, strict=True):
+                out[dist][k] = n
+    return {c: out[c] for c in counts}
 
 
 def _counter(counts: tuple[str, ...]) -> Callable[[Column, Column], Column]:
-    @F.pandas_udf(", ".join(f"{c} int" for c in counts))
-    def run(predicted: pd.Series, truth: pd.Series) -> pd.DataFrame:
-        none, out = (None,) * len(counts), []
+    asked = frozenset(counts)
+
+    @F.arrow_udf(f"struct<{','.join(f'{c}:int' for c in counts)}>")
+    def run(predicted: pa.Array, truth: pa.Array) -> pa.Array:
+        pairs: list[tuple[_Text, _Text]] = []
+        which: list[int | None] = []
         raw = g = None
-        known: dict[str, tuple[int, ...]] = {}  # by prediction, of the truth at hand
-        for a, b in zip(predicted, truth, strict=True):
+        known: dict[str, int] = {}  # by prediction, of the truth at hand
+        for a, b in zip(predicted.to_pylist(), truth.to_pylist(), strict=True):
             if a is None or b is None:
-                out.append(none)
+                which.append(None)
                 continue
             if b != raw:
-                raw, g, known = b, _normal(b), {}
+                raw, g, known = b, _Text(b), {}
             if a not in known:
-                known[a] = _compared(g if a == b else _normal(a), g, counts)
-            out.append(known[a])
-        return pd.DataFrame(out, columns=list(counts), dtype="Int32")
+                known[a] = len(pairs)
+                pairs.append((g if a == b else _Text(a), g))
+            which.append(known[a])
+        found, at = _compared(pairs, asked), pa.array(which, pa.int32())
+        return pa.StructArray.from_arrays([pa.array(found[c], pa.int32()).take(at) for c in counts], names=list(counts))
 
     return run
 
