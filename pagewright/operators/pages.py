@@ -13,6 +13,8 @@ from ..config import Settings
 from ..functions import images as I
 from .detections import PAGE
 
+#: Bytes of pixels from which variants are handed on.
+TOGETHER = 1 << 20
 PIXELS = "width int, height int, n_channels int, data binary"
 PAGES = f"doc_id string, page_idx int, {PIXELS}, roi_warp_applied boolean, roi_warp_reason string, error string"
 VARIANTS = f"doc_id string, page_idx int, variant_ord int, variant string, scale double, effective_scale double, {PIXELS}"
@@ -57,11 +59,18 @@ def page_variants(pages: DataFrame, language: str, s: Settings = Settings()) ->
     schema = pa.schema([("doc_id", pa.string()), ("page_idx", pa.int32()), ("variant_ord", pa.int32()), ("variant", pa.string()), ("scale", pa.float64()), ("effective_scale", pa.float64()), *_PIXELS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, held = [], 0  # small pages leave together
         for batch in batches:
             for row in batch.to_pylist():
                 for k, (name, scale, image) in enumerate(I.variants(array_of(row), language, s.high_dpi)):
                     small, down = I.capped(image, s.side_limit)
-                    yield _batch([(row["doc_id"], row["page_idx"], k, name, scale, scale * down, *pixels(small))], schema)
+                    out.append((row["doc_id"], row["page_idx"], k, name, scale, scale * down, *pixels(small)))
+                    held += small.size
+                    if held >= TOGETHER:
+                        yield _batch(out, schema)
+                        out, held = [], 0
+        if out:
+            yield _batch(out, schema)
 
     rows = pages.where("data is not null").select(F.col("doc_id").cast("string").alias("doc_id"), "page_idx", "width", "height", "n_channels", "data")
     return rows.mapInArrow(run, VARIANTS)
