@@ -64,6 +64,12 @@ def running(df: DataFrame, order: list[str | Column], value: str | Column, name:
     return summed.join(small, _PART).withColumn(name, F.col(name) + F.col("_scan_start")).drop(_PART, "_scan_start")
 
 
+def in_ranges(df: DataFrame, order: list[str | Column], name: str) -> DataFrame:
+    """df sorted in ranges and written so, one range to a partition; adds the range's number."""
+    placed = df.repartitionByRange(shuffle_partitions(df.sparkSession), *order).sortWithinPartitions(*order)
+    return checkpointed(placed.withColumn(name, F.spark_partition_id()))
+
+
 def ranked(df: DataFrame, order: list[str | Column], name: str) -> DataFrame:
     """Adds the place, from 1, of each row in the order."""
     return running(df, order, F.lit(1), name)
@@ -72,21 +78,23 @@ def ranked(df: DataFrame, order: list[str | Column], name: str) -> DataFrame:
 def radix_median(df: DataFrame, key: list[str], value: str, small: bool = False) -> DataFrame:
     """The exact median of each key's values, integers from 0 to 2^31 - 1: key, median (the mean of the two middle ones).
 
-    Four rounds each settle eight bits of both middle values: rows that share the bits settled so far are counted by their next
-    digit, so a key's state is 256 counts, however many rows it has. Nulls are left out; a key without values has no row.
+    Equal values are counted once. Four rounds each settle eight bits of both middle values: values that share the bits settled so
+    far are counted by their next digit, so a key's state is 256 counts, however many rows it has. Nulls are left out; a key
+    without values has no row.
     ``small`` says that the keys are few enough to be broadcast.
     """
     hint = F.broadcast if small else lambda d: d
     v, k = F.col("_v"), F.col("_k")
     rows = df.select(*key, F.col(value).alias("_v")).where(v.isNotNull())
-    n = rows.groupBy(*key).agg(F.count("*").alias("_n"))
+    rows = checkpointed(rows.groupBy(*key, "_v").agg(F.count("*").alias("_rows")))
+    n = rows.groupBy(*key).agg(F.sum("_rows").alias("_n"))
     both = F.array(F.struct(F.lit(0).alias("_which"), F.floor((F.col("_n") - 1) / 2).cast("long").alias("_k")), F.struct(F.lit(1).alias("_which"), F.floor(F.col("_n") / 2).cast("long").alias("_k")))
     state = checkpointed(n.select(*key, F.explode(both).alias("_s")).select(*key, "_s._which", "_s._k", F.lit(0).alias("_prefix")))
     digits = Window.partitionBy(*key, "_which").orderBy("_digit")
     for shift in (24, 16, 8, 0):
         met = rows.join(hint(state), key)
         met = met.where(F.shiftright(v, shift + 8) == F.col("_prefix")) if shift < 24 else met
-        counts = met.groupBy(*key, "_which", "_k", "_prefix", F.shiftright(v, shift).bitwiseAND(255).alias("_digit")).agg(F.count("*").alias("_n"))
+        counts = met.groupBy(*key, "_which", "_k", "_prefix", F.shiftright(v, shift).bitwiseAND(255).alias("_digit")).agg(F.sum("_rows").alias("_n"))
         upto = counts.withColumn("_upto", F.sum("_n").over(digits)).where("_upto > _k AND _upto - _n <= _k")  # at most 256 rows a window
         state = checkpointed(upto.select(*key, "_which", (k - F.col("_upto") + F.col("_n")).alias("_k"), (F.col("_prefix") * 256 + F.col("_digit")).cast("int").alias("_prefix")))
     return state.groupBy(*key).agg((F.sum(F.col("_prefix").cast("long")) / 2).alias("median"))

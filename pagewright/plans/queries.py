@@ -270,7 +270,8 @@ def _stacked(spark, sf):
 
 @query
 def long_page_order(spark, sf):
-    return LP.reading_order_any(_stacked(spark, sf), limit=200).select("doc_id", "det_ord", "col", "band", "read_ord")
+    lines = checkpointed(_stacked(spark, sf).drop("text", "conf"))  # read three times: counts, short pages and long ones
+    return LP.reading_order_any(lines, limit=200).select("doc_id", "det_ord", "col", "band", "read_ord")
 
 
 @query

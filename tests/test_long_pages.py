@@ -65,3 +65,30 @@ def test_long_pages_are_spread_over_tasks(spark):
     ordered = LP.long_reading_order(lines)
     assert "Window" not in ordered._jdf.queryExecution().executedPlan().toString()
     assert ordered.agg(F.max("read_ord"), F.countDistinct("read_ord"), F.max("band")).first()[:] == (200_000, 200_000, 199_999 // 15)
+
+
+def test_bands_cross_many_ranges(spark):
+    """Pages of few heights, of one, and of many, in more ranges than a page has bands."""
+    rng = random.Random(8)
+    rows = [r for page, (n, tall) in enumerate([(80, 12), (400, 60), (400, 7000), (30, 20000), (1, 5), (200, 1)]) for r in made(rng, page, n, tall, 900)]
+    df = spark.createDataFrame(rows, DETECTIONS)
+    plain = {tuple(r) for r in L.reading_order_rtl(df).select("doc_id", "det_ord", "col", "band", "read_ord").collect()}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    try:
+        assert {tuple(r) for r in LP.long_reading_order(df).select("doc_id", "det_ord", "col", "band", "read_ord").collect()} == plain
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_jobs_do_not_grow_with_the_bands(spark):
+    """A page of 20 000 bands takes no more jobs than one of two."""
+
+    def jobs(n):
+        group = f"bands-{n}"
+        spark.sparkContext.setJobGroup(group, group)
+        rows = spark.range(n).selectExpr("1L AS doc_id", "0 AS page_idx", "CAST(id AS INT) AS det_ord", "5 AS x1", "CAST(20 * id AS INT) AS y1", "9 AS x2", "CAST(20 * id + 10 AS INT) AS y2")
+        assert LP.long_reading_order(rows).agg(F.max("band")).first()[0] == n - 1
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    assert jobs(20_000) <= jobs(2) + 4
