@@ -8,8 +8,8 @@ distinct stretch of the corpus is tokenised and aligned once, in the place of a
 line feed between characters that are no white space, and between a Latin letter and ASCII punctuation: the first tokenizer's
 pattern never matches across these, and the second's pieces are searched for any that would (a kind of cut for
 which there is one is not used). Documents are lists of stretches, numbered within blocks of about ``BLOCK`` bytes of text, or
-of one longer document. What stretches give comes to the blocks as one array each, so a document's figures are sums and
-joined strings of array entries, and nothing of a token's size is shuffled for each occurrence.
+of one longer document. What stretches give comes to each block once, beside its documents' packed numbers, so a document's
+figures are sums and joined strings of table entries, and nothing of a token's size is shuffled for each occurrence.
 
 Nulls: a null text is an empty one. It, and a text whose tokens' bytes differ from space + text on either side, has no tokens:
 zeros and an empty groups_sha256. Very long texts without cuts are one stretch. Documents count one by one for the pairs,
@@ -19,7 +19,9 @@ also rows that repeat an id or have none. Other columns are ignored; an empty ta
 from __future__ import annotations
 
 import functools
+import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +37,7 @@ BLOCK = 32 << 20
 #: A token is its id and, in the low bits, its length in bytes.
 LENGTH_BITS = 12
 SPACE = "▁"
+FIGURES = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 #: Each kind of cut: where it goes in a text, and pieces that would stand across it.
 CUTS = (
     (rf"(?<=[^\s{SPACE}])(?=[ \n][^\s{SPACE}])", rf"[^{SPACE}]{SPACE}|.\n|\n."),
@@ -98,33 +101,62 @@ def _cutter(second: str) -> re.Pattern | None:
 
 
 def _cut(docs: DataFrame, second: str, size: int) -> DataFrame:
-    """Rows of two sorts: (block, doc_id, seq) of documents and (block, unit, text) of a block's stretches, which seq's numbers name."""
-    schema = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("seq", pa.list_(pa.int32())), ("unit", pa.int32()), ("text", pa.string())])
+    """Rows of two sorts: (block, ids, lengths, seq) of some documents and (block, unit, text) of a block's stretches, which seq's numbers name."""
+    schema = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("seq", pa.binary()), ("unit", pa.int32()), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = _cutter(second)
         block, held, units = TaskContext.get().partitionId() << 24, 0, _Numbers()
+        ids, lengths, seq = [], [], array("i")
 
-        def told() -> pa.RecordBatch:
+        def stretches() -> pa.RecordBatch:
             n = len(units)
-            return pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int32())), pa.array(np.arange(n, dtype=np.int32)), pa.array(list(units), pa.string())], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), *(pa.nulls(n, schema.field(k).type) for k in (1, 2, 3)), pa.array(np.arange(n, dtype=np.int32)), pa.array(list(units), pa.string())], schema=schema)
+
+        def documents() -> pa.RecordBatch:
+            columns = [[block], [ids], [lengths], [_packed(np.frombuffer(seq, dtype=np.int32))], [None], [None]]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
         for batch in batches:
-            ids, seqs = [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py()
                 ids.append(doc_id)
-                seqs.append([units[u] for u in (cutter.split(" " + text) if cutter else [" " + text])] if text else [])
-                held += len(text or "")
+                before = len(seq)
+                if text:
+                    seq.extend(map(units.__getitem__, cutter.split(" " + text) if cutter else [" " + text]))
+                    held += len(text)
+                lengths.append(len(seq) - before)
                 if held >= size:
-                    yield _documents(ids, seqs, block, schema)
-                    yield told()
-                    ids, seqs, block, held, units = [], [], block + 1, 0, _Numbers()
-            yield _documents(ids, seqs, block, schema)
+                    yield documents()
+                    yield stretches()
+                    block, held, units = block + 1, 0, _Numbers()
+                    ids, lengths, seq = [], [], array("i")
+            if ids:
+                yield documents()
+                ids, lengths, seq = [], [], array("i")
         if units:
-            yield told()
+            yield stretches()
+
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "block long, ids array<long>, lengths array<int>, seq binary, unit int, text string")
+
+
+def _packed(numbers: np.ndarray) -> bytes:
+    """Whole numbers with their low bytes first, then their second bytes, and so on, compressed."""
+    return pa.compress(np.ascontiguousarray(numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(packed: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(packed, decompressed_size=4 * n, codec="zstd", asbytes=True), dtype=np.uint8) if n else np.zeros(0, dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).reshape(-1).view("<i4")
+
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "block long, doc_id long, seq array<int>, unit int, text string")
+def _each(chunks: pa.Table) -> Iterator[tuple[int | None, np.ndarray]]:
+    """The documents of a block, with the numbers of their stretches."""
+    for ids, lengths, seq in zip(*(chunks.column(x) for x in ("ids", "lengths", "seq")), strict=True):
+        ends = np.cumsum(np.array(lengths.as_py(), dtype=np.int64))
+        numbers = _unpacked(seq.as_py(), int(ends[-1]))
+        for doc_id, i, j in zip(ids.as_py(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            yield doc_id, numbers[i:j]
 
 
 class _Numbers(dict):
@@ -135,11 +167,6 @@ class _Numbers(dict):
         return n
 
 
-def _documents(ids: list[int], seqs: list[list[int]], block: int, schema: pa.Schema) -> pa.RecordBatch:
-    n = len(ids)
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(ids, pa.int64()), pa.array(seqs, pa.list_(pa.int32())), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string())], schema=schema)
-
-
 def tokens(texts: DataFrame, first: str, second: str) -> DataFrame:
     """texts (id, text, with its leading space) with the packed tokens a and b of both sides; null if their bytes are not the text's."""
 
@@ -199,21 +226,19 @@ def align(docs: DataFrame, first: str, second: str, block: int = BLOCK, scratch:
     scratch = scratch or Scratch(docs.sparkSession, "alignment")
     cut = scratch.save(_cut(docs, second, block), "cut")
     units = cut.where("unit IS NOT NULL").select("block", "unit", "text")
-    sequences = cut.where("unit IS NULL").select("block", "doc_id", "seq")
+    chunks = cut.where("unit IS NULL").select(F.col("block").alias("own"), "ids", "lengths", "seq")
     stretches = tokens(units.select("text").distinct().withColumn("id", F.monotonically_increasing_id()), first, second)
     stretches = scratch.save(stretches.where("a IS NOT NULL"), "stretches")
     grouped = scratch.save(groups(stretches), "groups")
     linked = scratch.save(links(grouped), "links")
 
-    # how many documents hold each pair: every block's documents look their stretches' pairs up in one array
+    # how many documents hold each pair: every block's documents look their stretches' pairs up, and a block tells its counts
     met = scratch.save(linked.groupBy("id").agg(F.collect_list("pair").alias("pairs")).join(stretches.select("id", "text"), "id").select("text", "pairs"), "pairs")
-    book = _book(units.join(met, "text", "left"), "pairs")
-    listed = sequences.groupBy("block").agg(F.collect_list("seq").alias("seqs"))
-    own = F.transform("seqs", lambda s: F.array_distinct(F.flatten(F.transform(F.array_distinct(s), lambda u: F.get("book", u)["pairs"]))))
-    held = listed.join(book, "block").select(F.explode(own).alias("own")).select(F.explode("own").alias("pair"))  # a null list: not all stretches have tokens
-    counts = held.groupBy("pair").agg(F.count("*").alias("count"))
+    held = _by_block(chunks, units.join(met, "text").select("block", "unit", "pairs")).applyInArrow(_holders, "pair long, count long")
+    counts = held.groupBy("pair").agg(F.sum("count").alias("count"))
     highest = F.max("count").over(Window.partitionBy(F.shiftright("pair", 32)))  # no more rows than the second tokenizer has entries
     counts = scratch.save(counts.select("pair", "count", (F.col("count") == highest).alias("best")), "counts")
+    scratch.drop("pairs")
 
     # stretches' figures, then documents'
     sums = linked.join(counts, "pair").groupBy("id").agg(F.sum(F.when(F.col("best"), F.col("links")).otherwise(0)).alias("n_best"), F.sum(F.col("links") * F.col("count")).alias("count_sum"))
@@ -221,22 +246,60 @@ def align(docs: DataFrame, first: str, second: str, block: int = BLOCK, scratch:
     n_a, n_b = F.size("as").cast("long"), F.size("bs").cast("long")
     facts = grouped.groupBy("id").agg(F.sum(n_a).alias("n_a"), F.sum(n_b).alias("n_b"), F.count("*").alias("n_groups"), F.sum(n_a * n_b).alias("n_links"), F.array_sort(F.collect_list(F.struct("g", shown.alias("shown")))).alias("list"))
     facts = facts.join(sums, "id").withColumn("shown", F.array_join(F.transform("list", lambda x: x["shown"]), ";"))
-    figures = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
-    facts = scratch.save(facts.join(stretches.select("id", "text"), "id").select("text", *figures, "shown"), "facts")
-    book = _book(units.join(facts, "text", "left"), *figures, "shown")
-    listed = sequences.groupBy("block").agg(F.collect_list(F.struct("doc_id", "seq")).alias("docs"))
-
-    def told(d):
-        all_there = ~F.exists(d["seq"], lambda u: F.get("book", u)["shown"].isNull()) & (F.size(d["seq"]) > 0)
-        total = lambda c: F.when(all_there, F.aggregate(d["seq"], F.lit(0).cast("long"), lambda s, u: s + F.get("book", u)[c])).otherwise(0).alias(c)
-        text = F.sha2(F.array_join(F.transform(d["seq"], lambda u: F.get("book", u)["shown"]), ";"), 256)
-        return F.struct(d["doc_id"].alias("doc_id"), *[total(c) for c in figures], F.when(all_there, text).otherwise("").alias("groups_sha256"))
-
-    alone = listed.join(book, "block", "left")  # blocks whose texts are all empty have no stretches
-    return alone.select(F.inline(F.transform("docs", told)))
-
-
-def _book(units: DataFrame, *columns: str) -> DataFrame:
-    """Per block its stretches' entries in the order of their numbers; an entry of a stretch without tokens holds nulls."""
-    rows = F.array_sort(F.collect_list(F.struct("unit", *columns)))
-    return units.groupBy("block").agg(rows.alias("book"))
+    facts = scratch.save(facts.join(stretches.select("id", "text"), "id").select("text", *FIGURES, "shown"), "facts")
+    scratch.drop("stretches", "groups", "links", "counts")
+    schema = ", ".join(["doc_id long", *(f"{x} long" for x in FIGURES), "groups_sha256 string"])
+    return _by_block(chunks, units.join(facts, "text").select("block", "unit", *FIGURES, "shown")).applyInArrow(_figures, schema)
+
+
+def _by_block(chunks: DataFrame, entries: DataFrame):
+    """Each block's documents beside what is known of its stretches; stretches without tokens are not among these."""
+    return chunks.groupBy("own").cogroup(entries.groupBy("block"))
+
+
+def _holders(chunks: pa.Table, entries: pa.Table) -> pa.Table:
+    """How many of a block's documents hold each pair."""
+    unit = entries.column("unit").to_numpy()
+    lists = entries.column("pairs").combine_chunks()
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    pairs, numbers = np.unique(lists.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+    size = int(unit.max()) + 1 if len(unit) else 0
+    start, n = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.int64)
+    n[unit] = lists.value_lengths().to_numpy(zero_copy_only=False)
+    start[unit] = np.cumsum(n[unit]) - n[unit]
+    once, mark, counts = np.zeros(size, dtype=np.int64), np.zeros(len(pairs), dtype=np.int64), np.zeros(len(pairs), dtype=np.int64)
+
+    def distinct(x: np.ndarray, place: np.ndarray) -> np.ndarray:
+        at = np.arange(len(x))
+        place[x] = at
+        return x[place[x] == at]
+
+    for _, seq in _each(chunks):
+        if not len(seq) or seq.max() >= size or not n[seq].all():
+            continue  # not all of its stretches have tokens
+        u = distinct(seq, once)
+        many = n[u]
+        counts[distinct(numbers[np.repeat(start[u] - np.cumsum(many) + many, many) + np.arange(many.sum())], mark)] += 1
+    some = counts > 0
+    return pa.table({"pair": pa.array(pairs[some], pa.int64()), "count": pa.array(counts[some], pa.int64())})
+
+
+def _figures(chunks: pa.Table, entries: pa.Table) -> pa.Table:
+    """The figures of a block's documents: sums of those of their stretches, and the digest of all groups."""
+    unit = entries.column("unit").to_numpy()
+    size = int(unit.max()) + 1 if len(unit) else 0
+    table = np.zeros((size, len(FIGURES)), dtype=np.int64)
+    for k, x in enumerate(FIGURES):
+        table[unit, k] = entries.column(x).to_numpy()
+    shown: list[str | None] = [None] * size
+    for u, x in zip(unit.tolist(), entries.column("shown").to_pylist(), strict=True):
+        shown[u] = x
+    ids, sums, digests = [], [], []
+    none = np.zeros(len(FIGURES), dtype=np.int64)
+    for doc_id, seq in _each(chunks):
+        there = len(seq) and seq.max() < size and table[seq, FIGURES.index("n_groups")].all()
+        ids.append(doc_id)
+        sums.append(table[seq].sum(axis=0) if there else none)
+        digests.append(hashlib.sha256(";".join(map(shown.__getitem__, seq.tolist())).encode()).hexdigest() if there else "")
+    of = np.array(sums, dtype=np.int64).reshape(-1, len(FIGURES))
+    return pa.table({"doc_id": pa.array(ids, pa.int64()), **{x: pa.array(of[:, k]) for k, x in enumerate(FIGURES)}, "groups_sha256": pa.array(digests, pa.string())})
