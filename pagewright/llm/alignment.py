@@ -38,11 +38,35 @@ BLOCK = 32 << 20
 LENGTH_BITS = 12
 SPACE = "▁"
 FIGURES = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
-#: Each kind of cut: where it goes in a text, and pieces that would stand across it.
-CUTS = (
-    (rf"(?<=[^\s{SPACE}])(?=[ \n][^\s{SPACE}])", rf"[^{SPACE}]{SPACE}|.\n|\n."),
-    (r"(?<=[A-Za-zÀ-ɏ])(?=[!-/:-@\[-`{-~])", r"[A-Za-zÀ-ɏ][!-/:-@\[-`{-~]"),
-)
+#: Pieces that would stand across each kind of cut: before white space, and between letter and mark.
+ACROSS = (rf"[^{SPACE}]{SPACE}|.\n|\n.", r"[A-Za-zÀ-ɏ][!-/:-@\[-`{-~]")
+WHITE, BREAK, LETTER, MARK = 1, 2, 4, 8
+#: Characters up to which the faster encoder is given a stretch.
+SHORT = 200
+
+
+class Cutter:
+    """Cuts texts before a space or line feed between characters that are no white space, and between Latin letters and marks."""
+
+    def __init__(self, breaks: bool, marks: bool):
+        self.breaks, self.marks = breaks, marks
+        self.kinds = np.zeros(0x110000, dtype=np.uint8)
+        self.kinds[[c for c in range(0x10000) if chr(c).isspace() or chr(c) == SPACE]] |= WHITE  # none are beyond
+        self.kinds[[ord(" "), ord("\n")]] |= BREAK
+        for bit, spans in ((LETTER, ("AZ", "az", "Àɏ")), (MARK, ("!/", ":@", "[`", "{~"))):
+            for low, high in spans:
+                self.kinds[ord(low) : ord(high) + 1] |= bit
+
+    def split(self, text: str) -> list[str]:
+        kinds = self.kinds[np.frombuffer(text.encode("utf-32-le"), dtype="<u4")]
+        cut = np.zeros(max(0, len(kinds) - 1), dtype=bool)  # before each character but the first
+        if self.marks:
+            cut |= (kinds[:-1] & LETTER != 0) & (kinds[1:] & MARK != 0)
+        if self.breaks:
+            black = kinds & WHITE == 0
+            cut[:-1] |= black[:-2] & (kinds[1:-1] & BREAK != 0) & black[2:]
+        at = (np.flatnonzero(cut) + 1).tolist()
+        return [text[i:j] for i, j in zip([0, *at], [*at, len(text)], strict=True)]
 
 
 class Second:
@@ -65,7 +89,7 @@ class Second:
 class First:
     """The byte-level side; special tokens' strings are plain text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, pattern: str | None = None):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -78,14 +102,23 @@ class First:
         self.bytes_of = [b""] * self.model.get_vocab_size()
         for piece, k in self.model.get_vocab().items():
             self.bytes_of[k] = piece.encode() if k in added else bytes(back[c] for c in piece)
+        self.quick = None
+        if pattern:
+            import tiktoken
+
+            self.quick = tiktoken.Encoding("first", pat_str=pattern, mergeable_ranks={p: k for k, p in enumerate(self.bytes_of) if k not in added}, special_tokens={}).encode_ordinary
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        if not self.quick:
+            return [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        # runs of white space may be too long for the faster encoder
+        long = iter(self.model.encode_batch_fast([t for t in texts if len(t) > SHORT], add_special_tokens=False))
+        return [self.quick(t) if len(t) <= SHORT else next(long).ids for t in texts]
 
 
 @functools.lru_cache(maxsize=2)
-def _sides(first: str, second: str) -> tuple[First, Second]:
-    sides = First(first), Second(second)
+def _sides(first: str, second: str, pattern: str | None = None) -> tuple[First, Second]:
+    sides = First(first, pattern), Second(second)
     for side in sides:
         if len(side.bytes_of) >> 31 - LENGTH_BITS or max(map(len, side.bytes_of)) >> LENGTH_BITS:
             raise ValueError("entries do not fit the packed form")
@@ -93,11 +126,11 @@ def _sides(first: str, second: str) -> tuple[First, Second]:
 
 
 @functools.lru_cache(maxsize=2)
-def _cutter(second: str) -> re.Pattern | None:
+def _cutter(second: str) -> Cutter | None:
     side = Second(second)
     # pieces that stand for one byte each are never part of a longer one
-    kinds = [at for at, across in CUTS if not any(re.search(across, p) for p in side.pieces if not re.fullmatch("<.*>", p))]
-    return re.compile("|".join(kinds)) if kinds else None
+    kinds = [not any(re.search(across, p) for p in side.pieces if not re.fullmatch("<.*>", p)) for across in ACROSS]
+    return Cutter(*kinds) if any(kinds) else None
 
 
 def _cut(docs: DataFrame, second: str, size: int) -> DataFrame:
@@ -167,7 +200,7 @@ class _Numbers(dict):
         return n
 
 
-def tokens(texts: DataFrame, first: str, second: str) -> DataFrame:
+def tokens(texts: DataFrame, first: str, second: str, pattern: str | None = None) -> DataFrame:
     """texts (id, text, with its leading space) with the packed tokens a and b of both sides; null if their bytes are not the text's."""
 
     @F.arrow_udf("struct<a:array<int>,b:array<int>>")
@@ -175,7 +208,7 @@ def tokens(texts: DataFrame, first: str, second: str) -> DataFrame:
         given = batch.to_pylist()
         raw = [t.encode() for t in given]
         made = []
-        for side in _sides(first, second):
+        for side in _sides(first, second, pattern):
             table = np.array([k << LENGTH_BITS | len(p) for k, p in enumerate(side.bytes_of)], dtype=np.int32)
             ids = side.encode(given)
             fits = [b"".join(map(side.bytes_of.__getitem__, x)) == t for x, t in zip(ids, raw, strict=True)]
@@ -221,13 +254,16 @@ def links(grouped: DataFrame) -> DataFrame:
     return single.unionByName(met).groupBy("id", "pair").agg(F.sum("links").alias("links"))
 
 
-def align(docs: DataFrame, first: str, second: str, block: int = BLOCK, scratch: Scratch | None = None) -> DataFrame:
-    """Per document doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256; first and second are paths of tokenizers."""
+def align(docs: DataFrame, first: str, second: str, block: int = BLOCK, scratch: Scratch | None = None, pattern: str | None = None) -> DataFrame:
+    """Per document doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256; first and second are paths of tokenizers.
+
+    ``pattern``: what the first cuts texts by, where its ids are ranks of merging; short stretches are then encoded faster.
+    """
     scratch = scratch or Scratch(docs.sparkSession, "alignment")
     cut = scratch.save(_cut(docs, second, block), "cut")
     units = cut.where("unit IS NOT NULL").select("block", "unit", "text")
     chunks = cut.where("unit IS NULL").select(F.col("block").alias("own"), "ids", "lengths", "seq")
-    stretches = tokens(units.select("text").distinct().withColumn("id", F.monotonically_increasing_id()), first, second)
+    stretches = tokens(units.select("text").distinct().withColumn("id", F.monotonically_increasing_id()), first, second, pattern)
     stretches = scratch.save(stretches.where("a IS NOT NULL"), "stretches")
     grouped = scratch.save(groups(stretches), "groups")
     linked = scratch.save(links(grouped), "links")

@@ -109,3 +109,35 @@ def test_cuts_change_no_token(text):
     assert [k for x in first.encode(parts) for k in x] == [k for k, _ in a]
     if text:
         assert [k for x in second.encode(parts) for k in x] == [k for k, _ in b]
+
+
+OLD_CUTS = r"(?<=[^\s▁])(?=[ \n][^\s▁])|(?<=[A-Za-zÀ-ɏ])(?=[!-/:-@\[-`{-~])"
+MIXED = st.text(st.sampled_from(list("ab \n\t.,'!_-1é你▁ ́\x1c\x85\u3000 ſ½\U0001f600")), max_size=24) | st.text(max_size=12)
+
+
+@settings(max_examples=400, deadline=None)
+@given(MIXED)
+def test_faster_forms_change_nothing(text):
+    """Cuts by kinds of characters are those of the expression, and the faster encoder's ids are the tokenizer's."""
+    import re
+
+    parts = al._cutter(SECOND).split(" " + text)
+    assert parts == re.split(OLD_CUTS, " " + text)
+    plain, quick = (al._sides(FIRST, SECOND, p)[0].encode([*parts, text, " " * 300]) for p in (None, public_tokenizers.PATTERN))
+    assert plain == quick
+
+
+def test_faster_encoder_on_documents(spark, sf):
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").limit(200).collect()] + ODD
+    words = sorted({w for t in texts if t for w in al._cutter(SECOND).split(" " + t)})
+    assert al.First(FIRST).encode(words) == al.First(FIRST, public_tokenizers.PATTERN).encode(words)
+
+
+def test_packed_numbers_are_small():
+    """A document's numbers take well under the four bytes each that they took in tables and shuffles."""
+    import numpy as np
+
+    numbers = np.minimum(np.random.default_rng(1).zipf(1.2, 20_000), 300_000).astype(np.int32)
+    packed = al._packed(numbers)
+    assert (al._unpacked(packed, len(numbers)) == numbers).all() and len(packed) < 2 * len(numbers)
+    assert len(al._unpacked(al._packed(numbers[:0]), 0)) == 0
