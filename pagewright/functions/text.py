@@ -31,14 +31,16 @@ def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None else unicodedata.normalize("NFKC", x))
 
 
-def _unless_ascii(form, s: Column) -> Column:
-    """The Python step sees nulls where the text is ASCII, which no normal form changes.
-
-    The session's batches are made small, for good, as the plan may run long after this call: by rows alone, 10 000 whole texts would be one.
-    """
+def small_batches() -> None:
+    """The session's batches are made small, for good, as the plan may run long after this call: by rows alone, 10 000 whole texts would be one."""
     session = SparkSession.getActiveSession()
     if session is not None:
         session.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
+def _unless_ascii(form, s: Column) -> Column:
+    """The Python step sees nulls where the text is ASCII, which no normal form changes."""
+    small_batches()
     return F.coalesce(form(F.when(s.rlike(r"[^\x00-\x7F]"), s)), s)
 
 
@@ -60,7 +62,8 @@ def strip(s: Column) -> Column:
 
 
 def blank(s: Column) -> Column:
-    return strip(s) == ""
+    """Whether a text is white space only, which its first other character tells."""
+    return ~s.rlike(f"[^{SPACE}]")
 
 
 def collapse(s: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions import text as T
+from ..functions.facts import line_facts
 from .detections import PAGE, folded_sum, median_height, overlaps_next
 
 PASS = [*PAGE, "engine", "engine_ord", "variant", "variant_ord"]
@@ -29,22 +30,27 @@ def joined_text(order: str = "det_ord", text: str = "text") -> Column:
 #: What a score takes from a page's text: characters, those in Arabic letters, marks, Arabic word tokens, and whether a character is repeated.
 TEXT_FACTS = {"n_chars": F.length, "n_arabic": T.arabic_chars, "n_marks": T.marks, "n_tokens": T.arabic_word_tokens, "repeated": lambda t: T.repeated_run(t).cast("int")}
 
+LINE_FACTS = "line_facts"
+
 
 def pass_facts(passes: DataFrame, key: list[str] = PASS, s: Settings = Settings()) -> DataFrame:
     """Per pass its number of lines, mean confidence (summed in line order), median height, and the facts of its text, which are sums over its lines.
 
     The text is that of `joined_text`: stripped lines with one space between, so no token or repeated character is in two of
-    them. Only figures are shuffled.
+    them. Only figures are shuffled. Lines that come with the facts of their text (`with_line_facts`) are taken by them.
     """
     n, c = F.count("*"), F.col
-    facts = {f: make(c("text")) for f, make in TEXT_FACTS.items()} | {"n_chars": F.length(T.strip(c("text")))}
-    facts["repeated"] = F.when(T.repeated_run(c("text")), T.repeated_run(T.strip(c("text")))).cast("int")
-    lines = passes.select(*key, "det_ord", "conf", "y1", "y2", *(v.alias(f) for f, v in facts.items()))
+    lines = with_line_facts(passes).select(*key, "det_ord", "conf", "y1", "y2", *(c(LINE_FACTS)[f].alias(f) for f in TEXT_FACTS))
     spaces = F.greatest(F.count(F.when(c("n_chars") > 0, 1)) - 1, F.lit(0))
     sums = {f: F.sum(f) for f in TEXT_FACTS} | {"n_chars": F.sum("n_chars") + spaces, "repeated": F.coalesce(F.max("repeated"), F.lit(0))}
     return lines.groupBy(*key).agg(n.alias("n_lines"), (folded_sum("det_ord", "conf") / n).alias("mean_conf"), median_height(s).alias("median_height"), *(v.alias(f) for f, v in sums.items()))
 
 
+def with_line_facts(lines: DataFrame) -> DataFrame:
+    """Adds the facts of each line's text, if they are not there. Best called before a text is given to several passes, and before lines are dealt out."""
+    return lines if LINE_FACTS in lines.columns else lines.withColumn(LINE_FACTS, line_facts(F.col("text")))
+
+
 def with_text_facts(rows: DataFrame, text: str = "page_text") -> DataFrame:
     """Adds the facts of whole texts."""
     return rows.withColumns({f: make(F.col(text)) for f, make in TEXT_FACTS.items()})

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import evaluation as E
+from ..operators import scoring as S
 
 VARIANTS = (("original", 0, 1.0), ("upscaled_2x", 1, 2.0), ("clahe", 2, 1.0))
 ENGINES = (("v5", 0), ("v3", 1))
@@ -53,10 +54,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every line of every document as a detection, with a confidence and a box that follow from its place."""
+def detections(spark: SparkSession, sf_dir: str, text: Column | None = None) -> DataFrame:
+    """Every line of every document, or of these with another text, as a detection, with a confidence and a box that follow from its place."""
     c = F.col
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "text"))
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text" if text is None else text, "\n")).alias("i", "text"))
     two = c("doc_id") % 3 == 0
     r = F.when(two, F.floor(c("i") / 2)).otherwise(c("i"))
     boxed = lines.select(
@@ -143,15 +144,15 @@ def page_images(spark: SparkSession, sf_dir: str, width: int = 48, height: int =
 
 
 def passes(spark: SparkSession, sf_dir: str, engines: tuple = ENGINES, text: Column | None = None) -> DataFrame:
-    """Detections, or these with another text, under each variant and engine, without a fifth of the lines, at the variant's scale.
+    """Detections, or those of another text of the documents, under each variant and engine, without a fifth of the lines, at the variant's scale.
 
-    Lines are dealt out by document before there are six of each, so a table in few pieces is not the work of few tasks.
+    Lines are dealt out by document before there are six of each, so a table in few pieces is not the work of few tasks. What
+    scores take from a text is worked out before, once for all six.
     """
     c = F.col
-    lines = detections(spark, sf_dir)
-    lines = (lines if text is None else lines.withColumn("text", text)).repartition("doc_id")
+    lines = S.with_line_facts(detections(spark, sf_dir, text)).repartition("doc_id")
     each = F.array(*(F.struct(F.lit(v).alias("variant"), F.lit(vo).alias("variant_ord"), F.lit(s).alias("scale"), F.lit(e).alias("engine"), F.lit(eo).alias("engine_ord")) for v, vo, s in VARIANTS for e, eo in engines))
-    every = lines.withColumn("p", F.explode(each)).select("doc_id", "page_idx", "p.engine", "p.engine_ord", "p.variant", "p.variant_ord", "p.scale", "det_ord", "text", "conf", "x1", "y1", "x2", "y2")
+    every = lines.withColumn("p", F.explode(each)).select("doc_id", "page_idx", "p.engine", "p.engine_ord", "p.variant", "p.variant_ord", "p.scale", "det_ord", "text", S.LINE_FACTS, "conf", "x1", "y1", "x2", "y2")
     kept = every.where((c("det_ord") + c("variant_ord") + c("engine_ord")) % 5 != 0)
     lower = F.greatest(F.lit(0.0), c("conf") - 0.02 * c("variant_ord") - 0.03 * c("engine_ord"))
     return kept.withColumns({"conf": lower} | {x: (c(x) * c("scale")).cast("int") for x in ("x1", "y1", "x2", "y2")})
