@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import unicodedata
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 #: Bytes of a batch of texts that a Python worker holds at once, as texts may be long.
 BATCH_BYTES = 4 << 20
@@ -44,6 +47,32 @@ def _unless_ascii(form, s: Column) -> Column:
     return F.coalesce(form(F.when(s.rlike(r"[^\x00-\x7F]"), s)), s)
 
 
+def _stable() -> str:
+    """Characters of Latin text that neither normal form changes, with whatever other of them beside, as a class."""
+    codes = [c for c in (*range(0x250), *range(0x2010, 0x2060)) if chr(c) not in INVISIBLE and not unicodedata.combining(chr(c)) and unicodedata.normalize("NFKC", chr(c)) == chr(c)]
+    starts = [c for c in codes if c - 1 not in codes]
+    return "".join(rf"\x{{{a:04X}}}-\x{{{next(c for c in range(a, 0x2061) if c + 1 not in codes):04X}}}" for a in starts)
+
+
+#: Other characters than these, and white space but the blank. ASCII is left at the first look: a class of many ranges costs each of them.
+UNSTABLE = rf"[\x{{0080}}-\x{{10FFFF}}&&[^{_stable()}]]"
+OTHER_SPACE = rf"[\x{{0000}}-\x{{001F}}\x{{0080}}-\x{{FFFF}}&&[{SPACE.replace(' ', '')}]]"
+
+
+@F.arrow_udf(ArrayType(StringType()))
+def _all_forms(lists: pa.Array) -> pa.Array:
+    gone = str.maketrans("", "", INVISIBLE)
+    forms = [x if x is None else unicodedata.normalize("NFKC", unicodedata.normalize("NFC", x).translate(gone)) for x in lists.flatten().to_pylist()]
+    ends = np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(forms, pa.string()))
+
+
+def normal_forms(texts: Column) -> Column:
+    """Of an array of texts those that normal forms may change, in them and without invisible characters; the others are null. One step for each row."""
+    small_batches()
+    return _all_forms(F.transform(texts, lambda t: F.when(t.rlike(UNSTABLE), t)))
+
+
 def let(value: Column, body) -> Column:
     """body(value) with the value worked out once, also where body names it often or inside a lambda."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -170,13 +199,28 @@ def filter_isolated(s: Column) -> Column:
 
 def arabic_correct(s: Column, alef: bool = False, isolated: bool = True) -> Column:
     """The clean-up steps in their order; a blank text is returned as it is."""
-    t = dedup_diacritics(strip_kashida(nfkc(strip_invisible(nfc(s)))))
+    return _cleaned(s, nfkc(strip_invisible(nfc(s))), alef, isolated)
+
+
+def _cleaned(s: Column, forms: Column, alef: bool, isolated: bool) -> Column:
+    t = dedup_diacritics(strip_kashida(forms))
     t = arabic_punct(t)
     t = fold_alef(t) if alef else t
     t = filter_isolated(t) if isolated else t
     return F.when(blank(s), s).otherwise(strip(t))
 
 
+def arabic_corrected(texts: Column, forms: Column, alef: bool = False, isolated: bool = True) -> Column:
+    """`arabic_correct` of each of an array of texts, with their `normal_forms`. A tidy Latin text stays as it is."""
+
+    def one(s: Column, i: Column) -> Column:
+        form = F.get(forms, i)
+        tidy = ~s.rlike(OTHER_SPACE) & ~F.contains(s, F.lit("  ")) & ~F.startswith(s, F.lit(" ")) & ~F.endswith(s, F.lit(" "))
+        return F.when(form.isNull() & tidy, s).otherwise(_cleaned(s, F.coalesce(form, s), alef, isolated))
+
+    return F.transform(texts, one)
+
+
 @F.pandas_udf(StringType())
 def _shaped(s: pd.Series) -> pd.Series:
     try:

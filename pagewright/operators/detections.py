@@ -57,7 +57,12 @@ def parse_engine_output(payloads: DataFrame, key: list[str], payload: str = "pay
 
 def folded_sum(order: str, value: str) -> Column:
     """Sum in the order of a column, which the order of rows in a shuffle cannot change."""
-    return F.aggregate(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value]), F.lit(0.0), lambda a, x: a + x)
+    return in_order(F.sort_array(F.collect_list(F.struct(order, value))), value)
+
+
+def in_order(rows: Column, value: str) -> Column:
+    """Sum of a field of an array's structs, from the first to the last."""
+    return F.aggregate(rows, F.lit(0.0), lambda a, x: a + x[value])
 
 
 def page_score(detections: DataFrame, pages: DataFrame, key: list[str] = PAGE) -> DataFrame:
@@ -84,6 +89,13 @@ def median_height(s: Settings = Settings(), over=None) -> Column:
     return F.when(n < 3, F.lit(float(s.band_tolerance))).otherwise(F.coalesce(middle, F.lit(float(s.band_tolerance))))
 
 
+def middle_height(heights: Column, s: Settings = Settings()) -> Column:
+    """`median_height` of an array of heights."""
+    tall = F.sort_array(F.filter(heights, lambda h: h > 0))
+    middle = T.let(tall, lambda t: (F.get(t, ((F.size(t) - 1) / 2).cast("int")) + F.get(t, (F.size(t) / 2).cast("int"))) / 2)
+    return F.when(F.size(heights) < 3, F.lit(float(s.band_tolerance))).otherwise(F.coalesce(middle, F.lit(float(s.band_tolerance))))
+
+
 def median_box_height(detections: DataFrame, key: list[str] = PAGE, s: Settings = Settings()) -> DataFrame:
     return detections.groupBy(*key).agg(median_height(s).alias("median_height"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import Settings
 from ..functions import text as T
 from ..functions.facts import line_facts
-from .detections import PAGE, folded_sum, median_height, overlaps_next
+from .detections import PAGE, folded_sum, in_order, median_height, middle_height, overlaps_next
 
 PASS = [*PAGE, "engine", "engine_ord", "variant", "variant_ord"]
 # The factors of the score.
@@ -39,11 +39,14 @@ def pass_facts(passes: DataFrame, key: list[str] = PASS, s: Settings = Settings(
     The text is that of `joined_text`: stripped lines with one space between, so no token or repeated character is in two of
     them. Only figures are shuffled. Lines that come with the facts of their text (`with_line_facts`) are taken by them.
     """
-    n, c = F.count("*"), F.col
-    lines = with_line_facts(passes).select(*key, "det_ord", "conf", "y1", "y2", *(c(LINE_FACTS)[f].alias(f) for f in TEXT_FACTS))
+    c = F.col
+    lines = with_line_facts(passes).select(*key, F.struct("det_ord", "conf", (c("y2") - c("y1")).alias("h")).alias("_line"), *(c(LINE_FACTS)[f].alias(f) for f in TEXT_FACTS))
     spaces = F.greatest(F.count(F.when(c("n_chars") > 0, 1)) - 1, F.lit(0))
     sums = {f: F.sum(f) for f in TEXT_FACTS} | {"n_chars": F.sum("n_chars") + spaces, "repeated": F.coalesce(F.max("repeated"), F.lit(0))}
-    return lines.groupBy(*key).agg(n.alias("n_lines"), (folded_sum("det_ord", "conf") / n).alias("mean_conf"), median_height(s).alias("median_height"), *(v.alias(f) for f, v in sums.items()))
+    # one list serves both the mean and the median: a state of its own for each costs more than all else here
+    found = lines.groupBy(*key).agg(F.sort_array(F.collect_list("_line")).alias("_lines"), *(v.alias(f) for f, v in sums.items()))
+    n = F.size("_lines").cast("long")
+    return found.select(*key, n.alias("n_lines"), (in_order(c("_lines"), "conf") / n).alias("mean_conf"), middle_height(F.transform("_lines", lambda x: x["h"]), s).alias("median_height"), *TEXT_FACTS)
 
 
 def with_line_facts(lines: DataFrame) -> DataFrame:
@@ -86,10 +89,10 @@ def score_passes(passes: DataFrame, language: str | Column, key: list[str] = PAS
     return facts.withColumn("score", score_column(language, F.col("variant"), s))
 
 
-def select_best_pass(scored: DataFrame, key: list[str] = PAGE) -> DataFrame:
-    """The pass of each page with the highest score; the first variant, then engine, of equals."""
-    best = F.max(F.struct(F.col("score"), (-F.col("variant_ord")).alias("v"), (-F.col("engine_ord")).alias("e"), F.col("variant"), F.col("engine")))
-    return scored.groupBy(*key).agg(best.alias("b"), F.count("*").alias("n_passes")).select(*key, F.col("b.variant").alias("variant"), F.col("b.engine").alias("engine"), F.col("b.score").alias("score"), "n_passes")
+def select_best_pass(scored: DataFrame, key: list[str] = PAGE, told: tuple[str, ...] = ()) -> DataFrame:
+    """The pass of each page with the highest score; the first variant, then engine, of equals. ``told``: facts of that pass to add."""
+    best = F.max(F.struct(F.col("score"), (-F.col("variant_ord")).alias("v"), (-F.col("engine_ord")).alias("e"), F.col("variant"), F.col("engine"), *told))
+    return scored.groupBy(*key).agg(best.alias("b"), F.count("*").alias("n_passes")).select(*key, F.col("b.variant").alias("variant"), F.col("b.engine").alias("engine"), F.col("b.score").alias("score"), "n_passes", *(F.col("b")[x].alias(x) for x in told))
 
 
 def replace_with_margin(primary: DataFrame, alternate: DataFrame, key: list[str] = PAGE, s: Settings = Settings()) -> DataFrame:
@@ -100,24 +103,33 @@ def replace_with_margin(primary: DataFrame, alternate: DataFrame, key: list[str]
     return met.select(*key, *(F.when(F.col("replaced"), F.col(f"alt_{c}")).otherwise(F.col(c)).alias(c) for c in ("variant", "engine", "score")), "replaced")
 
 
+def reasons_of(n: Column, n_chars: Column, conf: Column, ratio: Column, repeated: Column, height: Column, over: Column, s: Settings = Settings()) -> Column:
+    """The reasons that a page's figures give: lines, characters, mean confidence, Arabic share, a repeated character, median height, overlaps."""
+    low = 2 * s.min_box_height
+    # The texts of the reasons.
+    return F.array_compact(F.array(
+        F.when(n < s.fallback_min_lines, F.lit(f"low_line_count<{s.fallback_min_lines}")),
+        F.when(n_chars < s.fallback_min_chars, F.lit(f"low_char_count<{s.fallback_min_chars}")),
+        F.when(conf < s.fallback_min_conf, F.lit(f"low_avg_conf<{s.fallback_min_conf:.2f}")),
+        F.when(ratio < s.fallback_min_arabic, F.lit(f"low_arabic_ratio<{s.fallback_min_arabic:.2f}")),
+        F.when(repeated, F.lit("repeated_char_pattern")),
+        F.when(height < low, F.format_string(f"low_median_box_height<{low}px(got %.1fpx)", height)),
+        F.when((n >= 4) & (over / (n - 1) > OVERLAP_SHARE), F.format_string("bbox_vertical_overlap_fragmentation(%d/%dpairs)", over, n - 1)),
+    ))
+
+
+#: The reason of a page without lines.
+EMPTY = "empty_primary_result"
+
+
 def fallback_reasons(detections: DataFrame, pages: DataFrame, key: list[str] = PAGE, s: Settings = Settings()) -> DataFrame:
     """Per page the reasons, in order, for which a second engine would be asked; a page without lines has one."""
     c, n = F.col, F.count("*")
     marked = detections.withColumn("over", overlaps_next(key).cast("int"))
     facts = marked.groupBy(*key).agg(n.alias("n"), joined_text().alias("t"), (folded_sum("det_ord", "conf") / n).alias("conf"), median_height(s).alias("h"), F.sum("over").alias("over"))
-    low = 2 * s.min_box_height
-    # The texts of the reasons.
-    reasons = F.array_compact(F.array(
-        F.when(c("n") < s.fallback_min_lines, F.lit(f"low_line_count<{s.fallback_min_lines}")),
-        F.when(F.length("t") < s.fallback_min_chars, F.lit(f"low_char_count<{s.fallback_min_chars}")),
-        F.when(c("conf") < s.fallback_min_conf, F.lit(f"low_avg_conf<{s.fallback_min_conf:.2f}")),
-        F.when(T.arabic_ratio(c("t")) < s.fallback_min_arabic, F.lit(f"low_arabic_ratio<{s.fallback_min_arabic:.2f}")),
-        F.when(T.repeated_run(c("t")), F.lit("repeated_char_pattern")),
-        F.when(c("h") < low, F.format_string(f"low_median_box_height<{low}px(got %.1fpx)", c("h"))),
-        F.when((c("n") >= 4) & (c("over") / (c("n") - 1) > OVERLAP_SHARE), F.format_string("bbox_vertical_overlap_fragmentation(%d/%dpairs)", c("over"), c("n") - 1)),
-    ))
+    reasons = reasons_of(c("n"), F.length("t"), c("conf"), T.arabic_ratio(c("t")), T.repeated_run(c("t")), c("h"), c("over"), s)
     found = facts.select(*key, reasons.alias("reasons"))
-    out = pages.join(found, key, "left").withColumn("reasons", F.coalesce("reasons", F.array(F.lit("empty_primary_result"))))
+    out = pages.join(found, key, "left").withColumn("reasons", F.coalesce("reasons", F.array(F.lit(EMPTY))))
     return out.withColumn("triggered", F.size("reasons") > 0)
 
 

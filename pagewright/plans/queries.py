@@ -370,19 +370,15 @@ def all_language_documents(spark, sf):
     return out.drop("raw_text").withColumn("resolved_page_languages", F.array_join("resolved_page_languages", ","))
 
 
-def _diagnostics(spark, sf):
-    return P.page_diagnostics(X.passes(spark, sf), X.pages(spark, sf), "ar", alternate=True, planned=X.planned(spark, sf))
-
-
 @query
 def page_diagnostics(spark, sf):
-    return _diagnostics(spark, sf).drop("page_idx").withColumn("fallback_reasons", F.array_join("fallback_reasons", "|"))
+    return P.page_diagnostics(X.passes(spark, sf), X.pages(spark, sf), "ar", alternate=True, planned=X.planned(spark, sf)).drop("page_idx").withColumn("fallback_reasons", F.array_join("fallback_reasons", "|"))
 
 
 @query
 def document_metadata(spark, sf):
     documents = P.recognised_documents(X.passes(spark, sf), "ar", alternate=True, pages=X.pages(spark, sf), planned=X.planned(spark, sf))
-    return P.metadata(documents, "ar", diagnostics=_diagnostics(spark, sf))
+    return P.metadata(documents, "ar", diagnostics=P.page_diagnostics(X.passes(spark, sf), X.pages(spark, sf), "ar", alternate=True, planned=X.planned(spark, sf)))
 
 
 @query
