@@ -377,8 +377,8 @@ def page_diagnostics(spark, sf):
 
 @query
 def document_metadata(spark, sf):
-    documents = P.recognised_documents(X.passes(spark, sf), "ar", alternate=True, pages=X.pages(spark, sf), planned=X.planned(spark, sf))
-    return P.metadata(documents, "ar", diagnostics=P.page_diagnostics(X.passes(spark, sf), X.pages(spark, sf), "ar", alternate=True, planned=X.planned(spark, sf)))
+    documents = P.diagnosed_documents(X.passes(spark, sf), X.pages(spark, sf), "ar", alternate=True, planned=X.planned(spark, sf))
+    return P.metadata(documents, "ar")
 
 
 @query
