@@ -148,7 +148,10 @@ def repeated_run(s: Column) -> Column:
 
 
 def doc_type(s: Column) -> Column:
-    d = diacritic_density(s)
+    return type_at(diacritic_density(s))
+
+
+def type_at(d: Column) -> Column:
     return F.when(d > 0.15, "quranic_or_classical").when(d > 0.05, "partially_diacritized").otherwise("modern_printed")
 
 
